@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.llm import ledger, terms, tokens
+from phrasewerk.llm import clusters, ledger, terms, tokens, vectors
 from phrasewerk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,27 @@ def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_found", _SQL_TERMS + "SELECT process_name, term, mark FROM t WHERE mark IS NOT NULL")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_terms(spark, sf_dir).where("mark is not null").select("process_name", "term", "mark")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_pairs(table(spark, sf_dir, "vector_entries"))
+
+
+@query("p2_knn")
+def p2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar phrases of every hundredth entry in the whole store, with their cosine."""
+    rows = table(spark, sf_dir, "vector_entries")
+    return vectors.most_similar(rows, asks=F.col("entry_id") % 100 == 0)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = clusters.groups(table(spark, sf_dir, "vector_entries"), table(spark, sf_dir, "pipeline_config"))
+    return clusters.probe_pairs(members, table(spark, sf_dir, "cluster_probes"))
+
+
+@query("p6_groups")
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its size and most typical phrases."""
+    return clusters.described(clusters.groups(table(spark, sf_dir, "vector_entries"), table(spark, sf_dir, "pipeline_config")))
