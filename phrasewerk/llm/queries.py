@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.llm import clusters, ledger, terms, tokens, vectors
+from phrasewerk.llm import clusters, ledger, pieces, terms, tokens, vectors
 from phrasewerk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every group with its size and most typical phrases."""
     return clusters.described(clusters.groups(table(spark, sf_dir, "vector_entries"), table(spark, sf_dir, "pipeline_config")))
+
+
+@query("p4_found", """
+SELECT file_id, split_no, CASE WHEN bool_or(regexp_matches(text, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]{401}')) THEN 'hard' ELSE 'soft' END AS cut
+FROM text_splits WHERE length(text) > 400 GROUP BY file_id, split_no""")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "text_splits").where(F.length("text") > pieces.LIMIT)
+    cut = F.when(F.bool_or("hard"), F.lit("hard")).otherwise(F.lit("soft"))
+    return pieces.split_items(lines, ["file_id", "split_no"], "text").groupBy("file_id", "split_no").agg(cut.alias("cut"))
+
+
+@query("p4_line_pieces")
+def p4_line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every line of text_splits; begin and end count from the line's start."""
+    return pieces.split_items(table(spark, sf_dir, "text_splits"), ["file_id", "split_no"], "text")
+
+
+@query("p4_file_pieces")
+def p4_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every file's whole content."""
+    return pieces.split_items(table(spark, sf_dir, "corpus_files"), ["file_id"], "content")
