@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.llm import clusters, ledger, pieces, terms, tokens, vectors
+from phrasewerk.llm import clusters, ledger, packing, pieces, terms, tokens, vectors
 from phrasewerk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,14 @@ def p4_line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every file's whole content."""
     return pieces.split_items(table(spark, sf_dir, "corpus_files"), ["file_id"], "content")
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("p8_fill")
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of unused room."""
+    return packing.fill(packing.pack(table(spark, sf_dir, "documents")))
