@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.llm import clusters, ledger, packing, pieces, terms, tokens, vectors
+from phrasewerk.llm import abuse, clusters, ledger, packing, pieces, terms, tokens, vectors
 from phrasewerk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,18 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and the share of unused room."""
     return packing.fill(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_ratings")).where("abusive").select("doc_id")
+
+
+@query("p9_scores")
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_ratings"))
+
+
+@query("p9_rates")
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_ratings")))
