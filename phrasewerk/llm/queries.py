@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.llm import abuse, clusters, ledger, packing, pieces, terms, tokens, vectors
+from phrasewerk.llm import abuse, clusters, ledger, packing, pieces, pii, terms, tokens, vectors
 from phrasewerk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,14 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_rates")
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_ratings")))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "corpus_files"))
+
+
+@query("p1_sanitised")
+def p1_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file's content with placeholders."""
+    return pii.sanitised(table(spark, sf_dir, "corpus_files"))
