@@ -140,9 +140,8 @@ def _medical(text: str, toks: list, i: int) -> bool:
     if i + 1 < len(toks) and toks[i + 1][2].lower() in EPONYMS and _gap(text, toks[i], toks[i + 1]) in (" ", "'s ", "’s "):
         return True
     j = i - 1
-    if j >= 0 and toks[j][2].lower() == "nach":
-        j -= 1
-        return j >= 0 and toks[j][2].lower() in EPONYMS | {"score", "einteilung", "graded"}
+    if j >= 0 and toks[j][2].lower() == "nach":  # Index nach X, also where the word before is damaged
+        return True
     return j >= 0 and toks[j][2].lower() in {"morbus", "index", "syndrom"} and _gap(text, toks[j], toks[i]).strip() == ""
 
 
