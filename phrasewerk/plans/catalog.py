@@ -1,22 +1,6 @@
-"""Registry of the core queries and their SQL."""
+"""All core queries: importing the query modules fills the registry."""
 
-from __future__ import annotations
+from phrasewerk.plans import graph_queries, rag_queries, text_queries, vector_queries  # noqa: F401
+from phrasewerk.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a query under *name*, with its SQL if SQL can express it."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
