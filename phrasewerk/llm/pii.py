@@ -274,11 +274,12 @@ def _counted(texts: DataFrame, count) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n, hits = Counter(), Counter()
-            for t, known in zip(pdf["_text"], pdf["_known"]):
-                count(t, known, n, hits)
+            for t, spans, known in zip(pdf["_text"], pdf["_forms"], pdf["_known"]):
+                count(t, unpacked(spans), known, n, hits)
             yield pd.DataFrame({"term": list(n), "n": list(n.values()), "hits": [hits[p] for p in n]})
 
-    return texts.mapInPandas(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    sums = texts.mapInPandas(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return written(sums, "counts")  # read twice, made once
 
 
 def disclosure(counts: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ class Lexicon:
         return {"sent": self.sent}  # tasks need no more
 
     def beside(self, texts: DataFrame) -> DataFrame:
-        """(_key, _text, _known) of *texts* (_key, _text)."""
+        """*texts* (_key, _text, ...) with _known, the disclosing words of each; null where all are broadcast."""
         if self.small:
             return texts.withColumn("_known", F.lit(None).cast("array<string>"))
 
@@ -325,8 +326,16 @@ class Lexicon:
         return self.sent.value if known is None else set(known)
 
 
-def _first_pass(text: str, known, n: Counter, hits: Counter) -> None:
-    toks = words(text, spans := forms(text))
+def packed(spans: list[Span]) -> str:
+    return " ".join(f"{b},{e},{k}" for b, e, k in spans)
+
+
+def unpacked(spans: str) -> list[Span]:
+    return [(int(b), int(e), k) for b, e, k in (x.split(",") for x in spans.split(" ") if x)]
+
+
+def _first_pass(text: str, spans: list[Span], known, n: Counter, hits: Counter) -> None:
+    toks = words(text, spans)
     reserved = slots(text, spans, toks)
     for i, tok in enumerate(toks):
         if tok[2][0].isupper() and not _medical(text, toks, i):  # in small letters it may be another word
@@ -336,12 +345,12 @@ def _first_pass(text: str, known, n: Counter, hits: Counter) -> None:
 
 
 def learned(texts: DataFrame) -> tuple[Lexicon, set[str]]:
-    """The disclosing words and the reserved contexts of a corpus (_key, _text), from counts over all texts."""
+    """The disclosing words and the reserved contexts of a corpus (_key, _text, _forms), from counts over all texts."""
     bare = texts.withColumn("_known", F.lit(None).cast("array<string>"))
     first = Lexicon(_disclosing(_counted(bare, _first_pass)))
 
-    def contexts_of(text: str, known, n: Counter, hits: Counter) -> None:
-        names, toks = Names(first.of(known), set()), words(text, forms(text))
+    def contexts_of(text: str, spans: list[Span], known, n: Counter, hits: Counter) -> None:
+        names, toks = Names(first.of(known), set()), words(text, spans)
         for i, tok in enumerate(toks):
             if tok[2][0].isupper() and len(tok[2]) > 2 and not _is_title(tok[2]) and not _medical(text, toks, i):
                 for key in filter(None, context_keys(text, toks, i, i)):
@@ -351,8 +360,8 @@ def learned(texts: DataFrame) -> tuple[Lexicon, set[str]]:
     reserved = _counted(first.beside(texts), contexts_of).where((F.col("n") >= OFTEN) & (F.col("hits") >= RESERVED * F.col("n")))
     contexts = {r.term for r in reserved.select("term").collect()}  # two words around OFTEN names at least
 
-    def second_pass(text: str, known, n: Counter, hits: Counter) -> None:
-        names, toks = Names(first.of(known), contexts), words(text, forms(text))
+    def second_pass(text: str, spans: list[Span], known, n: Counter, hits: Counter) -> None:
+        names, toks = Names(first.of(known), contexts), words(text, spans)
         for i, tok in enumerate(toks):
             if not tok[2][0].isupper() or _medical(text, toks, i):
                 continue
@@ -375,13 +384,23 @@ def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def _marked(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(_key, _text, _spans): the cases of each text."""
-    texts = written(_keyed(documents, key, text).where(F.length("_text") > 0), "texts")
+    keyed = _keyed(documents, key, text).where(F.length("_text") > 0)
+    kind = keyed.schema["_key"].dataType.simpleString()
+
+    def with_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_forms=[packed(forms(t)) for t in pdf["_text"]])
+
+    texts = written(keyed.mapInPandas(with_forms, f"_key {kind}, _text string, _forms string"), "texts")  # what has a form is found once
     lexicon, contexts = learned(texts)
-    kind = texts.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = [[{"b": b, "e": e, "kind": k} for b, e, k in found_in(t, Names(lexicon.of(known), contexts))] for t, known in zip(pdf["_text"], pdf["_known"])]
+            spans = []
+            for t, packed_forms, known in zip(pdf["_text"], pdf["_forms"], pdf["_known"]):
+                taken = unpacked(packed_forms)
+                cases = sorted(taken + Names(lexicon.of(known), contexts).spans(t, taken))
+                spans.append([{"b": b, "e": e, "kind": k} for b, e, k in cases])
             yield pd.DataFrame({"_key": pdf["_key"], "_text": pdf["_text"], "_spans": spans})
 
     return lexicon.beside(texts).mapInPandas(run, f"_key {kind}, _text string, _spans array<struct<b:long,e:long,kind:string>>")
