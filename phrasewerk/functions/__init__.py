@@ -1 +1 @@
-"""Column functions: each returns a Spark expression, none calls Python per row."""
+"""Column functions: each returns a Spark expression; none calls Python row by row."""

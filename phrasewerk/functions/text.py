@@ -1,9 +1,11 @@
-"""Text functions."""
+"""Text functions; only the common subsequence of two strings leaves the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def normalised_term(term: Column) -> Column:
@@ -66,23 +68,28 @@ def fenced_json(reply: Column) -> Column:
     return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
 
 
+def _common(a: str | None, b: str | None) -> int | None:
+    """Length of the longest common subsequence: one machine-word row of the recurrence for each character of *b*."""
+    if a is None or b is None:
+        return None
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings, by the row recurrence over their characters."""
-    zeros = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
-    bs = F.split(b, "")
-
-    def row(before: Column, ch: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda sofar, j: F.concat(
-                sofar,
-                F.array(F.when(F.get(bs, j - 1) == ch, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(sofar, j - 1)))),
-            ),
-        )
-
-    last = F.aggregate(F.split(a, ""), zeros, row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.get(last, F.length(b)))
+    """Length of the longest common subsequence of two strings; null if either is null."""
+
+    def lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_common(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    lengths.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(lengths, IntegerType())(a, b)
 
 
 def sorted_words(text: Column) -> Column:

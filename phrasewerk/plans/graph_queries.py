@@ -1 +1,236 @@
-"""Queries."""
+"""Queries on phrase graphs: pairs, edges, components, significance, ranks and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phrasewerk.functions import text as T
+from phrasewerk.operators import graph as G
+from phrasewerk.operators import pairs as R
+from phrasewerk.operators import provenance as V
+from phrasewerk.plans.registry import query
+from phrasewerk.sources.store import written
+from phrasewerk.tables import table
+
+#: Pairs of a process from this cosine on are edges of its graph.
+LEAST = 0.9
+
+_GRAPH = """
+entries AS (SELECT process_name AS graph_id, entry_id AS node_id, min(phrase) AS label, any_value(documents) AS documents, CAST(any_value(phrase_vector) AS DOUBLE[]) AS v, len(any_value(documents)) AS n
+  FROM vector_entries WHERE phrase_vector IS NOT NULL AND len(list_filter(phrase_vector, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
+edges AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, list_cosine_similarity(a.v, b.v) AS weight FROM entries a JOIN entries b ON a.graph_id = b.graph_id AND a.node_id < b.node_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+mir AS (SELECT graph_id, src AS node, dst AS other, weight FROM edges UNION ALL SELECT graph_id, dst, src, weight FROM edges)"""
+_PARTS = """, reach AS (SELECT graph_id, node_id AS node, node_id AS seen FROM entries UNION SELECT r.graph_id, r.node, b.other FROM reach r JOIN mir b ON r.graph_id = b.graph_id AND r.seen = b.node),
+part AS (SELECT graph_id, node AS node_id, min(seen) AS component FROM reach GROUP BY 1, 2)"""
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "vector_entries").where(F.coalesce(F.exists("phrase_vector", lambda x: x != 0), F.lit(False)))
+    return rows.groupBy(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id")).agg(F.min("phrase").alias("label"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "vector_entries").select("process_name", "entry_id", "phrase_vector")
+    pairs = R.similar_pairs(rows, LEAST, "entry_id", "process_name", "phrase_vector")
+    return pairs.select(F.col("process_name").alias("graph_id"), "src", "dst", F.col("cosine").alias("weight"))
+
+
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    """A graph that several rounds read is made once."""
+    return written(df, what)
+
+
+def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.exploded(table(spark, sf_dir, "vector_entries").select("process_name", "entry_id", "documents"), "entry_id")
+    own = table(spark, sf_dir, "vector_entries").select("entry_id", F.col("process_name").alias("graph_id")).distinct()
+    return rows.join(own, "entry_id").select("graph_id", F.col("entry_id").alias("node_id"), "document").distinct()
+
+
+@query("jn03_similar_pairs", "WITH" + _GRAPH + " SELECT graph_id, src, dst, round(weight, 5) AS weight FROM edges")
+def jn03_similar_pairs(spark, sf_dir):
+    return _edges(spark, sf_dir).withColumn("weight", F.round("weight", 5))
+
+
+@query("gr08_components", "WITH RECURSIVE" + _GRAPH + _PARTS + " SELECT graph_id, node_id, component FROM part")
+def gr08_components(spark, sf_dir):
+    return G.components(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))
+
+
+@query("gr07_largest_component", "WITH RECURSIVE" + _GRAPH + _PARTS + """, s AS (SELECT graph_id, component, count(*) AS n FROM part GROUP BY 1, 2),
+b AS (SELECT graph_id, component FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, component) AS r FROM s) WHERE r = 1)
+SELECT graph_id, node_id FROM part JOIN b USING (graph_id, component)""")
+def gr07_largest_component(spark, sf_dir):
+    return G.largest_component(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))[0].select("graph_id", "node_id")
+
+
+@query("ag17_strengths", "WITH" + _GRAPH + " SELECT graph_id, node AS node_id, round(sum(weight), 4) AS strength, count(*) AS degree FROM mir GROUP BY 1, 2")
+def ag17_strengths(spark, sf_dir):
+    return G.strengths(_edges(spark, sf_dir)).withColumn("strength", F.round("strength", 4))
+
+
+@query("gr10_degree_ranks", "WITH" + _GRAPH + " SELECT graph_id, node AS node_id, CAST(count(*) AS DOUBLE) AS rank FROM mir GROUP BY 1, 2")
+def gr10_degree_ranks(spark, sf_dir):
+    return G.degree_ranks(_edges(spark, sf_dir))
+
+
+@query("gr09_significance", "WITH" + _GRAPH + """, s AS (SELECT graph_id, node, sum(weight) * 100 AS s FROM mir GROUP BY 1, 2), q AS (SELECT graph_id, sum(s) / 2 AS q FROM s GROUP BY 1),
+x AS (SELECT e.graph_id, src, dst, round_even(e.weight * 100, 0) AS k, round_even(q, 0) AS n, greatest(0, least(1, u.s * v.s / (2 * q * q))) AS p FROM edges e
+  JOIN s u ON e.graph_id = u.graph_id AND src = u.node JOIN s v ON e.graph_id = v.graph_id AND dst = v.node JOIN q ON e.graph_id = q.graph_id),
+t AS (SELECT *, CASE WHEN k <= 0 OR p >= 1 THEN 1.0 WHEN p <= 0 THEN 0.0 ELSE least(1.0, list_sum(list_transform(range(CAST(k AS BIGINT), CAST(least(n, k + 3000) AS BIGINT) + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))) END AS t FROM x)
+SELECT graph_id, src, dst, round(CASE WHEN t <= 0 THEN 709.782712893384 ELSE least(709.782712893384, abs(ln(t))) END, 3) AS significance FROM t""")
+def gr09_significance(spark, sf_dir):
+    return G.significances(_edges(spark, sf_dir)).select("graph_id", "src", "dst", F.round("significance", 3).alias("significance"))
+
+
+@query("prj17_graph_statistics", "WITH" + _GRAPH + """, n AS (SELECT graph_id, count(*) AS n_nodes FROM entries GROUP BY 1), e AS (SELECT graph_id, count(*) AS n_edges FROM edges GROUP BY 1)
+SELECT graph_id, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges FROM n FULL OUTER JOIN e USING (graph_id)""")
+def prj17_graph_statistics(spark, sf_dir):
+    return G.statistics(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@query("prj18_adjacency", "WITH" + _GRAPH + """, a AS (SELECT graph_id, node, string_agg(other || ':' || printf('%.3f', weight), ' ' ORDER BY other) AS near FROM mir GROUP BY 1, 2)
+SELECT e.graph_id, node_id, label, coalesce(near, '') AS neighbours FROM entries e LEFT JOIN a ON e.graph_id = a.graph_id AND node_id = node""")
+def prj18_adjacency(spark, sf_dir):
+    rows = G.adjacency(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    return rows.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: F.format_string("%d:%.3f", x["other"], x["weight"])), " "))
+
+
+@query("snk07_edge_styles", "WITH" + _GRAPH + """ SELECT graph_id, CASE WHEN weight >= 0.9 THEN 'strong' WHEN weight >= 0.8 THEN 'firm' WHEN weight >= 0.65 THEN 'medium' WHEN weight >= 0.5 THEN 'weak' ELSE 'faint' END AS style, count(*) AS n FROM edges GROUP BY 1, 2""")
+def snk07_edge_styles(spark, sf_dir):
+    return _edges(spark, sf_dir).groupBy("graph_id", G.edge_style(F.col("weight")).alias("style")).agg(F.count("*").alias("n"))
+
+
+@query("gr13_document_scores", "WITH" + _GRAPH + """, h AS (SELECT DISTINCT graph_id, node_id, d.id AS document FROM (SELECT graph_id, node_id, unnest(documents) AS d FROM entries) WHERE d.id IS NOT NULL),
+x AS (SELECT DISTINCT e.graph_id, src, dst, weight, document FROM edges e JOIN h ON e.graph_id = h.graph_id AND (h.node_id = src OR h.node_id = dst))
+SELECT document, graph_id, round(sum(weight), 4) AS score FROM x GROUP BY 1, 2""")
+def gr13_document_scores(spark, sf_dir):
+    return G.document_scores(_edges(spark, sf_dir), _holders(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+@query("gr14_path_scores")
+def gr14_path_scores(spark, sf_dir):
+    return G.path_scores(_edges(spark, sf_dir), _holders(spark, sf_dir))
+
+
+@query("gr07_simplified")
+def gr07_simplified(spark, sf_dir):
+    return G.simplified(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))[1]
+
+
+@query("gr11_spanning_forest")
+def gr11_spanning_forest(spark, sf_dir):
+    return G.spanning_forest(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))
+
+
+@query("gr10_page_rank")
+def gr10_page_rank(spark, sf_dir):
+    return G.page_rank(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"), rounds=8)
+
+
+@query("gr16_page_rank_scores")
+def gr16_page_rank_scores(spark, sf_dir):
+    """Files as documents: their numbers stand for them in the graph."""
+    ids = table(spark, sf_dir, "corpus_files").select(F.col("process_name").alias("graph_id"), F.col("id").alias("document"), "file_id").distinct()
+    links = _holders(spark, sf_dir).join(ids, ["graph_id", "document"]).select("graph_id", "node_id", F.col("file_id").alias("document"), F.lit(1.0).alias("weight"))
+    return G.page_rank_scores(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"), links, rounds=8)
+
+
+@query("gr01_phrase_graph")
+def gr01_phrase_graph(spark, sf_dir):
+    """Edges weighted half by label, half by cosine, from the pairs that are similar enough by cosine."""
+    nodes = _nodes(spark, sf_dir)
+    return R.edge_weights(_edges(spark, sf_dir).withColumnRenamed("weight", "cosine"), nodes, 0.5, 0.6)
+
+
+@query("gr02_merged_phrases")
+def gr02_merged_phrases(spark, sf_dir):
+    """Near-duplicate labels among the pairs that are similar by cosine, and the phrase that stays."""
+    edges, nodes = _stored(_edges(spark, sf_dir), "edges"), _stored(_nodes(spark, sf_dir), "nodes")
+    counts = _holders(spark, sf_dir).groupBy("graph_id", "node_id").agg(F.count("*").alias("n_documents"))
+    sized = nodes.join(counts, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+    a = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("_a"))
+    b = nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("_b"))
+    similar = edges.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).select("graph_id", "src", "dst", T.label_similarity(F.col("_a"), F.col("_b")).alias("similarity"))
+    return R.merged_phrases(similar, sized)
+
+
+_SORTED = "array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(regexp_replace({0}, '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')), ' ')"
+
+
+@query("sc03_label_similarity", f"""WITH n AS (SELECT n_regionkey, n_nationkey, {_SORTED.format('n_name')} AS s FROM nation),
+p AS (SELECT a.n_regionkey, a.n_nationkey AS src, b.n_nationkey AS dst, a.s AS x, b.s AS y FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
+l AS (SELECT n_regionkey, src, dst, x, y, list_reduce(list_prepend(list_transform(range(0, length(y) + 1), lambda q: 0), list_transform(string_split(x, ''), lambda c:
+  list_prepend(-1, list_transform(string_split(y, ''), lambda d: CASE WHEN c = d THEN 1 ELSE 0 END)))), lambda prev, eq:
+  list_reduce(list_prepend([0], list_transform(range(2, len(eq) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN eq[j[1]] = 1 THEN prev[j[1] - 1] + 1 ELSE greatest(prev[j[1]], acc[j[1] - 1]) END)))[length(y) + 1] AS lcs FROM p)
+SELECT n_regionkey, src, dst, round_even(200.0 * lcs / (length(x) + length(y)), 0) / 100 + 0.05 AS similarity FROM l""")
+def sc03_label_similarity(spark, sf_dir):
+    return R.label_pairs(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", "n_name")
+
+
+_ADDED = "coalesce(lower(source) = 'document_addition', FALSE)"
+
+
+@query("ag19_merged_provenance", """WITH o AS (SELECT process_name, phrase, d.id AS id, unnest(d.offsets) AS o FROM (SELECT process_name, phrase, unnest(documents) AS d FROM vector_entries) WHERE d.id IS NOT NULL AND phrase IS NOT NULL),
+u AS (SELECT DISTINCT process_name, phrase, id, o[1] AS b, o[2] AS e FROM o), p AS (SELECT process_name, phrase, id, string_agg(b || '-' || e, ',' ORDER BY b, e) AS s FROM u GROUP BY 1, 2, 3),
+k AS (SELECT process_name, phrase, string_agg(id || ':' || s, ' ' ORDER BY id) AS documents FROM p GROUP BY 1, 2)
+SELECT process_name, phrase, coalesce(documents, '') AS documents FROM (SELECT DISTINCT process_name, phrase FROM vector_entries WHERE phrase IS NOT NULL) LEFT JOIN k USING (process_name, phrase)""")
+def ag19_merged_provenance(spark, sf_dir):
+    """Phrases of the store merged with those of added documents, within each process."""
+    rows = table(spark, sf_dir, "vector_entries").where("phrase is not null").withColumn("key", F.struct("process_name", "phrase"))
+    got = V.merged(rows.where(f"not {_ADDED}").select("key", "documents"), rows.where(_ADDED).select("key", "documents"), "key")
+    text = F.transform("documents", lambda d: F.concat(d["id"], F.lit(":"), F.array_join(F.transform(d["offsets"], lambda o: F.concat_ws("-", o[0].cast("string"), o[1].cast("string"))), ",")))
+    return got.select("key.process_name", "key.phrase", F.array_join(text, " ").alias("documents"))
+
+
+@query("jn13_inverted_index", """SELECT d.id AS document, count(DISTINCT entry_id) AS n_phrases, min(entry_id) AS first_key, max(entry_id) AS last_key FROM (SELECT entry_id, unnest(documents) AS d FROM vector_entries) WHERE d.id IS NOT NULL GROUP BY 1""")
+def jn13_inverted_index(spark, sf_dir):
+    return V.inverted(table(spark, sf_dir, "vector_entries"), "entry_id")
+
+
+_ONE = "(SELECT min(id) AS one FROM corpus_files)"
+
+
+def _one(spark, sf_dir):
+    """The document to look for: the corpus's smallest id."""
+    return table(spark, sf_dir, "corpus_files").agg(F.min("id")).first()[0]
+
+
+@query("vs06_entries_of_document", f"SELECT DISTINCT entry_id FROM (SELECT entry_id, unnest(documents) AS d FROM vector_entries), {_ONE} WHERE d.id = one")
+def vs06_entries_of_document(spark, sf_dir):
+    return V.holding(table(spark, sf_dir, "vector_entries"), _one(spark, sf_dir), "entry_id").distinct()
+
+
+@query("gr19_document_removed", f"""WITH x AS (SELECT entry_id, len(coalesce(documents, [])) AS m, len(list_filter(coalesce(documents, []), lambda d: d.id IS DISTINCT FROM one)) AS rest FROM vector_entries, {_ONE})
+SELECT entry_id, rest AS n_documents FROM x WHERE NOT (m > rest AND rest = 0)""")
+def gr19_document_removed(spark, sf_dir):
+    rows = V.without(table(spark, sf_dir, "vector_entries"), _one(spark, sf_dir), drop_empty=True)
+    return rows.select("entry_id", F.size("documents").cast("long").alias("n_documents"))
+
+
+@query("ag21_removal_report", f"""WITH x AS (SELECT process_name, len(list_filter(documents, lambda d: d.id = one)) AS n, len(documents) AS m FROM vector_entries, {_ONE} WHERE documents IS NOT NULL)
+SELECT CAST(sum(n) AS BIGINT) AS references_removed, count(*) FILTER (n = m) AS nodes_removed, count(DISTINCT process_name) AS groups_affected FROM x WHERE n > 0""")
+def ag21_removal_report(spark, sf_dir):
+    return V.removal_report(table(spark, sf_dir, "vector_entries"), _one(spark, sf_dir), "process_name")
+
+
+@query("jn12_upserted_phrases", f"""WITH x AS (SELECT process_name, phrase, {_ADDED} AS added, list(DISTINCT d.id) FILTER (d.id IS NOT NULL) AS d FROM (SELECT process_name, phrase, source, unnest(CASE WHEN len(documents) > 0 THEN documents ELSE [NULL] END) AS d FROM vector_entries WHERE phrase IS NOT NULL) GROUP BY 1, 2, 3),
+a AS (SELECT process_name, phrase, phrase AS label, d FROM x WHERE NOT added), b AS (SELECT process_name, phrase, phrase AS label, d FROM x WHERE added)
+SELECT process_name, phrase, CASE WHEN a.label IS NULL THEN len(coalesce(b.d, [])) WHEN list_has_any(coalesce(a.d, []), coalesce(b.d, [])) THEN len(coalesce(a.d, []))
+  ELSE len(coalesce(a.d, [])) + len(coalesce(b.d, [])) END AS n_documents FROM a FULL OUTER JOIN b USING (process_name, phrase)""")
+def jn12_upserted_phrases(spark, sf_dir):
+    """Phrases of added documents put into each process's graph."""
+    rows = table(spark, sf_dir, "vector_entries").where("phrase is not null").select(F.struct("process_name", "phrase").alias("key"), "documents", F.expr(_ADDED).alias("added"))
+    docs = rows.select("key", "added", F.explode("documents.id").alias("id")).where("id is not null").distinct()
+    by = docs.groupBy("key", "added").agg(F.collect_list(F.struct("id", F.array().cast("array<array<int>>").alias("offsets"))).alias("documents"))
+    whole = rows.select("key", "added").distinct().join(by, ["key", "added"], "left").select("key", F.col("key.phrase").alias("label"), "documents", "added")
+    out = V.upserted(whole.where("not added"), whole.where("added"), "key")
+    return out.select("key.process_name", "key.phrase", F.size("documents").cast("long").alias("n_documents"))
+
+
+@query("ag12_graphs_of_nodes", """SELECT entry_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(graph_cluster, []))))), ' ') AS graphs FROM vector_entries GROUP BY 1""")
+def ag12_graphs_of_nodes(spark, sf_dir):
+    rows = table(spark, sf_dir, "vector_entries").select("entry_id", F.explode_outer("graph_cluster").alias("g"))
+    return rows.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("g")), " ").alias("graphs"))
