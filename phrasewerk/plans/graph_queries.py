@@ -9,6 +9,7 @@ from phrasewerk.functions import text as T
 from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
 from phrasewerk.operators import provenance as V
+from phrasewerk.operators.concepts import predicted_graphs
 from phrasewerk.plans.registry import query
 from phrasewerk.sources.store import written
 from phrasewerk.tables import table
@@ -234,3 +235,29 @@ def jn12_upserted_phrases(spark, sf_dir):
 def ag12_graphs_of_nodes(spark, sf_dir):
     rows = table(spark, sf_dir, "vector_entries").select("entry_id", F.explode_outer("graph_cluster").alias("g"))
     return rows.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("g")), " ").alias("graphs"))
+
+
+@query("vs07_predicted_graphs", "WITH" + _GRAPH + """, g AS (SELECT DISTINCT entry_id, unnest(graph_cluster) AS graph FROM vector_entries), t AS (SELECT graph_id, node, max(weight) AS top FROM mir GROUP BY 1, 2),
+x AS (SELECT m.node AS entry_id, graph, avg(weight) AS m, count(*) AS n FROM mir m JOIN t ON m.graph_id = t.graph_id AND m.node = t.node JOIN g ON g.entry_id = other WHERE weight >= 0.5 * top AND graph IS NOT NULL GROUP BY 1, 2)
+SELECT entry_id, graph, round(2 * m * n / (m + n), 5) AS fused FROM x""")
+def vs07_predicted_graphs(spark, sf_dir):
+    """Graph labels of each entry's neighbours in its process, by fused score."""
+    near = G.mirrored(_edges(spark, sf_dir), "weight").select(F.col("node").alias("entry_id"), "other", F.col("weight").alias("cosine"))
+    return predicted_graphs(near, table(spark, sf_dir, "vector_entries"), "entry_id", "other").withColumn("fused", F.round("fused", 5))
+
+
+@query("vs03_duplicates_of_added", "WITH" + _GRAPH + f""", a AS (SELECT DISTINCT entry_id FROM vector_entries WHERE {_ADDED})
+SELECT node AS entry_id, min(other) AS retained FROM mir WHERE weight >= 0.98 AND node IN (SELECT entry_id FROM a) AND other NOT IN (SELECT entry_id FROM a) GROUP BY 1""")
+def vs03_duplicates_of_added(spark, sf_dir):
+    """Added entries that the store of their process has already (cosine 0.98 or more), and the entry that stays."""
+    added = table(spark, sf_dir, "vector_entries").where(_ADDED).select("entry_id").distinct()
+    near = G.mirrored(_edges(spark, sf_dir).where("weight >= 0.98")).select(F.col("node").alias("entry_id"), "other")
+    old = near.join(added, "entry_id", "left_semi").join(added.withColumnRenamed("entry_id", "other"), "other", "left_anti")
+    return old.groupBy("entry_id").agg(F.min("other").alias("retained"))
+
+
+@query("ag20_folded_additions", f"""WITH r AS (SELECT process_name AS phrase_id, process_name AS graph_id, phrase AS text, d.id AS document FROM (SELECT process_name, phrase, unnest(documents) AS d FROM vector_entries WHERE {_ADDED}) WHERE d.id IS NOT NULL)
+SELECT phrase_id, min(graph_id) AS graph_id, min(text) AS text, string_agg(DISTINCT document, ' ' ORDER BY document) AS documents FROM r GROUP BY 1""")
+def ag20_folded_additions(spark, sf_dir):
+    rows = table(spark, sf_dir, "vector_entries").where(_ADDED).select(F.col("process_name").alias("phrase_id"), F.col("process_name").alias("graph_id"), F.col("phrase").alias("text"), F.explode("documents.id").alias("document"))
+    return V.folded_additions(rows.where("document is not null")).withColumn("documents", F.array_join("documents", " "))

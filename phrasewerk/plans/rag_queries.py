@@ -1 +1,134 @@
-"""Queries."""
+"""Queries on chunks, retrieval, expansion, status and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from phrasewerk import streaming as S
+from phrasewerk.functions import text as T
+from phrasewerk.operators import expansion as E
+from phrasewerk.operators import retrieval as R
+from phrasewerk.operators.lines import exploded_lines
+from phrasewerk.plans.registry import query
+from phrasewerk.tables import table
+
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+#: Questions of the retrieval queries: the names of the parts' types are not asked, but clinical ones.
+QUESTIONS = [(1, "Leberzyste nach Eingriff"), (2, "pelvic fracture on the left"), (3, "Allergien Novacillin"), (4, "Physiotherapie zur Nacht unauffällig")]
+_Q = ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)
+_BM25 = f"""q(question, q_text) AS (VALUES {_Q}), asked AS (SELECT DISTINCT question, unnest({_WORDS.format('q_text')}) AS word FROM q),
+s AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), t AS (SELECT count(*) AS n, avg(len(coalesce(ws, []))) AS mean FROM s),
+tf AS (SELECT doc_id, len, word, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS word FROM s) WHERE word IN (SELECT word FROM asked) GROUP BY 1, 2, 3),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+lex AS (SELECT question, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS lexical FROM tf JOIN df USING (word) JOIN asked USING (word), t GROUP BY 1, 2)"""
+
+
+def _lexical(spark, sf_dir):
+    q = spark.createDataFrame(QUESTIONS, "question int, q_text string")
+    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), q, "doc_id", "question")
+
+
+@query("rg07_lexical_scores", "WITH " + _BM25 + " SELECT question, doc_id, round(lexical, 5) AS lexical FROM lex")
+def rg07_lexical_scores(spark, sf_dir):
+    return _lexical(spark, sf_dir).withColumn("lexical", F.round("lexical", 5))
+
+
+@query("rg07_hybrid", "WITH " + _BM25 + """, d AS (SELECT question, doc_id, 1.0 / (1 + length(text)) AS dense FROM lex JOIN documents USING (doc_id)),
+x AS (SELECT question, doc_id, 0.6 * dense / max(dense) OVER (PARTITION BY question) + 0.4 * lexical / max(lexical) OVER (PARTITION BY question) AS score FROM lex JOIN d USING (question, doc_id))
+SELECT question, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 15""")
+def rg07_hybrid(spark, sf_dir):
+    """Lexical scores fused with a second one (here: brevity in place of an encoder's cosine)."""
+    lex = _lexical(spark, sf_dir)
+    dense = lex.join(table(spark, sf_dir, "documents"), "doc_id").select("question", "doc_id", (1.0 / (1 + F.length("text"))).alias("dense"))
+    return R.fused(lex, dense, "doc_id", "question", 0.6, 15).withColumn("score", F.round("score", 5))
+
+
+@query("rg02_packed_chunks")
+def rg02_packed_chunks(spark, sf_dir):
+    return R.packed_chunks(exploded_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query("rg08_snippets")
+def rg08_snippets(spark, sf_dir):
+    hits = table(spark, sf_dir, "text_splits").where(F.col("text").contains("Befund")).withColumn("highlight", F.lit("Befund"))
+    return R.snippets(hits, "text", "highlight", 12).select("file_id", "split_no", "snippet", "snippet_at")
+
+
+@query("rg09_numbered_sources", """SELECT file_id AS question, nr - 1 AS source_no, 'Source [' || (nr - 1) || ']: ' || text AS source
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY split_no) AS nr FROM (SELECT DISTINCT file_id, split_no, text FROM text_splits))""")
+def rg09_numbered_sources(spark, sf_dir):
+    lines = table(spark, sf_dir, "text_splits").select(F.col("file_id").alias("question"), "split_no", "text").distinct()
+    return R.numbered_sources(lines, "question", "split_no", "text")
+
+
+@query("ag14_joined_by_document", """SELECT file_id, min(split_no) AS first_rank, string_agg(text, chr(10) || chr(10) ORDER BY split_no) AS text FROM (SELECT DISTINCT file_id, split_no, text FROM text_splits) GROUP BY 1""")
+def ag14_joined_by_document(spark, sf_dir):
+    return R.joined_by_document(table(spark, sf_dir, "text_splits").select("file_id", "split_no", "text").distinct(), "file_id", "split_no", "text")
+
+
+@query("sc11_highlight_places", "SELECT doc_id, CASE WHEN strpos(text, 'Befund') > 0 THEN strpos(text, 'Befund') - 1 END AS place FROM documents")
+def sc11_highlight_places(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.place_of(F.lit("Befund"), F.col("text")).cast("long").alias("place"))
+
+
+@query("sc12_cut_start", "SELECT file_id, split_no, array_to_string(string_split(text, ' ')[1:8], ' ') AS head, array_to_string(string_split(text, ' ')[greatest(1, len(string_split(text, ' ')) - 7):], ' ') AS tail FROM text_splits")
+def sc12_cut_start(spark, sf_dir):
+    ts = F.split("text", " ")
+    return table(spark, sf_dir, "text_splits").select("file_id", "split_no", T.cut_start(ts, 8).alias("head"), T.cut_end(ts, 8).alias("tail"))
+
+
+@query("sc14_clean_answers", """SELECT doc_id, trim(regexp_replace(regexp_replace('<think>' || coalesce(source, '') || '</think> Final answer: ' || coalesce(name, ''), '<think>.*?</think>', '', 'gis'), '^.*\\bfinal answer\\s*:\\s*', '', 'is')) AS answer FROM documents""")
+def sc14_clean_answers(spark, sf_dir):
+    raw = F.concat(F.lit("<think>"), F.coalesce("source", F.lit("")), F.lit("</think> Final answer: "), F.coalesce("name", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_answer(raw).alias("answer"))
+
+
+@query("sc16_fenced_json", "SELECT entry_id, added_at::VARCHAR <> '' AS ok, json_extract_string(metadata, '$.category') AS category FROM vector_entries")
+def sc16_fenced_json(spark, sf_dir):
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.col("metadata"), F.lit("\n```"))
+    return table(spark, sf_dir, "vector_entries").select("entry_id", F.col("added_at").isNotNull().alias("ok"), F.get_json_object(T.fenced_json(reply), "$.category").alias("category"))
+
+
+_TERMS = """terms AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS term, p_type AS synonym, p_brand AS category FROM part),
+look AS (SELECT DISTINCT trim(regexp_replace(lower(term), '\\s+', ' ', 'g')) AS norm, term AS matched_term, 'exact' AS relation, id AS source_id, category AS c FROM terms
+  UNION ALL SELECT DISTINCT trim(regexp_replace(lower(synonym), '\\s+', ' ', 'g')), synonym, 'synonym', id, category FROM terms),
+cand AS (SELECT DISTINCT upper(p_name) AS term, p_brand AS category FROM part UNION SELECT DISTINCT 'no such ' || p_type, p_brand FROM part),
+ev AS (SELECT cand.term, category, matched_term, relation, source_id FROM cand JOIN look ON norm = trim(regexp_replace(lower(cand.term), '\\s+', ' ', 'g')) AND c = category)"""
+
+
+def _evidence(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    terms = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("term"), F.array("p_type").alias("synonyms"), F.array("p_brand").alias("categories"))
+    known = part.select(F.upper("p_name").alias("term"), F.col("p_brand").alias("category"))
+    unknown = part.select(F.concat(F.lit("no such "), F.col("p_type")).alias("term"), F.col("p_brand").alias("category"))
+    return E.grounded(known.unionByName(unknown).distinct(), terms)
+
+
+@query("qe03_grounded", "WITH " + _TERMS + """ SELECT term, category, matched_term, relation, source_id, 1.0::DOUBLE AS score FROM ev
+UNION ALL SELECT term, category, NULL, NULL, NULL, 0.0 FROM cand WHERE (term, category) NOT IN (SELECT (term, category) FROM ev)""")
+def qe03_grounded(spark, sf_dir):
+    return _evidence(spark, sf_dir)
+
+
+@query("qe04_statuses", "WITH " + _TERMS + " SELECT term, category, 1.0::DOUBLE AS confidence, count(*) AS n_evidence, 'grounded' AS status FROM ev GROUP BY 1, 2")
+def qe04_statuses(spark, sf_dir):
+    return E.statuses(_evidence(spark, sf_dir), ["term", "category"])
+
+
+@query("qe05_by_category", "SELECT c AS category, coalesce((SELECT string_agg(DISTINCT p_type, '|' ORDER BY p_type) FROM part WHERE p_brand = c), '') AS terms FROM (SELECT unnest(['Brand#11', 'Brand#23', 'none']) AS c)")
+def qe05_by_category(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("term"), F.col("p_brand").alias("category"))
+    return E.by_category(rows, ["Brand#11", "Brand#23", "none"]).withColumn("terms", F.array_join("terms", "|"))
+
+
+@query("pc07_latest_status", "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts IS NOT NULL) WHERE r = 1")
+def pc07_latest_status(spark, sf_dir):
+    log = table(spark, sf_dir, "events").where("ts is not null").withColumn("status", F.col("event_type"))
+    return S.latest_status(log, ["user_id"], "status", "ts", "event_id").select("user_id", "status")
+
+
+@query("st_windowed_counts", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def st_windowed_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = S.windowed_counts(rows)
+    return got.select(F.unix_timestamp("window_start").alias("start_s"), "event_type", "n", F.round("total", 3).alias("total"))
