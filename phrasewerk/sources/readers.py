@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def folder(spark: SparkSession, path: str, extension: str = "txt") -> DataFrame:
     """(name, content): whole files of *path* and below with the extension; name is the stem."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(path, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), F.col("value").alias("content"))
 
 
