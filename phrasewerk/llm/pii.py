@@ -229,7 +229,8 @@ class Names:
             while j >= 0 and toks[j][0] >= m.start():
                 j -= 1
             noun = j >= 0 and text[toks[j][1] : m.start()] == " " and not _is_title(toks[j][2]) and not self.known(toks[j][2])
-            if noun and (toks[j][2][0].isupper() or toks[j][2].lower() == "opinion"):
+            reserved = j > 0 and f"l {toks[j - 1][2].lower()} {toks[j][2].lower()}" in self.contexts  # names begin right behind the noun
+            if noun and not reserved and (toks[j][2][0].isupper() or toks[j][2].lower() == "opinion"):
                 second = text.find(" ", m.start())  # of two particles the first belongs to the noun
                 begin = second + 1 if 0 <= second < begin - 1 else begin
             else:
