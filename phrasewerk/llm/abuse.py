@@ -54,7 +54,10 @@ def sentences(text: str | None) -> list[str]:
 
 
 def hashes(parts: list[str], grams: tuple[int, ...] = GRAMS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the n-grams of every part, one after the other, and their number in each part."""
+    """The hashes of the n-grams of every part, one after the other, and their number in each part; a few thousand parts at a time."""
+    if len(parts) > 4000:
+        some = [hashes(parts[a : a + 4000], grams, bits) for a in range(0, len(parts), 4000)]
+        return np.concatenate([h for h, _ in some]), np.concatenate([n for _, n in some])
     codes = np.frombuffer("\0".join(parts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     owner = np.cumsum(codes == 0)
     hs, os_ = [], []
@@ -68,9 +71,9 @@ def hashes(parts: list[str], grams: tuple[int, ...] = GRAMS, bits: int = BITS) -
         h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
         inside = owner[: len(h)] == owner[n - 1 :]
         inside &= codes[: len(h)] != 0
-        hs.append(h[inside].astype(np.int64))
+        hs.append(h[inside].astype(np.int32))
         os_.append(owner[: len(h)][inside])
-    h, o = np.concatenate(hs) if hs else np.zeros(0, np.int64), np.concatenate(os_) if os_ else np.zeros(0, np.int64)
+    h, o = np.concatenate(hs) if hs else np.zeros(0, np.int32), np.concatenate(os_) if os_ else np.zeros(0, np.int64)
     order = np.argsort(o, kind="stable")
     return h[order], np.bincount(o, minlength=len(parts))
 
@@ -100,9 +103,15 @@ class Model:
 
 
 def _margins(w: np.ndarray, b: float, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(w[h], dtype=np.float64)])
     ends = np.cumsum(n)
-    return (sums[ends] - sums[ends - n]) / np.sqrt(np.maximum(n, 1)) + b
+    out = np.empty(len(n))
+    for a in range(0, len(n), 4000):
+        z = min(len(n), a + 4000)
+        low = ends[a] - n[a]
+        sums = np.concatenate([[0.0], np.cumsum(w[h[low : ends[z - 1]]], dtype=np.float64)])
+        e = ends[a:z] - low
+        out[a:z] = sums[e] - sums[e - n[a:z]]
+    return out / np.sqrt(np.maximum(n, 1)) + b
 
 
 def _ratios(h: np.ndarray, n: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
