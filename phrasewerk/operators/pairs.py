@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasewerk.functions import text as T
@@ -55,6 +55,131 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "id", cluster: str =
     return found.withColumnRenamed("cluster", cluster)
 
 
+#: Label pairs whose common subsequences are found at once.
+AT_ONCE = 65_536
+_LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+class _Labels:
+    """Labels as sorted words, coded for common subsequences of many pairs at once (bit-parallel, 64 letters in a word)."""
+
+    def __init__(self, labels: list[str]):
+        self.labels, n = labels, len(labels)
+        self.size = np.array([len(x) for x in labels], dtype=np.int64)
+        width = int(self.size.max(initial=1))
+        lut = np.zeros(256, dtype=np.uint8)
+        lut[[ord(c) for c in _LETTERS]] = np.arange(1, len(_LETTERS) + 1)
+        raw = "".join(x.ljust(width, "\0") for x in labels).encode("ascii")
+        self.codes = lut[np.frombuffer(raw, dtype=np.uint8).reshape(n, width)]
+        self.masks = np.zeros((n, len(_LETTERS) + 1), dtype=np.uint64)
+        for t in range(min(width, 64)):
+            self.masks[np.arange(n), self.codes[:, t]] |= np.uint64(1 << t)
+        self.masks[:, 0] = 0  # behind the end
+
+    def counts(self) -> np.ndarray:
+        """One row of zeros and ones for each label: the dot product of two is the number of letters they share, at least their common length."""
+        held = np.stack([(self.codes == c).sum(1) for c in range(1, len(_LETTERS) + 1)], axis=1)
+        return np.concatenate([held > k for k in range(int(held.max(initial=0)))] or [np.zeros((len(held), 1), bool)], axis=1).astype(np.float32)
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Common lengths of the pairs (p[i], q[i])."""
+        short = self.size[p] <= self.size[q]
+        p, q = np.where(short, p, q), np.where(short, q, p)
+        out, flat, codes = np.zeros(len(p), dtype=np.int64), self.masks.ravel(), np.ascontiguousarray(self.codes.T)
+        for at in range(0, len(p), AT_ONCE):
+            a, b = p[at : at + AT_ONCE], q[at : at + AT_ONCE]
+            row, base = np.full(len(a), ~np.uint64(0)), a * self.masks.shape[1]
+            for t in range(int(self.size[b].max())):
+                hit = row & flat[base + codes[t][b]]
+                row = (row + hit) | (row - hit)
+            n = np.minimum(self.size[a], 64).astype(np.uint64)
+            whole = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % np.uint64(64))) - np.uint64(1))
+            out[at : at + AT_ONCE] = self.size[a] - np.bitwise_count(row & whole)
+        for i in np.flatnonzero(self.size[p] > 64):
+            out[i] = T._common(self.labels[p[i]], self.labels[q[i]])
+        return out
+
+    def similarity(self, p: np.ndarray, q: np.ndarray, added: float, common: np.ndarray | None = None) -> np.ndarray:
+        """T.label_similarity of the pairs; with *common* in place of the common lengths."""
+        both = (self.size[p] > 0) & (self.size[q] > 0)
+        common = self.common(p, q) if common is None else common
+        return np.where(both, np.rint(200.0 * common / np.maximum(self.size[p] + self.size[q], 1)), 0.0) / 100 + added
+
+
+def _labelled(rows: DataFrame, key: str, cluster: str, label: str, *more: Column) -> DataFrame:
+    good = rows.where(F.col(key).isNotNull() & F.col(cluster).isNotNull() & F.col(label).isNotNull())
+    return good.select(F.col(cluster).alias("c"), F.col(key).cast("long").alias("id"), T.sorted_words(F.col(label)).alias("s"), *more)
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The ids, the places of the two blocks that meet, and whether they are one block."""
+    i, j, mine = pdf["_i"].iloc[0], pdf["_j"].iloc[0], pdf["_mine"].to_numpy()
+    return pdf["id"].to_numpy(), np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j
+
+
+def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding", label: str = "label", added: float = 0.05) -> DataFrame:
+    """(cluster, src, dst, cosine, weight): every pair src < dst of a cluster with weight = (1 - wc) * label similarity + wc * cosine of at least *cut_off*.
+
+    Blocks as in similar_pairs. A label similarity is at most what the lengths allow (and 1 + *added*), so the common
+    subsequence is found only for pairs that can still reach the cut-off; none that reaches it is left out. *rows* holds
+    a key of a cluster once; null labels and vectors without direction take no part.
+    """
+    usable = rows.where(F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False)))
+    good = _labelled(usable, key, cluster, label, F.transform(vector, lambda x: x.cast("float")).alias("v"))
+    wc = weight_on_cosine
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "src": [], "dst": [], "cosine": [], "weight": []})]
+        pdf = pdf.drop_duplicates("id")
+        width = pdf["v"].map(len)
+        for w in width.unique():
+            part = pdf[width == w]
+            x = np.stack(part["v"].to_numpy()).astype(np.float64)
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            ids, a, b, same = _sides(part)
+            held = _Labels(part["s"].tolist())
+            s = x[a] @ x[b].T
+            p, q = np.nonzero(((1 - wc) * (1 + added) + wc * s >= cut_off - 1e-9) & ((ids[a][:, None] < ids[b][None, :]) if same else True))
+            cosine, p, q = s[p, q], a[p], b[q]
+            can = (1 - wc) * held.similarity(p, q, added, np.minimum(held.size[p], held.size[q])) + wc * cosine >= cut_off
+            cosine, p, q = cosine[can], p[can], q[can]
+            weight = (1 - wc) * held.similarity(p, q, added) + wc * cosine
+            left, right, good = ids[p], ids[q], weight >= cut_off
+            out.append(pd.DataFrame({"cluster": c, "src": np.minimum(left, right), "dst": np.maximum(left, right), "cosine": cosine, "weight": weight})[good])
+        return pd.concat(out[1:] or out)
+
+    kind = good.schema["c"].dataType.simpleString()
+    found = _blocked(good, "c", "id").groupBy("c", "_i", "_j").applyInPandas(meet, f"cluster {kind}, src long, dst long, cosine double, weight double")
+    return found.withColumnRenamed("cluster", cluster)
+
+
+def close_labels(rows: DataFrame, least: float = 0.95, key: str = "id", cluster: str = "cluster_id", label: str = "label", added: float = 0.05) -> DataFrame:
+    """(cluster, src, dst, similarity): every pair src < dst of a cluster with label similarity of at least *least*, whatever else differs.
+
+    Blocks as in similar_pairs. Two labels have no longer subsequence in common than they share letters, so it is found
+    only for pairs whose letters allow *least*. *rows* holds a key of a cluster once; null labels take no part.
+    """
+    good = _labelled(rows, key, cluster, label)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, pdf = pdf["c"].iloc[0], pdf.drop_duplicates("id").reset_index(drop=True)
+        ids, a, b, same = _sides(pdf)
+        held = _Labels(pdf["s"].tolist())
+        letters = held.counts()
+        shared = (letters[a] @ letters[b].T).astype(np.int64)
+        size = held.size[a][:, None] + held.size[b][None, :]
+        most = np.where(shared > 0, np.rint(200.0 * shared / np.maximum(size, 1)), 0.0) / 100 + added
+        p, q = np.nonzero((most >= least) & ((ids[a][:, None] < ids[b][None, :]) if same else True))
+        p, q = a[p], b[q]
+        similarity = held.similarity(p, q, added)
+        left, right = ids[p], ids[q]
+        return pd.DataFrame({"cluster": c, "src": np.minimum(left, right), "dst": np.maximum(left, right), "similarity": similarity})[similarity >= least]
+
+    kind = good.schema["c"].dataType.simpleString()
+    found = _blocked(good, "c", "id").groupBy("c", "_i", "_j").applyInPandas(meet, f"cluster {kind}, src long, dst long, similarity double")
+    return found.withColumnRenamed("cluster", cluster)
+
+
 def label_pairs(rows: DataFrame, key: str, cluster: str, label: str, least: float = 0.0, added: float = 0.05) -> DataFrame:
     """(cluster, src, dst, similarity): pairs of a cluster by label_similarity; meant for clusters of few labels, all on the JVM."""
     a = rows.select(F.col(cluster), F.col(key).alias("src"), F.col(label).alias("_a"))

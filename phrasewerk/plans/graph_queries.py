@@ -32,6 +32,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id")).agg(F.min("phrase").alias("label"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with their vectors; the least one of an entry that is there more than once."""
+    rows = table(spark, sf_dir, "vector_entries").where(F.coalesce(F.exists("phrase_vector", lambda x: x != 0), F.lit(False)))
+    return rows.groupBy(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id")).agg(F.min("phrase").alias("label"), F.min("phrase_vector").alias("phrase_vector"))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "vector_entries").select("process_name", "entry_id", "phrase_vector")
     pairs = R.similar_pairs(rows, LEAST, "entry_id", "process_name", "phrase_vector")
@@ -141,20 +147,17 @@ def gr16_page_rank_scores(spark, sf_dir):
 
 @query("gr01_phrase_graph")
 def gr01_phrase_graph(spark, sf_dir):
-    """Edges weighted half by label, half by cosine, from the pairs that are similar enough by cosine."""
-    nodes = _nodes(spark, sf_dir)
-    return R.edge_weights(_edges(spark, sf_dir).withColumnRenamed("weight", "cosine"), nodes, 0.5, 0.6)
+    """Edges weighted half by label, half by cosine: every pair of a process that reaches the cut-off."""
+    return R.weighted_pairs(_labelled(spark, sf_dir), 0.5, 0.6, "node_id", "graph_id", "phrase_vector")
 
 
 @query("gr02_merged_phrases")
 def gr02_merged_phrases(spark, sf_dir):
-    """Near-duplicate labels among the pairs that are similar by cosine, and the phrase that stays."""
-    edges, nodes = _stored(_edges(spark, sf_dir), "edges"), _stored(_nodes(spark, sf_dir), "nodes")
+    """Near-duplicate labels of a process, whatever their cosine, and the phrase that stays."""
+    nodes = _stored(_nodes(spark, sf_dir), "nodes")
     counts = _holders(spark, sf_dir).groupBy("graph_id", "node_id").agg(F.count("*").alias("n_documents"))
     sized = nodes.join(counts, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
-    a = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("_a"))
-    b = nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("_b"))
-    similar = edges.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).select("graph_id", "src", "dst", T.label_similarity(F.col("_a"), F.col("_b")).alias("similarity"))
+    similar = _stored(R.close_labels(nodes, 0.95, "node_id", "graph_id"), "similar")
     return R.merged_phrases(similar, sized)
 
 

@@ -128,3 +128,56 @@ def test_metrics(spark):
     assert M.purity(df.limit(0), "cluster", "label").first()[0] is None
     s = spark.createDataFrame([("x", 0.5), ("x", 1.0), ("y", 0.0)], "c string, score double")
     assert {r.c: round(r.fused, 6) for r in M.harmonic(s, ["c"]).collect()} == {"x": round(2 * 0.75 * 2 / 2.75, 6), "y": 0.0}
+
+
+def plain_similarity(a, b, added=0.05):
+    """By the recurrence itself."""
+    a, b = (" ".join(sorted("".join(c if c.isascii() and c.isalnum() else " " for c in x.lower() if c.isascii()).split())) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for c in a:
+        row, old = [0], row
+        for j, d in enumerate(b):
+            row.append(old[j] + 1 if c == d else max(row[-1], old[j + 1]))
+    return (round(200.0 * row[-1] / (len(a) + len(b))) if a and b else 0.0) / 100 + added
+
+
+def labelled(spark):
+    rng = random.Random(4)
+    words = ["Bruch", "brüche", "Leber", "lebern", "Hüfte", "links", "rechts", "akut", "akute", "Grad", "2"]
+    labels = [" ".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(40)] + ["", "---", None, "x" * 70, "x" * 68 + "yz", "ab" * 32]
+    rows = [("g" if i % 7 else "h", i, x, [rng.gauss(0, 1) for _ in range(4)] if i != 5 else [0.0] * 4) for i, x in enumerate(labels)]
+    return rows, spark.createDataFrame(rows, "graph_id string, node_id long, label string, v array<double>")
+
+
+def met(rows):
+    return [(a, b) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] is not None and b[2] is not None]
+
+
+def test_weighted_pairs_keep_low_cosines(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 9)
+    rows, df = labelled(spark)
+    got = {(r.src, r.dst): r.weight for r in R.weighted_pairs(df, 0.5, 0.6, "node_id", "graph_id", "v").collect()}
+    cos = lambda x, y: float(np.float32(x) @ np.float32(y) / np.sqrt((np.float32(x) @ np.float32(x)) * (np.float32(y) @ np.float32(y))))
+    every = {(a[1], b[1]): (0.5 * plain_similarity(a[2], b[2]) + 0.5 * cos(a[3], b[3]), cos(a[3], b[3])) for a, b in met(rows) if any(a[3]) and any(b[3])}
+    want = {k: w for k, (w, _) in every.items() if w >= 0.6}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert sum(every[k][1] < 0.9 for k in got) > 10
+
+
+def test_close_labels_need_no_cosine(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 9)
+    rows, df = labelled(spark)
+    for least in (0.95, 0.5):
+        got = {(r.src, r.dst): r.similarity for r in R.close_labels(df, least, "node_id", "graph_id").collect()}
+        want = {(a[1], b[1]): s for a, b in met(rows) if (s := plain_similarity(a[2], b[2])) >= least}
+        assert got == pytest.approx(want) and len(got) > 3
+
+
+def test_graph_queries_take_pairs_of_low_cosine(spark, tmp_path):
+    from phrasewerk.plans import graph_queries as Q
+
+    doc = "array<struct<id:string,offsets:array<array<int>>>>"
+    rows = [(1, "p", "akute Leberzyste links", [1.0, 0.0], [("a", [[0, 3]])]), (2, "p", "akute Leberzysten links", [0.4, 0.9], [("a", [[9, 12]]), ("b", [[0, 3]])])]
+    spark.createDataFrame(rows, f"entry_id long, process_name string, phrase string, phrase_vector array<float>, documents {doc}").write.parquet(str(tmp_path / "vector_entries.parquet"))
+    assert [(r.src, r.dst) for r in Q.gr01_phrase_graph(spark, str(tmp_path)).collect()] == [(1, 2)]
+    assert [(r.removed, r.kept) for r in Q.gr02_merged_phrases(spark, str(tmp_path)).collect()] == [(1, 2)]
