@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -169,27 +170,42 @@ def degree_ranks(edges: DataFrame) -> DataFrame:
     return mirrored(edges).groupBy("graph_id", F.col("node").alias("node_id")).agg(F.count("*").cast("double").alias("rank"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float | None = None) -> DataFrame:
     """(graph_id, node_id, rank): weighted PageRank of each graph, ranks summing to 1; the rank of nodes without edges goes to all.
 
-    A fixed number of rounds; every fifth is written to the shared folder, which keeps the lineage short.
+    A fixed number of rounds or, with *tolerance*, as many as it takes until no graph's ranks change by that much in
+    sum. A round shrinks the change by *damping* at least, so this ends, and the ranks are then within
+    tolerance * damping / (1 - damping) of the limit. Every fifth round is tested and written to the shared folder,
+    which keeps the lineage short. Edges of weight 0 carry nothing.
     """
-    size = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
-    flow = mirrored(edges, "weight")
+    flow = mirrored(edges.where("weight <> 0"), "weight")
     out = flow.groupBy("graph_id", "node").agg(F.sum("weight").alias("_out"))
     flow = written(flow.join(out, ["graph_id", "node"]).select("graph_id", "node", "other", (F.col("weight") / F.col("_out")).alias("_share")), "flow")
-    base = nodes.select("graph_id", "node_id").join(size, "graph_id").join(out.select("graph_id", F.col("node").alias("node_id"), F.lit(True).alias("_linked")), ["graph_id", "node_id"], "left")
-    base = written(base, "nodes")
+    linked = out.select("graph_id", F.col("node").alias("node_id"), F.lit(True).alias("_linked"))
+    base = written(nodes.select("graph_id", "node_id").join(linked, ["graph_id", "node_id"], "left"), "linked")
+    size = base.groupBy("graph_id").agg(F.count("*").alias("_n"), F.sum(F.when(F.col("_linked").isNull(), 1).otherwise(0)).alias("_m"))
+    base = written(base.join(size, "graph_id").select("graph_id", "node_id", "_n", "_m"), "nodes")
     rank = base.select("graph_id", "node_id", (1.0 / F.col("_n")).alias("rank"))
-    for r in range(rounds):
+    # nodes without edges receive the same each round, so their rank in round r is known: no second branch of the plan
+    rest = (1 - damping) / (F.col("_n") - damping * F.col("_m"))
+    for r in itertools.count() if tolerance is not None else range(rounds):
         sent = flow.join(rank.select("graph_id", F.col("node_id").alias("node"), "rank"), ["graph_id", "node"])
         got = sent.groupBy("graph_id", F.col("other").alias("node_id")).agg(F.sum(F.col("rank") * F.col("_share")).alias("_in"))
-        free = base.where("_linked is null").join(rank, ["graph_id", "node_id"]).groupBy("graph_id").agg(F.sum("rank").alias("_free"))
-        both = base.join(got, ["graph_id", "node_id"], "left").join(free, "graph_id", "left")
-        inflow = F.coalesce("_in", F.lit(0.0)) + F.coalesce("_free", F.lit(0.0)) / F.col("_n")
-        rank = both.select("graph_id", "node_id", ((1 - damping) / F.col("_n") + damping * inflow).alias("rank"))
-        if r % 5 == 4 or r == rounds - 1:
-            rank = written(rank, "rank")
+        free = F.col("_m") * (rest + (1.0 / F.col("_n") - rest) * F.pow(damping * F.col("_m") / F.col("_n"), F.lit(r)))
+        inflow = F.coalesce("_in", F.lit(0.0)) + free / F.col("_n")
+        after = base.join(got, ["graph_id", "node_id"], "left").select("graph_id", "node_id", ((1 - damping) / F.col("_n") + damping * inflow).alias("rank"))
+        if tolerance is None:
+            rank = written(after, "rank") if r % 5 == 4 or r == rounds - 1 else after
+        elif r % 5 == 3:
+            rank = written(after, "rank")
+        elif r % 5 == 4:
+            tested = written(after.join(rank.withColumnRenamed("rank", "_old"), ["graph_id", "node_id"]), "rank")
+            rank = tested.drop("_old")
+            change = tested.groupBy("graph_id").agg(F.sum(F.abs(F.col("rank") - F.col("_old"))).alias("c"))
+            if change.where(~(F.col("c") < tolerance)).isEmpty():
+                return rank
+        else:
+            rank = after
     return rank
 
 
@@ -232,10 +248,10 @@ def path_scores(edges: DataFrame, holders: DataFrame, damping: float = 0.5) -> D
     return one.unionByName(two).groupBy("document", "graph_id").agg(F.sum("s").alias("score"))
 
 
-def page_rank_scores(nodes: DataFrame, edges: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
+def page_rank_scores(nodes: DataFrame, edges: DataFrame, links: DataFrame, rounds: int = 30, tolerance: float | None = None) -> DataFrame:
     """(document, graph_id, score): documents join their graphs as nodes, linked to their phrases by *links* (graph_id, node_id, document, weight); their PageRank is the score."""
     docs = links.select("graph_id", "document").distinct().withColumn("node_id", -F.col("document") - 1)  # ids of their own
     more = links.select("graph_id", (-F.col("document") - 1).alias("src"), F.col("node_id").alias("dst"), "weight")
     all_nodes = nodes.select("graph_id", "node_id").unionByName(docs.select("graph_id", "node_id"))
-    rank = page_rank(all_nodes, edges.select("graph_id", "src", "dst", "weight").unionByName(more), rounds=rounds)
+    rank = page_rank(all_nodes, edges.select("graph_id", "src", "dst", "weight").unionByName(more), rounds=rounds, tolerance=tolerance)
     return rank.join(docs, ["graph_id", "node_id"]).select("document", "graph_id", F.col("rank").alias("score"))

@@ -103,3 +103,16 @@ def min_max(weights: DataFrame, n_documents: int, by: str = "phrase", value: str
     ends = weights.groupBy(by).agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"), F.count("*").alias("_n"))
     low = F.when(F.col("_n") < n_documents, 0.0).otherwise(F.col("_lo"))
     return weights.join(ends, by).withColumn("scaled", F.coalesce((F.col(value) - low) / F.nullif(F.col("_hi") - low, F.lit(0.0)), F.lit(0.0))).drop("_hi", "_lo", "_n")
+
+
+def scaled_tf_idf(counts: DataFrame, sizes: DataFrame, group: str, key: str, phrase: str) -> DataFrame:
+    """(group, key, phrase, scaled): tf_idf and min_max within each group. *counts* has group, key, phrase, tf; *sizes* group, n_documents."""
+    df = counts.groupBy(group, phrase).agg(F.count("*").alias("_df"))
+    idf = F.log((1.0 + F.col("n_documents")) / (1 + F.col("_df"))) + 1
+    raw = counts.join(df, [group, phrase]).join(sizes, group).withColumn("_raw", F.col("tf") * idf)
+    length = raw.groupBy(group, key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_length"))
+    value = raw.join(length, [group, key]).withColumn("_v", F.col("_raw") / F.col("_length"))
+    ends = value.groupBy(group, phrase).agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    low = F.when(F.col("_df") < F.col("n_documents"), 0.0).otherwise(F.col("_lo"))
+    scaled = F.coalesce((F.col("_v") - low) / F.nullif(F.col("_hi") - low, F.lit(0.0)), F.lit(0.0))
+    return value.join(ends, [group, phrase]).select(group, key, phrase, scaled.alias("scaled"))

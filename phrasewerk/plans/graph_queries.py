@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.functions import text as T
 from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
+from phrasewerk.operators import phrases as P
 from phrasewerk.operators import provenance as V
 from phrasewerk.operators.concepts import predicted_graphs
 from phrasewerk.plans.registry import query
@@ -16,6 +16,8 @@ from phrasewerk.tables import table
 
 #: Pairs of a process from this cosine on are edges of its graph.
 LEAST = 0.9
+#: Ranks of a graph that change by less than this in sum are done.
+TOLERANCE = 1e-6
 
 _GRAPH = """
 entries AS (SELECT process_name AS graph_id, entry_id AS node_id, min(phrase) AS label, any_value(documents) AS documents, CAST(any_value(phrase_vector) AS DOUBLE[]) AS v, len(any_value(documents)) AS n
@@ -134,15 +136,23 @@ def gr11_spanning_forest(spark, sf_dir):
 
 @query("gr10_page_rank")
 def gr10_page_rank(spark, sf_dir):
-    return G.page_rank(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"), rounds=8)
+    return G.page_rank(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"), tolerance=TOLERANCE)
 
 
 @query("gr16_page_rank_scores")
 def gr16_page_rank_scores(spark, sf_dir):
-    """Files as documents: their numbers stand for them in the graph."""
+    """Files as documents: their numbers stand for them in the graph; the scaled TF-IDF of a phrase in a document is the weight of their link."""
+    nodes = _stored(_nodes(spark, sf_dir), "nodes")
     ids = table(spark, sf_dir, "corpus_files").select(F.col("process_name").alias("graph_id"), F.col("id").alias("document"), "file_id").distinct()
-    links = _holders(spark, sf_dir).join(ids, ["graph_id", "document"]).select("graph_id", "node_id", F.col("file_id").alias("document"), F.lit(1.0).alias("weight"))
-    return G.page_rank_scores(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"), links, rounds=8)
+    held = table(spark, sf_dir, "vector_entries").select(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id"), F.explode("documents").alias("d"))
+    held = held.select("graph_id", "node_id", F.col("d.id").alias("document"), F.explode_outer("d.offsets").alias("o"))
+    # an occurrence counts once; a document without places holds the phrase once
+    counts = held.groupBy("graph_id", "node_id", "document").agg(F.greatest(F.count_distinct("o"), F.lit(1)).alias("tf"))
+    counts = counts.join(ids, ["graph_id", "document"]).select("graph_id", "node_id", "file_id", "tf")
+    sizes = ids.groupBy("graph_id").agg(F.count_distinct("file_id").alias("n_documents"))
+    links = P.scaled_tf_idf(counts, sizes, "graph_id", "file_id", "node_id").select("graph_id", "node_id", F.col("file_id").alias("document"), F.col("scaled").alias("weight"))
+    links = _stored(links.join(nodes.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi"), "links")
+    return G.page_rank_scores(nodes, _stored(_edges(spark, sf_dir), "edges"), links, tolerance=TOLERANCE)
 
 
 @query("gr01_phrase_graph")

@@ -181,3 +181,33 @@ def test_graph_queries_take_pairs_of_low_cosine(spark, tmp_path):
     spark.createDataFrame(rows, f"entry_id long, process_name string, phrase string, phrase_vector array<float>, documents {doc}").write.parquet(str(tmp_path / "vector_entries.parquet"))
     assert [(r.src, r.dst) for r in Q.gr01_phrase_graph(spark, str(tmp_path)).collect()] == [(1, 2)]
     assert [(r.removed, r.kept) for r in Q.gr02_merged_phrases(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_page_rank_goes_on_until_it_converges(spark):
+    n = 9
+    nodes, edges = list(range(n)), [("g", i, i + 1, 1.0 if i % 2 else 0.05) for i in range(n - 2)] + [("g", 0, n - 1, 0.0)]
+    a = np.zeros((n, n))
+    for _, i, j, w in edges:
+        a[i, j] = a[j, i] = w
+    out = a.sum(1)
+    share = np.where(out[:, None] > 0, a / np.where(out > 0, out, 1)[:, None], 1 / n)
+    want = np.linalg.solve(np.eye(n) - 0.85 * share.T, np.full(n, 0.15 / n))
+    got = {r.node_id: r["rank"] for r in G.page_rank(*frames(spark, nodes, edges), tolerance=0.01).collect()}
+    assert sum(abs(got[i] - want[i]) for i in range(n)) < 0.01 * 0.85 / 0.15
+
+
+def test_links_weigh_by_scaled_tf_idf(spark):
+    from phrasewerk.operators.phrases import scaled_tf_idf
+
+    counts = [("g", 0, 0, 2), ("g", 0, 1, 1), ("g", 1, 1, 1), ("g", 2, 0, 1), ("g", 2, 1, 3), ("h", 0, 0, 1), ("h", 1, 0, 1)]
+    got = {(r.g, r.d, r.p): r.scaled for r in scaled_tf_idf(spark.createDataFrame(counts, "g string, d long, p long, tf long"), spark.createDataFrame([("g", 3), ("h", 3)], "g string, n_documents long"), "g", "d", "p").collect()}
+    want = {}
+    for g in "gh":
+        m = np.zeros((3, 2))
+        for x, d, p, tf in counts:
+            m[d, p] += tf * (x == g)
+        m *= np.log(4 / (1 + (m > 0).sum(0))) + 1
+        m /= np.maximum(np.sqrt((m * m).sum(1)), 1e-300)[:, None]
+        m = (m - m.min(0)) / np.where(m.max(0) > m.min(0), m.max(0) - m.min(0), 1)
+        want |= {(x, d, p): m[d, p] for x, d, p, _ in counts if x == g}
+    assert got == pytest.approx(want)
