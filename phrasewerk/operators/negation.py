@@ -75,3 +75,18 @@ def boundaries(lines: DataFrame, *keys: str, terms: DataFrame | None = None) ->
     order = Window.partitionBy(*keys).orderBy("first")
     starts = starts.withColumn("part_no", F.row_number().over(order) - 1).withColumn("next", F.lead("first").over(order))
     return starts.join(words.select(*keys, F.size("words").alias("n")), list(keys)).select(*keys, "part_no", "first", F.coalesce("next", "n").alias("last"))
+
+
+def negated_chunks(chunks: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Cleaned *chunks* (key, line_no, line, offset, begin, end) with negated: true if a word of theirs lies in a negation's reach.
+
+    *words* comes from negated_words by key and line_no. A chunk begins and ends at words or within one, and the words
+    up to its places on its line, counted with the same pattern, say which are its own.
+    """
+    by = words.where("negated").groupBy(key, "line_no").agg(F.collect_list("word_no").alias("_negated"))
+    count = lambda text: F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.lit(0))
+    upto = lambda place: F.substring("line", F.lit(1), (place - F.col("offset")).cast("int"))
+    first, last = count(F.concat(upto(F.col("begin")), F.lit("x"))) - 1, count(upto(F.col("end")))
+    rows = chunks.join(by, [key, "line_no"], "left").withColumn("_first", first).withColumn("_last", last)
+    hit = F.exists("_negated", lambda w: (w >= F.col("_first")) & (w < F.col("_last")))
+    return rows.withColumn("negated", F.coalesce(hit, F.lit(False))).drop("_negated", "_first", "_last")

@@ -49,6 +49,12 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.occurrences(_chunks(spark, sf_dir))
 
 
+def _affirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences outside the reach of negations."""
+    words = N.negated_words(_lines(spark, sf_dir), "doc_id", "line_no")
+    return P.occurrences(P.skip_negated(N.negated_chunks(_chunks(spark, sf_dir), words)))
+
+
 @query("prj01_lines", "WITH" + _LINES + ' SELECT doc_id, line_no, line, CAST("offset" AS BIGINT) AS "offset" FROM lines')
 def prj01_lines(spark, sf_dir):
     return _lines(spark, sf_dir)
@@ -110,6 +116,39 @@ def ag05_min_max(spark, sf_dir):
     return P.min_max(P.tf_idf(_found(spark, sf_dir), n), n).select("doc_id", "phrase", F.round("scaled", 6).alias("scaled"))
 
 
+@query("ag01_affirmed_provenance")
+def ag01_affirmed_provenance(spark, sf_dir):
+    """ag01_phrase_provenance without negated occurrences."""
+    places = F.array_join(F.transform("offsets", lambda o: F.concat_ws("-", o["b"].cast("string"), o["e"].cast("string"))), " ")
+    return P.provenance(_affirmed(spark, sf_dir)).select("phrase", "doc_id", "n", places.alias("places"))
+
+
+@query("ag03_affirmed_counts")
+def ag03_affirmed_counts(spark, sf_dir):
+    """Counts without negated occurrences; phrases that are only negated stay, with 0."""
+    kept = P.phrase_table(_affirmed(spark, sf_dir))
+    every = _found(spark, sf_dir).select("phrase").distinct().join(kept, "phrase", "left")
+    return every.select("phrase", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_occurrences", F.lit(0)).alias("n_occurrences"))
+
+
+@query("ag04_affirmed_phrases")
+def ag04_affirmed_phrases(spark, sf_dir):
+    by = _affirmed(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "phrase"))).alias("p"))
+    return by.select("doc_id", F.array_join("p.phrase", " | ").alias("phrases"))
+
+
+@query("ag05_affirmed_tfidf")
+def ag05_affirmed_tfidf(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return P.tf_idf(_affirmed(spark, sf_dir), n).select("doc_id", "phrase", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query("prj09_affirmed_filter")
+def prj09_affirmed_filter(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return P.frequency_filter(P.phrase_table(_affirmed(spark, sf_dir)), n, 5, 0.2, ["station", "patient"])
+
+
 @query("st03_documents_without_phrase", "WITH" + _CHUNKS + " SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM occ")
 def st03_documents_without_phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(_found(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -70,3 +70,14 @@ def test_tf_idf_and_scaling(spark):
     by = {(r.doc_id, r.phrase): r.tfidf for r in w.collect()}
     assert by[(2, "a")] == pytest.approx(1.0) and by[(1, "a")] ** 2 + by[(1, "b")] ** 2 == pytest.approx(1.0)
     assert {(r.doc_id, r.phrase): r.scaled for r in P.min_max(w, 3).collect()}[(2, "a")] == pytest.approx(1.0)
+
+
+def test_negated_phrases_are_left_out(spark, tmp_path):
+    from phrasewerk.plans import text_queries as Q
+
+    texts = ["Keine Fraktur aber akute Blutung", "x1 Fraktur und Keine Blutung heute\nPat. (Ödem) Blutung. Fraktur ausgeschlossen", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.phrase, r.doc_id): r.places for r in Q.ag01_affirmed_provenance(spark, str(tmp_path)).collect()}
+    assert got == {("akute blutung", 0): "19-32", ("fraktur", 1): "3-10"}
+    counts = {r.phrase: (r.n_documents, r.n_occurrences) for r in Q.ag03_affirmed_counts(spark, str(tmp_path)).collect()}
+    assert counts == {"akute blutung": (1, 1), "fraktur": (1, 1), "blutung": (0, 0), "keine blutung": (0, 0), "ödem": (0, 0)}
