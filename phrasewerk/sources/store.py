@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,19 +13,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Scratch folders of this Python's applications.
+_SCRATCH: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of this machine where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one, which only a local session can share."""
     set_there = spark.conf.get("spark.checkpoint.dir", None)
     if set_there:
         return set_there.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "phrasewerk-shared")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when Python ends or with clear_scratch."""
+    path = f"{shared_dir(spark)}/phrasewerk-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session has ended before
+        if path.startswith("file:") or path.startswith("/"):
+            shutil.rmtree(re.sub(r"^file:/*", "/", path), ignore_errors=True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what written left; to be called when no result is read any more."""
+    _drop(spark, scratch_dir(spark))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes *df* to a table in the shared folder and reads it back: a lineage cut that outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
