@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phrasewerk.sources.store import shared_dir, written
+from phrasewerk.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table *name* of the data folder *sf_dir*."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, or one of this machine where that is unset (tests)."""
-    set_there = spark.conf.get("spark.checkpoint.dir", None)
-    if set_there:
-        return set_there.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "phrasewerk-shared")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes *df* to a table in the shared folder and reads it back: a lineage cut that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["has_word", "shared_dir", "table", "usable_vector", "written"]
 
 
 def usable_vector(vector: Column, dim: int = 64) -> Column:

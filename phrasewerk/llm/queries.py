@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phrasewerk.llm import abuse, clusters, ledger, packing, pieces, pii, terms, tokens, vectors
 from phrasewerk.llm.common import table
+from phrasewerk.sources.store import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,6 +145,15 @@ def p4_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_items(table(spark, sf_dir, "corpus_files"), ["file_id"], "content")
 
 
+@query("p4_stream_pieces")
+def p4_stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the corpus as a few giant text files, read by byte ranges: (item, piece_no, begin, end, hard, piece)."""
+    texts = table(spark, sf_dir, "corpus_files").where("content is not null").groupBy("file_id").agg(F.min("content").alias("content"))
+    path = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    texts.repartitionByRange(4, "file_id").sortWithinPartitions("file_id").select(F.regexp_replace("content", "\r", "").alias("value")).write.text(path)
+    return pieces.split_files(spark, f"{path}/*.txt")
+
+
 @query("p8_containers")
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
