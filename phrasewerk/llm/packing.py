@@ -1,8 +1,8 @@
 """Problem 8: texts packed into containers of a fixed number of tokens, by pattern packing.
 
-Only the histogram of lengths decides: patterns of few lengths that fill a container are enumerated, their repeat
-counts are fitted to the histogram by non-negative least squares and rounded down, and what remains is packed best-fit,
-longest first. The plan is a list of runs of equal containers, as long as there are lengths and patterns at most; each
+Only the histogram of lengths decides: patterns of few distinct lengths, each as often as it goes, that fill a container
+are enumerated, their repeat counts are fitted to the histogram by non-negative least squares and rounded down, and what
+remains is packed best-fit, longest first. The plan is a list of runs of equal containers, as long as there are lengths and patterns at most; each
 item finds its container from its length and its rank among the items of that length.
 """
 
@@ -20,44 +20,50 @@ from pyspark.sql.window import Window
 from phrasewerk.llm.common import written
 from phrasewerk.llm.tokens import TOKENIZER, token_count
 
-#: Tokens of a container; buckets of the fitted histogram; most lengths in a pattern; parts in which a length's items are ranked.
-CAPACITY, BUCKETS, PATTERN_LENGTH, PARTS = 2048, 128, 3, 64
+#: Tokens of a container; buckets of the fitted histogram; most distinct lengths in a pattern; items of a length that are ranked in one part, and most parts.
+#: The share of the fitted counts that is taken, rounded down: the rest fills what remains open.
+CAPACITY, BUCKETS, PATTERN_LENGTHS, TAKEN, PART_ROWS, MOST_PARTS = 2048, 64, 3, 0.98, 100_000, 4_096
 
 Run = tuple[int, tuple[int, ...]]
 
 
 def patterns(buckets: int, most: int) -> list[tuple[int, ...]]:
-    """Every descending tuple of at most *most* bucket numbers from 1 on whose sum is *buckets*."""
+    """Every descending tuple of bucket numbers from 1 on with at most *most* different ones whose sum is *buckets*; the last of *most* comes once."""
     out: list[tuple[int, ...]] = []
 
-    def grow(left: int, top: int, sofar: tuple[int, ...]) -> None:
+    def grow(left: int, top: int, sofar: tuple[int, ...], kinds: int) -> None:
         if left == 0:
             out.append(sofar)
-        elif len(sofar) < most:
+        elif kinds == most - 1:
+            if left <= top:
+                out.append((*sofar, left))
+        else:
             for b in range(min(left, top), 0, -1):
-                grow(left - b, b, (*sofar, b))
+                for again in range(1, left // b + 1):
+                    grow(left - b * again, b - 1, (*sofar, *[b] * again), kinds + 1)
 
-    grow(buckets, buckets, ())
+    grow(buckets, buckets, (), 0)
     return out
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|: the active-set method, on the normal equations."""
-    ata, atb = a.T @ a, a.T @ b
+    """x >= 0 that minimises |a x - b|: the active-set method; only the columns in use are solved for."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    limit = 1e-9 * max(1.0, float(np.abs(atb).max(initial=0)))
+    limit = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
+    barred = np.zeros(a.shape[1], bool)
     for _ in range(rounds):
-        slope = np.where(free, -np.inf, atb - ata @ x)
+        slope = np.where(free | barred, -np.inf, a.T @ (b - a @ x))
         j = int(slope.argmax())
         if slope[j] <= limit:
             break
         free[j] = True
         while True:
             at = np.flatnonzero(free)
-            z = np.linalg.lstsq(ata[np.ix_(at, at)], atb[at], rcond=None)[0]
+            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
             if (z > 1e-12).all():
                 x[:] = 0
                 x[at] = z
+                barred[:] = False
                 break
             down = at[z <= 1e-12]
             zz = z[z <= 1e-12]
@@ -68,31 +74,34 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
             free[gone] = False
             if not free.any() or j in gone:
                 break
-        if not free[j]:  # it can't help any more
-            break
+        if not free[j]:  # it can't help before another one has come in
+            barred[j] = True
     return x
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, buckets: int = BUCKETS, most: int = PATTERN_LENGTH) -> list[Run]:
-    """Runs (containers, their lengths) that hold counts[n] items of each length n in 1..capacity exactly once."""
+def plan(counts: np.ndarray, capacity: int = CAPACITY, buckets: int = BUCKETS, most: int = PATTERN_LENGTHS, fitted_runs: list[Run] | None = None) -> list[Run]:
+    """Runs (containers, their lengths) that hold counts[n] items of each length n in 1..capacity exactly once.
+
+    *fitted_runs* takes up the runs that the fitted patterns made, before the residuals are put in.
+    """
     left = counts.astype(np.int64).copy()
     left[0] = 0
     buckets = min(buckets, capacity)
     width = -(-capacity // buckets)
-    bucket_of = -(-np.arange(capacity + 1) // width)
+    half = width // 2
+    bucket_of = np.minimum((np.arange(capacity + 1) + half) // width, capacity // width)  # the nearest; the shortest, of bucket 0, are left for the rest
     whole = capacity // width
     got = patterns(whole, most)
     a = np.zeros((whole, len(got)))
     for j, p in enumerate(got):
-        for b in p:
-            a[b - 1, j] += 1
+        a[:, j] = np.bincount(np.array(p) - 1, minlength=whole)
     histogram = np.bincount(bucket_of, weights=left, minlength=whole + 2)[1 : whole + 1]
-    fitted = np.floor(nnls(a, histogram) + 1e-6).astype(np.int64)
+    fitted = np.floor(TAKEN * nnls(a, histogram) + 1e-6).astype(np.int64)
     present = [int(n) for n in np.flatnonzero(left)]
     opened: list[Run] = []
 
-    def largest(low: int, high: int) -> int:
-        while (i := bisect_left(present, high + 1) - 1) >= 0 and present[i] >= low:
+    def largest(high: int) -> int:
+        while (i := bisect_left(present, high + 1) - 1) >= 0:
             if left[present[i]]:
                 return present[i]
             present.pop(i)
@@ -104,22 +113,22 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, buckets: int = BUCKETS, m
             chosen: list[int] = []
             room = capacity
             for i, b in enumerate(p):
-                low = (b - 1) * width + 1
-                n = largest(low, room if i == len(p) - 1 else min(room, b * width))
+                n = largest(room if i == len(p) - 1 else min(room, b * width + width - half - 1))  # the last one fills what the others left
                 if not n:
                     break
                 chosen.append(n)
+                left[n] -= 1
                 room -= n
-            if len(chosen) < len(p):
+            if not chosen:
                 break
             need = {n: chosen.count(n) for n in chosen}
-            times = min(again, *(int(left[n]) // m for n, m in need.items()))
-            if not times:
-                break
+            times = 1 + min(again - 1, *(int(left[n]) // m for n, m in need.items()))
             for n, m in need.items():
-                left[n] -= m * times
+                left[n] -= m * (times - 1)
             opened.append((times, tuple(chosen)))
             again -= times
+    if fitted_runs is not None:
+        fitted_runs += opened
     # what remains: best fit, longest first, over classes of containers with the same room
     room_of: dict[int, list[Run]] = {}
     rooms: list[int] = []
@@ -204,23 +213,32 @@ def pack_sizes(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY)
     """As pack, for a table (key, n) of sizes; null sizes are 0."""
     spark = sizes.sparkSession
     once = sizes.groupBy(key).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    items = items_of(once, key, capacity).withColumn("part", F.pmod(F.xxhash64(key, "piece_no"), F.lit(PARTS)).cast("int"))
-    items = written(items, "items")
-    counted = items.groupBy("n_tokens", "part").agg(F.count("*").alias("c")).where("n_tokens > 0").toPandas()  # at most capacity * PARTS rows
+    items = written(items_of(once, key, capacity), "items")
+    histogram = items.groupBy("n_tokens").agg(F.count("*").alias("c")).toPandas()  # at most capacity + 1 rows
+    lengths, c = histogram["n_tokens"].to_numpy(np.int64), histogram["c"].to_numpy(np.int64)
     counts = np.zeros(capacity + 1, np.int64)
-    np.add.at(counts, counted["n_tokens"].to_numpy(np.int64), counted["c"].to_numpy(np.int64))
-    counted = counted.sort_values(["n_tokens", "part"])
-    before = counted.groupby("n_tokens")["c"].cumsum() - counted["c"]
-    offsets = np.zeros((capacity + 1, PARTS), np.int64)
-    offsets[counted["n_tokens"].to_numpy(np.int64), counted["part"].to_numpy(np.int64)] = before.to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast((Places(plan(counts, capacity), capacity), offsets))  # its size depends on the capacity only
+    counts[lengths] = c
+    parts_of = np.ones(capacity + 1, np.int64)
+    parts_of[lengths] = np.minimum(MOST_PARTS, -(-c // PART_ROWS))  # frequent lengths, 0 too, are ranked in parts
+    n_parts = F.get(F.array(*[F.lit(int(x)) for x in parts_of]), F.col("n_tokens"))
+    items = items.withColumn("part", F.pmod(F.xxhash64(key, "piece_no"), n_parts).cast("int"))
+    many = items.where(F.col("n_tokens").isin([int(n) for n in np.flatnonzero((parts_of > 1) & (np.arange(capacity + 1) > 0))])) if (parts_of[1:] > 1).any() else items.limit(0)
+    counted = many.groupBy("n_tokens", "part").agg(F.count("*").alias("c")).toPandas().sort_values(["n_tokens", "part"])  # at most the items' number / PART_ROWS, and capacity * MOST_PARTS rows
+    offsets = {}
+    for n, own in counted.groupby("n_tokens"):
+        offsets[int(n)] = np.zeros(parts_of[int(n)], np.int64)
+        offsets[int(n)][own["part"].to_numpy(np.int64)] = (own["c"].cumsum() - own["c"]).to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast((Places(plan(counts, capacity), capacity), offsets))
 
     @F.pandas_udf("long")
     def container(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         places, before = sent.value
         for n, part, rank in batches:
-            n, part = n.to_numpy(np.int64), part.to_numpy(np.int64)
-            yield pd.Series(places.of(n, before[n, part] + rank.to_numpy(np.int64) - 1))
+            n, part, rank = n.to_numpy(np.int64), part.to_numpy(np.int64), rank.to_numpy(np.int64) - 1
+            for length in np.intersect1d(n, list(before)):
+                at = n == length
+                rank[at] += before[length][part[at]]
+            yield pd.Series(places.of(n, rank))
 
     rank = F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy(key, "piece_no"))
     placed = items.withColumn("rank", rank).withColumn("c", container("n_tokens", "part", "rank"))

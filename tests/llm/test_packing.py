@@ -38,7 +38,7 @@ def test_nnls_on_a_known_case():
 
 
 def test_rows(spark, monkeypatch):
-    monkeypatch.setattr(packing, "PARTS", 4)
+    monkeypatch.setattr(packing, "PART_ROWS", 3)  # several parts
     sizes = [(i, n, "clash") for i, n in enumerate([0, None, 10, 10, 10, 30, 64, 65, 200, 1] + [20] * 50)]
     df = spark.createDataFrame([*sizes, sizes[2]], "doc_id long, n long, container_id string")
     rows = packing.pack_sizes(df.select("doc_id", "n"), capacity=64).collect()
@@ -56,3 +56,11 @@ def test_rows(spark, monkeypatch):
     got = packing.fill(packing.pack_sizes(df.select("doc_id", "n"), capacity=64), 64).first()
     assert got.n_containers == len(held) and got.n_tokens == sum(held.values())
     assert packing.pack_sizes(df.limit(0).select("doc_id", "n")).count() == 0
+
+
+def test_most_tokens_go_through_patterns():
+    rng = np.random.RandomState(3)
+    lengths = np.clip(np.exp(rng.normal(5.3, 0.9, 20_000)).astype(int), 1, 2048)
+    counts, fitted = np.bincount(lengths, minlength=2049), []
+    packing.plan(counts, fitted_runs=fitted)
+    assert sum(t * sum(held) for t, held in fitted) > 0.9 * lengths.sum()
