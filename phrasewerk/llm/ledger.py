@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewerk.llm.common import has_word, shared_dir
+from phrasewerk.llm.common import has_word
+from phrasewerk.sources.store import scratch_dir
 
-#: Buckets of a ledger, and the copies from which a record's entries are spread over SALTS in the last join.
-BUCKETS, HOT_COPIES, SALTS = 32, 100_000, 64
+#: Buckets of a ledger at least, and entries for each where the first batch is large; entries in a file of a bucket.
+BUCKETS, BUCKET_ROWS, FILE_ROWS = 32, 1_000_000, 1_000_000
+#: A record's entries are spread over SALTS in the last join from so many copies on and if it holds this share of all entries, so hot records are at most 1 / HOT_SHARE.
+HOT_COPIES, HOT_SHARE, SALTS = 100_000, 1e-4, 64
 _SEPARATORS = r"(?:(?![.,])[\s\x{1c}-\x{1f}\p{Z}\p{P}]|(?<!\p{Nd})[.,]|[.,](?!\p{Nd}))+"
 
 
@@ -54,9 +58,9 @@ class Ledger:
     the present state; both are empty before the first update.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
-        self.root = root or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        self.root = root or f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
         self.parts: dict[str, dict[int, list[str]]] = {"counts": {}, "members": {}}
         self.version = 0
         self._load()
@@ -66,12 +70,12 @@ class Ledger:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if fs.exists(path):
-            last = self.spark.read.schema("version int, parts string").json(f"{self.root}/manifest").orderBy(F.desc("version")).first()
+            last = self.spark.read.schema("version int, buckets int, parts string").json(f"{self.root}/manifest").orderBy(F.desc("version")).first()
             if last:
-                self.version = last.version
+                self.version, self.buckets = last.version, last.buckets
                 self.parts = {t: {int(b): p for b, p in x.items()} for t, x in json.loads(last.parts).items()}
 
-    def _read(self, kind: str, schema: str, touched: set[int] | None = None) -> DataFrame:
+    def _read(self, kind: str, schema: str, touched: Collection[int] | None = None) -> DataFrame:
         paths = sorted({p for b, ps in self.parts[kind].items() if touched is None or b in touched for p in ps})
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -86,17 +90,19 @@ class Ledger:
         return self._read("members", MEMBERS)
 
     def update(self, batch: DataFrame) -> None:
-        """Adds *batch*; ties between representatives go to the smaller entry_id."""
+        """Adds *batch*; ties between representatives go to the smaller entry_id. Reads the buckets that the batch touches, no others."""
+        home = f"{self.root}/v{self.version + 1}-{uuid.uuid4().hex[:8]}"
+        if self.buckets is None:
+            self.buckets = max(BUCKETS, -(-batch.count() // BUCKET_ROWS))
         rows = keyed(batch, self.buckets)
         late = F.coalesce("seen_at", F.lit("9999-01-01").cast("timestamp"))
         fresh = rows.groupBy("bucket", "key", "entry_id").agg(F.min(F.struct(late.alias("seen_at"), "entry_id", "phrase", "process_name")).alias("earliest"))
-        known = self._read("members", MEMBERS)
+        fresh = self._kept(fresh, f"{home}/batch")
         if self.version:
-            fresh = fresh.join(known, ["bucket", "key", "entry_id"], "left_anti")
-        home = f"{self.root}/v{self.version + 1}-{uuid.uuid4().hex[:8]}"
-        fresh.write.parquet(f"{home}/fresh")
-        fresh = self.spark.read.schema(fresh.schema).parquet(f"{home}/fresh")
-        touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # at most self.buckets values
+            known = self._read("members", MEMBERS, self._sizes(fresh).keys())
+            fresh = self._kept(fresh.join(known, ["bucket", "key", "entry_id"], "left_anti"), f"{home}/fresh")
+        sizes = self._sizes(fresh)
+        touched = set(sizes)
         new = fresh.groupBy("bucket", "key").agg(F.count("*").alias("n"), F.min("entry_id").alias("first"), F.min("earliest").alias("first_seen"))
         old = self._read("counts", COUNTS, touched)
         both = old.join(new, ["bucket", "key"], "full_outer").select(
@@ -106,26 +112,37 @@ class Ledger:
             F.least("earliest", "first_seen").alias("earliest"),
         )
         both.repartition("bucket").withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(f"{home}/counts")
-        spread = fresh.select("bucket", "key", "entry_id").repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4)))
+        files = self.spark.createDataFrame([(b, -(-n // FILE_ROWS)) for b, n in sizes.items()], "bucket int, files long")
+        spread = fresh.select("bucket", "key", "entry_id").join(F.broadcast(files), "bucket")  # one row for each bucket
+        spread = spread.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.col("files"))).drop("files")
         spread.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(f"{home}/members")
         for b in touched:
             self.parts["counts"][b] = [f"{home}/counts/part={b}"]
             self.parts["members"][b] = [*self.parts["members"].get(b, []), f"{home}/members/part={b}"]
         self.version += 1
-        state = self.spark.createDataFrame([(self.version, json.dumps(self.parts))], "version int, parts string")
+        state = self.spark.createDataFrame([(self.version, self.buckets, json.dumps(self.parts))], "version int, buckets int, parts string")
         state.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
+    def _kept(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _sizes(self, rows: DataFrame) -> dict[int, int]:
+        """The rows of each bucket: at most self.buckets numbers."""
+        return {r.bucket: r["count"] for r in rows.groupBy("bucket").count().collect()}
+
     def copies(self) -> DataFrame:
         """(first_entry, entry_id): every further entry of a record beside its smallest one.
 
-        Entries of records with HOT_COPIES and more meet their record in SALTS parts: such records are at most
-        the entries' number / HOT_COPIES, so their keys are broadcast.
+        Entries of hot records meet their record in SALTS parts: such records are at most 1 / HOT_SHARE, so their
+        keys are broadcast.
         """
         many = self.counts().where("n_copies > 1").select("bucket", "key", "first_entry", "n_copies")
-        hot = many.where(F.col("n_copies") >= HOT_COPIES).select("key", F.lit(True).alias("is_hot"))
+        least = max(HOT_COPIES, int((self.counts().agg(F.sum("n_copies")).first()[0] or 0) * HOT_SHARE))
+        hot = many.where(F.col("n_copies") >= least).select("key", F.lit(True).alias("is_hot"))
         members = self.members().join(F.broadcast(hot), "key", "left")
         members = members.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int")).otherwise(0))
-        salts = F.when(F.col("n_copies") >= HOT_COPIES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salts = F.when(F.col("n_copies") >= least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         firsts = many.select("key", "first_entry", F.explode(salts).alias("salt"))
         return members.join(firsts, ["key", "salt"]).where("entry_id <> first_entry").select("first_entry", "entry_id")
 
