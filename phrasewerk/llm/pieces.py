@@ -119,28 +119,50 @@ _TABLE = "item string, nr long, core long, exits array<int>, counts array<long>"
 _ENTRY = "item string, nr long, base long, entry int, before long"
 
 
-def _composed(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
-    """The tables of a block in order as one."""
-    pdf = pdf.sort_values("nr")
-    at = np.arange(len(pdf["exits"].iloc[0]))
-    counts = np.zeros(len(at), np.int64)
-    for exits, n in zip(pdf["exits"], pdf["counts"]):
-        counts += np.asarray(n)[at]
-        at = np.asarray(exits)[at]
-    return pd.DataFrame({"item": [pdf["item"].iloc[0]], "nr": [pdf["nr"].iloc[0] // block], "core": [int(pdf["core"].sum())], "exits": [at.astype(np.int32)], "counts": [counts]})
-
-
-def _descended(pdf: pd.DataFrame) -> pd.DataFrame:
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, object, bool]]:
+    """(item and block, row, whether the block begins with it) of rows in order; a block may go on in the next batch."""
+    now = None
+    for pdf in batches:
+        for r in pdf.itertuples():
+            key = (r.item, r.block)
+            yield key, r, key != now
+            now = key
+
+
+def _composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tables of each block in order as one."""
+    held: list = []
+
+    def done() -> pd.DataFrame:
+        (item, block), core, exits, counts = held
+        return pd.DataFrame({"item": [item], "nr": [block], "core": [core], "exits": [exits.astype(np.int32)], "counts": [counts]})
+
+    for key, r, first in _blocks(batches):
+        if first:
+            if held:
+                yield done()
+            held = [key, 0, np.arange(len(r.exits)), np.zeros(len(r.exits), np.int64)]
+        held[1] += int(r.core)
+        held[3] = held[3] + np.asarray(r.counts)[held[2]]
+        held[2] = np.asarray(r.exits)[held[2]]
+    if held:
+        yield done()
+
+
+def _descended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(item, nr, base, entry, before) of the range behind each of a block, from where the block begins."""
-    pdf = pdf.sort_values("nr")
-    base, entry, before = (int(pdf[c].iloc[0]) for c in ("b0", "e0", "n0"))
-    rows = []
-    for r in pdf.itertuples():
+    rows, base, entry, before = [], 0, 0, 0
+    for (item, _), r, first in _blocks(batches):
+        if first:
+            base, entry, before = int(r.b0), int(r.e0), int(r.n0)
         before += int(r.counts[entry])
         entry = int(r.exits[entry])
         base += int(r.core)
-        rows.append((r.item, r.nr + 1, base, entry, before))
-    return pd.DataFrame(rows, columns=["item", "nr", "base", "entry", "before"])
+        rows.append((item, r.nr + 1, base, entry, before))
+        if len(rows) == 10_000:
+            yield pd.DataFrame(rows, columns=["item", "nr", "base", "entry", "before"])
+            rows = []
+    yield pd.DataFrame(rows, columns=["item", "nr", "base", "entry", "before"])
 
 
 def stitched(tables: DataFrame) -> DataFrame:
@@ -153,20 +175,21 @@ def stitched(tables: DataFrame) -> DataFrame:
     levels = [level]
     most = level.agg(F.max("nr")).first()[0] or 0
     n = BLOCK
-    block = F.floor(F.col("nr") / n).alias("block")
+    block = F.floor(F.col("nr") / n)
+    in_order = lambda rows: rows.repartition("item", "block").sortWithinPartitions("item", "block", "nr")
     while most >= n:
-        level = written(level.groupBy("item", block).applyInPandas(lambda pdf: _composed(pdf, n), _TABLE), "tables")
+        level = written(in_order(level.withColumn("block", block)).mapInPandas(_composed, _TABLE), "tables")
         levels.append(level)
         most //= n
     starts = None
     for level in reversed(levels):
-        rows = level.withColumn("block", F.floor(F.col("nr") / n))
+        rows = level.withColumn("block", block)
         if starts is not None:
             rows = rows.join(starts.select("item", F.col("nr").alias("block"), F.col("base").alias("b0"), F.col("entry").alias("e0"), F.col("before").alias("n0")), ["item", "block"], "left")
         else:
             rows = rows.withColumns({"b0": F.lit(0), "e0": F.lit(0), "n0": F.lit(0)})
         rows = rows.fillna(0, ["b0", "e0", "n0"])  # an item's first block
-        starts = rows.groupBy("item", "block").applyInPandas(_descended, _ENTRY)
+        starts = in_order(rows).mapInPandas(_descended, _ENTRY)
         if level is not levels[0]:
             starts = written(starts, "starts")
     return starts
@@ -193,9 +216,15 @@ def split_items(items: DataFrame, keys: list[str], text: str, limit: int = LIMIT
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows, held = [], 0
             for i, t in zip(pdf["item"], pdf["_text"]):
-                at = range(0, max(1, len(t)), size)
-                yield pd.DataFrame({"item": i, "nr": range(len(at)), "core": [min(size, len(t) - a) for a in at], "more": [a + size < len(t) for a in at], "last": [a + size + halo >= len(t) for a in at], "body": [t[a : a + size + halo] for a in at]})
+                for nr, a in enumerate(range(0, max(1, len(t)), size)):
+                    rows.append((i, nr, min(size, len(t) - a), a + size < len(t), a + size + halo >= len(t), t[a : a + size + halo]))
+                    held += size
+                    if held > 16_000_000:  # characters
+                        yield pd.DataFrame(rows, columns=["item", "nr", "core", "more", "last", "body"])
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["item", "nr", "core", "more", "last", "body"])
 
     item = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("item")
     ranges = written(once.select(item, "_text").mapInPandas(cut, "item string, nr long, core int, more boolean, last boolean, body string"), "ranges")
