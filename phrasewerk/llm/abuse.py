@@ -30,6 +30,7 @@ STANDS_FOR = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "i", "!": "i", "0":
 
 _SPELT = re.compile(r"(?<!\w)(?:\w[ .\-_*·]){2,}\w(?!\w)")
 _DISGUISED = re.compile(r"(?=[^\s]*[a-zäöüß])[a-zäöüß4@3€1!0$57]*(?:[a-zäöüß][4@3€1!0$57]+|[4@3€1!0$57]+[a-zäöüß])[a-zäöüß4@3€1!0$57]*")
+_SIGNS = re.compile(r"[4@3€1!0$57]")
 _LONG = re.compile(r"([^\W\d])\1{2,}")
 _NUMBERS = re.compile(r"\d+(?:[.,/:\-]\d+)*")
 _ENDS = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
@@ -38,19 +39,52 @@ _OTHER = re.compile(r"[^\w*#?!]+")
 
 def plain(text: str) -> str:
     """Lower case with disguises undone: full-width and accented forms, spelt-out letters, signs for letters, stretched letters; numbers become #."""
-    t = unicodedata.normalize("NFKC", text).lower()
+    t = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
     t = _SPELT.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]) if sum(c.isalpha() for c in m[0]) > 2 else m[0], t)
     t = _NUMBERS.sub(lambda m: "#" if (m.start() == 0 or not t[m.start() - 1].isalpha()) and (m.end() == len(t) or not t[m.end()].isalpha()) else m[0], t)
-    t = _DISGUISED.sub(lambda m: "".join(STANDS_FOR.get(c, c) for c in m[0].rstrip("!")), t)
+    if _SIGNS.search(t):
+        t = _DISGUISED.sub(lambda m: "".join(STANDS_FOR.get(c, c) for c in m[0].rstrip("!")), t)
     return _LONG.sub(r"\1", t)
 
 
+def plain_sentence(sentence: str) -> str:
+    """The plain form of a sentence, words parted by one blank and one at each end."""
+    return " " + _OTHER.sub(" ", plain(sentence)).strip() + " "
+
+
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text in plain form, words parted by one blank; null, empty and blank texts have none."""
     if not text:
         return []
-    out = (" " + _OTHER.sub(" ", plain(s)).strip() + " " for s in _ENDS.split(text))
-    return [s for s in out if len(s) > 3]
+    return [s for s in map(plain_sentence, _ENDS.split(text)) if len(s) > 3]
+
+
+def _grams(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The hash of the n-gram that begins at each place."""
+    h = np.zeros(len(codes) - n + 1, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(1_000_003) + codes[i : len(codes) - n + 1 + i] + np.uint64(n)
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def margins_of(parts: list[str], weights: np.ndarray, bias: float, grams: tuple[int, ...] = GRAMS, bits: int = BITS) -> np.ndarray:
+    """The margin of every part, a few thousand parts at a time; as _margins of their hashes, which are not kept."""
+    if len(parts) > 4000:
+        return np.concatenate([margins_of(parts[a : a + 4000], weights, bias, grams, bits) for a in range(0, len(parts), 4000)])
+    codes = np.frombuffer("\0".join(parts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    ends = np.append(np.flatnonzero(codes == 0), len(codes))
+    begins = np.append(0, ends[:-1] + 1)
+    sums, count = np.zeros(len(parts)), np.zeros(len(parts))
+    for n in grams:
+        if len(codes) < n:
+            continue
+        w = weights[_grams(codes, n, bits).astype(np.int64)].astype(np.float64)
+        upto = np.concatenate([[0.0], np.cumsum(w)])
+        last = np.maximum(begins, ends - n + 1)  # n-grams lie within their part
+        sums += upto[np.minimum(last, len(w))] - upto[np.minimum(begins, len(w))]
+        count += last - begins
+    return sums / np.sqrt(np.maximum(count, 1)) + bias
 
 
 def hashes(parts: list[str], grams: tuple[int, ...] = GRAMS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +98,7 @@ def hashes(parts: list[str], grams: tuple[int, ...] = GRAMS, bits: int = BITS) -
     for n in grams:
         if len(codes) < n:
             continue
-        h = np.zeros(len(codes) - n + 1, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(1_000_003) + codes[i : len(codes) - n + 1 + i] + np.uint64(n)
-        h ^= h >> np.uint64(29)
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        h = _grams(codes, n, bits)
         inside = owner[: len(h)] == owner[n - 1 :]
         inside &= codes[: len(h)] != 0
         hs.append(h[inside].astype(np.int32))
@@ -86,19 +116,20 @@ class Model:
     bias: float
     cut: float = CUT
 
-    def sentence_scores(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return _margins(self.weights, self.bias, h, n)
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The probability of each text's worst sentence; 0 for texts without sentences."""
-        parts, owner = [], []
+        """The probability of each text's worst sentence; 0 for texts without sentences. A sentence that is there more than once is scored once."""
+        number: dict[str, int] = {}
+        at, owner = [], []
         for i, t in enumerate(texts):
-            s = sentences(t)
-            parts += s
-            owner += [i] * len(s)
+            if t:
+                own = [number.setdefault(s, len(number)) for s in set(_ENDS.split(t))]
+                at += own
+                owner += [i] * len(own)
         out = np.full(len(texts), -40.0)
-        if parts:
-            np.maximum.at(out, np.array(owner), self.sentence_scores(*hashes(parts)))
+        if number:
+            parts = [plain_sentence(s) for s in number]
+            each = np.where([len(p) > 3 for p in parts], margins_of(parts, self.weights, self.bias), -40.0)
+            np.maximum.at(out, np.array(owner), each[np.array(at)])
         return np.where(out > -40, 1 / (1 + np.exp(-np.clip(out, -40, 40))), 0.0)
 
 
@@ -232,7 +263,8 @@ def labelled(documents: DataFrame, ratings: DataFrame, most: int = LABELLED) ->
     if n > most:
         verdicts = verdicts.where(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1_000_000)) < int(1_000_000 * most / n))
     texts = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text")
-    return texts.join(verdicts, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("verdict").alias("verdict")).orderBy("doc_id").limit(2 * most).toPandas()
+    few = F.broadcast(verdicts.limit(2 * most))  # ids and verdicts, some 200 KB: the texts stay where they are
+    return texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("verdict").alias("verdict")).orderBy("doc_id").limit(2 * most).toPandas()
 
 
 def abuse_score(text: Column, model: Model, spark) -> Column:
