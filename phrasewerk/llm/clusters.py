@@ -1,13 +1,17 @@
 """Problem 6: groups of similar vectors within each process, by parallel pivot clustering.
 
-Rounds: the remaining rows of lowest hash are candidates, those without a similar candidate of lower hash are pivots
-(so they have no similar row of lower hash at all), and every row similar to a pivot is absorbed by it. Rows that
-remain go on to the next round. Then directions are taken from the absorbed rows, pivots of one direction are joined,
-every row is assigned anew to the closest direction, and the rows closest to it are the group's typical members.
+Rounds: in order of a hash, a vector without a similar one before it is a pivot and absorbs its similar neighbours. The
+first round takes every row, each process in parts of bounded size; what comes out, pivots with the direction and number
+of what they absorbed, goes into the next round in fewer parts. When a round no longer makes it much less (single rows
+that belong to no group stay what they are), the neighbours across parts are found block by block as edges, and the
+local minima are decided on the edges. So the rounds depend on the logarithm of the sizes, not on the rows without a
+group. Then members are reassigned to the closest pivot and medoids and directions are taken anew, a few times; rows
+that reach no group go through the rounds again until no new group appears. Groups never come to the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,285 +22,329 @@ from pyspark.sql.window import Window
 
 from phrasewerk.llm.common import usable_vector, written
 from phrasewerk.llm.vectors import DIM, matrix, packed, unit
+from phrasewerk.sources.store import scratch_dir
 
-#: Most candidates of a round and most directions sent to the executors at once (8 and 16 MB of vectors).
-CANDIDATES, DIRECTIONS = 32_768, 65_536
+#: Rows of a part, directions that meet a part at once, probes of a block of pairs.
+PART, DIRECTIONS, PROBES = 16_384, 65_536, 2_000
 #: Groups whose directions have at least this cosine are one.
 SAME = 0.65
+#: From so many rows on, a pivot stands for a direction; before, for its rows.
+FEW = 4
 #: Defaults for processes without a setting.
 DISTANCE, MIN_SIZE = 0.7, 4
-#: Times the directions are taken anew.
+#: Times the members are reassigned and directions taken anew.
 REFINED = 3
+#: A round that leaves more than this share of its pivots is the last one in parts.
+SHRINKS = 0.8
+#: Processes and groups up to this number are broadcast with their settings or sizes.
+FEW_ROWS = 100_000
 
+_STATE = "process_name string, distance double, id long, n long, v binary"
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each entry of a partition that holds all rows of its entries."""
-    seen: set[int] = set()
-    for b in batches:
-        ids = b["entry_id"].to_pylist()
-        fresh = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
-        yield b if len(fresh) == len(ids) else b.take(pa.array(fresh, pa.int32()))
 
+def settings(config: DataFrame) -> DataFrame:
+    """(process_name, distance, min_size): one row for each process; nulls take the defaults, of repeated rows the smallest."""
+    rows = config.where("process_name is not null").groupBy("process_name").agg(F.min("config.graph.distance").alias("d"), F.min("config.graph.min_size").alias("m"))
+    return rows.select("process_name", F.coalesce(F.col("d"), F.lit(DISTANCE)).cast("double").alias("distance"), F.coalesce(F.col("m"), F.lit(MIN_SIZE)).cast("long").alias("min_size"))
 
-def usable_rows(entries: DataFrame, phrase: str = "phrase", vector: str = "phrase_vector") -> DataFrame:
-    """(entry_id, process_name, phrase, v): one row for each entry with a usable vector, written to the shared folder."""
-    rows = entries.where(F.col("entry_id").isNotNull() & F.col("process_name").isNotNull() & usable_vector(F.col(vector), DIM))
-    rows = rows.select(F.col("entry_id").cast("long").alias("entry_id"), "process_name", F.col(phrase).alias("phrase"), F.col(vector).alias("v"))
-    return written(rows.repartition("entry_id").mapInArrow(_once, rows.schema), "vectors")
 
+def _beside(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """*rows* joined with a table that is broadcast only if it has few rows."""
+    few = small.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return rows.join(F.broadcast(small) if few else small, on, how)
 
-def _by_process(t: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    """The rows of each process in a batch."""
-    code = t["process_name"].dictionary_encode()
-    at = code.indices.to_numpy(zero_copy_only=False)
-    for i, name in enumerate(code.dictionary.to_pylist()):
-        yield name, np.flatnonzero(at == i)
 
+def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", vector: str = "phrase_vector") -> tuple[DataFrame, DataFrame]:
+    """(process_name, part, distance, entry_id, phrase, v): one row for each entry with a usable vector, bucketed by process and part; and all (process_name, part).
 
-def _blocks(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    step = max(1, 4_000_000 // max(1, len(c)))
-    for a in range(0, len(x), step):
-        yield a, x[a : a + step] @ c.T
-
-
-def _pivots(candidates: list, similar: dict[str, float]) -> dict[str, np.ndarray]:
-    """The candidates of each process, in order of hash, that have no similar one before them."""
-    by: dict[str, list[bytes]] = {}
-    for r in candidates:
-        by.setdefault(r.process_name, []).append(bytes(r.v))
-    out = {}
-    for name, vs in by.items():
-        x = np.frombuffer(b"".join(vs), np.float32).reshape(len(vs), -1)
-        free = np.ones(len(x), bool)
-        picked = []
-        for i in range(len(x)):
+    Of rows repeated under one entry_id the least (process, phrase, vector) stays. The table lies in the shared folder
+    in buckets, so that passes over it need no shuffle.
+    """
+    spark = entries.sparkSession
+    good = entries.where(F.col("entry_id").isNotNull() & F.col("process_name").isNotNull() & usable_vector(F.col(vector), DIM))
+    good = good.select(F.col("entry_id").cast("long").alias("entry_id"), "process_name", F.col(phrase).alias("phrase"), F.col(vector).cast("array<float>").alias("v"))
+    sizes = good.groupBy("process_name").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    each = written(sizes.join(settings(config), "process_name", "left").select("process_name", "parts", F.coalesce("distance", F.lit(DISTANCE)).alias("distance")), "processes")
+    rows = _beside(good, each, ["process_name"]).withColumn("part", F.pmod(F.xxhash64("entry_id"), F.col("parts")).cast("int"))
+    # the second delivery of an entry has its process and so its part; should one come with another process, the least stays
+    moved = good.select("entry_id", "process_name").distinct().groupBy("entry_id").agg(F.count("*").alias("n"), F.min("process_name").alias("process_name")).where("n > 1").select("entry_id", F.col("process_name").alias("_own"))
+    if not (moved := written(moved, "moved")).isEmpty():
+        rows = rows.join(moved, "entry_id", "left").where("_own is null or process_name = _own")
+
+    def once(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids = t["entry_id"].to_numpy()
+        if len(np.unique(ids)) < len(ids):
+            x = matrix(t["v"].chunk(0))
+            phrases = t["phrase"].to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], phrases[i] is None, phrases[i] or "", x[i].tobytes()))
+            t = t.take(pa.array([i for k, i in enumerate(order) if not k or ids[i] != ids[order[k - 1]]]))
+        return t
+
+    cols = ["process_name", "part", "distance", "entry_id", "phrase", "v"]
+    made = rows.select(*cols).groupBy("process_name", "part").applyInArrow(once, rows.select(*cols).schema)
+    buckets = max(1, each.agg(F.sum("parts")).first()[0] or 1)
+    name = f"vectors_{uuid.uuid4().hex}"
+    made.repartition(buckets, "process_name", "part").write.bucketBy(buckets, "process_name", "part").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    every = each.select("process_name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return spark.table(name), written(every, "parts")
+
+
+def _order(ids: np.ndarray, n: np.ndarray, by_weight: bool) -> np.ndarray:
+    """Places in order of a hash of the id, heavier pivots first if asked for."""
+    h = ids.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return np.lexsort((ids, h, -n)) if by_weight else np.lexsort((ids, h))
+
+
+def _least(n: np.ndarray, m: np.ndarray, distance: float) -> np.ndarray:
+    """The cosine from which pivots of n and of m rows are similar: members at the limit whose deviations are independent, a member and its direction, two directions."""
+    a, b = (n >= FEW)[:, None], (m >= FEW)[None, :]
+    return np.where(a & b, SAME, np.where(a | b, distance, max(0.4, distance**2))).astype(np.float32)
+
+
+def absorbed(ids: np.ndarray, n: np.ndarray, x: np.ndarray, distance: float, by_weight: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the pivots, number of the pivot that each row belongs to): pivots are the rows without a similar pivot before them."""
+    order = _order(ids, n, by_weight)
+    pivots = np.zeros(0, np.int64)
+    for a in range(0, len(order), 512):
+        at = order[a : a + 512]
+        if len(pivots):
+            s = x[at] @ x[pivots].T
+            at = at[~(s >= _least(n[at], n[pivots], distance)).any(1)]
+        near = x[at] @ x[at].T >= _least(n[at], n[at], distance)
+        free, picked = np.ones(len(at), bool), []
+        for i in range(len(at)):
             if free[i]:
                 picked.append(i)
-                free &= x @ x[i] < similar[name]
-        out[name] = x[picked]
-    return out
+                free &= ~near[i]
+        pivots = np.concatenate([pivots, at[picked]])
+    owner = np.zeros(len(ids), np.int64)
+    step = max(1, 4_000_000 // max(1, len(pivots)))
+    for a in range(0, len(ids), step):
+        s = x[a : a + step] @ x[pivots].T
+        owner[a : a + step] = np.where(s >= _least(n[a : a + step], n[pivots], distance), s, -2).argmax(1)
+    owner[pivots] = np.arange(len(pivots))
+    return pivots, owner
+
+
+def _sums(owner: np.ndarray, k: int, x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = x * weights[:, None]
+    return np.stack([np.bincount(owner, weights=w[:, d], minlength=k) for d in range(x.shape[1])], axis=1), np.bincount(owner, weights=weights, minlength=k).astype(np.int64)
+
+
+def _state(process: str, distance: float, ids, n, x) -> pa.Table:
+    return pa.table({"process_name": pa.array([process] * len(ids), pa.string()), "distance": pa.array([distance] * len(ids), pa.float64()), "id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "v": packed(unit(x))})
 
 
-def _sums_of(name: str, first: int, at: np.ndarray, x: np.ndarray, k: int) -> tuple[list, np.ndarray]:
-    sums = np.stack([np.bincount(at, weights=x[:, d], minlength=k) for d in range(x.shape[1])], axis=1)
-    n = np.bincount(at, minlength=k)
-    some = np.flatnonzero(n)
-    return [(name, first + int(i), int(n[i])) for i in some], sums[some]
+def _round(by_weight: bool):
+    """One round within a part."""
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, ids = unit(matrix(t["v"].chunk(0))), t["id"].to_numpy()
+        n = t["n"].to_numpy() if "n" in t.column_names else np.ones(len(ids), np.int64)
+        distance = t["distance"][0].as_py()
+        pivots, owner = absorbed(ids, n, x, distance, by_weight)
+        sums, size = _sums(owner, len(pivots), x, n)
+        return _state(t["process_name"][0].as_py(), distance, ids[pivots], size, sums)
 
-_STATE = "entry_id long, process_name string, grp int, n long, v binary"
+    return run
 
 
-def _state(ids, names, grp, n, x) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(grp, pa.int32()), pa.array(n, pa.int64()), packed(x)], ["entry_id", "process_name", "grp", "n", "v"])
+def _edges(state: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(process_name, a, b, cosine): similar pivots of a process, found in pairs of parts; no task holds more than two."""
+    mine = _beside(state, sizes, ["process_name"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pairs = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = pairs.select("process_name", "distance", "id", "n", "v", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
 
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, ids, n = matrix(t["v"].chunk(0)), t["id"].to_numpy(), t["n"].to_numpy()
+        mine, i, j = t["mine"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        out = []
+        step = max(1, 4_000_000 // max(1, len(b)))
+        for k in range(0, len(a), step):
+            s = x[a[k : k + step]] @ x[b].T
+            p, q = np.nonzero(s >= _least(n[a[k : k + step]], n[b], t["distance"][0].as_py()))
+            left, right, cosine = a[k + p], b[q], s[p, q]
+            keep = left != right if i != j else left < right
+            out.append((ids[left[keep]], ids[right[keep]], cosine[keep].astype(np.float64)))
+        u, w, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"process_name": pa.array([t["process_name"][0].as_py()] * len(u), pa.string()), "a": u, "b": w, "cosine": c})
 
-def _added(partial: DataFrame) -> list:
-    """The sums of each group over all tasks: (process_name, grp, n, v). A task sends one row for each of its groups."""
+    return pairs.groupBy("process_name", "i", "j").applyInArrow(meet, "process_name string, a long, b long, cosine double")
+
+
+def _added(partial: DataFrame) -> DataFrame:
+    """Rows of _STATE with equal process and id added up; a task sends one row for each of its ids, so a group of them is short."""
 
     def add(t: pa.Table) -> pa.Table:
-        x = matrix(t.combine_chunks()["v"].chunk(0))
-        return pa.table({"process_name": t["process_name"][:1], "grp": t["grp"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "v": packed(x.astype(np.float64).sum(0)[None, :])})
-
-    return partial.groupBy("process_name", "grp").applyInArrow(add, "process_name string, grp int, n long, v binary").collect()
-
-
-def _joined(centres: dict[str, np.ndarray], weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Directions of a process with a cosine of SAME or more become one, the heavier taking up the lighter."""
-    out = {}
-    for name, c in centres.items():
-        order = np.argsort(-weights[name], kind="stable")
-        c, w = unit(c[order]), weights[name][order].astype(np.float64)
-        kept: list[int] = []
-        sums = c * w[:, None]
-        for i in range(len(c)):
-            if kept:
-                s = c[kept] @ c[i]
-                j = int(s.argmax())
-                if s[j] >= SAME:
-                    sums[kept[j]] += sums[i]
-                    continue
-            kept.append(i)
-        out[name] = unit(sums[kept])
-    return out
-
-
-def _assigned(rows: DataFrame, centres: dict[str, np.ndarray], distance: dict[str, float], sums: bool) -> DataFrame:
-    """Each row's closest direction of its process within the process's distance; or the sums over each direction's rows."""
-    spark = rows.sparkSession
-    first, total = {}, 0
-    for name in sorted(centres):
-        first[name] = total
-        total += len(centres[name])
-    blocks, block, size = [], {}, 0
-    for name in sorted(centres):
-        for a in range(0, len(centres[name]), DIRECTIONS):
-            part = centres[name][a : a + DIRECTIONS]
-            if size + len(part) > DIRECTIONS and block:
-                blocks.append(block)
-                block, size = {}, 0
-            block[name] = (first[name] + a, part)
-            size += len(part)
-    blocks.append(block)
-
-    def one(block: dict[str, tuple[int, np.ndarray]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((block, distance))  # at most DIRECTIONS vectors
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine, limits = sent.value
-            held: dict[int, list] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, ids = unit(matrix(b["v"])), b["entry_id"].to_numpy()
-                for name, at in _by_process(b):
-                    if name not in mine:
-                        continue
-                    start, c = mine[name]
-                    for a, s in _blocks(x[at], c):
-                        best = s.argmax(1)
-                        cos = s[np.arange(len(s)), best]
-                        use = np.flatnonzero(cos >= limits.get(name, DISTANCE))
-                        if not len(use):
-                            continue
-                        if not sums:
-                            where = at[a + use]
-                            yield pa.RecordBatch.from_arrays([pa.array(ids[where]), pa.array([name] * len(use), pa.string()), pa.array((start + best[use]).astype(np.int32)), pa.array(cos[use].astype(np.float64)), b["phrase"].take(pa.array(where))], ["entry_id", "process_name", "grp", "cosine", "phrase"])
-                            continue
-                        for (n, g, m), v in zip(*_sums_of(name, start, best[use], x[at][a + use], len(c))):
-                            h = held.setdefault(g, [n, 0, np.zeros(DIM)])
-                            h[1] += m
-                            h[2] += v
-            if sums and held:
-                gs = sorted(held)
-                yield _state([0] * len(gs), [held[g][0] for g in gs], gs, [held[g][1] for g in gs], np.stack([held[g][2] for g in gs]))
-
-        return rows.mapInArrow(run, _STATE if sums else "entry_id long, process_name string, grp int, cosine double, phrase string")
-
-    out = one(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(one(block))
-    if not sums and len(blocks) > 1:  # a process's directions may lie in several blocks
-        out = out.groupBy("entry_id", "process_name").agg(F.max_by(F.struct("grp", "cosine", "phrase"), F.struct("cosine", -F.col("grp"))).alias("m"))
-        out = out.select("entry_id", "process_name", "m.grp", "m.cosine", "m.phrase")
-    return out
-
-
-def settings(config: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
-    """graph.distance and graph.min_size of each process; nulls take the defaults. One row for each process."""
-    rows = config.where("process_name is not null").select("process_name", F.col("config.graph.distance").alias("d"), F.col("config.graph.min_size").alias("m")).collect()
-    return {r.process_name: DISTANCE if r.d is None else float(r.d) for r in rows}, {r.process_name: MIN_SIZE if r.m is None else int(r.m) for r in rows}
+        t = t.combine_chunks()
+        n = t["n"].to_numpy()
+        return _state(t["process_name"][0].as_py(), t["distance"][0].as_py(), t["id"][:1].to_numpy(), [int(n.sum())], (matrix(t["v"].chunk(0)).astype(np.float64) * n[:, None]).sum(0)[None, :])
+
+    return partial.groupBy("process_name", "id").applyInArrow(add, _STATE)
+
+
+def _by_edges(state: DataFrame, sizes: DataFrame, by_weight: bool) -> DataFrame:
+    """Local minima on the neighbour edges: a pivot without a neighbour before it stays and absorbs its neighbours, round by round until no edge is left."""
+    rank = F.struct((-F.col("n") if by_weight else F.lit(0)).alias("w"), F.xxhash64("id").alias("h"), F.col("id").alias("i"))
+    ranks = state.select("id", rank.alias("r"))
+    edges = _edges(state, sizes)
+    both = edges.select("a", "b", "cosine").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    both = written(both.join(ranks.toDF("a", "ra"), "a").join(ranks.toDF("b", "rb"), "b"), "edges")
+    owners, left = None, both
+    while not left.isEmpty():
+        minima = left.groupBy("a").agg(F.min("rb").alias("rb"), F.first("ra").alias("ra")).where("ra < rb").select("a")
+        won = left.join(minima, "a").groupBy("b").agg(F.max(F.struct("cosine", F.col("a").alias("o")))["o"].alias("owner"))
+        won = written(won.select(F.col("b").alias("id"), "owner"), "owners")
+        owners = won if owners is None else owners.unionByName(won)
+        gone = won.select("id").unionByName(minima.select(F.col("a").alias("id")))
+        gone = written(gone, "gone")
+        left = written(left.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti"), "edges")
+    if owners is None:
+        return state
+    moved = state.join(owners, "id", "left").select("process_name", "distance", F.coalesce("owner", "id").alias("id"), "n", "v")
+    return written(_added(moved), "pivots")
+
+
+def collapsed(state: DataFrame, by_weight: bool = False) -> DataFrame:
+    """Rounds over (process_name, distance, id, n, v) until no two pivots of a process are similar."""
+    before = None
+    while True:
+        sizes = state.groupBy("process_name").agg(F.count("*").alias("k"))
+        sizes = written(sizes.select("process_name", F.ceil(F.col("k") / F.lit(PART)).cast("int").alias("parts"), "k"), "sizes")
+        most, total = sizes.agg(F.max("parts"), F.sum("k")).first()
+        if most is not None and most > 1 and before is not None and total > SHRINKS * before:
+            return _by_edges(state, sizes.drop("k"), by_weight)
+        cells = _beside(state, sizes.drop("k"), ["process_name"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(total or 0)), F.col("parts")).cast("int")).drop("parts")
+        state = written(cells.groupBy("process_name", "part").applyInArrow(_round(by_weight), _STATE), "pivots")
+        if most is None or most <= 1:
+            return state
+        before = total
+
+
+_ASSIGNED = "entry_id long, process_name string, grp long, cosine double, phrase string"
+
+
+def _assigned(rows: DataFrame, parts: DataFrame, found: DataFrame, what: str) -> DataFrame:
+    """Each row with the closest direction of its process, if within the process's distance.
+
+    *what*: "members" gives _ASSIGNED, "rest" the rows (_STATE) that reach none, "sums" the sums of each direction's
+    members (_STATE). The directions of a process go to each of its parts, in blocks where they are very many.
+    """
+    numbered = found.withColumn("block", F.floor(F.row_number().over(Window.partitionBy("process_name", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) * 64 / F.lit(DIRECTIONS)).cast("int"))
+    sent = parts.join(numbered.select("process_name", "id", "v", "block"), "process_name", "left" if what == "rest" else "inner")
+    several = what != "rest" and not numbered.where("block > 0").isEmpty()
+
+    def best_of(t: pa.Table, d: pa.Table) -> tuple:
+        t, d = t.combine_chunks(), d.combine_chunks()
+        x, ids = unit(matrix(t["v"].chunk(0))), d["id"].to_numpy(zero_copy_only=False)
+        best, cos = np.zeros(len(x), np.int64), np.full(len(x), -2.0, np.float32)
+        if d.num_rows and d["v"].null_count < d.num_rows:
+            c = matrix(d["v"].chunk(0))
+            step = max(1, 4_000_000 // len(c))
+            for a in range(0, len(x), step):
+                s = x[a : a + step] @ c.T
+                best[a : a + step] = s.argmax(1)
+                cos[a : a + step] = s[np.arange(len(s)), best[a : a + step]]
+        return t, x, ids, best, cos
+
+    def members(t: pa.Table, d: pa.Table) -> pa.Table:
+        t, x, ids, best, cos = best_of(t, d)
+        use = np.flatnonzero(cos >= t["distance"][0].as_py()) if t.num_rows else np.zeros(0, np.int64)
+        at = pa.array(use)
+        return pa.table({"entry_id": t["entry_id"].take(at), "process_name": t["process_name"].take(at), "grp": pa.array(ids[best[use]] if len(use) else [], pa.int64()), "cosine": pa.array(cos[use].astype(np.float64)), "phrase": t["phrase"].take(at)})
+
+    def rest(t: pa.Table, d: pa.Table) -> pa.Table:
+        t, x, ids, best, cos = best_of(t, d)
+        use = np.flatnonzero(cos < t["distance"][0].as_py()) if t.num_rows else np.zeros(0, np.int64)
+        return _state(t["process_name"][0].as_py() if t.num_rows else "", t["distance"][0].as_py() if t.num_rows else 0.0, t["entry_id"].to_numpy()[use], np.ones(len(use), np.int64), x[use])
+
+    def sums(t: pa.Table, d: pa.Table) -> pa.Table:
+        t, x, ids, best, cos = best_of(t, d)
+        use = np.flatnonzero(cos >= t["distance"][0].as_py()) if t.num_rows else np.zeros(0, np.int64)
+        if not len(use):
+            return _state("", 0.0, [], [], np.zeros((0, DIM)))
+        of, owner = np.unique(best[use], return_inverse=True)
+        total, size = _sums(owner, len(of), x[use], np.ones(len(use)))
+        return pa.table({"process_name": pa.array([t["process_name"][0].as_py()] * len(of), pa.string()), "distance": pa.array([t["distance"][0].as_py()] * len(of)), "id": pa.array(ids[of], pa.int64()), "n": pa.array(size, pa.int64()), "v": packed(total / size[:, None])})
+
+    if not several:
+        run, schema = {"members": (members, _ASSIGNED), "rest": (rest, _STATE), "sums": (sums, _STATE)}[what]
+        return rows.groupBy("process_name", "part").cogroup(sent.groupBy("process_name", "part")).applyInArrow(run, schema)
+    # very many directions: the best of each block, then the best of all
+    n = int(numbered.agg(F.max("block")).first()[0]) + 1
+    out = None
+    for b in range(n):
+        got = rows.groupBy("process_name", "part").cogroup(sent.where(F.col("block") == b).groupBy("process_name", "part")).applyInArrow(members, _ASSIGNED)
+        out = got if out is None else out.unionByName(got)
+    out = out.groupBy("entry_id", "process_name").agg(F.max(F.struct("cosine", (-F.col("grp")).alias("g"), "phrase")).alias("m"))
+    out = out.select("entry_id", "process_name", (-F.col("m.g")).alias("grp"), F.col("m.cosine").alias("cosine"), F.col("m.phrase").alias("phrase"))
+    if what == "members":
+        return out
+    one = rows.join(out.select("entry_id", "process_name", "grp"), ["entry_id", "process_name"])
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        of, owner = np.unique(t["grp"].to_numpy(), return_inverse=True)
+        total, size = _sums(owner, len(of), unit(matrix(t["v"].chunk(0))), np.ones(t.num_rows))
+        return pa.table({"process_name": pa.array([t["process_name"][0].as_py()] * len(of), pa.string()), "distance": pa.array([t["distance"][0].as_py()] * len(of)), "id": pa.array(of, pa.int64()), "n": pa.array(size, pa.int64()), "v": packed(total / size[:, None])})
+
+    return one.groupBy("process_name", "part").applyInArrow(add, _STATE)
+
+
+def _recomputed(rows: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
+    """Each direction anew as the mean of its members."""
+    return written(_added(_assigned(rows, parts, found, "sums")), "directions")
 
 
 def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
     """(entry_id, process_name, grp, size, cosine, phrase): the entries that belong to a group, with the cosine to its direction.
 
     Entries without a usable vector, process or entry_id are in no group; an entry delivered twice counts once; processes
-    without a configuration take the defaults. grp numbers the groups over all processes. Existing labels are not used.
+    without a configuration take the defaults. grp is the entry_id of the pivot that began the group. Existing labels
+    are not used.
     """
-    distance, least = settings(config)
-    rows = usable_rows(entries)
-    names = [r.process_name for r in rows.select("process_name").distinct().collect()]  # one for each process
-    for n in names:
-        distance.setdefault(n, DISTANCE)
-        least.setdefault(n, MIN_SIZE)
-    none = "entry_id long, process_name string, grp int, size long, cosine double, phrase string"
-    if not names:
-        return rows.sparkSession.createDataFrame([], none)
-    similar = {n: max(0.4, distance[n] ** 2) for n in names}  # two members at the limit whose deviations are independent
-    centres: dict[str, list[np.ndarray]] = {}
-    weights: dict[str, list[int]] = {}
-    left = rows.select("entry_id", "process_name", "v")
-    per_process = max(4, CANDIDATES // len(names))
-
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The candidates that a task can offer."""
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h = b["h"].to_numpy()
-            for name, at in _by_process(b):
-                old = held.get(name, (np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)))
-                hs, order = np.concatenate([old[0], h[at]]), None
-                xs = np.concatenate([old[1], unit(matrix(b["v"].take(pa.array(at))))])
-                order = np.argsort(hs, kind="stable")[:per_process]
-                held[name] = (hs[order], xs[order])
-        for name, (hs, xs) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(hs), pa.string()), pa.array(hs), packed(xs)], ["process_name", "h", "v"])
-
+    rows, parts = usable_rows(entries, config)
+    least = written(settings(config).select("process_name", "min_size"), "settings")
+    first = rows.select("process_name", "part", "distance", F.col("entry_id").alias("id"), "v").groupBy("process_name", "part")
+    state = written(first.applyInArrow(_round(False), _STATE), "pivots")  # every row is in the first round
+    found, large = None, None
     while True:
-        first = Window.partitionBy("process_name").orderBy("h")
-        offered = left.select("process_name", F.xxhash64("entry_id").alias("h"), "v").mapInArrow(lowest, "process_name string, h long, v binary")
-        chosen = offered.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_process).select("process_name", "h", "v").collect()
-        if not chosen:
+        state = collapsed(state)
+        enough = F.coalesce("min_size", F.lit(MIN_SIZE))
+        # at first, pivots of two rows may still grow; those of one are among the rest, unless one row makes a group
+        more = _beside(state, least, ["process_name"]).where(F.col("n") >= (F.least(enough, F.lit(2)) if found is None else enough)).select(*state.columns)
+        if found is not None:
+            if more.isEmpty():
+                break
+            more = large.unionByName(more)
+        found = more
+        for _ in range(REFINED):
+            found = collapsed(_recomputed(rows, parts, found), by_weight=True)
+        found = _recomputed(rows, parts, found)
+        kept = _beside(found, least, ["process_name"]).where(F.col("n") >= enough).select(*found.columns)
+        kept = written(kept, "kept")
+        if large is not None and kept.count() <= large.count():  # no new group
             break
-        pivots = _pivots(sorted(chosen, key=lambda r: (r.process_name, r.h)), similar)
-        sent = rows.sparkSession.sparkContext.broadcast((pivots, similar))  # at most CANDIDATES vectors
-
-        def absorb(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            """Sums of the rows absorbed by each pivot, and the rows that remain."""
-            mine, limits = sent.value
-            held: dict[tuple[str, int], list] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, ids = unit(matrix(b["v"])), b["entry_id"].to_numpy()
-                for name, at in _by_process(b):
-                    if name not in mine:
-                        yield _state(ids[at], [name] * len(at), [-1] * len(at), [0] * len(at), x[at])
-                        continue
-                    for a, s in _blocks(x[at], mine[name]):
-                        hit = s >= limits[name]
-                        any_hit = hit.any(1)
-                        lost = at[a + np.flatnonzero(~any_hit)]
-                        if len(lost):
-                            yield _state(ids[lost], [name] * len(lost), [-1] * len(lost), [0] * len(lost), x[lost])
-                        use = np.flatnonzero(any_hit)
-                        if len(use):
-                            closest = s[use].argmax(1)
-                            for (n, g, m), v in zip(*_sums_of(name, 0, closest, x[at][a + use], len(mine[name]))):
-                                h = held.setdefault((n, g), [0, np.zeros(DIM)])
-                                h[0] += m
-                                h[1] += v
-            if held:
-                ks = sorted(held)
-                yield _state([0] * len(ks), [k[0] for k in ks], [k[1] for k in ks], [held[k][0] for k in ks], np.stack([held[k][1] for k in ks]))
-
-        state = written(left.mapInArrow(absorb, _STATE), "round")
-        for r in _added(state.where("grp >= 0")):
-            if r.n > 1:
-                centres.setdefault(r.process_name, []).append(np.frombuffer(bytes(r.v), np.float32))
-                weights.setdefault(r.process_name, []).append(r.n)
-        left = state.where("grp < 0").select("entry_id", "process_name", "v")
-    found = _joined({n: np.stack(c) for n, c in centres.items()}, {n: np.array(w) for n, w in weights.items()})
-    for _ in range(REFINED):
-        if not found:
-            break
-        new: dict[str, list] = {}
-        for r in _added(_assigned(rows, found, distance, True)):
-            new.setdefault(r.process_name, []).append((r.n, np.frombuffer(bytes(r.v), np.float32)))
-        found = _joined({n: np.stack([v for _, v in vs]) for n, vs in new.items()}, {n: np.array([m for m, _ in vs]) for n, vs in new.items()})
-    if not found:
-        return rows.sparkSession.createDataFrame([], none)
-    sizes: dict[str, dict[int, int]] = {}
-    first_of, total = {}, 0
-    for n in sorted(found):
-        first_of[n] = total
-        total += len(found[n])
-    for r in _added(_assigned(rows, found, distance, True)):
-        sizes.setdefault(r.process_name, {})[r.grp - first_of[r.process_name]] = r.n
-    kept = {n: [i for i in range(len(c)) if sizes.get(n, {}).get(i, 0) >= least[n]] for n, c in found.items()}
-    final = {n: c[kept[n]] for n, c in found.items() if kept[n]}
-    if not final:
-        return rows.sparkSession.createDataFrame([], none)
-    members = written(_assigned(rows, final, distance, False), "groups")
-    n_of = members.groupBy("grp").agg(F.count("*").alias("size"))
-    return members.join(n_of, "grp").select("entry_id", "process_name", "grp", "size", "cosine", "phrase")
+        large = kept
+        state = written(_assigned(rows, parts, large, "rest"), "rest")
+    members = written(_assigned(rows, parts, large, "members"), "groups")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
+    return _beside(members, sizes, ["grp"], "inner").select("entry_id", "process_name", "grp", "size", "cosine", "phrase")
 
 
 def described(members: DataFrame, typical: int = 3) -> DataFrame:
-    """(process_name, grp, size, medoid, phrases): each group with its member closest to its direction and its most typical phrases, ties by entry_id."""
+    """(process_name, grp, size, medoid, phrases): each group with its medoid and its most typical phrases, ties by entry_id.
+
+    For vectors of length one the member with the largest sum of cosines to all members is the one closest to the
+    direction of their mean, so the medoid needs no pairs.
+    """
     closest = Window.partitionBy("grp").orderBy(F.desc("cosine"), "entry_id")
     top = members.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= typical)
     out = top.groupBy("process_name", "grp", "size").agg(F.min_by("entry_id", "r").alias("medoid"), F.sort_array(F.collect_list(F.struct("r", "phrase"))).alias("p"))
@@ -304,8 +352,12 @@ def described(members: DataFrame, typical: int = 3) -> DataFrame:
 
 
 def probe_pairs(members: DataFrame, probes: DataFrame) -> DataFrame:
-    """(id_a, id_b): pairs of probed entries in one group, the smaller entry_id first."""
+    """(id_a, id_b): pairs of probed entries in one group, the smaller entry_id first; large groups meet block by block."""
     asked = probes.where("entry_id is not null").select("entry_id").distinct()
-    hit = members.join(asked, "entry_id").select("entry_id", "grp")
-    a, b = hit.toDF("id_a", "grp"), hit.toDF("id_b", "grp")
-    return a.join(b, "grp").where("id_a < id_b").select("id_a", "id_b")
+    hit = written(members.join(asked, "entry_id").select("entry_id", "grp"), "probed")
+    blocks = hit.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PROBES)).cast("int").alias("n"))
+    hit = _beside(hit, blocks, ["grp"], "inner").withColumn("mine", F.pmod(F.xxhash64("entry_id"), F.col("n")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = hit.select(F.col("entry_id").alias("id_a"), "grp", F.col("mine").alias("i"), others.alias("j"))
+    b = hit.select(F.col("entry_id").alias("id_b"), "grp", others.alias("i"), F.col("mine").alias("j"))
+    return a.join(b, ["grp", "i", "j"]).where("id_a < id_b").select("id_a", "id_b")

@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from phrasewerk.llm import clusters
 from phrasewerk.llm.vectors import unit
@@ -33,8 +34,10 @@ def config(spark):
     return spark.createDataFrame([("a", ((0.7, 4),)), ("b", ((None, None),))], CONFIG)
 
 
-def test_planted_groups(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "CANDIDATES", 30)  # several rounds
+@pytest.mark.parametrize("part", [10_000, 90, 25])
+def test_planted_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(clusters, "PART", part)  # several rounds, and edges across parts
+    monkeypatch.setattr(clusters, "PROBES", 7)
     rows, truth = planted()
     df = spark.createDataFrame(rows, ENTRIES).repartition(3)
     members = clusters.groups(df, config(spark)).cache()
@@ -55,12 +58,35 @@ def test_planted_groups(spark, monkeypatch):
 
 
 def test_blocks_of_directions(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "DIRECTIONS", 2)
+    monkeypatch.setattr(clusters, "DIRECTIONS", 64)  # blocks of one
     rows, truth = planted(2)
     got = {r.entry_id for r in clusters.groups(spark.createDataFrame(rows, ENTRIES), config(spark)).collect()}
     assert got == set(truth)
 
 
+def test_groups_of_one_if_the_size_allows(spark):
+    rows = [(1, "a", "x", [1.0] + [0.0] * 63, "x", "y"), (2, "a", "y", [0.0, 1.0] + [0.0] * 62, "x", "y")]
+    one = spark.createDataFrame([("a", ((0.7, 1),))], CONFIG)
+    assert sorted((r.entry_id, r["size"]) for r in clusters.groups(spark.createDataFrame(rows, ENTRIES), one).collect()) == [(1, 1), (2, 1)]
+
+
+def test_close_groups_stay_apart(spark):
+    """Directions with a cosine of 0.6, one group much larger than the other."""
+    rng = np.random.RandomState(5)
+    c = unit(rng.randn(1, 64))[0]
+    d = rng.randn(64)
+    d = unit((d - d @ c * c)[None, :])[0] * 0.8 + c * 0.6
+    rows, truth, i = [], {}, 0
+    for g, (m, n) in enumerate(((c, 400), (d, 6))):
+        for _ in range(n):
+            i += 1
+            rows.append((i, "a", "x", [float(v) for v in unit((m + rng.randn(64) * 0.08)[None, :])[0]], "x", "y"))
+            truth[i] = g
+    got = {r.entry_id: r.grp for r in clusters.groups(spark.createDataFrame(rows, ENTRIES), config(spark)).collect()}
+    assert set(got) == set(truth)
+    assert len({(truth[k], g) for k, g in got.items()}) == 2 == len(set(got.values()))
+
+
 def test_nothing_to_group(spark):
     rows, _ = planted()
     df = spark.createDataFrame(rows, ENTRIES)
