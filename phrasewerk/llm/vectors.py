@@ -1,9 +1,11 @@
 """Problem 2: the most similar vectors of every vector, by balanced posting lists.
 
-A bounded sample fits the lists' centroids. A graph of two layers over them (hubs, and the centroids near each hub),
-held in memory, finds the centroids near a vector. A vector lies in the list of its nearest centroid and, when it is
-near a border, in those that are almost as near; a search looks into the lists whose distance is within a ratio of the
-nearest one's. Lists of unusual size are cut into parts, and exact copies beyond a number are answered without search.
+A bounded sample fits the lists' centroids. A graph over them, held in memory, finds the centroids near a vector: it is
+entered at the hubs nearest to the vector and walked from centroid to neighbouring centroid as long as that comes nearer.
+A vector lies in the list of its nearest centroid and, when it is near a border, in those that are almost as near; a
+search looks into the lists whose distance is within a ratio of the nearest one's. A list of very many rows is cut, in
+the task that searches it, into lists of its own; beyond what a task may hold it is cut into parts, both of the rows
+that lie there and of those that ask. Exact copies beyond a number are answered without search.
 """
 
 from __future__ import annotations
@@ -19,14 +21,21 @@ from pyspark.sql.window import Window
 from phrasewerk.llm.common import usable_vector
 
 DIM = 64
-#: Rows for each list; the sample's rows for each list; most lists (and so at most MOST_LISTS * SAMPLE_PER_LIST sampled rows, 66 MB).
+#: Rows for each list; the sample's rows for each list; most lists of the first level (and so at most MOST_LISTS * SAMPLE_PER_LIST sampled rows, 66 MB).
 LIST_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 400, 16, 16_384
-#: A part of a list holds about so many rows at most; copies of one vector beyond this number are answered at once.
-PART_ROWS, MANY_COPIES = 20_000, 2_000
+#: From so many rows on a list has lists of its own; a part of a list holds so many rows at most.
+OWN_LISTS, PART_ROWS = 8_000, 100_000
+#: Numbers of parts and of cells (part that asks, part that lies) of a list.
+PARTS = 1 << 20
+CELLS = PARTS * PARTS
+#: Copies of one vector beyond this number, and this share of all rows (so there are at most 20,000 such vectors), are answered at once.
+MANY_COPIES, MANY_SHARE = 2_000, 5e-5
 #: A vector lies in lists up to this ratio of its nearest centroid's distance; a thresholded search and a full one look into lists up to these.
 LIE_RATIO, NEAR_RATIO, FULL_RATIO = 1.03, 1.08, 1.35
-#: A full search looks into at least so many lists.
-FULL_LISTS = 8
+#: A full search looks into at least so many lists; the index looks into so many at most (what that costs is in the measured recall).
+FULL_LISTS, MOST_LOOKED = 8, 64
+#: Hubs at which the graph is entered, and neighbours of a centroid in it.
+ENTRIES, BESIDE = 4, 32
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -73,27 +82,47 @@ class ListGraph:
             top = np.argpartition(-s, near - 1)[:near] if near < k else np.arange(k)
             links.append(np.union1d(top, np.flatnonzero((two == h).any(1))))
         self.links = links
+        beside = min(k, BESIDE + 1)
+        self.beside = []
+        for a in range(0, k, 2048):
+            s = c[a : a + 2048] @ c.T
+            self.beside += list(np.argpartition(-s, beside - 1, axis=1)[:, :beside] if beside < k else np.tile(np.arange(k), (len(s), 1)))
 
-    def near(self, x: np.ndarray, ratio: float, least: int = 1, most: int = 64, hubs: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(self, x: np.ndarray, ratio: float, least: int = 1, most: int = MOST_LOOKED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, distance / nearest distance) of the *least* nearest lists and those within *ratio*, at most *most* for a row."""
-        hubs = min(hubs, len(self.hubs))
-        s = x @ self.hubs.T
-        top = np.argpartition(-s, hubs - 1, axis=1)[:, :hubs] if hubs < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
-        best = np.full(len(x), np.inf, np.float32)
+        best, at = np.full(len(x), np.inf, np.float32), np.zeros(len(x), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for r in range(hubs):
-            order = np.argsort(top[:, r], kind="stable")
-            of, starts = np.unique(top[order, r], return_index=True)
-            for h, rows in zip(of, np.split(order, starts[1:])):
-                link = self.links[h]
-                d = np.sqrt(np.maximum(0, 2 - 2 * (x[rows] @ self.centroids[link].T)))
-                best[rows] = np.minimum(best[rows], d.min(1))
-                use = d <= (best[rows] * ratio + 1e-6)[:, None]
+
+        def visit(rows: np.ndarray, node: np.ndarray, links: list[np.ndarray]) -> None:
+            """Looks at the centroids linked to each row's node."""
+            order = np.argsort(node, kind="stable")
+            of, starts = np.unique(node[order], return_index=True)
+            for h, some in zip(of, np.split(rows[order], starts[1:])):
+                link = links[h]
+                d = np.sqrt(np.maximum(0, 2 - 2 * (x[some] @ self.centroids[link].T)))
+                m = d.argmin(1)
+                dm = d[np.arange(len(some)), m]
+                nearer = dm < best[some]
+                best[some], at[some] = np.where(nearer, dm, best[some]), np.where(nearer, link[m], at[some])
+                use = d <= (best[some] * ratio + 1e-6)[:, None]
                 if least > 1:
-                    m = min(least, d.shape[1])
-                    np.put_along_axis(use, np.argpartition(d, m - 1, axis=1)[:, :m], True, axis=1)
+                    k = min(least, d.shape[1])
+                    np.put_along_axis(use, np.argpartition(d, k - 1, axis=1)[:, :k], True, axis=1)
                 i, j = np.nonzero(use)
-                found.append((rows[i], link[j], d[i, j]))
+                found.append((some[i], link[j], d[i, j]))
+
+        n_hubs, rows = len(self.hubs), np.arange(len(x))
+        if len(x):
+            s = x @ self.hubs.T
+            top = np.argpartition(-s, ENTRIES - 1, axis=1)[:, :ENTRIES] if ENTRIES < n_hubs else np.tile(np.arange(n_hubs), (len(x), 1))
+            for e in range(top.shape[1]):
+                visit(rows, top[:, e], self.links)
+        while len(rows) and len(self.centroids) > 64:  # fewer are all linked to the one hub
+            before = best[rows].copy()
+            visit(rows, at[rows], self.beside)
+            rows = rows[best[rows] < before]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         row, lst, d = (np.concatenate(v) for v in zip(*found))
         if least == 1:
             keep = d <= best[row] * ratio + 1e-6
@@ -137,26 +166,46 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 30_000) -> Iterator
 
 
 def scan_list(ids: np.ndarray, x: np.ndarray, base: np.ndarray, asks: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, other id, cosine) of the k nearest base rows of each asking row, itself left out; equal cosines by id."""
+    """(id, other id, cosine) of the k nearest base rows of each asking row, itself left out; equal cosines by id. A list of many rows is searched by lists of its own."""
     b_ids, where = np.unique(ids[base], return_index=True)
     b = x[base][where]
     q_ids, where = np.unique(ids[asks], return_index=True)
     q = x[asks][where]
+    if len(b) <= OWN_LISTS:
+        return _scanned(q_ids, q, b_ids, b, k, least)
+    n_lists = len(b) // LIST_ROWS
+    graph = ListGraph(b[:: max(1, len(b) // (n_lists * SAMPLE_PER_LIST))], n_lists, rounds=4)
+    out = []
+    lie, lie_list, _ = graph.near(b, LIE_RATIO)
+    ask, ask_list, _ = graph.near(q, NEAR_RATIO if least is not None else FULL_RATIO, 1 if least is not None else FULL_LISTS)
+    lie, ask = lie[np.argsort(lie_list, kind="stable")], ask[np.argsort(ask_list, kind="stable")]
+    lie_list, ask_list = np.sort(lie_list), np.sort(ask_list)
+    for n in np.intersect1d(lie_list, ask_list):
+        mine, theirs = lie[slice(*np.searchsorted(lie_list, [n, n + 1]))], ask[slice(*np.searchsorted(ask_list, [n, n + 1]))]
+        out.append(_scanned(q_ids[theirs], q[theirs], b_ids[mine], b[mine], k, least))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _scanned(q_ids: np.ndarray, q: np.ndarray, b_ids: np.ndarray, b: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, 4_000_000 // max(1, len(b)))
     for a in range(0, len(q), step):
         s = q[a : a + step] @ b.T
         if least is not None:
             i, j = np.nonzero(s >= least - 1e-5)
-        elif len(b) > k + 4:
-            j = np.argpartition(-s, k + 4, axis=1)[:, : k + 4]
-            i, j = np.repeat(np.arange(len(s)), k + 4), j.ravel()
+        elif len(b) > k + 1:  # the k best and itself, and all that may be equal to the last of them
+            last = np.partition(s, len(b) - k - 1, axis=1)[:, len(b) - k - 1]
+            i, j = np.nonzero(s >= last[:, None] - 1e-5)
         else:
             i, j = (v.ravel() for v in np.indices(s.shape))
         keep = q_ids[a + i] != b_ids[j]
         i, j = i[keep], j[keep]
-        for c in range(0, max(1, len(i)), 500_000):  # dense neighbourhoods keep k of each row, block by block
-            ii, jj = i[c : c + 500_000], j[c : c + 500_000]
+        cut = 0
+        while cut < len(i):  # dense neighbourhoods keep k of each row, block by block of whole rows
+            end = min(len(i), cut + 500_000)
+            end = len(i) if end == len(i) else int(np.searchsorted(i, i[end - 1], side="right"))
+            ii, jj = i[cut:end], j[cut:end]
+            cut = end
             cos = np.einsum("ij,ij->i", q[a + ii].astype(np.float64), b[jj].astype(np.float64))
             order = np.lexsort((b_ids[jj], -cos, ii))
             ii, jj, cos = ii[order], jj[order], cos[order]
@@ -191,20 +240,21 @@ def most_similar(rows: DataFrame, k: int = 5, least: float | None = None, asks:
     good = rows.where(F.col(key).isNotNull() & usable_vector(F.col(vector), DIM))
     good = good.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), (F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))).alias("asks"), F.xxhash64(vector).alias("h"))
     counts = good.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    total, many = counts.agg(F.sum("n"), F.count(F.when((F.col("n") > MANY_COPIES) & (F.col("low") < F.col("high")), 1))).first()
+    total, most_copies = counts.agg(F.sum("n"), F.max(F.when(F.col("low") < F.col("high"), F.col("n")))).first()
     total = total or 0
+    enough = max(MANY_COPIES, int(MANY_SHARE * total))
     outcome = "id long, other long, cosine double"
     graph = spark.sparkContext.broadcast(fit_lists(good, total, "id", "v"))  # at most MOST_LISTS centroids, 4 MB, and their links
-    parts = np.maximum(1, np.ceil(graph.value.share * total / PART_ROWS)).astype(np.int64)
+    parts = np.minimum(PARTS, np.maximum(1, np.ceil(graph.value.share * total / PART_ROWS))).astype(np.int64)
 
     searched, answered = good, None
-    if many:  # at most total / MANY_COPIES hashes
-        hot = F.broadcast(counts.where((F.col("n") > MANY_COPIES) & (F.col("low") < F.col("high"))).select("h"))
+    if (most_copies or 0) > enough:
+        hot = F.broadcast(counts.where((F.col("n") > enough) & (F.col("low") < F.col("high"))).select("h"))  # at most 1 / MANY_SHARE
         first = Window.partitionBy("h", "v").orderBy("id")
         heads = good.join(hot, "h").select("h", "v", "id").groupBy("h", "v", "id").agg(F.lit(1).alias("one"))
         heads = heads.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
         ends = heads.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("heads"))  # k + 1 of each
-        with_heads = good.join(F.broadcast(ends), ["h", "v"], "left")
+        with_heads = good.join(F.broadcast(ends), ["h", "v"], "left")  # at most 1 / MANY_SHARE vectors, 7 MB
         is_rest = F.coalesce((F.size("heads") > k) & ~F.array_contains("heads", F.col("id")), F.lit(False))
         searched = with_heads.where(~is_rest).select("id", "v", "asks", "h")
         answered = with_heads.where(is_rest & F.col("asks")).select("id", F.explode(F.slice("heads", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
@@ -223,14 +273,16 @@ def most_similar(rows: DataFrame, k: int = 5, least: float | None = None, asks:
             row, lst, base, wants = row[use], lst[use], base[use], wants[use]
             n = parts[lst]
             mine = np.abs(ids[row] * 2_654_435_761 % 1_000_003) % n
-            again = np.where(wants & (n > 1), n, 1)  # who asks goes to every part, who lies there to one
-            at = np.repeat(np.arange(len(row)), again)
-            step = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
-            part = np.where(again[at] > 1, step, mine[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((lst[at] * 4096 + part).astype(np.int64)), pa.array(ids[row[at]]), pa.array(base[at] & (part == mine[at])), pa.array(wants[at]), packed(x[row[at]])],
-                ["list", "id", "lies", "asks", "v"],
-            )
+            one = np.flatnonzero(n == 1)
+            cells = [(lst[one] * CELLS, row[one], base[one], wants[one])]
+            for flag, own_first in ((base, False), (wants, True)):  # a row of a cut list meets all parts of the other kind
+                sel = np.flatnonzero((n > 1) & flag)
+                at = np.repeat(sel, n[sel])
+                step = np.arange(len(at)) - np.repeat(np.cumsum(n[sel]) - n[sel], n[sel])
+                i, j = (mine[at], step) if own_first else (step, mine[at])
+                cells.append((lst[at] * CELLS + i * PARTS + j, row[at], np.full(len(at), not own_first), np.full(len(at), own_first)))
+            cell, row, base, wants = (np.concatenate(v) for v in zip(*cells))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(ids[row]), pa.array(base), pa.array(wants), packed(x[row])], ["list", "id", "lies", "asks", "v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
