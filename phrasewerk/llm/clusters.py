@@ -82,10 +82,10 @@ def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", v
         return t
 
     cols = ["process_name", "part", "distance", "entry_id", "phrase", "v"]
-    made = rows.select(*cols).groupBy("process_name", "part").applyInArrow(once, rows.select(*cols).schema)
     buckets = max(1, each.agg(F.sum("parts")).first()[0] or 1)
+    made = rows.select(*cols).repartition(buckets, "process_name", "part").groupBy("process_name", "part").applyInArrow(once, rows.select(*cols).schema)
     name = f"vectors_{uuid.uuid4().hex}"
-    made.repartition(buckets, "process_name", "part").write.bucketBy(buckets, "process_name", "part").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(buckets, "process_name", "part").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     every = each.select("process_name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return spark.table(name), written(every, "parts")
 
