@@ -54,16 +54,44 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+# What begins a reasoning, what announces the answer, and where an echoed prompt begins.
+REASONING = ("thinking", "analysis", "reasoning")
+ANSWER = ("final answer in english", "final answer", "finale antwort auf deutsch", "antwort")
+ECHO = ("=========", "\nFRAGE:", "\nQUESTION:", "\nQUELLEN:", "\nSOURCES:")
+#: The answer where there is no source.
+NO_SOURCE = {"de": "Keine Quelle die ich finden kann.", "en": "No source I can find."}
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_answer(answer: Column) -> Column:
-    """An answer without its reasoning: <think> blocks removed, the text behind a final-answer mark, blanks at the ends cut."""
-    out = F.regexp_replace(answer, r"(?is)<think>.*?</think>", "")
-    out = F.regexp_replace(out, r"(?is)^.*\bfinal answer\s*:\s*", "")
-    return F.trim(F.regexp_replace(out, r"^\s+|\s+$", ""))
+    """An answer without its reasoning: <think> blocks and a leading reasoning part removed, the text behind the first answer mark, an echoed prompt cut off, blanks at the ends cut; null stays null."""
+    out = _stripped(F.regexp_replace(answer, r"(?is)<think>.*?</think>", ""))
+    out = _stripped(F.regexp_replace(out, rf"(?is)^\s*(?:{'|'.join(REASONING)})\s*:\s*.*?(?:final answer|antwort)\s*:\s*", ""))
+    marked = rf"(?is)(?:{'|'.join(ANSWER)})\s*:\s*(.*)$"
+    out = _stripped(F.when(out.rlike(marked), F.regexp_extract(out, marked, 1)).otherwise(out))
+    cuts = [F.when(F.position(F.lit(e), out) > 1, _stripped(F.substring(out, F.lit(1), F.position(F.lit(e), out) - 1))) for e in ECHO]
+    return F.coalesce(*cuts, out)
+
+
+def no_source_answer(language: Column) -> Column:
+    """The sentence for an answer without sources: German for de, English for all else and null."""
+    return F.when(language == "de", F.lit(NO_SOURCE["de"])).otherwise(F.lit(NO_SOURCE["en"]))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """*template* with {name} replaced by the column of each name; a null value counts as empty, unknown names stay."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
 
 
 def fenced_json(reply: Column) -> Column:
-    """The JSON object of a reply: from a fenced block if there is one, else from the first brace to the last; null without one."""
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    """The JSON object of a reply: the first fenced block if there is one, else from the first brace to the last; null without one."""
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     bare = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
     return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
 
@@ -110,3 +138,40 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 def label_similarity(a: Column, b: Column, added: float = 0.05) -> Column:
     """token_sort_ratio / 100 with *added* on top, as the phrase graph weighs it (it may exceed 1)."""
     return token_sort_ratio(a, b) / 100 + F.lit(added)
+
+
+def read_json(reply: Column, schema: str) -> Column:
+    """The JSON object of a reply as a struct; null where it is no JSON or a field has a value of another kind."""
+    return F.from_json(fenced_json(reply), schema, {"mode": "PERMISSIVE"})
+
+
+def sequence_ratio_of(a: str, b: str) -> float:
+    """2 * common subsequence / lengths; 1 for two empty texts."""
+    return 1.0 if not a and not b else 2.0 * (_common(a, b) or 0) / (len(a) + len(b))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """2 * common subsequence / lengths of two texts as they are; 1 for two empty ones, null if either is null."""
+    whole = F.length(a) + F.length(b)
+    return F.when(whole == 0, 1.0).otherwise(F.lit(2.0) * common_length(a, b) / whole)
+
+
+def token_at(starts: Column, ends: Column, place: Column) -> Column:
+    """The number of the token (from 0) that holds a place, its end exclusive; null between tokens."""
+    spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+    hit = F.array_position(F.transform(spans, lambda x: (x["s"] <= place) & (place < x["e"])), True)
+    return F.when(hit > 0, hit - 1)
+
+
+def single_sign(text: Column) -> Column:
+    """True for one sign that is no letter, digit or underscore."""
+    return text.rlike(r"^[^\p{L}\p{N}_]$")
+
+
+def parts_between(text: Column, boundary: str) -> Column:
+    """The parts of a text between boundary marks, empty ones left out."""
+    return F.filter(F.split(text, _quoted(boundary), -1), lambda x: x != "")
+
+
+def _quoted(text: str) -> str:
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"

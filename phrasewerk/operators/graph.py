@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import html
 import itertools
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from phrasewerk.functions import text as T
+from phrasewerk.operators.numbering import numbered
 from phrasewerk.sources.store import written
 
+#: Edges of a graph that are worked on in one task.
+PART_EDGES = 200_000
 #: The largest significance: -ln of the smallest positive double is cut here.
 MOST = 709.782712893384
 
@@ -23,12 +26,67 @@ def mirrored(edges: DataFrame, *keep: str) -> DataFrame:
     return one.unionByName(edges.select("graph_id", F.col("dst").alias("node"), F.col("src").alias("other"), *keep))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, the root of each, which edges join two trees) of edges taken in order; roots are the smallest ids of their trees."""
+    ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, kept = list(range(len(ids))), np.zeros(len(a), bool)
+    for e, (x, y) in enumerate(zip(codes[: len(a)].tolist(), codes[len(a) :].tolist())):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept[e] = True
+    for i in range(len(up)):  # parents come before their children
+        up[i] = up[up[i]]
+    return ids, np.array(up, int), kept
+
+
+def _within_parts(edges: DataFrame, run, schema: str, salt: int) -> tuple[DataFrame, bool]:
+    """*run* on parts of at most PART_EDGES edges of each graph, written; and whether every graph was one part."""
+    sizes = written(edges.groupBy("graph_id").agg(F.ceil(F.count("*") / F.lit(PART_EDGES)).cast("int").alias("_parts")), "sizes")
+    most = sizes.agg(F.max("_parts")).first()[0] or 1
+    parts = edges.join(sizes, "graph_id").withColumn("_part", F.pmod(F.xxhash64("src", "dst", F.lit(salt)), F.col("_parts")).cast("int")).drop("_parts")
+    return written(parts.groupBy("graph_id", "_part").applyInPandas(run, schema), "forest"), most <= 1
+
+
+def _thinned(edges: DataFrame, run, schema: str) -> tuple[DataFrame, bool]:
+    """Edges thinned out part by part until each graph is one part (then True) or a round leaves more than nine tenths.
+
+    What a part's forest leaves out is in no forest of the whole, so nothing is lost.
+    """
+    n, salt = edges.count(), 0
+    while True:
+        edges, whole = _within_parts(edges, run, schema, salt)
+        left = edges.count()
+        if whole or left > 0.9 * n:
+            return edges, whole
+        n, salt = left, salt + 1
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, component): the smallest node id that can be reached; isolated nodes are their own.
 
-    Labels spread to neighbours and jump to their label's label, so a path of n nodes needs about log n rounds; each
-    round is written to the shared folder.
+    Parts of a graph's edges are thinned to links between their nodes and the smallest one they reach. Graphs that do
+    not fit a part in the end go on by labels that spread to neighbours and jump to their label's label, about log n
+    rounds for a path of n nodes; each round is written to the shared folder.
     """
+    kind = edges.schema["graph_id"].dataType.simpleString()
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, root, _ = _forest(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+        own = root != np.arange(len(ids))
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "src": ids[root[own]], "dst": ids[own]})
+
+    thin, whole = _thinned(edges.select("graph_id", "src", "dst"), links, f"graph_id {kind}, src long, dst long")
+    if whole:
+        found = thin.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("_c"))
+        return written(nodes.select("graph_id", "node_id").join(found, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("_c", "node_id").alias("component")), "components")
+    return _spread(nodes, thin)
+
+
+def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label = nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))
     both = written(mirrored(edges), "edges")
     while True:
@@ -56,50 +114,88 @@ def strengths(edges: DataFrame) -> DataFrame:
     return mirrored(edges, "weight").groupBy("graph_id", F.col("node").alias("node_id")).agg(F.sum("weight").alias("strength"), F.count("*").alias("degree"))
 
 
-def upper_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) of a binomial X: 1 for k <= 0, 0 for p = 0, 1 for p = 1; terms are summed from k on until they vanish."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x >= 1: its asymptotic series, moved to arguments from 16 on."""
+    moved = np.zeros_like(x)
+    small = x < 16
+    y = x.copy()
+    for _ in range(16):
+        if not small.any():
+            break
+        moved[small] += np.log(y[small])
+        y[small] += 1
+        small = y < 16
+    r = 1 / (y * y)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r * (1 / 1188 - r * 691 / 360360))))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - moved
+
+
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, all rows at once until they no longer change."""
+    tiny = 1e-300
+    c, d = np.ones_like(a), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, 10_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + term * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + term / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    return h
+
+
+def log_tails(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """ln P(X >= k) of binomial counts: 0 for k <= 0 and for p = 1, -inf for p = 0 and k > n, nan for nan. The incomplete beta function, vectorised."""
+    out = np.where(np.isnan(k) | np.isnan(n) | np.isnan(p), np.nan, np.where((k <= 0) | ((p >= 1) & (k <= n)), 0.0, -np.inf))
+    at = np.flatnonzero((k > 0) & (k <= n) & (p > 0) & (p < 1))
+    if len(at):
+        a, b, x = k[at], n[at] - k[at] + 1, p[at]
+        front = a * np.log(x) + b * np.log1p(-x) - (_log_gamma(a) + _log_gamma(b) - _log_gamma(a + b))
+        left = x < (a + 1) / (a + b + 2)
+        u, v, y = np.where(left, a, b), np.where(left, b, a), np.where(left, x, 1 - x)
+        part = front + np.log(_fraction(u, v, y) / u)
+        out[at] = np.where(left, np.minimum(part, 0), np.log1p(-np.exp(np.minimum(part, -1e-300))))
+    return out
+
+
+def log_upper_tail(k: Column, n: Column, p: Column) -> Column:
+    """ln P(X >= k) of a binomial X."""
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-        out = np.full(len(k), np.nan)
-        for i, (a, b, c) in enumerate(zip(k.to_numpy(float), n.to_numpy(float), p.to_numpy(float))):
-            if math.isnan(a) or math.isnan(b) or math.isnan(c):
-                continue
-            if a <= 0 or c >= 1 and a <= b:
-                out[i] = 1.0
-            elif c <= 0 or a > b:
-                out[i] = 0.0
-            else:
-                term = math.exp(math.lgamma(b + 1) - math.lgamma(a + 1) - math.lgamma(b - a + 1) + a * math.log(c) + (b - a) * math.log1p(-c))
-                total, j = term, a
-                while j < b:
-                    term *= (b - j) / (j + 1) * c / (1 - c)
-                    total += term
-                    j += 1
-                    if term < 1e-17 * total and (b - j) * c < (j + 1) * (1 - c):
-                        break
-                out[i] = min(1.0, total)
-        return pd.Series(out)
+        return pd.Series(log_tails(k.to_numpy(float), n.to_numpy(float), p.to_numpy(float)))
 
     return tail(k, n, p)
 
 
-def significances(edges: DataFrame, as_percent: bool = True) -> DataFrame:
+def check_edges(edges: DataFrame) -> None:
+    """Refuses loops, edges without a weight and edges that are there twice."""
+    bad = edges.where("src = dst or weight is null or isnan(weight)").limit(1)
+    twice = edges.groupBy("graph_id", F.least("src", "dst"), F.greatest("src", "dst")).count().where("count > 1").limit(1)
+    if not bad.isEmpty() or not twice.isEmpty():
+        raise ValueError("simple edges with a weight and without loops are needed")
+
+
+def significances(edges: DataFrame, as_percent: bool = True, directed: bool = False) -> DataFrame:
     """*edges* with significance = -ln of the chance that two nodes of these strengths share so much weight, cut at MOST.
 
     Weights count in percent, rounded half to even. Edges whose counts are no binomial input take their graph's largest
-    significance, 0 if it has none. Loops and edges without a weight are refused.
+    significance, 0 if it has none. Loops, double edges and edges without a weight are refused. *directed* takes the
+    chance of an edge from src to dst, twice that of one in any direction.
     """
-    if not edges.where("src = dst or weight is null or isnan(weight)").isEmpty():
-        raise ValueError("edges with a weight and without loops are needed")
+    check_edges(edges)
     factor = 100 if as_percent else 1
     s = strengths(edges).select("graph_id", "node_id", (F.col("strength") * factor).alias("s"))
     total = s.groupBy("graph_id").agg((F.sum("s") / 2).alias("q"))
     rows = edges.join(s.toDF("graph_id", "src", "su"), ["graph_id", "src"]).join(s.toDF("graph_id", "dst", "sv"), ["graph_id", "dst"]).join(total, "graph_id")
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("su") * F.col("sv") / (2 * F.col("q") * F.col("q"))))
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("su") * F.col("sv") / ((1 if directed else 2) * F.col("q") * F.col("q"))))
     rows = rows.withColumn("_k", F.rint(F.col("weight") * factor)).withColumn("_n", F.rint("q")).withColumn("_p", p)
-    chance = F.when((F.col("_k") >= 0) & (F.col("_n") >= F.col("_k")), upper_tail(F.col("_k"), F.col("_n"), F.col("_p")))
-    rows = rows.withColumn("_t", chance).withColumn("_s", F.when(F.col("_t") <= 0, F.lit(MOST)).otherwise(F.least(F.lit(MOST), F.abs(F.log("_t")))))
+    chance = F.when((F.col("_k") >= 0) & (F.col("_n") >= F.col("_k")), log_upper_tail(F.col("_k"), F.col("_n"), F.col("_p")))
+    rows = rows.withColumn("_t", chance).withColumn("_s", F.least(F.lit(MOST), F.abs("_t")))
     top = rows.groupBy("graph_id").agg(F.max("_s").alias("_top"))
     return rows.join(top, "graph_id").withColumn("significance", F.coalesce("_s", "_top", F.lit(0.0))).select(*edges.columns, "significance")
 
@@ -114,11 +210,11 @@ def simplified(nodes: DataFrame, edges: DataFrame, gamma: float = 0.5, by: str =
     edges = written(edges, "component")
     if not 0 < gamma < 1:
         return nodes, edges
-    size = edges.groupBy("graph_id").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("graph_id").orderBy(by, "src", "dst")
-    ranked = edges.join(size, "graph_id").withColumn("_r", F.row_number().over(order)).withColumn("_cut", F.floor(F.col("_n") * gamma))
-    gone = (F.col("_r") <= F.col("_cut")) & (F.col("_cut") > 0) & (F.col("_cut") < F.col("_n"))
-    ranked = written(ranked.withColumn("_gone", gone), "ranked").drop("_n", "_r", "_cut")
+    numbers = numbered(edges, ["graph_id", by, "src", "dst"], "_r")  # by ranges: no task sorts a whole graph
+    size = numbers.groupBy("graph_id").agg(F.count("*").alias("_n"), F.min("_r").alias("_first"))
+    ranked = numbers.join(size, "graph_id").withColumn("_cut", F.floor(F.col("_n") * gamma))
+    gone = (F.col("_r") - F.col("_first") < F.col("_cut")) & (F.col("_cut") > 0) & (F.col("_cut") < F.col("_n"))
+    ranked = written(ranked.withColumn("_gone", gone), "ranked").drop("_n", "_r", "_cut", "_first")
     kept, removed = ranked.where("not _gone").drop("_gone"), ranked.where("_gone").drop("_gone")
     part = components(nodes, kept)
     a, b = part.toDF("graph_id", "src", "_a"), part.toDF("graph_id", "dst", "_b")
@@ -132,9 +228,22 @@ def simplified(nodes: DataFrame, edges: DataFrame, gamma: float = 0.5, by: str =
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges of a maximum spanning forest of each graph, other columns kept; equal weights go by (src, dst, all columns).
 
-    Rounds of the heaviest edge out of each part; the order is total, so no round makes a cycle and it ends.
+    Parts of a graph's edges are thinned to their forests. Graphs that do not fit a part in the end go on in rounds of
+    the heaviest edge out of each tree; the order is total, so no round makes a cycle and it ends.
     """
     extra = [c for c in edges.columns if c not in ("graph_id", "src", "dst", "weight")]
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["weight", "src", "dst", *extra], ascending=[False, True, True, *[True] * len(extra)])
+        return pdf[cols][_forest(pdf["src"].to_numpy(), pdf["dst"].to_numpy())[2]]
+
+    cols = list(edges.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema)
+    edges, whole = _thinned(edges.where("src <> dst"), forest, schema)
+    return edges if whole else _by_heaviest(nodes, edges, extra)
+
+
+def _by_heaviest(nodes: DataFrame, edges: DataFrame, extra: list[str]) -> DataFrame:
     rank = F.struct(F.col("weight").alias("w"), (-F.col("src")).alias("s"), (-F.col("dst")).alias("d"), *[(-F.col(c)).alias(c) for c in extra])
     edges = written(edges.where("src <> dst").withColumn("_rank", rank), "forest")
     taken = edges.limit(0)
@@ -215,11 +324,21 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "graph_id", "full_outer").select("graph_id", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node_id, label, neighbours): each node's neighbours with weights, in order; an empty list for isolated nodes."""
-    near = mirrored(edges, "weight").groupBy("graph_id", F.col("node").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("other", "weight"))).alias("neighbours"))
+def adjacency(nodes: DataFrame, edges: DataFrame, *attributes: str) -> DataFrame:
+    """(graph_id, node_id, label, attributes..., neighbours): each node's neighbours with weight and significance (null where the edges have none), in order; an empty list for isolated nodes."""
+    more = F.col("significance") if "significance" in edges.columns else F.lit(None).cast("double")
+    near = mirrored(edges.withColumn("significance", more), "weight", "significance").groupBy("graph_id", F.col("node").alias("node_id"))
+    near = near.agg(F.sort_array(F.collect_list(F.struct("other", "weight", "significance"))).alias("neighbours"))
     out = nodes.join(near, ["graph_id", "node_id"], "left")
-    return out.select("graph_id", "node_id", "label", F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)).alias("neighbours"))
+    return out.select("graph_id", "node_id", "label", *attributes, F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)).alias("neighbours"))
+
+
+def one_graph(nodes: DataFrame, edges: DataFrame, graph_id) -> DataFrame:
+    """The adjacency of one graph; a graph that is not there is an error."""
+    own = nodes.where(F.col("graph_id") == graph_id)
+    if own.isEmpty():
+        raise IndexError(f"no graph {graph_id}")
+    return adjacency(own, edges.where(F.col("graph_id") == graph_id))
 
 
 def edge_style(weight: Column) -> Column:
@@ -237,21 +356,240 @@ def document_scores(edges: DataFrame, holders: DataFrame) -> DataFrame:
     return docs.groupBy("document", "graph_id").agg(F.sum("weight").alias("score"))
 
 
-def path_scores(edges: DataFrame, holders: DataFrame, damping: float = 0.5) -> DataFrame:
-    """(document, graph_id, score): weights of edges at a document's nodes, and of paths of two edges, damped and halved."""
+def path_scores(edges: DataFrame, holders: DataFrame, damping: float = 0.5, reward: float = 1.75) -> DataFrame:
+    """(document, graph_id, score): for each pair of nodes up to two edges apart, every path between them, its weights damped by their place and divided by its length, for every document of either end.
+
+    The first edge of a path counts whole, the second by 1 / (1 + damping). Edges marked sub_cluster weigh *reward*
+    times as much, and the graph's mean weight where they have none. A path is walked from its smaller end; a pair one
+    edge apart counts only its edge.
+    """
+    if "sub_cluster" in edges.columns:
+        mean = edges.groupBy("graph_id").agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("_mean"))
+        marked = F.coalesce("sub_cluster", F.lit(False))
+        own = F.when(marked, F.coalesce("weight", "_mean") * reward).otherwise(F.coalesce("weight", F.lit(0.0)))
+        edges = edges.join(mean, "graph_id").select("graph_id", "src", "dst", own.alias("weight"))
     both = mirrored(edges, "weight")
-    start = both.join(holders.withColumnRenamed("node_id", "node"), ["graph_id", "node"])
-    one = start.groupBy("document", "graph_id").agg(F.sum("weight").alias("s"))
     second = both.select("graph_id", F.col("node").alias("other"), F.col("other").alias("_end"), F.col("weight").alias("_w"))
-    two = start.join(second, ["graph_id", "other"]).where("_end <> node")
-    two = two.groupBy("document", "graph_id").agg(F.sum((F.col("weight") + damping * F.col("_w")) / 2).alias("s"))
-    return one.unionByName(two).groupBy("document", "graph_id").agg(F.sum("s").alias("score"))
+    one = both.where("node < other").select("graph_id", "node", F.col("other").alias("_end"), F.col("weight").alias("s"))
+    two = both.join(second, ["graph_id", "other"]).where("node < _end").join(one.select("graph_id", "node", "_end"), ["graph_id", "node", "_end"], "left_anti")
+    two = two.groupBy("graph_id", "node", "_end").agg(F.sum((F.col("weight") + F.col("_w") / (1 + damping)) / 2).alias("s"))
+    pairs = one.unionByName(two)
+    ends = pairs.select("graph_id", "node", "_end", "s", F.explode(F.array("node", "_end")).alias("node_id"))
+    docs = ends.join(holders, ["graph_id", "node_id"]).select("graph_id", "node", "_end", "s", "document").distinct()
+    return docs.groupBy("document", "graph_id").agg(F.sum("s").alias("score"))
+
 
+def community_scores(nodes: DataFrame, edges: DataFrame, holders: DataFrame, cutoff: float = 0.5) -> DataFrame:
+    """(document, graph_id, score): for each node, the weights along the shortest path over e to the number of its edges, summed over the nodes of its community at most *cutoff* away (an edge is 1 - weight long), for every document of a node that near.
 
-def page_rank_scores(nodes: DataFrame, edges: DataFrame, links: DataFrame, rounds: int = 30, tolerance: float | None = None) -> DataFrame:
-    """(document, graph_id, score): documents join their graphs as nodes, linked to their phrases by *links* (graph_id, node_id, document, weight); their PageRank is the score."""
+    Communities come from moving nodes as long as modularity grows, levels of ever larger nodes, in order of the node
+    ids; a graph is worked on in one task, so graphs must be as small as one concept's.
+    """
+    sent = edges.select("graph_id", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
+    sent = sent.unionByName(nodes.select("graph_id", F.lit(1).alias("kind"), F.col("node_id").alias("a"), F.col("node_id").alias("b"), F.lit(0.0).alias("weight")))
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(pdf.loc[pdf["kind"] == 1, "a"].unique())
+        own = pdf[pdf["kind"] == 0]
+        i, j, w = np.searchsorted(ids, own["a"]), np.searchsorted(ids, own["b"]), own["weight"].to_numpy(float)
+        m = np.zeros((len(ids), len(ids)))
+        m[i, j] = m[j, i] = w
+        part = communities(m)
+        length = np.where(m > 0, np.maximum(1 - m, 0), np.inf)
+        np.fill_diagonal(length, 0)
+        hops, weight = np.where(m > 0, 1.0, np.inf), m.copy()
+        np.fill_diagonal(hops, 0)
+        for k in range(len(ids)):  # shortest paths through ever more nodes, with their edges and weights
+            through = length[:, k][:, None] + length[k][None, :]
+            nearer = through < length - 1e-12
+            length = np.where(nearer, through, length)
+            hops = np.where(nearer, hops[:, k][:, None] + hops[k][None, :], hops)
+            weight = np.where(nearer, weight[:, k][:, None] + weight[k][None, :], weight)
+        a, b = np.nonzero((length <= cutoff) & (length > 0))
+        worth = np.where(part[a] == part[b], weight[a, b] / np.exp(hops[a, b]), 0.0)
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "a": ids[a], "b": ids[b], "s": worth})
+
+    pairs = sent.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, a long, b long, s double")
+    total = pairs.groupBy("graph_id", "a").agg(F.sum("s").alias("s"))  # what a node's neighbourhood is worth
+    near = pairs.select("graph_id", "a", F.col("b").alias("node_id")).join(holders, ["graph_id", "node_id"]).select("graph_id", "a", "document").distinct()
+    return near.join(total, ["graph_id", "a"]).groupBy("document", "graph_id").agg(F.sum("s").alias("score"))
+
+
+def communities(m: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """A community number for each node of a symmetric weight matrix: nodes move to the neighbour community that raises modularity most, then communities are nodes themselves, until nothing moves."""
+    label = np.arange(len(m))
+    level, of = m.copy(), np.arange(len(m))
+    while True:
+        total, degree = level.sum(), level.sum(1)
+        part = np.arange(len(level))
+        if total <= 0:
+            return label
+        changed = False
+        for _ in range(rounds):
+            moved = False
+            for v in range(len(level)):
+                sums = np.bincount(part, weights=degree, minlength=len(level))
+                links = np.bincount(part, weights=np.where(np.arange(len(level)) == v, 0, level[v]), minlength=len(level))
+                sums[part[v]] -= degree[v]
+                gain = links - sums * degree[v] / total
+                best = int(gain.argmax())
+                if gain[best] > gain[part[v]] + 1e-12:
+                    part[v], moved, changed = best, True, True
+            if not moved:
+                break
+        _, part = np.unique(part, return_inverse=True)
+        of = part[of]
+        if not changed:
+            return of
+        fold = np.zeros((len(level), part.max() + 1))
+        fold[np.arange(len(level)), part] = 1
+        level = fold.T @ level @ fold
+
+
+def unrolled(nodes: DataFrame, edges: DataFrame, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each graph as a tree: isolated nodes fall out, the edges of a maximum spanning forest stay, and its parts are joined by the heaviest edges of the *reference* graph between them.
+
+    Always ends: both forests follow a total order. What the reference does not connect stays apart.
+    """
+    linked = mirrored(edges).select("graph_id", F.col("node").alias("node_id")).distinct()
+    own = written(nodes.join(linked, ["graph_id", "node_id"], "left_semi"), "linked")
+    cols = ["graph_id", "src", "dst", "weight"]
+    tree = spanning_forest(own, edges.select(*cols))
+    if reference is not None:
+        part = components(own, tree)
+        a, b = part.toDF("graph_id", "src", "_a"), part.toDF("graph_id", "dst", "_b")
+        bridges = reference.select(*cols).join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).where("_a <> _b")
+        links = bridges.select("graph_id", F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), "weight", F.col("src").alias("_s"), F.col("dst").alias("_d"))
+        roots = part.select("graph_id", F.col("component").alias("node_id")).distinct()
+        back = spanning_forest(roots, links).select("graph_id", F.col("_s").alias("src"), F.col("_d").alias("dst"), "weight")
+        tree = tree.unionByName(back)
+    more = [c for c in edges.columns if c not in cols]
+    return own, tree.join(edges.select("graph_id", "src", "dst", *more), ["graph_id", "src", "dst"], "left") if more else tree
+
+
+def component_ranks(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(graph_id, component, mean_rank, n_nodes) of each component, from ranks (graph_id, node_id, rank)."""
+    by = components(nodes, edges).join(ranks, ["graph_id", "node_id"], "left")
+    return by.groupBy("graph_id", "component").agg(F.avg(F.coalesce("rank", F.lit(0.0))).alias("mean_rank"), F.count("*").alias("n_nodes"))
+
+
+def edge_means(edges: DataFrame) -> DataFrame:
+    """(graph_id, mean_weight, mean_significance); a null significance counts as 0, as does a missing column."""
+    s = F.col("significance") if "significance" in edges.columns else F.lit(0.0)
+    return edges.groupBy("graph_id").agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("mean_weight"), F.avg(F.coalesce(s, F.lit(0.0))).alias("mean_significance"))
+
+
+def exemplars(similar: np.ndarray, damping: float, rounds: int) -> np.ndarray | None:
+    """The exemplar of each row by affinity propagation; None if the messages did not settle on any.
+
+    A row's own preference is the median similarity. Messages are passed until the exemplars stay the same for 15 rounds.
+    """
+    n = len(similar)
+    if n == 1:
+        return np.zeros(1, int)
+    s = similar.astype(float).copy()
+    np.fill_diagonal(s, np.median(similar[~np.eye(n, dtype=bool)]))
+    s += np.arange(n * n).reshape(n, n) % 7919 * 1e-12  # equal similarities are told apart, the same way every time
+    r, a, rows = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
+    before, steady = None, 0
+    for _ in range(rounds):
+        both = a + s
+        first = both.argmax(1)
+        top = both[rows, first]
+        both[rows, first] = -np.inf
+        new = s - top[:, None]
+        new[rows, first] = s[rows, first] - both.max(1)
+        r = damping * r + (1 - damping) * new
+        gain = np.maximum(r, 0)
+        gain[rows, rows] = r[rows, rows]
+        new = gain.sum(0)[None, :] - gain
+        own = new[rows, rows].copy()
+        new = np.minimum(new, 0)
+        new[rows, rows] = own
+        a = damping * a + (1 - damping) * new
+        chosen = (r + a)[rows, rows] > 0
+        steady = steady + 1 if before is not None and (chosen == before).all() else 0
+        before = chosen
+        if steady >= 15 and chosen.any():
+            break
+    if not before.any() or steady < 15:
+        return None
+    centres = np.flatnonzero(before)
+    owner = centres[s[:, centres].argmax(1)]
+    owner[centres] = centres
+    return owner
+
+
+#: Damping and rounds of the tries of sub_clusters.
+TRIES = ((0.55, 300), (0.65, 600), (0.75, 900), (0.85, 1200), (0.95, 1500))
+
+
+def sub_clusters(nodes: DataFrame, edges: DataFrame, reference: DataFrame, gamma: float = 0.01, tries: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Nodes with root and edges with sub_cluster: affinity propagation over label similarity times the weight in the *reference* graph (*gamma* where it has no edge).
+
+    An exemplar's members get an edge to it: an existing one is marked, others take the reference's weight, else the
+    graph's mean. Up to five *tries* with more damping; a graph without exemplars stays as it is. A graph is worked on
+    in one task, so graphs must be as small as one concept's.
+    """
+    means = edge_means(edges)
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+    sent = nodes.select("graph_id", F.lit(1).alias("kind"), F.col("node_id").alias("a"), F.col("node_id").alias("b"), F.lit(0.0).alias("weight"), "label")
+    sent = sent.unionByName(reference.select("graph_id", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight", F.lit(None).cast("string").alias("label")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["kind"] == 1].sort_values("a").drop_duplicates("a")
+        ids, labels = own["a"].to_numpy(), own["label"].fillna("").tolist()
+        near = pdf[(pdf["kind"] == 0) & pdf["a"].isin(ids) & pdf["b"].isin(ids)]
+        s = np.full((len(ids), len(ids)), gamma)
+        i, j = np.searchsorted(ids, near["a"]), np.searchsorted(ids, near["b"])
+        s[i, j] = s[j, i] = near["weight"]
+        ratio = np.array([[T.sequence_ratio_of(x, y) for y in labels] for x in labels]) if len(ids) else np.zeros((0, 0))
+        for damping, rounds in TRIES[: max(1, min(tries, len(TRIES)))]:
+            owner = exemplars(s * ratio, damping, rounds) if len(ids) else None
+            if owner is not None:
+                return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node_id": ids, "exemplar": ids[owner]})
+        return pd.DataFrame({"graph_id": [], "node_id": [], "exemplar": []})
+
+    found = written(sent.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, node_id long, exemplar long"), "exemplars")
+    roots = found.select("graph_id", F.col("exemplar").alias("node_id"), F.lit(True).alias("root")).distinct()
+    out_nodes = nodes.join(roots, ["graph_id", "node_id"], "left").withColumn("root", F.coalesce("root", F.lit(False)))
+    links = found.where("node_id <> exemplar").select("graph_id", F.least("node_id", "exemplar").alias("src"), F.greatest("node_id", "exemplar").alias("dst"), F.lit(True).alias("_sub"))
+    known = reference.select("graph_id", "src", "dst", F.col("weight").alias("_w"))
+    both = edges.join(links, ["graph_id", "src", "dst"], "full_outer").join(known, ["graph_id", "src", "dst"], "left").join(means, "graph_id", "left")
+    more = [F.coalesce("significance", F.when(F.col("_sub"), F.col("mean_significance"))).alias("significance")] if "significance" in edges.columns else []
+    weight = F.coalesce("weight", "_w", "mean_weight").alias("weight")
+    return out_nodes, both.select("graph_id", "src", "dst", weight, *more, F.coalesce("_sub", F.lit(False)).alias("sub_cluster"))
+
+
+def page_rank_scores(nodes: DataFrame, edges: DataFrame, links: DataFrame, rounds: int = 30, tolerance: float | None = None, normalise: bool = False) -> DataFrame:
+    """(document, graph_id, score): documents join their graphs as nodes, linked to their phrases by *links* (graph_id, node_id, document, weight); their PageRank is the score, over the graph's largest if *normalise*."""
     docs = links.select("graph_id", "document").distinct().withColumn("node_id", -F.col("document") - 1)  # ids of their own
     more = links.select("graph_id", (-F.col("document") - 1).alias("src"), F.col("node_id").alias("dst"), "weight")
     all_nodes = nodes.select("graph_id", "node_id").unionByName(docs.select("graph_id", "node_id"))
     rank = page_rank(all_nodes, edges.select("graph_id", "src", "dst", "weight").unionByName(more), rounds=rounds, tolerance=tolerance)
-    return rank.join(docs, ["graph_id", "node_id"]).select("document", "graph_id", F.col("rank").alias("score"))
+    out = rank.join(docs, ["graph_id", "node_id"]).select("document", "graph_id", F.col("rank").alias("score"))
+    if not normalise:
+        return out
+    top = out.groupBy("graph_id").agg(F.max("score").alias("_top"))
+    return out.join(top, "graph_id").select("document", "graph_id", (F.col("score") / F.col("_top")).alias("score"))
+
+
+def edge_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, label_a, label_b, weight, style): what a drawing of the graphs needs; edges of sub-clusters are hidden."""
+    names = nodes.select("graph_id", "node_id", "label")
+    shown = edges.where(~F.coalesce("sub_cluster", F.lit(False))) if "sub_cluster" in edges.columns else edges
+    rows = shown.join(names.toDF("graph_id", "src", "label_a"), ["graph_id", "src"]).join(names.toDF("graph_id", "dst", "label_b"), ["graph_id", "dst"])
+    return rows.select("graph_id", "src", "dst", "label_a", "label_b", "weight", edge_style(F.col("weight")).alias("style"))
+
+
+def drawn(nodes: DataFrame, edges: DataFrame, graph_id, height: int = 800) -> str:
+    """One graph as an HTML page with an SVG drawing, nodes on a circle; for graphs that a reader can look at."""
+    own = nodes.where(F.col("graph_id") == graph_id).select("node_id", "label").orderBy("node_id").collect()
+    lines = edge_lines(nodes.where(F.col("graph_id") == graph_id), edges.where(F.col("graph_id") == graph_id)).orderBy("src", "dst").collect()
+    r = height / 2
+    place = {n.node_id: (r + 0.8 * r * np.cos(2 * np.pi * i / len(own)), r + 0.8 * r * np.sin(2 * np.pi * i / len(own))) for i, n in enumerate(own)}
+    width = {"strong": 4, "firm": 3, "medium": 2, "weak": 1, "faint": 0.5}
+    drawn_edges = [f'<line class="{e.style}" x1="{place[e.src][0]:.0f}" y1="{place[e.src][1]:.0f}" x2="{place[e.dst][0]:.0f}" y2="{place[e.dst][1]:.0f}" stroke="grey" stroke-width="{width[e.style]}"/>' for e in lines]
+    names = [f'<text x="{place[n.node_id][0]:.0f}" y="{place[n.node_id][1]:.0f}">{html.escape(n.label or "")}</text>' for n in own]
+    return f'<html><body><svg width="{height}" height="{height}">' + "".join(drawn_edges + names) + "</svg></body></html>"

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from phrasewerk.functions.arrays import sums_before
+
 
 def exploded_lines(documents: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     """(key, keep..., line_no, line, offset): a row for each line with a sign other than whitespace.
 
     Lines end at a newline; empty and blank ones are left out but move the offset on. Null texts have no lines.
-    The window sums along each document, so a document's lines are sorted by one task but never held together.
+    Offsets are summed within the row before the lines come apart, so nothing is shuffled.
     """
-    rows = documents.select(key, *keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-    return rows.where(F.col("line").rlike(r"\S"))
+    lines = F.split(F.col(text), "\n", -1)
+    offsets = sums_before(F.transform(lines, lambda x: F.length(x) + 1))
+    rows = documents.where(F.col(text).isNotNull()).select(key, *keep, lines.alias("_lines"), offsets.alias("_offsets"))
+    rows = rows.select(key, *keep, F.posexplode(F.arrays_zip("_lines", "_offsets")).alias("line_no", "_l"))
+    return rows.select(key, *keep, "line_no", F.col("_l._lines").alias("line"), F.col("_l._offsets").alias("offset")).where(F.col("line").rlike(r"\S"))
 
 
 def label_view(documents: DataFrame, labels: list[str] | None, label: str = "label") -> DataFrame:
@@ -62,3 +65,40 @@ def corpus_statistics(documents: DataFrame, phrases: DataFrame, label: str = "la
     """One row: documents, labelled documents, distinct labels, phrases."""
     docs = documents.agg(F.count("*").alias("n_documents"), F.count(label).alias("n_labels"), F.countDistinct(F.lower(label)).alias("n_label_types"))
     return docs.crossJoin(phrases.agg(F.count("*").alias("n_phrases")))  # one row by one row
+
+
+def lookup(documents: DataFrame, by: str, values: list, *wanted: str) -> DataFrame:
+    """(by, wanted...) of the documents whose *by* is one of *values*: ids of names, names of ids, documents by id or name."""
+    return documents.where(F.col(by).isin(values)).select(by, *wanted)
+
+
+def of_label(documents: DataFrame, label_value: str, wanted: str, label: str = "label") -> DataFrame:
+    """The distinct *wanted* of the documents with a label, case ignored, nulls left out, in order."""
+    rows = documents.where((F.lower(label) == label_value.lower()) & F.col(wanted).isNotNull())
+    return rows.select(wanted).distinct().orderBy(wanted)
+
+
+class View:
+    """What a label view shows of a corpus: its documents, labels, names and counts."""
+
+    def __init__(self, documents: DataFrame, labels: list[str] | None = None, label: str = "label"):
+        if labels is not None:
+            missing = [r.label for r in missing_labels(documents, labels, label).collect()]  # at most the labels asked for
+            if missing:
+                raise KeyError(", ".join(sorted(missing)))
+        self.label, self.documents = label, label_view(documents, labels, label)
+
+    def labels(self) -> DataFrame:
+        """Each document's label."""
+        return self.documents.select(self.label)
+
+    def topics(self) -> DataFrame:
+        """The distinct labels, in lower case."""
+        return self.documents.where(F.col(self.label).isNotNull()).select(F.lower(self.label).alias(self.label)).distinct()
+
+    def size(self) -> int:
+        return self.documents.count()
+
+    def of(self, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+        """The rows of lines, chunks or occurrences that belong to documents of the view."""
+        return rows.join(self.documents.select(key).distinct(), key, "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasewerk.functions import text as T
+from phrasewerk.sources.store import written
 
 #: Rows of a block; two blocks meet in one task.
 BLOCK = 1_500
@@ -23,6 +24,14 @@ def _blocked(rows: DataFrame, cluster: str, key: str) -> DataFrame:
     return rows.withColumn("_i", F.least("_mine", "_o")).withColumn("_j", F.greatest("_mine", "_o")).drop("_o", "_blocks")
 
 
+def _once(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each id: of several the least by vector, then by label."""
+    if pdf["id"].is_unique:
+        return pdf
+    order = [(tuple(v), x) for v, x in zip(pdf["v"] if "v" in pdf else [()] * len(pdf), pdf["s"] if "s" in pdf else [""] * len(pdf))]
+    return pdf.iloc[sorted(range(len(pdf)), key=lambda i: (pdf["id"].iloc[i], order[i]))].drop_duplicates("id")
+
+
 def similar_pairs(rows: DataFrame, least: float, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
     """(cluster, src, dst, cosine): pairs src < dst of a cluster with at least cosine *least*.
 
@@ -35,7 +44,7 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "id", cluster: str =
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         c, i, j = pdf["c"].iloc[0], pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        pdf = pdf.drop_duplicates("id")
+        pdf = _once(pdf)
         out = []
         width = pdf["v"].map(len)
         for w in width.unique():
@@ -130,7 +139,7 @@ def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: floa
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "src": [], "dst": [], "cosine": [], "weight": []})]
-        pdf = pdf.drop_duplicates("id")
+        pdf = _once(pdf)
         width = pdf["v"].map(len)
         for w in width.unique():
             part = pdf[width == w]
@@ -162,7 +171,7 @@ def close_labels(rows: DataFrame, least: float = 0.95, key: str = "id", cluster:
     good = _labelled(rows, key, cluster, label)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, pdf = pdf["c"].iloc[0], pdf.drop_duplicates("id").reset_index(drop=True)
+        c, pdf = pdf["c"].iloc[0], _once(pdf).reset_index(drop=True)
         ids, a, b, same = _sides(pdf)
         held = _Labels(pdf["s"].tolist())
         letters = held.counts()
@@ -180,14 +189,6 @@ def close_labels(rows: DataFrame, least: float = 0.95, key: str = "id", cluster:
     return found.withColumnRenamed("cluster", cluster)
 
 
-def label_pairs(rows: DataFrame, key: str, cluster: str, label: str, least: float = 0.0, added: float = 0.05) -> DataFrame:
-    """(cluster, src, dst, similarity): pairs of a cluster by label_similarity; meant for clusters of few labels, all on the JVM."""
-    a = rows.select(F.col(cluster), F.col(key).alias("src"), F.col(label).alias("_a"))
-    b = rows.select(F.col(cluster), F.col(key).alias("dst"), F.col(label).alias("_b"))
-    pairs = a.join(b, cluster).where("src < dst")
-    return pairs.select(cluster, "src", "dst", T.label_similarity(F.col("_a"), F.col("_b"), added).alias("similarity")).where(F.col("similarity") >= least)
-
-
 def edge_weights(edges: DataFrame, labels: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, added: float = 0.05) -> DataFrame:
     """*edges* (graph_id, src, dst, cosine) with weight = (1 - wc) * label similarity + wc * cosine, those under *cut_off* left out (negative ones too)."""
     a = labels.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("_a"))
@@ -213,8 +214,6 @@ def merged_phrases(similar: DataFrame, nodes: DataFrame, threshold: float = 0.95
     while True:
         following = step.select("graph_id", F.col("removed").alias("kept"), F.col("kept").alias("further"))
         longer = step.join(following, ["graph_id", "kept"], "left").select("graph_id", "removed", F.coalesce("further", "kept").alias("kept"), F.col("further").isNotNull().alias("moved"))
-        from phrasewerk.sources.store import written
-
         longer = written(longer, "merged")
         step = longer.drop("moved")
         if longer.where("moved").isEmpty():

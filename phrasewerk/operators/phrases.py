@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from phrasewerk.functions.arrays import sums_before
 
 #: A chunk of the built-in extractor: words in small letters before one or more capitalised words.
 CHUNK = r"(?:\p{Ll}{3,} )?\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}{3,})*"
@@ -26,12 +27,10 @@ def chunks_of(lines: DataFrame, key: str = "doc_id", line: str = "line", pattern
     """
     found = F.regexp_extract_all(F.col(line), F.lit(pattern), F.lit(0))
     rows = lines.withColumn("_m", found).withColumn("_g", F.split(F.col(line), pattern, -1)).where(F.size("_m") > 0)
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size("_m") - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ps")),
-        lambda s, i: F.struct((s["at"] + F.length(F.get("_g", i)) + F.length(F.get("_m", i))).alias("at"), F.array_append(s["ps"], s["at"] + F.length(F.get("_g", i))).alias("ps")),
-        lambda s: s["ps"],
-    )
-    rows = rows.withColumn("_b", ends).select(*lines.columns, F.posexplode(F.arrays_zip("_m", "_b")).alias("chunk_no", "_c"))
+    gaps = F.slice("_g", F.lit(1), F.size("_m"))  # the text before each match
+    before = sums_before(F.zip_with(gaps, F.col("_m"), lambda g, m: F.length(g) + F.length(m)))
+    places = F.zip_with(before, gaps, lambda at, g: at + F.length(g))
+    rows = rows.withColumn("_b", places).select(*lines.columns, F.posexplode(F.arrays_zip("_m", "_b")).alias("chunk_no", "_c"))
     begin = F.col("offset") + F.col("_c._b")
     return rows.select(*lines.columns, "chunk_no", F.col("_c._m").alias("chunk"), begin.alias("begin"), (begin + F.length("_c._m")).alias("end"))
 
@@ -67,8 +66,8 @@ def skip_negated(chunks: DataFrame, mode: str = "skip", order: str = "seq") -> D
     """Occurrences (phrase, negated, order) without negated ones; mode "reset" also drops what came before a phrase's last negated one."""
     if mode == "skip":
         return chunks.where(~F.coalesce("negated", F.lit(False)))
-    last = F.max(F.when(F.col("negated"), F.col(order))).over(Window.partitionBy("phrase"))
-    return chunks.withColumn("_last", last).where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
+    last = chunks.where("negated").groupBy("phrase").agg(F.max(order).alias("_last"))  # summed before the shuffle, also of a hot phrase
+    return chunks.join(last, "phrase", "left").where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
 
 
 def phrase_table(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,3 +115,46 @@ def scaled_tf_idf(counts: DataFrame, sizes: DataFrame, group: str, key: str, phr
     low = F.when(F.col("_df") < F.col("n_documents"), 0.0).otherwise(F.col("_lo"))
     scaled = F.coalesce((F.col("_v") - low) / F.nullif(F.col("_hi") - low, F.lit(0.0)), F.lit(0.0))
     return value.join(ends, [group, phrase]).select(group, key, phrase, scaled.alias("scaled"))
+
+
+def allowed(phrases: DataFrame, allow: DataFrame | None, phrase: str = "phrase") -> DataFrame:
+    """The phrases of an allow list (a table with the same column); all for None."""
+    return phrases if allow is None else phrases.join(allow.select(phrase).distinct(), phrase, "left_semi")
+
+
+def with_vectors(phrases: DataFrame, vectors: DataFrame, key: str = "phrase_id") -> DataFrame:
+    """Phrases beside their vectors, by an explicit key; phrases without a vector fall out."""
+    return phrases.join(vectors, key)
+
+
+def row_normalised(scores: DataFrame, by: str, value: str = "score") -> DataFrame:
+    """*scores* with normalised: value over the length of its row; 0 in a row of zeros."""
+    length = scores.groupBy(by).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_length"))
+    return scores.join(length, by).withColumn("normalised", F.coalesce(F.col(value) / F.nullif(F.col("_length"), F.lit(0.0)), F.lit(0.0))).drop("_length")
+
+
+def joined_texts(rows: DataFrame, by: str, text: str, order: list[str], every: DataFrame | None = None) -> DataFrame:
+    """(by, words): the texts of each concept or document in order, one blank between them; an empty text for those of *every* without any."""
+    got = rows.where(F.col(text).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, text))).alias("_t"))
+    got = got.select(by, F.array_join(F.col("_t")[text], " ").alias("words"))
+    return got if every is None else every.select(by).distinct().join(got, by, "left").select(by, F.coalesce("words", F.lit("")).alias("words"))
+
+
+def concept_scores(document_words: DataFrame, concept_weights: DataFrame, key: str = "doc_id", concept: str = "concept") -> DataFrame:
+    """(key, concept, score): for each document and concept the sum of the concept's weights of the words that the document has.
+
+    *document_words* has key and word, counted once for each document; *concept_weights* concept, word, tfidf. A join
+    on the word takes the place of all documents by all concepts.
+    """
+    once = document_words.select(key, "word").distinct()
+    return once.join(concept_weights, "word").groupBy(key, concept).agg(F.sum("tfidf").alias("score"))
+
+
+def pruned(edges: DataFrame, by: str, percent: float | None = None, remove: int | None = None, group: str = "graph_id") -> DataFrame:
+    """Edges with their attribute among the top *percent* of their graph, or without its *remove* lowest; ties by (src, dst)."""
+    from phrasewerk.operators.numbering import numbered
+
+    nr = numbered(edges, [group, by, "src", "dst"], "_nr")
+    ends = nr.groupBy(group).agg(F.min("_nr").alias("_first"), F.count("*").alias("_n"))
+    gone = F.lit(remove) if remove is not None else F.floor(F.col("_n") * F.lit(1 - (percent if percent is not None else 100) / 100))
+    return nr.join(ends, group).where(F.col("_nr") - F.col("_first") >= gone).select(*edges.columns)

@@ -5,45 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasewerk.functions import text as T
+from phrasewerk.functions import vectors as VF
+from phrasewerk.operators import concepts as C
 from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
+from phrasewerk.operators import phrase_graphs as H
 from phrasewerk.operators import phrases as P
 from phrasewerk.operators import provenance as V
-from phrasewerk.operators.concepts import predicted_graphs
+from phrasewerk.operators import vector_store as VS
 from phrasewerk.plans.registry import query
 from phrasewerk.sources.store import written
 from phrasewerk.tables import table
 
-#: Pairs of a process from this cosine on are edges of its graph.
-LEAST = 0.9
+#: The least weight of an edge of the graphs in these queries.
+CUT_OFF = 0.6
 #: Ranks of a graph that change by less than this in sum are done.
 TOLERANCE = 1e-6
 
-_GRAPH = """
-entries AS (SELECT process_name AS graph_id, entry_id AS node_id, min(phrase) AS label, any_value(documents) AS documents, CAST(any_value(phrase_vector) AS DOUBLE[]) AS v, len(any_value(documents)) AS n
-  FROM vector_entries WHERE phrase_vector IS NOT NULL AND len(list_filter(phrase_vector, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
-edges AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, list_cosine_similarity(a.v, b.v) AS weight FROM entries a JOIN entries b ON a.graph_id = b.graph_id AND a.node_id < b.node_id AND len(a.v) = len(b.v)
-  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+_SORTED = "array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(regexp_replace({0}, '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')), ' ')"
+_USABLE = "phrase_vector IS NOT NULL AND len(list_filter(phrase_vector, lambda x: x <> 0)) > 0"
+#: The clusters of the store, a graph for each; a common subsequence is found with one bit of a number for each letter.
+_CLUSTERS = f"""
+raw AS (SELECT process_name, entry_id AS node_id, min(phrase) AS label, min(CAST(phrase_vector AS DOUBLE[])) AS v, any_value(documents) AS documents, any_value(graph_cluster) AS g FROM vector_entries WHERE {_USABLE} GROUP BY 1, 2),
+entries AS (SELECT process_name || '/' || g AS graph_id, node_id, label, v, documents, len(coalesce(documents, [])) AS n FROM (SELECT DISTINCT ON (process_name, g, node_id) * FROM (SELECT process_name, node_id, label, v, documents, unnest(g) AS g FROM raw)) WHERE g IS NOT NULL),
+lab AS (SELECT graph_id, node_id, v, n, length(s) AS k, string_split(s, '') AS cs, (1::HUGEINT << length(s)) - 1 AS whole,
+  map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: (c, list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN substr(s, CAST(i AS INT) + 1, 1) = c THEN 1::HUGEINT << CAST(i AS INT) ELSE 0::HUGEINT END))))) AS m
+  FROM (SELECT *, {_SORTED.format('label')} AS s FROM entries WHERE label IS NOT NULL)),
+pairs AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END AS cosine, a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb,
+  CASE WHEN a.k = 0 OR b.k = 0 THEN 0 ELSE a.k - bit_count(list_reduce(list_prepend(a.whole, list_transform(b.cs, lambda c: coalesce(a.m[c], 0::HUGEINT))), lambda r, h: ((r + (r & h)) | (r - (r & h))) & a.whole)) END AS common
+  FROM lab a JOIN lab b ON a.graph_id = b.graph_id AND a.node_id < b.node_id),
+sim AS (SELECT *, CASE WHEN ka = 0 OR kb = 0 THEN 0 ELSE round_even(200.0::DOUBLE * common / (ka + kb), 0) END / 100 + 0.05::DOUBLE AS similarity FROM pairs),
+weighted AS (SELECT graph_id, src, dst, cosine, 0.5::DOUBLE * similarity + 0.5::DOUBLE * cosine AS weight FROM sim WHERE cosine IS NOT NULL)"""
+_GRAPH = _CLUSTERS + """,
+edges AS (SELECT graph_id, src, dst, weight FROM weighted WHERE weight >= 0.6),
 mir AS (SELECT graph_id, src AS node, dst AS other, weight FROM edges UNION ALL SELECT graph_id, dst, src, weight FROM edges)"""
 _PARTS = """, reach AS (SELECT graph_id, node_id AS node, node_id AS seen FROM entries UNION SELECT r.graph_id, r.node, b.other FROM reach r JOIN mir b ON r.graph_id = b.graph_id AND r.seen = b.node),
 part AS (SELECT graph_id, node AS node_id, min(seen) AS component FROM reach GROUP BY 1, 2)"""
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "vector_entries").where(F.coalesce(F.exists("phrase_vector", lambda x: x != 0), F.lit(False)))
-    return rows.groupBy(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id")).agg(F.min("phrase").alias("label"))
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_id, node_id, label, embedding, documents): the entries of each cluster of each process; an entry delivered twice counts once."""
+    rows = table(spark, sf_dir, "vector_entries").where(VF.usable(F.col("phrase_vector")))
+    once = rows.groupBy("process_name", "entry_id").agg(F.min(F.struct("phrase", "phrase_vector", "documents", "graph_cluster")).alias("e"))
+    each = once.select("process_name", "entry_id", "e", F.explode(F.array_distinct("e.graph_cluster")).alias("g")).where("g is not null")
+    graph = F.concat_ws("/", "process_name", "g").alias("graph_id")
+    return each.select(graph, F.col("entry_id").alias("node_id"), F.col("e.phrase").alias("label"), F.col("e.phrase_vector").alias("embedding"), F.col("e.documents").alias("documents"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes with their vectors; the least one of an entry that is there more than once."""
-    rows = table(spark, sf_dir, "vector_entries").where(F.coalesce(F.exists("phrase_vector", lambda x: x != 0), F.lit(False)))
-    return rows.groupBy(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id")).agg(F.min("phrase").alias("label"), F.min("phrase_vector").alias("phrase_vector"))
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir).select("graph_id", "node_id", "label")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "vector_entries").select("process_name", "entry_id", "phrase_vector")
-    pairs = R.similar_pairs(rows, LEAST, "entry_id", "process_name", "phrase_vector")
-    return pairs.select(F.col("process_name").alias("graph_id"), "src", "dst", F.col("cosine").alias("weight"))
+    """Every pair of a cluster, weighed half by label, half by cosine, from the cut-off on."""
+    return R.weighted_pairs(_members(spark, sf_dir), 0.5, CUT_OFF, "node_id", "graph_id", "embedding").select("graph_id", "src", "dst", "weight")
 
 
 def _stored(df: DataFrame, what: str) -> DataFrame:
@@ -51,27 +67,32 @@ def _stored(df: DataFrame, what: str) -> DataFrame:
     return written(df, what)
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges")
+
+
 def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.exploded(table(spark, sf_dir, "vector_entries").select("process_name", "entry_id", "documents"), "entry_id")
-    own = table(spark, sf_dir, "vector_entries").select("entry_id", F.col("process_name").alias("graph_id")).distinct()
-    return rows.join(own, "entry_id").select("graph_id", F.col("entry_id").alias("node_id"), "document").distinct()
+    """(graph_id, node_id, document)."""
+    return _members(spark, sf_dir).select("graph_id", "node_id", F.explode("documents.id").alias("document")).where("document is not null").distinct()
 
 
-@query("jn03_similar_pairs", "WITH" + _GRAPH + " SELECT graph_id, src, dst, round(weight, 5) AS weight FROM edges")
+@query("jn03_similar_pairs", "WITH" + _CLUSTERS + " SELECT graph_id, src, dst, round(cosine, 5) AS cosine FROM (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, list_cosine_similarity(a.v, b.v) AS cosine FROM entries a JOIN entries b ON a.graph_id = b.graph_id AND a.node_id < b.node_id AND len(a.v) = len(b.v)) WHERE cosine >= -1")
 def jn03_similar_pairs(spark, sf_dir):
-    return _edges(spark, sf_dir).withColumn("weight", F.round("weight", 5))
+    """Every pair of a cluster with its cosine."""
+    pairs = R.similar_pairs(_members(spark, sf_dir), -1.5, "node_id", "graph_id", "embedding")
+    return pairs.withColumn("cosine", F.round("cosine", 5))
 
 
 @query("gr08_components", "WITH RECURSIVE" + _GRAPH + _PARTS + " SELECT graph_id, node_id, component FROM part")
 def gr08_components(spark, sf_dir):
-    return G.components(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))
+    return G.components(*_graph(spark, sf_dir))
 
 
 @query("gr07_largest_component", "WITH RECURSIVE" + _GRAPH + _PARTS + """, s AS (SELECT graph_id, component, count(*) AS n FROM part GROUP BY 1, 2),
 b AS (SELECT graph_id, component FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, component) AS r FROM s) WHERE r = 1)
 SELECT graph_id, node_id FROM part JOIN b USING (graph_id, component)""")
 def gr07_largest_component(spark, sf_dir):
-    return G.largest_component(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))[0].select("graph_id", "node_id")
+    return G.largest_component(*_graph(spark, sf_dir))[0].select("graph_id", "node_id")
 
 
 @query("ag17_strengths", "WITH" + _GRAPH + " SELECT graph_id, node AS node_id, round(sum(weight), 4) AS strength, count(*) AS degree FROM mir GROUP BY 1, 2")
@@ -91,7 +112,7 @@ t AS (SELECT *, CASE WHEN k <= 0 OR p >= 1 THEN 1.0 WHEN p <= 0 THEN 0.0 ELSE le
   lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))) END AS t FROM x)
 SELECT graph_id, src, dst, round(CASE WHEN t <= 0 THEN 709.782712893384 ELSE least(709.782712893384, abs(ln(t))) END, 3) AS significance FROM t""")
 def gr09_significance(spark, sf_dir):
-    return G.significances(_edges(spark, sf_dir)).select("graph_id", "src", "dst", F.round("significance", 3).alias("significance"))
+    return G.significances(_stored(_edges(spark, sf_dir), "edges")).select("graph_id", "src", "dst", F.round("significance", 3).alias("significance"))
 
 
 @query("prj17_graph_statistics", "WITH" + _GRAPH + """, n AS (SELECT graph_id, count(*) AS n_nodes FROM entries GROUP BY 1), e AS (SELECT graph_id, count(*) AS n_edges FROM edges GROUP BY 1)
@@ -103,7 +124,7 @@ def prj17_graph_statistics(spark, sf_dir):
 @query("prj18_adjacency", "WITH" + _GRAPH + """, a AS (SELECT graph_id, node, string_agg(other || ':' || printf('%.3f', weight), ' ' ORDER BY other) AS near FROM mir GROUP BY 1, 2)
 SELECT e.graph_id, node_id, label, coalesce(near, '') AS neighbours FROM entries e LEFT JOIN a ON e.graph_id = a.graph_id AND node_id = node""")
 def prj18_adjacency(spark, sf_dir):
-    rows = G.adjacency(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    rows = G.adjacency(*_graph(spark, sf_dir))
     return rows.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: F.format_string("%d:%.3f", x["other"], x["weight"])), " "))
 
 
@@ -119,69 +140,223 @@ def gr13_document_scores(spark, sf_dir):
     return G.document_scores(_edges(spark, sf_dir), _holders(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
-@query("gr14_path_scores")
+@query("gr14_path_scores", "WITH" + _GRAPH + """, h AS (SELECT DISTINCT graph_id, node_id, d.id AS document FROM (SELECT graph_id, node_id, unnest(documents) AS d FROM entries) WHERE d.id IS NOT NULL),
+p AS (SELECT graph_id, src AS a, dst AS b, weight AS s FROM edges UNION ALL
+  SELECT m.graph_id, m.node, n.other, sum(m.weight + n.weight / 1.5::DOUBLE) / 2 FROM mir m JOIN mir n ON m.graph_id = n.graph_id AND m.other = n.node AND m.node < n.other
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = m.graph_id AND e.src = m.node AND e.dst = n.other) GROUP BY 1, 2, 3),
+x AS (SELECT DISTINCT p.graph_id, a, b, s, document FROM p JOIN h ON p.graph_id = h.graph_id AND (h.node_id = a OR h.node_id = b))
+SELECT document, graph_id, round(sum(s), 4) AS score FROM x GROUP BY 1, 2""")
 def gr14_path_scores(spark, sf_dir):
-    return G.path_scores(_edges(spark, sf_dir), _holders(spark, sf_dir))
+    return G.path_scores(_stored(_edges(spark, sf_dir), "edges"), _holders(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+@query("gr15_community_scores")
+def gr15_community_scores(spark, sf_dir):
+    return G.community_scores(*_graph(spark, sf_dir), _holders(spark, sf_dir))
+
 
+_BIG = _PARTS + """, size AS (SELECT graph_id, component, count(*) AS n FROM part GROUP BY 1, 2),
+big AS (SELECT p.graph_id, p.node_id FROM part p JOIN (SELECT graph_id, component FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, component) AS r FROM size) WHERE r = 1) b USING (graph_id, component))"""
+_SIMPLIFIED = _BIG + """, ranked AS (SELECT e.*, row_number() OVER (PARTITION BY e.graph_id ORDER BY weight, src, dst) AS r, count(*) OVER (PARTITION BY e.graph_id) AS n FROM edges e JOIN big b ON e.graph_id = b.graph_id AND e.src = b.node_id),
+keep AS (SELECT graph_id, src, dst, weight FROM ranked WHERE r > floor(n * 0.5) OR floor(n * 0.5) = 0),
+gone AS (SELECT graph_id, src, dst, weight FROM ranked WHERE r <= floor(n * 0.5)),
+kmir AS (SELECT graph_id, src AS a, dst AS b FROM keep UNION ALL SELECT graph_id, dst, src FROM keep),
+kreach AS (SELECT graph_id, node_id AS a, node_id AS seen FROM big UNION SELECT r.graph_id, r.a, m.b FROM kreach r JOIN kmir m ON r.graph_id = m.graph_id AND r.seen = m.a),
+kpart AS (SELECT graph_id, a AS node_id, min(seen) AS c FROM kreach GROUP BY 1, 2),
+bridge AS (SELECT g.graph_id, least(x.c, y.c) AS ca, greatest(x.c, y.c) AS cb, src, dst, weight, row_number() OVER (PARTITION BY g.graph_id ORDER BY weight DESC, least(x.c, y.c), greatest(x.c, y.c), src, dst) AS r FROM gone g
+  JOIN kpart x ON g.graph_id = x.graph_id AND g.src = x.node_id JOIN kpart y ON g.graph_id = y.graph_id AND g.dst = y.node_id WHERE x.c <> y.c),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, ca, cb ORDER BY r) AS q FROM bridge) WHERE q = 1),
+bmir AS (SELECT graph_id, ca AS a, cb AS b, r FROM best UNION ALL SELECT graph_id, cb, ca, r FROM best),
+breach AS (SELECT graph_id, r, ca AS goal, cb AS seen FROM best UNION SELECT x.graph_id, x.r, x.goal, m.b FROM breach x JOIN bmir m ON x.graph_id = m.graph_id AND x.seen = m.a AND m.r < x.r),
+back AS (SELECT b.graph_id, src, dst, weight FROM best b WHERE NOT EXISTS (SELECT 1 FROM breach x WHERE x.graph_id = b.graph_id AND x.r = b.r AND x.seen = x.goal)),
+simple AS (SELECT * FROM keep UNION ALL SELECT * FROM back)"""
 
-@query("gr07_simplified")
+
+@query("gr07_simplified", "WITH RECURSIVE" + _GRAPH + _SIMPLIFIED + " SELECT graph_id, src, dst, round(weight, 6) AS weight FROM simple")
 def gr07_simplified(spark, sf_dir):
-    return G.simplified(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))[1]
+    return G.simplified(*_graph(spark, sf_dir))[1].withColumn("weight", F.round("weight", 6))
 
 
 @query("gr11_spanning_forest")
 def gr11_spanning_forest(spark, sf_dir):
-    return G.spanning_forest(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"))
+    return G.spanning_forest(*_graph(spark, sf_dir))
+
+
+@query("gr11_unrolled")
+def gr11_unrolled(spark, sf_dir):
+    """The heavier half of each graph as a tree, its parts joined by edges of the whole graph."""
+    nodes, edges = _graph(spark, sf_dir)
+    heavy = _stored(edges.where("weight >= 0.75"), "heavy")
+    return G.unrolled(nodes, heavy, edges)[1]
+
+
+@query("gr12_sub_clusters")
+def gr12_sub_clusters(spark, sf_dir):
+    """Nodes that are exemplars of sub-clusters, and the number of edges to their members."""
+    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = G.sub_clusters(nodes, edges, edges, tries=5)
+    to = G.mirrored(edges.where("sub_cluster")).groupBy("graph_id", F.col("node").alias("node_id")).agg(F.count("*").alias("n_members"))
+    return nodes.where("root").join(to, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("n_members", F.lit(0)).alias("n_members"))
+
+
+@query("ag22_edge_means", "WITH" + _GRAPH + " SELECT graph_id, round(avg(weight), 6) AS mean_weight FROM edges GROUP BY 1")
+def ag22_edge_means(spark, sf_dir):
+    return G.edge_means(_edges(spark, sf_dir)).select("graph_id", F.round("mean_weight", 6).alias("mean_weight"))
+
+
+@query("ag22_component_ranks", "WITH RECURSIVE" + _GRAPH + _PARTS + """, d AS (SELECT graph_id, node, count(*) AS d FROM mir GROUP BY 1, 2)
+SELECT p.graph_id, component, round(avg(coalesce(d, 0)), 6) AS mean_rank, count(*) AS n_nodes FROM part p LEFT JOIN d ON p.graph_id = d.graph_id AND p.node_id = d.node GROUP BY 1, 2""")
+def ag22_component_ranks(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return G.component_ranks(nodes, edges, G.degree_ranks(edges)).withColumn("mean_rank", F.round("mean_rank", 6))
+
+
+@query("tk07_top_edges", "WITH" + _GRAPH + """ SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY weight, src, dst) AS r, count(*) OVER (PARTITION BY graph_id) AS n FROM edges) WHERE r > floor(n * 0.75)""")
+def tk07_top_edges(spark, sf_dir):
+    """The heaviest quarter of each graph's edges."""
+    return P.pruned(_edges(spark, sf_dir), "weight", percent=25).select("graph_id", "src", "dst")
 
 
 @query("gr10_page_rank")
 def gr10_page_rank(spark, sf_dir):
-    return G.page_rank(_stored(_nodes(spark, sf_dir), "nodes"), _stored(_edges(spark, sf_dir), "edges"), tolerance=TOLERANCE)
+    return G.page_rank(*_graph(spark, sf_dir), tolerance=TOLERANCE)
+
+
+def _links(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    """(graph_id, document, node_id, weight): the scaled TF-IDF of each phrase in each file of its process, for every graph that has the phrase."""
+    ids = table(spark, sf_dir, "corpus_files").select("process_name", F.col("id").alias("document"), "file_id").distinct()
+    held = table(spark, sf_dir, "vector_entries").select("process_name", F.col("entry_id").alias("node_id"), F.explode("documents").alias("d"))
+    held = held.select("process_name", "node_id", F.col("d.id").alias("document"), F.explode_outer("d.offsets").alias("o"))
+    # an occurrence counts once; a document without places holds the phrase once
+    counts = held.groupBy("process_name", "node_id", "document").agg(F.greatest(F.count_distinct("o"), F.lit(1)).alias("tf"))
+    counts = counts.join(ids, ["process_name", "document"]).select("process_name", "node_id", "file_id", "tf")
+    sizes = ids.groupBy("process_name").agg(F.count_distinct("file_id").alias("n_documents"))
+    weights = P.scaled_tf_idf(counts, sizes, "process_name", "file_id", "node_id").select("process_name", "node_id", F.col("file_id").alias("document"), F.col("scaled").alias("weight"))
+    own = nodes.select("graph_id", "node_id", F.regexp_replace("graph_id", "/[^/]*$", "").alias("process_name"))
+    return weights.join(own, ["process_name", "node_id"]).select("graph_id", "document", "node_id", "weight")
+
+
+@query("jn14_scaled_links", "WITH" + _CLUSTERS + """, ids AS (SELECT DISTINCT process_name, id, file_id FROM corpus_files),
+h AS (SELECT process_name, entry_id AS node_id, d.id AS id, unnest(CASE WHEN len(d.offsets) > 0 THEN d.offsets ELSE [NULL] END) AS o FROM (SELECT process_name, entry_id, unnest(documents) AS d FROM vector_entries)),
+tf AS (SELECT process_name, node_id, file_id, greatest(count(DISTINCT o), 1) AS tf FROM h JOIN ids USING (process_name, id) GROUP BY 1, 2, 3),
+df AS (SELECT process_name, node_id, count(*) AS df FROM tf GROUP BY 1, 2), nd AS (SELECT process_name, count(DISTINCT file_id) AS nd FROM ids GROUP BY 1),
+w AS (SELECT process_name, node_id, file_id, df, nd, x / sqrt(sum(x * x) OVER (PARTITION BY process_name, file_id)) AS w FROM (SELECT *, tf * (ln((1.0 + nd) / (1 + df)) + 1) AS x FROM tf JOIN df USING (process_name, node_id) JOIN nd USING (process_name))),
+e AS (SELECT process_name, node_id, max(w) AS hi, CASE WHEN max(df) < max(nd) THEN 0 ELSE min(w) END AS lo FROM w GROUP BY 1, 2)
+SELECT graph_id, file_id AS document, node_id, round(coalesce((w - lo) / nullif(hi - lo, 0), 0), 6) AS weight FROM w JOIN e USING (process_name, node_id) JOIN (SELECT graph_id, node_id, regexp_replace(graph_id, '/[^/]*$', '') AS process_name FROM entries) USING (process_name, node_id)""")
+def jn14_scaled_links(spark, sf_dir):
+    return _links(spark, sf_dir, _nodes(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query("gr16_page_rank_scores")
 def gr16_page_rank_scores(spark, sf_dir):
-    """Files as documents: their numbers stand for them in the graph; the scaled TF-IDF of a phrase in a document is the weight of their link."""
-    nodes = _stored(_nodes(spark, sf_dir), "nodes")
-    ids = table(spark, sf_dir, "corpus_files").select(F.col("process_name").alias("graph_id"), F.col("id").alias("document"), "file_id").distinct()
-    held = table(spark, sf_dir, "vector_entries").select(F.col("process_name").alias("graph_id"), F.col("entry_id").alias("node_id"), F.explode("documents").alias("d"))
-    held = held.select("graph_id", "node_id", F.col("d.id").alias("document"), F.explode_outer("d.offsets").alias("o"))
-    # an occurrence counts once; a document without places holds the phrase once
-    counts = held.groupBy("graph_id", "node_id", "document").agg(F.greatest(F.count_distinct("o"), F.lit(1)).alias("tf"))
-    counts = counts.join(ids, ["graph_id", "document"]).select("graph_id", "node_id", "file_id", "tf")
-    sizes = ids.groupBy("graph_id").agg(F.count_distinct("file_id").alias("n_documents"))
-    links = P.scaled_tf_idf(counts, sizes, "graph_id", "file_id", "node_id").select("graph_id", "node_id", F.col("file_id").alias("document"), F.col("scaled").alias("weight"))
-    links = _stored(links.join(nodes.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi"), "links")
-    return G.page_rank_scores(nodes, _stored(_edges(spark, sf_dir), "edges"), links, tolerance=TOLERANCE)
+    """Files as documents, their numbers standing for them in the graph."""
+    nodes, edges = _graph(spark, sf_dir)
+    return H.document_concepts(nodes, edges, _links(spark, sf_dir, nodes), TOLERANCE)
+
+
+@query("gr17_document_concept_matrix")
+def gr17_document_concept_matrix(spark, sf_dir):
+    """The document-concept matrix of unrolled graphs, and its rows of length one."""
+    nodes, edges = H.concept_graphs(_members(spark, sf_dir), _SETTINGS)
+    nodes, edges = _stored(nodes, "nodes"), _stored(edges, "edges")
+    return P.row_normalised(H.document_concepts(nodes, edges, _links(spark, sf_dir, nodes), TOLERANCE), "document")
+
+
+@query("ag06_row_normalised", "WITH" + _GRAPH + """, h AS (SELECT DISTINCT graph_id, node_id, d.id AS document FROM (SELECT graph_id, node_id, unnest(documents) AS d FROM entries) WHERE d.id IS NOT NULL),
+x AS (SELECT DISTINCT e.graph_id, src, dst, weight, document FROM edges e JOIN h ON e.graph_id = h.graph_id AND (h.node_id = src OR h.node_id = dst)), s AS (SELECT document, graph_id, sum(weight) AS score FROM x GROUP BY 1, 2)
+SELECT document, graph_id, round(score / sqrt(sum(score * score) OVER (PARTITION BY document)), 6) AS normalised FROM s""")
+def ag06_row_normalised(spark, sf_dir):
+    scores = G.document_scores(_stored(_edges(spark, sf_dir), "edges"), _holders(spark, sf_dir))
+    return P.row_normalised(scores, "document").select("document", "graph_id", F.round("normalised", 6).alias("normalised"))
 
 
-@query("gr01_phrase_graph")
+_WORDS_OF = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query("ag07_concept_words", "WITH" + _CLUSTERS + " SELECT graph_id, string_agg(label, ' ' ORDER BY node_id) AS words FROM entries WHERE label IS NOT NULL GROUP BY 1")
+def ag07_concept_words(spark, sf_dir):
+    """The phrases of each concept as one text."""
+    return P.joined_texts(_nodes(spark, sf_dir), "graph_id", "label", ["node_id"])
+
+
+@query("ag08_concept_scores", "WITH" + _CLUSTERS + f""", cw AS (SELECT graph_id, unnest({_WORDS_OF.format('label')}) AS word FROM entries WHERE label IS NOT NULL), tf AS (SELECT graph_id, word, count(*) AS tf FROM cw GROUP BY 1, 2),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT graph_id) AS n FROM tf), x AS (SELECT graph_id, word, tf * (ln((1.0 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (word), n),
+w AS (SELECT graph_id, word, x / sqrt(sum(x * x) OVER (PARTITION BY graph_id)) AS w FROM x),
+dw AS (SELECT DISTINCT process_name || ':' || d.id AS document, unnest({_WORDS_OF.format('label')}) AS word FROM (SELECT process_name, label, unnest(documents) AS d FROM raw WHERE label IS NOT NULL) WHERE d.id IS NOT NULL)
+SELECT document, graph_id, round(sum(w), 5) AS score FROM dw JOIN w USING (word) WHERE starts_with(graph_id, split_part(document, ':', 1) || '/') GROUP BY 1, 2""")
+def ag08_concept_scores(spark, sf_dir):
+    """For each document and concept of its process the concept's TF-IDF weights of the words of the document's phrases."""
+    nodes = _nodes(spark, sf_dir).where("label is not null")
+    tokens = nodes.select("graph_id", F.explode(T.words(F.col("label"))).alias("phrase"))
+    n = tokens.select("graph_id").distinct().count()
+    weights = P.tf_idf(tokens, n, "graph_id").withColumnRenamed("phrase", "word")
+    rows = table(spark, sf_dir, "vector_entries").where(VF.usable(F.col("phrase_vector")) & F.col("phrase").isNotNull())
+    own = rows.select("process_name", "phrase", F.explode("documents.id").alias("id")).where("id is not null").distinct()
+    words = own.select("process_name", F.concat_ws(":", "process_name", "id").alias("doc_id"), F.explode(T.words(F.col("phrase"))).alias("w"))
+    # a word of a process meets the concepts of that process only
+    words = words.select("doc_id", F.concat_ws(" ", "process_name", "w").alias("word"))
+    weights = weights.select("graph_id", F.concat_ws(" ", F.regexp_replace("graph_id", "/[^/]*$", ""), "word").alias("word"), "tfidf")
+    return P.concept_scores(words, weights, "doc_id", "graph_id").select(F.col("doc_id").alias("document"), "graph_id", F.round("score", 5).alias("score"))
+
+
+@query("gr01_phrase_graph", "WITH" + _CLUSTERS + " SELECT graph_id, src, dst, round(cosine, 5) AS cosine, round(weight, 5) AS weight FROM weighted WHERE weight >= 0.6")
 def gr01_phrase_graph(spark, sf_dir):
-    """Edges weighted half by label, half by cosine: every pair of a process that reaches the cut-off."""
-    return R.weighted_pairs(_labelled(spark, sf_dir), 0.5, 0.6, "node_id", "graph_id", "phrase_vector")
+    """Edges weighted half by label, half by cosine: every pair of a cluster that reaches the cut-off."""
+    edges = R.weighted_pairs(_members(spark, sf_dir), 0.5, CUT_OFF, "node_id", "graph_id", "embedding")
+    return edges.withColumns({"cosine": F.round("cosine", 5), "weight": F.round("weight", 5)})
+
+
+_MERGED = """, lost AS (SELECT graph_id, CASE WHEN na < nb OR (na = nb AND src > dst) THEN src ELSE dst END AS removed, CASE WHEN na < nb OR (na = nb AND src > dst) THEN dst ELSE src END AS kept,
+  greatest(na, nb) AS d FROM sim WHERE similarity >= 0.95),
+step AS (SELECT graph_id, removed, arg_max(kept, struct_pack(d := d, k := -kept)) AS kept FROM lost GROUP BY 1, 2),
+chain AS (SELECT graph_id, removed, kept FROM step UNION SELECT c.graph_id, c.removed, s.kept FROM chain c JOIN step s ON c.graph_id = s.graph_id AND c.kept = s.removed),
+final AS (SELECT c.* FROM chain c WHERE NOT EXISTS (SELECT 1 FROM step s WHERE s.graph_id = c.graph_id AND s.removed = c.kept))"""
 
 
-@query("gr02_merged_phrases")
+@query("gr02_merged_phrases", "WITH RECURSIVE" + _CLUSTERS + _MERGED + " SELECT graph_id, removed, kept FROM final")
 def gr02_merged_phrases(spark, sf_dir):
-    """Near-duplicate labels of a process, whatever their cosine, and the phrase that stays."""
-    nodes = _stored(_nodes(spark, sf_dir), "nodes")
-    counts = _holders(spark, sf_dir).groupBy("graph_id", "node_id").agg(F.count("*").alias("n_documents"))
-    sized = nodes.join(counts, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
-    similar = _stored(R.close_labels(nodes, 0.95, "node_id", "graph_id"), "similar")
-    return R.merged_phrases(similar, sized)
+    """Near-duplicate labels of a cluster, whatever their cosine, and the phrase that stays."""
+    return H.merged(_members(spark, sf_dir))[1]
 
 
-_SORTED = "array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(regexp_replace({0}, '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')), ' ')"
+@query("gr04_cluster_members", "WITH" + _CLUSTERS + """, c AS (SELECT graph_id, list(m ORDER BY i) AS c FROM (SELECT graph_id, i, avg(v[i]) AS m FROM (SELECT graph_id, v, unnest(range(1, len(v) + 1)) AS i FROM entries) GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT graph_id, node_id FROM entries JOIN c USING (graph_id) WHERE len(v) = len(c) AND list_cosine_similarity(v, c) >= 0.6)
+SELECT graph_id, node_id FROM s WHERE graph_id IN (SELECT graph_id FROM s GROUP BY 1 HAVING count(*) >= 3)""")
+def gr04_cluster_members(spark, sf_dir):
+    return H.selected(_members(spark, sf_dir), H.GraphSettings(cluster_min_size=3)).select("graph_id", "node_id")
+
+
+#: The settings of the end-to-end graphs.
+_SETTINGS = H.GraphSettings(cluster_min_size=3, graph_weight_cut_off=CUT_OFF)
+
+
+@query("gr05_concept_graphs")
+def gr05_concept_graphs(spark, sf_dir):
+    """All graphs end to end: selected, merged, weighed, simplified by significance, unrolled."""
+    settings = H.GraphSettings(cluster_min_size=3, graph_weight_cut_off=CUT_OFF, graph_simplify_alg="significance")
+    return H.concept_graphs(_members(spark, sf_dir), settings)[1]
+
+
+@query("gr06_post_processed")
+def gr06_post_processed(spark, sf_dir):
+    """The graphs of the store's clusters simplified by weight and unrolled, with their statistics."""
+    return G.statistics(*H.post_processed(*_graph(spark, sf_dir), _SETTINGS))
 
 
-@query("sc03_label_similarity", f"""WITH n AS (SELECT n_regionkey, n_nationkey, {_SORTED.format('n_name')} AS s FROM nation),
-p AS (SELECT a.n_regionkey, a.n_nationkey AS src, b.n_nationkey AS dst, a.s AS x, b.s AS y FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
-l AS (SELECT n_regionkey, src, dst, x, y, list_reduce(list_prepend(list_transform(range(0, length(y) + 1), lambda q: 0), list_transform(string_split(x, ''), lambda c:
-  list_prepend(-1, list_transform(string_split(y, ''), lambda d: CASE WHEN c = d THEN 1 ELSE 0 END)))), lambda prev, eq:
-  list_reduce(list_prepend([0], list_transform(range(2, len(eq) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN eq[j[1]] = 1 THEN prev[j[1] - 1] + 1 ELSE greatest(prev[j[1]], acc[j[1] - 1]) END)))[length(y) + 1] AS lcs FROM p)
-SELECT n_regionkey, src, dst, round_even(200.0 * lcs / (length(x) + length(y)), 0) / 100 + 0.05 AS similarity FROM l""")
+@query("gr05_graph_nodes", "WITH RECURSIVE" + _CLUSTERS + _MERGED + """, n AS (SELECT e.graph_id, node_id, label, n FROM entries e WHERE NOT EXISTS (SELECT 1 FROM step s WHERE s.graph_id = e.graph_id AND s.removed = e.node_id)),
+d AS (SELECT graph_id, node_id, d.id AS id FROM (SELECT graph_id, node_id, unnest(documents) AS d FROM entries) WHERE d.id IS NOT NULL),
+h AS (SELECT graph_id, node_id, id FROM d UNION SELECT f.graph_id, f.kept, d.id FROM final f JOIN d ON f.graph_id = d.graph_id AND f.removed = d.node_id)
+SELECT n.graph_id, n.node_id, n.label, count(DISTINCT h.id) AS n_documents FROM n LEFT JOIN h ON n.graph_id = h.graph_id AND n.node_id = h.node_id GROUP BY 1, 2, 3""")
+def gr05_graph_nodes(spark, sf_dir):
+    """Nodes after the merge, with the documents of the phrases merged into them."""
+    nodes, _ = H.merged(_members(spark, sf_dir))
+    return nodes.select("graph_id", "node_id", "label", F.coalesce(F.size(F.array_distinct("documents.id")), F.lit(0)).cast("long").alias("n_documents")).withColumn("n_documents", F.greatest("n_documents", F.lit(0)))
+
+
+@query("sc03_label_similarity", "WITH" + _CLUSTERS + " SELECT graph_id, src, dst, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.8")
 def sc03_label_similarity(spark, sf_dir):
-    return R.label_pairs(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", "n_name")
+    """Pairs of labels of a cluster by their words in order, from a similarity of 0.8 on."""
+    return R.close_labels(_nodes(spark, sf_dir), 0.8, "node_id", "graph_id").withColumn("similarity", F.round("similarity", 6))
 
 
 _ADDED = "coalesce(lower(source) = 'document_addition', FALSE)"
@@ -250,27 +425,64 @@ def ag12_graphs_of_nodes(spark, sf_dir):
     return rows.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("g")), " ").alias("graphs"))
 
 
-@query("vs07_predicted_graphs", "WITH" + _GRAPH + """, g AS (SELECT DISTINCT entry_id, unnest(graph_cluster) AS graph FROM vector_entries), t AS (SELECT graph_id, node, max(weight) AS top FROM mir GROUP BY 1, 2),
-x AS (SELECT m.node AS entry_id, graph, avg(weight) AS m, count(*) AS n FROM mir m JOIN t ON m.graph_id = t.graph_id AND m.node = t.node JOIN g ON g.entry_id = other WHERE weight >= 0.5 * top AND graph IS NOT NULL GROUP BY 1, 2)
-SELECT entry_id, graph, round(2 * m * n / (m + n), 5) AS fused FROM x""")
+_NEAREST = f"""v AS (SELECT DISTINCT ON (entry_id) entry_id, process_name, CAST(phrase_vector AS DOUBLE[]) AS v FROM vector_entries WHERE {_USABLE}),
+c AS (SELECT a.entry_id, b.entry_id AS other, round(list_cosine_similarity(a.v, b.v), 12) AS cosine FROM v a JOIN v b ON a.process_name = b.process_name AND a.entry_id <> b.entry_id AND len(a.v) = len(b.v) WHERE a.entry_id % 100 = 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY cosine DESC, other) AS rank FROM c) WHERE rank <= 10)"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest entries in its process of every hundredth entry."""
+    rows = table(spark, sf_dir, "vector_entries")
+    return C.nearest(rows, rows.where("entry_id % 100 = 0"), "entry_id", "phrase_vector", "process_name", 10)
+
+
+@query("vs07_nearest", f"WITH {_NEAREST} SELECT entry_id, other, rank, round(cosine, 5) AS cosine FROM near")
+def vs07_nearest(spark, sf_dir):
+    return _nearest(spark, sf_dir).select("entry_id", "other", "rank", F.round("cosine", 5).alias("cosine"))
+
+
+_PREDICTED = f"""{_NEAREST}, g AS (SELECT DISTINCT entry_id, unnest(graph_cluster) AS graph FROM vector_entries), t AS (SELECT entry_id, max(cosine) AS top FROM near GROUP BY 1),
+x AS (SELECT n.entry_id, graph, avg(cosine) AS m, count(*) AS n FROM near n JOIN t ON n.entry_id = t.entry_id JOIN g ON g.entry_id = other WHERE cosine >= 0.5 * top AND graph IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT entry_id, graph, 2 * m * n / (m + n) AS fused FROM x)"""
+
+
+@query("vs07_predicted_graphs", f"WITH {_PREDICTED} SELECT entry_id, graph, round(fused, 5) AS fused FROM f")
 def vs07_predicted_graphs(spark, sf_dir):
-    """Graph labels of each entry's neighbours in its process, by fused score."""
-    near = G.mirrored(_edges(spark, sf_dir), "weight").select(F.col("node").alias("entry_id"), "other", F.col("weight").alias("cosine"))
-    return predicted_graphs(near, table(spark, sf_dir, "vector_entries"), "entry_id", "other").withColumn("fused", F.round("fused", 5))
+    """Graph labels of the neighbours of every hundredth entry, by fused score."""
+    found = C.predicted_graphs(_nearest(spark, sf_dir), table(spark, sf_dir, "vector_entries"), "entry_id", "other")
+    return found.withColumn("fused", F.round("fused", 5))
+
+
+@query("tk06_best_graphs", f"WITH {_PREDICTED} SELECT entry_id, graph FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY round(fused, 9) DESC, graph) AS r FROM f) WHERE r = 1")
+def tk06_best_graphs(spark, sf_dir):
+    found = C.predicted_graphs(_nearest(spark, sf_dir), table(spark, sf_dir, "vector_entries"), "entry_id", "other")
+    return C.best_graph(found.withColumn("fused", F.round("fused", 9)), "entry_id").select("entry_id", "graph")
+
+
+@query("vs10_suggested_graphs", f"""WITH {_PREDICTED}, d AS (SELECT DISTINCT entry_id, process_name || ':' || d.id AS document FROM (SELECT entry_id, process_name, unnest(documents) AS d FROM vector_entries) WHERE d.id IS NOT NULL)
+SELECT document, graph, round(avg(fused), 5) AS score, count(*) AS n_phrases FROM d JOIN f USING (entry_id) GROUP BY 1, 2""")
+def vs10_suggested_graphs(spark, sf_dir):
+    """Graphs for the documents of the asked entries: the mean score over a document's phrases."""
+    rows = table(spark, sf_dir, "vector_entries")
+    found = C.predicted_graphs(_nearest(spark, sf_dir), rows, "entry_id", "other")
+    held = rows.select("entry_id", "process_name", F.explode("documents.id").alias("d")).where("d is not null").select("entry_id", F.concat_ws(":", "process_name", "d").alias("document")).distinct()
+    return held.join(found, "entry_id").groupBy("document", "graph").agg(F.round(F.avg("fused"), 5).alias("score"), F.count("*").alias("n_phrases"))
 
 
-@query("vs03_duplicates_of_added", "WITH" + _GRAPH + f""", a AS (SELECT DISTINCT entry_id FROM vector_entries WHERE {_ADDED})
-SELECT node AS entry_id, min(other) AS retained FROM mir WHERE weight >= 0.98 AND node IN (SELECT entry_id FROM a) AND other NOT IN (SELECT entry_id FROM a) GROUP BY 1""")
-def vs03_duplicates_of_added(spark, sf_dir):
-    """Added entries that the store of their process has already (cosine 0.98 or more), and the entry that stays."""
-    added = table(spark, sf_dir, "vector_entries").where(_ADDED).select("entry_id").distinct()
-    near = G.mirrored(_edges(spark, sf_dir).where("weight >= 0.98")).select(F.col("node").alias("entry_id"), "other")
-    old = near.join(added, "entry_id", "left_semi").join(added.withColumnRenamed("entry_id", "other"), "other", "left_anti")
-    return old.groupBy("entry_id").agg(F.min("other").alias("retained"))
+@query("vs03_duplicates", f"WITH {_NEAREST} SELECT entry_id, min(other) AS retained FROM c WHERE cosine >= 0.98 GROUP BY 1")
+def vs03_duplicates(spark, sf_dir):
+    """Every hundredth entry that the store of its process has already (cosine 0.98 or more), and the smallest entry it repeats."""
+    rows = table(spark, sf_dir, "vector_entries")
+    asks = rows.where("entry_id % 100 = 0").select(F.col("entry_id").alias("ask"), "process_name", F.col("phrase_vector").alias("v"))
+    return VS.duplicates(asks, rows.select("entry_id", "process_name", F.col("phrase_vector").alias("v")), 0.98, "process_name").groupBy(F.col("ask").alias("entry_id")).agg(F.min("entry_id").alias("retained"))
 
 
-@query("ag20_folded_additions", f"""WITH r AS (SELECT process_name AS phrase_id, process_name AS graph_id, phrase AS text, d.id AS document FROM (SELECT process_name, phrase, unnest(documents) AS d FROM vector_entries WHERE {_ADDED}) WHERE d.id IS NOT NULL)
-SELECT phrase_id, min(graph_id) AS graph_id, min(text) AS text, string_agg(DISTINCT document, ' ' ORDER BY document) AS documents FROM r GROUP BY 1""")
+@query("ag20_folded_additions", f"""WITH r AS (SELECT entry_id AS phrase_id, unnest(graph_cluster) AS graph_id, phrase AS text, documents FROM vector_entries WHERE {_ADDED}),
+d AS (SELECT phrase_id, graph_id, text, d.id AS document FROM (SELECT phrase_id, graph_id, text, unnest(documents) AS d FROM r) WHERE d.id IS NOT NULL)
+SELECT phrase_id, min(graph_id) AS graph_id, min(text) AS text, string_agg(DISTINCT document, ' ' ORDER BY document) AS documents FROM d GROUP BY 1""")
 def ag20_folded_additions(spark, sf_dir):
-    rows = table(spark, sf_dir, "vector_entries").where(_ADDED).select(F.col("process_name").alias("phrase_id"), F.col("process_name").alias("graph_id"), F.col("phrase").alias("text"), F.explode("documents.id").alias("document"))
+    """The phrases of added documents that have a graph: their smallest graph and text, all their documents."""
+    rows = table(spark, sf_dir, "vector_entries").where(_ADDED)
+    rows = rows.select(F.col("entry_id").alias("phrase_id"), F.explode("graph_cluster").alias("graph_id"), F.col("phrase").alias("text"), "documents")
+    rows = rows.select("phrase_id", "graph_id", "text", F.explode("documents.id").alias("document"))
     return V.folded_additions(rows.where("document is not null")).withColumn("documents", F.array_join("documents", " "))

@@ -243,7 +243,7 @@ def neg06_negated_words(spark, sf_dir):
 
 @query("neg03_trigger_matches", _NEGATION + "SELECT doc_id, line_no, kind, b AS first, e AS last FROM m")
 def neg03_trigger_matches(spark, sf_dir):
-    return N.matches(N.line_words(_lines(spark, sf_dir), "doc_id", "line_no"), N.triggers(spark), "doc_id", "line_no")
+    return N.matches(N.line_words(_lines(spark, sf_dir), "doc_id", "line_no"), "doc_id", "line_no")
 
 
 @query("neg05_boundaries", "WITH" + _LINES + f""", trig(kind, trig, n) AS (VALUES {_TRIGGERS}),
@@ -257,12 +257,12 @@ def neg05_boundaries(spark, sf_dir):
 @query("ag01_negated_reset", _NEGATION + """, p AS (SELECT doc_id, word AS phrase, line_no * 1000000 + word_no AS at, bool_or(FALSE) AS x FROM placed GROUP BY 1, 2, 3), n AS (
 SELECT p.doc_id, p.line_no, word_no, word, coalesce(bool_or(r.part = p.part AND ((kind = 'preceding' AND r.b < word_no) OR (kind = 'following' AND r.e > word_no + 1))), FALSE) AND NOT coalesce(bool_or(r.b <= word_no AND word_no < r.e), FALSE) AS negated
 FROM placed p LEFT JOIN reach r ON p.doc_id = r.doc_id AND p.line_no = r.line_no GROUP BY 1, 2, 3, 4),
-s AS (SELECT doc_id, word AS phrase, negated, (doc_id * 1000000 + line_no) * 10000 + word_no AS seq FROM n),
+s AS (SELECT doc_id, word AS phrase, negated, struct_pack(d := doc_id, l := line_no, w := word_no) AS seq FROM n),
 l AS (SELECT *, max(CASE WHEN negated THEN seq END) OVER (PARTITION BY phrase) AS last FROM s)
 SELECT phrase, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents FROM l WHERE last IS NULL OR seq > last GROUP BY phrase""")
 def ag01_negated_reset(spark, sf_dir):
     words = N.negated_words(_lines(spark, sf_dir), "doc_id", "line_no")
-    seq = (F.col("doc_id") * 1_000_000 + F.col("line_no")) * 10_000 + F.col("word_no")
+    seq = F.struct("doc_id", "line_no", "word_no")
     kept = P.skip_negated(words.select("doc_id", F.col("word").alias("phrase"), "negated", seq.alias("seq")), "reset")
     return P.phrase_table(kept)
 

@@ -66,8 +66,7 @@ m AS (SELECT cluster, label, count(*) AS n FROM a GROUP BY 1, 2)"""
 
 
 def _assigned(spark, sf_dir):
-    near = C.near_centres(_vectors(spark, sf_dir), _centres(spark, sf_dir), "label", "vec_id", "embedding", -2.0)
-    best = near.groupBy("vec_id").agg(F.max_by("label", F.struct(F.round("cosine", 9), -F.col("label"))).alias("cluster"))
+    best = C.nearest_centre(_vectors(spark, sf_dir), _centres(spark, sf_dir), "label", "vec_id", "embedding").withColumnRenamed("label", "cluster")
     return best.join(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
 
 
@@ -89,9 +88,9 @@ def ag09_fused_scores(spark, sf_dir):
     return M.harmonic(rows, ["event_type", "user_id"], "value").select("event_type", "user_id", F.round("fused", 5).alias("fused"))
 
 
-@query("tk01_top_cosine", "WITH" + _CENTRES + ", o AS (SELECT v AS o FROM v WHERE vec_id = (SELECT min(vec_id) FROM v)) SELECT vec_id, round(list_cosine_similarity(v, o), 6) AS cosine FROM v, o ORDER BY list_cosine_similarity(v, o) DESC, vec_id LIMIT 20")
+@query("tk01_top_cosine", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0), o AS (SELECT v AS o FROM v WHERE vec_id = (SELECT min(vec_id) FROM v)) SELECT vec_id, round(list_cosine_similarity(v, o), 6) AS cosine FROM v, o ORDER BY list_cosine_similarity(v, o) DESC, vec_id LIMIT 20")
 def tk01_top_cosine(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).where("label is not null")
+    rows = _vectors(spark, sf_dir)
     one = rows.where(VF.usable(F.col("embedding"))).orderBy("vec_id").first().embedding
     return C.top_cosine(rows, one, "vec_id", "embedding", top=20).withColumn("cosine", F.round("cosine", 6))
 
@@ -101,6 +100,33 @@ def ml04_k_means(spark, sf_dir):
     return C.k_means(_vectors(spark, sf_dir), "vec_id", "embedding", 10)
 
 
+@query("ml04_mini_batch")
+def ml04_mini_batch(spark, sf_dir):
+    return C.clustered(_vectors(spark, sf_dir), "vec_id", "embedding", "kmeans-mb", 10)
+
+
+@query("ml04_affinity")
+def ml04_affinity(spark, sf_dir):
+    """Exemplars within each label."""
+    return C.affinity_clusters(_vectors(spark, sf_dir).where("label is not null"), "label", "vec_id", "embedding")
+
+
+@query("ml03_reduced")
+def ml03_reduced(spark, sf_dir):
+    """The vectors on their first two principal components."""
+    return C.reduced(_vectors(spark, sf_dir), "vec_id", "embedding", 2)
+
+
 @query("ml06_chosen_k")
 def ml06_chosen_k(spark, sf_dir):
-    return spark.createDataFrame([(C.chosen_k(_vectors(spark, sf_dir), "embedding", [2, 6, 10, 14]),)], "k int")
+    """Every number of clusters from 2 to 99 on 15 samples."""
+    return spark.createDataFrame([(C.chosen_k(_vectors(spark, sf_dir), "embedding"),)], "k int")
+
+
+@query("ag13_concept_phrases", "WITH" + _CENTRES + """, n AS (SELECT c.label, vec_id, list_cosine_similarity(v, c) AS cosine FROM v CROSS JOIN c WHERE list_cosine_similarity(v, c) >= 0.1),
+r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rank FROM n)
+SELECT label, string_agg('v' || vec_id, ' ' ORDER BY rank) AS phrases FROM r WHERE rank <= 15 GROUP BY 1""")
+def ag13_concept_phrases(spark, sf_dir):
+    near = C.near_centres(_vectors(spark, sf_dir), _centres(spark, sf_dir), "label", "vec_id", "embedding", 0.1)
+    names = _vectors(spark, sf_dir).select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"))
+    return C.concept_phrases(C.representatives(near, "label", "vec_id", 15), names, "label", "vec_id", "text").withColumn("phrases", F.array_join("phrases", " "))

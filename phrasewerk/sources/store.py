@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import re
 import shutil
@@ -97,3 +98,70 @@ class ArtifactStore:
         """Deletes a step, or all of a process; True if there was one."""
         path, fs = self._at(process, step)
         return bool(fs.delete(path, True))
+
+    # Versioned tables: <root>/<name>/<version>, the present one named by a file beside them.
+
+    def _text(self, path: str) -> str | None:
+        at, fs = self._at(path)
+        if not fs.exists(at):
+            return None
+        lines = self.spark.read.text(f"{self.root}/{path}", wholetext=True).first()
+        return lines[0] if lines else None
+
+    def _write_text(self, path: str, text: str) -> None:
+        """Writes a small file beside the old one and moves it there, so a reader sees one or the other."""
+        at, fs = self._at(f"{path}.new-{uuid.uuid4().hex}")
+        out = fs.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        goal, _ = self._at(path)
+        fs.delete(goal, False)
+        fs.rename(at, goal)
+
+    def put(self, df: DataFrame, name: str) -> None:
+        """A new version of the table *name*."""
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{name}/{version}")
+        self._write_text(f"{name}/present", version)
+
+    def present(self, name: str) -> str | None:
+        """The version that is the present one, if there is one."""
+        return self._text(f"{name}/present")
+
+    def read_present(self, name: str) -> DataFrame:
+        version = self.present(name)
+        if version is None:
+            raise FileNotFoundError(f"no table {name} under {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+
+    def set_properties(self, name: str, values: dict) -> None:
+        self._write_text(f"{name}/properties.json", json.dumps(values))
+
+    def properties(self, name: str) -> dict:
+        return json.loads(self._text(f"{name}/properties.json") or "{}")
+
+
+class Loader:
+    """Tables of a process's steps, each with those it depends on, kept open once read."""
+
+    #: What each step is made from.
+    NEEDS = {"data": (), "embedding": ("data",), "clustering": ("embedding",), "graph": ("clustering",), "integration": ("graph", "embedding")}
+
+    def __init__(self, store: ArtifactStore, process: str):
+        self.store, self.process = store, process
+        self.open: dict[str, DataFrame] = {}
+
+    def load(self, step: str) -> DataFrame:
+        """The table of a step; the steps it is made from are loaded first, and a missing one is an error."""
+        for before in self.NEEDS.get(step, ()):
+            self.load(before)
+        if step not in self.open:
+            if not self.store.has(self.process, step):
+                raise FileNotFoundError(f"{self.process} has no {step}")
+            self.open[step] = self.store.table(self.process, step)
+        return self.open[step]
+
+    def close(self) -> None:
+        for table in self.open.values():
+            table.unpersist()
+        self.open.clear()

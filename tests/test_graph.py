@@ -37,8 +37,9 @@ def parts(nodes, edges):
     return {i: root(i) for i in nodes}
 
 
-@pytest.mark.parametrize("m", [12, 40])
-def test_components_and_forest(spark, m):
+@pytest.mark.parametrize("m, part", [(12, 200_000), (40, 200_000), (40, 9), (12, 3)])
+def test_components_and_forest(spark, monkeypatch, m, part):
+    monkeypatch.setattr(G, "PART_EDGES", part)  # several parts, and graphs that fit none
     nodes, edges = graph(m, m=m)
     n, e = frames(spark, nodes, edges)
     assert {r.node_id: r.component for r in G.components(n, e).collect()} == parts(nodes, edges)
@@ -177,8 +178,8 @@ def test_graph_queries_take_pairs_of_low_cosine(spark, tmp_path):
     from phrasewerk.plans import graph_queries as Q
 
     doc = "array<struct<id:string,offsets:array<array<int>>>>"
-    rows = [(1, "p", "akute Leberzyste links", [1.0, 0.0], [("a", [[0, 3]])]), (2, "p", "akute Leberzysten links", [0.4, 0.9], [("a", [[9, 12]]), ("b", [[0, 3]])])]
-    spark.createDataFrame(rows, f"entry_id long, process_name string, phrase string, phrase_vector array<float>, documents {doc}").write.parquet(str(tmp_path / "vector_entries.parquet"))
+    rows = [(1, "p", "akute Leberzyste links", [1.0, 0.0], [("a", [[0, 3]])], ["0"]), (2, "p", "akute Leberzysten links", [0.4, 0.9], [("a", [[9, 12]]), ("b", [[0, 3]])], ["0", "0"])]
+    spark.createDataFrame(rows, f"entry_id long, process_name string, phrase string, phrase_vector array<float>, documents {doc}, graph_cluster array<string>").write.parquet(str(tmp_path / "vector_entries.parquet"))
     assert [(r.src, r.dst) for r in Q.gr01_phrase_graph(spark, str(tmp_path)).collect()] == [(1, 2)]
     assert [(r.removed, r.kept) for r in Q.gr02_merged_phrases(spark, str(tmp_path)).collect()] == [(1, 2)]
 
@@ -211,3 +212,106 @@ def test_links_weigh_by_scaled_tf_idf(spark):
         m = (m - m.min(0)) / np.where(m.max(0) > m.min(0), m.max(0) - m.min(0), 1)
         want |= {(x, d, p): m[d, p] for x, d, p, _ in counts if x == g}
     assert got == pytest.approx(want)
+
+
+def test_log_tails():
+    from fractions import Fraction
+
+    cases = [(k, n, p) for n in (1, 7, 60, 400) for k in range(0, n + 2, max(1, n // 7)) for p in (0.0, 1e-4, 0.03, 0.5, 0.97, 1.0)]
+    k, n, p = (np.array(x, float) for x in zip(*cases))
+    for got, (a, b, q) in zip(G.log_tails(k, n, p), cases):
+        x = Fraction(q)
+        tail = sum((math.comb(b, j) * x**j * (1 - x) ** (b - j) for j in range(a, b + 1)), Fraction(0))
+        assert math.exp(got) == pytest.approx(float(tail), rel=1e-9, abs=1e-300)
+    assert np.isnan(G.log_tails(np.array([np.nan]), np.array([3.0]), np.array([0.5])))[0]
+
+
+def test_double_edges_are_refused_and_directed_chances_are_larger(spark):
+    schema = "graph_id string, src long, dst long, weight double"
+    with pytest.raises(ValueError):
+        G.significances(spark.createDataFrame([("g", 1, 2, 0.5), ("g", 2, 1, 0.5)], schema))
+    e = spark.createDataFrame([("g", 0, 1, 0.9), ("g", 1, 2, 0.5), ("g", 0, 2, 0.7)], schema)
+    one, two = ({(r.src, r.dst): r.significance for r in G.significances(e, directed=d).collect()} for d in (False, True))
+    assert all(two[k] < one[k] for k in one)
+
+
+def test_path_scores_against_brute_force(spark):
+    nodes, edges = graph(3, 9, 14)
+    _, e = frames(spark, nodes, edges)
+    holders = [("g", i, f"d{i % 4}") for i in nodes if i % 3] + [("g", 1, "d0")]
+    w = {(a, b): x for _, a, b, x in edges} | {(b, a): x for _, a, b, x in edges}
+    want = {}
+    for a in nodes:
+        for b in nodes:
+            if a < b:
+                paths = [w[a, b]] if (a, b) in w else [(w[a, m] + w[m, b] / 1.5) / 2 for m in nodes if (a, m) in w and (m, b) in w]
+                for d in {d for _, i, d in holders if i in (a, b)}:
+                    if paths:
+                        want[d] = want.get(d, 0) + sum(paths)
+    got = {r.document: r.score for r in G.path_scores(e, spark.createDataFrame(holders, "graph_id string, node_id long, document string")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_unrolled_is_a_tree_joined_by_the_reference(spark):
+    nodes = list(range(8))
+    heavy = [("g", 0, 1, 0.9), ("g", 1, 2, 0.8), ("g", 0, 2, 0.7), ("g", 3, 4, 0.9), ("g", 5, 6, 0.9)]
+    n, e = frames(spark, nodes, heavy)
+    _, ref = frames(spark, nodes, heavy + [("g", 2, 3, 0.4), ("g", 1, 4, 0.5), ("g", 6, 7, 0.9)])
+    own, tree = G.unrolled(n, e, ref)
+    assert {r.node_id for r in own.collect()} == {0, 1, 2, 3, 4, 5, 6}
+    assert {(r.src, r.dst) for r in tree.collect()} == {(0, 1), (1, 2), (3, 4), (5, 6), (1, 4)}
+
+
+def test_exemplars_and_sub_clusters(spark):
+    rng = np.random.RandomState(0)
+    x = np.concatenate([rng.randn(6, 2) * 0.1 + c for c in ([0, 0], [5, 5], [0, 9])])
+    owner = G.exemplars(-((x[:, None] - x[None]) ** 2).sum(2), 0.6, 300)
+    assert len({(owner[i], i // 6) for i in range(18)}) == 3
+    labels = ["leber rechts", "leber links", "leber mitte", "knie rechts oben", "knie links oben", "knie mitte oben"]
+    n = spark.createDataFrame([("g", i, x) for i, x in enumerate(labels)], "graph_id string, node_id long, label string")
+    e = spark.createDataFrame([("g", a, b, 0.9) for a in range(6) for b in range(a + 1, 6) if (a < 3) == (b < 3)], "graph_id string, src long, dst long, weight double")
+    nodes, edges = G.sub_clusters(n, e.where("src <> 0"), e, tries=5)
+    roots = {r.node_id for r in nodes.where("root").collect()}
+    members = {(r.src, r.dst): r.weight for r in edges.where("sub_cluster").collect()}
+    assert len(roots) == 2 and len(members) == 4 and set(members.values()) == {0.9}
+    assert all((a < 3) == (b < 3) and (a in roots or b in roots) for a, b in members)
+
+
+def test_communities_and_their_scores(spark):
+    m = np.zeros((6, 6))
+    for a, b, w in ((0, 1, 0.9), (1, 2, 0.9), (0, 2, 0.9), (3, 4, 0.9), (4, 5, 0.9), (3, 5, 0.9), (2, 3, 0.2)):
+        m[a, b] = m[b, a] = w
+    part = G.communities(m)
+    assert len(set(part[:3])) == 1 == len(set(part[3:])) and part[0] != part[3]
+    n, e = frames(spark, list(range(6)), [("g", int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(np.triu(m)))])
+    holders = spark.createDataFrame([("g", 0, "x"), ("g", 5, "y")], "graph_id string, node_id long, document string")
+    got = {r.document: r.score for r in G.community_scores(n, e, holders).collect()}
+    assert got == pytest.approx({d: 4 * 0.9 / np.e for d in "xy"})
+
+
+def test_concept_graphs_end_to_end(spark):
+    from phrasewerk.operators import phrase_graphs as H
+
+    rng = np.random.RandomState(2)
+    centre = {"a": rng.randn(8), "b": rng.randn(8)}
+    rows = []
+    for g in "ab":
+        for i in range(7):
+            rows.append((g, i + 10 * (g == "b"), f"{'leber' if g == 'a' else 'knie'} {chr(97 + i) * 4} befund", [float(v) for v in centre[g] + 0.2 * rng.randn(8)], [(f"d{i}", [[i, i + 3]])]))
+    rows.append(("a", 99, "leber aaaa befunde", [float(v) for v in centre["a"]], [("d0", [[1, 2]]), ("d7", [[4, 9]])]))
+    rows.append(("a", 98, "fern", [float(-v) for v in centre["a"]], None))
+    rows.append(("c", 97, "allein", [1.0] * 8, None))
+    schema = f"graph_id string, node_id long, label string, embedding array<float>, documents {V.DOCUMENTS}"
+    nodes, edges = H.concept_graphs(spark.createDataFrame(rows, schema), H.GraphSettings(cluster_min_size=2))
+    nodes, edges = nodes.collect(), edges.collect()
+    assert {r.graph_id: r.graph_no for r in edges} == {"a": 0, "b": 1}
+    for g in "ab":
+        ids = {r.node_id for r in nodes if r.graph_id == g}
+        assert len([r for r in edges if r.graph_id == g]) == len(ids) - 1  # a tree
+    kept = {r.node_id: r for r in nodes}
+    assert 98 not in kept and 0 not in kept  # far from the centre; merged into the phrase with more documents
+    assert {d.id: d.offsets for d in kept[99].documents} == {"d0": [[0, 3], [1, 2]], "d7": [[4, 9]]}
+    with pytest.raises(ValueError):
+        H.GraphSettings(graph_simplify_alg="degree")
+    empty = H.concept_graphs(spark.createDataFrame([], schema))
+    assert empty[0].count() == 0 == empty[1].count()
