@@ -25,6 +25,8 @@ DIM = 64
 LIST_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 400, 16, 16_384
 #: From so many rows on a list has lists of its own; a part of a list holds so many rows at most.
 OWN_LISTS, PART_ROWS = 8_000, 100_000
+#: Rows that a task of the search gets.
+TASK_ROWS = 30_000
 #: Numbers of parts and of cells (part that asks, part that lies) of a list.
 PARTS = 1 << 20
 CELLS = PARTS * PARTS
@@ -308,7 +310,8 @@ def most_similar(rows: DataFrame, k: int = 5, least: float | None = None, asks:
             yield from done()
 
     lists = searched.select("id", "v", "asks").mapInArrow(to_lists, "list long, id long, lies boolean, asks boolean, v binary")
-    found = lists.repartition("list").sortWithinPartitions("list").mapInArrow(scan, outcome)
+    tasks = max(1, -(-2 * total // TASK_ROWS))  # a row lies in or asks about two lists on average
+    found = lists.repartition(tasks, "list").sortWithinPartitions("list").mapInArrow(scan, outcome)
     if answered is not None:
         found = found.unionByName(answered)
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
