@@ -135,8 +135,8 @@ def row_normalised(scores: DataFrame, by: str, value: str = "score") -> DataFram
 
 def joined_texts(rows: DataFrame, by: str, text: str, order: list[str], every: DataFrame | None = None) -> DataFrame:
     """(by, words): the texts of each concept or document in order, one blank between them; an empty text for those of *every* without any."""
-    got = rows.where(F.col(text).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, text))).alias("_t"))
-    got = got.select(by, F.array_join(F.col("_t")[text], " ").alias("words"))
+    got = rows.where(F.col(text).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))).alias("_t"))
+    got = got.select(by, F.array_join("_t._text", " ").alias("words"))
     return got if every is None else every.select(by).distinct().join(got, by, "left").select(by, F.coalesce("words", F.lit("")).alias("words"))
 
 

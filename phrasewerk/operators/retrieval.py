@@ -2,47 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phrasewerk.functions import text as T
-from phrasewerk.functions import vectors as VF
+from phrasewerk.sources.store import written
 
-LINE = "array<struct<line_no:int,line:string,b:bigint,e:bigint>>"
+CHUNK = "chunk_index int, chunk_start long, chunk_end long, text string"
 
 
-def packed_chunks(lines: DataFrame, key: str, chunk_size: int = 400, overlap: int = 100, separator: str = "\n") -> DataFrame:
-    """(key, chunk_index, chunk_start, chunk_end, text): lines of each document packed greedily.
+def packed_chunks(lines: DataFrame, key: str, chunk_size: int = 400, overlap: int = 100, separator: str = "\n", keep: list[str] | None = None) -> DataFrame:
+    """(key, keep..., chunk_index, chunk_start, chunk_end, text): lines of each document packed greedily.
 
     A chunk ends when the next line and the separator would exceed *chunk_size*; the next one begins with the last lines
     that together have at most *overlap* characters and leave room for the new line. Lines are never split; one longer
-    than a chunk is a chunk of its own. Lines come from exploded_lines; their order is line_no.
+    than a chunk is a chunk of its own. Lines come from exploded_lines, in order of line_no; of the *keep* columns the
+    first line's values stay. Documents are folded as their sorted lines pass by: only a chunk is held.
     """
-    rows = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("int").alias("line_no"), "line", F.col("offset").cast("bigint").alias("b"), (F.col("offset") + F.length("line")).cast("bigint").alias("e")))).alias("ls"))
+    keep = keep or []
     gap = len(separator)
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    rows = lines.select(F.col(key), "line_no", "line", F.col("offset").cast("long").alias("offset"), *keep).repartition(key).sortWithinPartitions(key, "line_no")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, head, held, size, index = object(), (), [], 0, 0
+        out: list[tuple] = []
+
+        def done() -> None:
+            nonlocal index
+            out.append((now, *head, index, held[0][1], held[-1][1] + len(held[-1][0]), separator.join(x for x, _ in held)))
+            index += 1
+
+        for pdf in batches:
+            for doc, line, at, *more in zip(pdf[key], pdf["line"], pdf["offset"], *[pdf[c] for c in keep]):
+                if doc != now:
+                    if held:
+                        done()
+                    now, head, held, size, index = doc, tuple(more), [], 0, 0
+                if held and size + gap + len(line) > chunk_size:
+                    done()
+                    while held and (size > overlap or size + gap + len(line) > chunk_size):
+                        size -= len(held.pop(0)[0]) + gap
+                size = size + gap + len(line) if held else len(line)
+                held.append((line, at))
+            if len(out) > 1000:
+                yield pd.DataFrame(out, columns=names)
+                out.clear()
+        if held:
+            done()
+        yield pd.DataFrame(out, columns=names)
+
+    names = [key, *keep, "chunk_index", "chunk_start", "chunk_end", "text"]
+    return rows.mapInPandas(fold, ", ".join([*[f"`{c}` {kinds[c]}" for c in (key, *keep)], CHUNK]))
+
+
+def packed_sentences(sentences: DataFrame, key: str, order: str, text: str, chunk_size: int = 400, overlap: int = 100, separator: str = "\n") -> DataFrame:
+    """(key, chunk_index, text): sentences that come without offsets, packed like lines."""
+    lines = sentences.select(key, F.col(order).alias("line_no"), F.col(text).alias("line"), F.lit(0).alias("offset")).where("line is not null")
+    return packed_chunks(lines, key, chunk_size, overlap, separator).select(key, "chunk_index", "text")
+
+
+def runs(lines: DataFrame, key: str, order: str) -> DataFrame:
+    """*lines* with run: the document that a line belongs to; a line without one joins the document before it in *order*.
+
+    The last document before a line is found within ranges of the order first and carried over from range to range.
+    """
+    parted = written(lines.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "runs")
+    before = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = parted.withColumn("run", F.last(key, ignorenulls=True).over(before))
+    ends = parted.where(F.col(key).isNotNull()).groupBy("_p").agg(F.max_by(key, order).alias("_last"))  # one row for each range
+    every = parted.select("_p").distinct().join(ends, "_p", "left")
+    carried = every.select("_p", F.last("_last", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    return inside.join(F.broadcast(carried), "_p").withColumn("run", F.coalesce("run", "_carried")).drop("_p", "_carried")
 
-    def size(held: Column) -> Column:
-        return F.aggregate(held, F.lit(0), lambda s, x: s + F.length(x["line"]) + gap) - gap
-
-    def carried(held: Column, new: Column) -> Column:
-        """The longest tail that fits the overlap and leaves room."""
-        fits = lambda t: (F.size(t) == 0) | ((size(t) <= overlap) & (size(t) + gap + F.length(new["line"]) <= chunk_size))
-        tails = F.transform(F.sequence(F.lit(0), F.size(held)), lambda i: F.slice(held, i + 1, F.size(held)))
-        return F.element_at(F.filter(tails, fits), 1)
-
-    def step(state: Column, x: Column) -> Column:
-        held = state["held"]
-        full = (F.size(held) > 0) & (size(held) + gap + F.length(x["line"]) > chunk_size)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(held))).otherwise(state["done"]).alias("done"),
-            F.concat(F.when(full, carried(held, x)).otherwise(held), F.array(x)).alias("held"),
-        )
 
-    start = F.struct(F.array().cast(f"array<{LINE}>").alias("done"), F.array().cast(LINE).alias("held"))
-    chunks = F.aggregate("ls", start, step, lambda s: F.concat(s["done"], F.array(s["held"])))
-    out = rows.select(key, F.posexplode(chunks).alias("chunk_index", "c"))
-    return out.select(key, "chunk_index", F.get("c.b", F.lit(0)).alias("chunk_start"), F.element_at("c.e", -1).alias("chunk_end"), F.array_join("c.line", separator).alias("text"))
+def of_documents(chunks: DataFrame, ids: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """The chunks of some documents; all for None."""
+    return chunks if ids is None else chunks.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, key: str, question: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -62,18 +103,47 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str, question: str, k1: f
 
 
 def fused(lexical: DataFrame, dense: DataFrame, key: str, question: str, alpha: float = 0.6, limit: int = 10) -> DataFrame:
-    """(question, key, score, rank): alpha * dense + (1 - alpha) * lexical, both scaled by their best of the question; the *limit* best, ties by key."""
-    top = Window.partitionBy(question)
-    a = lexical.withColumn("_l", F.col("lexical") / F.nullif(F.max("lexical").over(top), F.lit(0.0))).select(question, key, "_l")
-    c = dense.withColumn("_d", F.col("dense") / F.nullif(F.max("dense").over(top), F.lit(0.0))).select(question, key, "_d")
-    both = a.join(c, [question, key], "full_outer").withColumn("score", alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_l", F.lit(0.0)))
+    """(question, key, score, rank): alpha * dense + (1 - alpha) * lexical, both scaled by their best of the question; the *limit* best, ties by key.
+
+    A chunk that only one of the two found counts 0 in the other. Negative dense scores count 0.
+    """
+    scaled = lambda df, value, name: df.join(df.groupBy(question).agg(F.max(value).alias("_top")), question).select(question, key, F.greatest(F.lit(0.0), F.col(value) / F.nullif(F.greatest(F.col("_top"), F.lit(0.0)), F.lit(0.0))).alias(name))
+    both = scaled(lexical, "lexical", "_l").join(scaled(dense, "dense", "_d"), [question, key], "full_outer")
+    both = both.withColumn("score", alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_l", F.lit(0.0)))
     order = Window.partitionBy(question).orderBy(F.desc("score"), key)
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(question, key, "score", "rank")
 
 
-def dense_scores(chunks: DataFrame, questions: DataFrame, key: str, question: str, vector: str) -> DataFrame:
-    """(question, key, dense): cosine of each question's vector to the chunks it shares a partition key with; joined on that key, not crossed."""
-    return chunks.join(questions, "part").select(question, key, VF.cosine(F.col(vector), F.col("q_vector")).alias("dense"))
+#: Signs of the built-in encoder's grams, and its dimensions.
+GRAM, DIMS = 3, 256
+
+
+def encoded(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
+    """(key, dim, weight): texts as sparse vectors of length one, for want of a model: their words' grams, hashed to dimensions and counted.
+
+    Words are in lower case with a blank before and behind them. A text without words has no rows.
+    """
+    spaced = F.concat(F.lit(" "), F.array_join(T.words(F.col(text)), " "), F.lit(" "))
+    own = rows.select(key, spaced.alias("_s")).where(F.length("_s") > GRAM)
+    own = own.withColumn("_c", F.transform(F.filter(F.split("_s", ""), lambda c: c != ""), lambda c: F.ascii(c)))
+    at = lambda i, k: F.get("_c", i + k)
+    hashed = F.transform(F.sequence(F.lit(0), F.size("_c") - GRAM), lambda i: (at(i, 0) * 961 + at(i, 1) * 31 + at(i, 2)) % dims)
+    counts = own.select(key, F.explode(hashed).alias("dim")).groupBy(key, "dim").agg(F.count("*").alias("n"))
+    length = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_length"))
+    return counts.join(length, key).select(key, "dim", (F.col("n") / F.col("_length")).alias("weight"))
+
+
+class Encoder(Protocol):
+    """Turns (key, text) into sparse vectors (key, dim, weight) of length one; a model is plugged in here."""
+
+    def __call__(self, rows: DataFrame, key: str, text: str) -> DataFrame: ...
+
+
+def dense_scores(chunks: DataFrame, questions: DataFrame, key: str, question: str, encoder: Encoder = encoded) -> DataFrame:
+    """(question, key, dense): the cosine of each question (question, q_text) to every chunk (key, text) with which it shares a dimension. The stated questions meet all chunks; nothing but their dimensions leaves the scan of the chunks."""
+    asked = encoder(questions, question, "q_text").select(question, "dim", F.col("weight").alias("_q"))
+    mine = encoder(chunks, key, "text")
+    return mine.join(asked, "dim").groupBy(question, key).agg(F.sum(F.col("weight") * F.col("_q")).alias("dense"))
 
 
 def snippets(hits: DataFrame, text: str, highlight: str, tokens: int = 150) -> DataFrame:
@@ -96,3 +166,17 @@ def joined_by_document(hits: DataFrame, document: str, rank: str, text: str, sep
     """(document, first_rank, text): the texts of one document joined in order of rank; rows without a document fall out."""
     by = hits.where(F.col(document).isNotNull()).groupBy(document).agg(F.min(rank).alias("first_rank"), F.sort_array(F.collect_list(F.struct(rank, text))).alias("_t"))
     return by.select(document, "first_rank", F.array_join(F.col("_t")[text], separator).alias("text"))
+
+
+#: Keys of a hit that are no metadata of the answer.
+HIDDEN = ("text", "chunk_text", "highlight")
+
+
+def hit_sources(hits: DataFrame, text: str = "text", highlight: str = "highlight", tokens: int = 150) -> DataFrame:
+    """Hits with their snippet and its places in the chunk and, where chunk_start is there, in the document (approximate: blanks are collapsed); columns that begin with _ fall out, except _score as score."""
+    out = snippets(hits, text, highlight, tokens)
+    start = F.col("chunk_start") if "chunk_start" in hits.columns else F.lit(None).cast("long")
+    out = out.withColumn("snippet_end", F.col("snippet_at") + F.length("snippet")).withColumn("document_at", start + F.col("snippet_at")).withColumn("document_end", start + F.col("snippet_at") + F.length("snippet"))
+    if "_score" in hits.columns:
+        out = out.withColumn("score", F.col("_score"))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])

@@ -115,6 +115,13 @@ def gr09_significance(spark, sf_dir):
     return G.significances(_stored(_edges(spark, sf_dir), "edges")).select("graph_id", "src", "dst", F.round("significance", 3).alias("significance"))
 
 
+@query("sc06_directed_significance")
+def sc06_directed_significance(spark, sf_dir):
+    """The chance of an edge in one direction."""
+    found = G.significances(_stored(_edges(spark, sf_dir), "edges"), directed=True)
+    return found.select("graph_id", "src", "dst", F.round("significance", 3).alias("significance"))
+
+
 @query("prj17_graph_statistics", "WITH" + _GRAPH + """, n AS (SELECT graph_id, count(*) AS n_nodes FROM entries GROUP BY 1), e AS (SELECT graph_id, count(*) AS n_edges FROM edges GROUP BY 1)
 SELECT graph_id, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges FROM n FULL OUTER JOIN e USING (graph_id)""")
 def prj17_graph_statistics(spark, sf_dir):

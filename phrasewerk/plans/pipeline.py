@@ -85,6 +85,22 @@ class Process:
         self._thread.start()
         return self._thread
 
+    def result(self, timeout: float | None = None) -> DataFrame | None:
+        """Waits for the thread: the last step's table, None if a step failed or was stopped."""
+        if self._thread:
+            self._thread.join(timeout)
+        last = self.steps[-1].name if self.steps else None
+        done = all(s in (FINISHED, SKIPPED) for s in self.status.values())
+        return self.store.table(self.name, last) if last and done and self.store.has(self.name, last) else None
+
+    def status_rows(self) -> list[tuple[str, str, int, str]]:
+        """(process, step, rank, status) in order of rank."""
+        return [(self.name, s.name, i, self.status[s.name]) for i, s in enumerate(self.steps)]
+
+    def current(self) -> str | None:
+        """The first step in order of rank that is not done."""
+        return next((s.name for s in self.steps if self.status[s.name] not in (FINISHED, SKIPPED)), None)
+
     def stop(self, hard: bool = False) -> None:
         """The running step is the last; *hard* also cancels its jobs."""
         self._stop.set()

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasewerk.functions import arrays as A
 from phrasewerk.functions import text as T
 from phrasewerk.operators import lines as L
 from phrasewerk.operators import negation as N
 from phrasewerk.operators import phrases as P
+from phrasewerk.operators.numbering import numbered
 from phrasewerk.plans.registry import query
 from phrasewerk.tables import table
 
@@ -22,7 +24,7 @@ lines AS (
 )"""
 _CHUNK = r"(?:\p{Ll}{3,} )?\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}{3,})*"
 _STOPS = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
-_CHUNKS = _LINES + f""",
+_CHUNK_PART = f""",
 matched AS (
   SELECT doc_id, line_no, "offset", m, g, unnest(range(1, len(m) + 1)) AS i FROM (
     SELECT doc_id, line_no, "offset", regexp_extract_all(line, '{_CHUNK}') AS m, regexp_split_to_array(line, '{_CHUNK}') AS g FROM lines) WHERE len(m) > 0
@@ -35,6 +37,7 @@ matched AS (
   SELECT doc_id, line_no, chunk_no, t[s+1:] AS tokens, b0 + CASE WHEN s > 0 THEN length(t[1]) + 1 ELSE 0 END AS "begin", "end" FROM cut WHERE len(t) > s
 ), occ AS (SELECT doc_id, lower(array_to_string(tokens, ' ')) AS phrase, "begin", "end" FROM cleaned)
 """
+_CHUNKS = _LINES + _CHUNK_PART
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +119,38 @@ def ag05_min_max(spark, sf_dir):
     return P.min_max(P.tf_idf(_found(spark, sf_dir), n), n).select("doc_id", "phrase", F.round("scaled", 6).alias("scaled"))
 
 
-@query("ag01_affirmed_provenance")
+_TRIGGERS = ", ".join(f"('{k}', '{t}', {len(t.split(' '))})" for k, ts in N.TRIGGERS.items() for t in ts)
+_NEGATION = "WITH" + _LINES + f""", trig(kind, trig, n) AS (VALUES {_TRIGGERS}),
+words AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS w FROM lines),
+grams AS (SELECT doc_id, line_no, n, i, array_to_string(w[i+1:i+n], ' ') AS g FROM (SELECT doc_id, line_no, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM words CROSS JOIN (SELECT DISTINCT n FROM trig) WHERE len(w) >= n)),
+m AS (SELECT doc_id, line_no, kind, i AS b, i + g.n AS e FROM grams g JOIN trig ON g = trig AND g.n = trig.n),
+clear AS (SELECT * FROM m WHERE kind <> 'pseudo' AND NOT EXISTS (SELECT 1 FROM m p WHERE p.kind = 'pseudo' AND p.doc_id = m.doc_id AND p.line_no = m.line_no AND m.b < p.e AND p.b < m.e)),
+ends AS (SELECT doc_id, line_no, b FROM clear WHERE kind = 'termination' UNION SELECT doc_id, line_no, 0 FROM words),
+parts AS (SELECT doc_id, line_no, b, lead(b, 1, 1000000000) OVER (PARTITION BY doc_id, line_no ORDER BY b) AS e FROM ends),
+each AS (SELECT doc_id, line_no, i - 1 AS word_no, w[i] AS word FROM (SELECT doc_id, line_no, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+placed AS (SELECT each.*, parts.b AS part FROM each JOIN parts ON each.doc_id = parts.doc_id AND each.line_no = parts.line_no AND word_no >= parts.b AND word_no < parts.e),
+reach AS (SELECT clear.*, parts.b AS part FROM clear JOIN parts ON clear.doc_id = parts.doc_id AND clear.line_no = parts.line_no AND clear.b >= parts.b AND clear.b < parts.e WHERE kind IN ('preceding', 'following'))
+"""
+
+
+_NEGATED = """, n AS (SELECT p.doc_id, p.line_no, word_no, word, coalesce(bool_or(r.part = p.part AND ((kind = 'preceding' AND r.b < word_no) OR (kind = 'following' AND r.e > word_no + 1))), FALSE) AND NOT coalesce(bool_or(r.b <= word_no AND word_no < r.e), FALSE) AS negated
+FROM placed p LEFT JOIN reach r ON p.doc_id = r.doc_id AND p.line_no = r.line_no GROUP BY 1, 2, 3, 4)"""
+#: Occurrences of chunks without a word in the reach of a negation.
+_AFFIRMED = _NEGATION + _CHUNK_PART + _NEGATED + """, cw AS (SELECT c.doc_id, c.line_no, lower(array_to_string(tokens, ' ')) AS phrase, "begin", "end",
+  len(regexp_extract_all(substr(l.line, 1, CAST("begin" - l."offset" AS BIGINT)) || 'x', '[\\p{L}\\p{N}]+')) - 1 AS f, len(regexp_extract_all(substr(l.line, 1, CAST("end" - l."offset" AS BIGINT)), '[\\p{L}\\p{N}]+')) AS t
+  FROM cleaned c JOIN lines l ON c.doc_id = l.doc_id AND c.line_no = l.line_no),
+aff AS (SELECT * FROM cw WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.negated AND n.doc_id = cw.doc_id AND n.line_no = cw.line_no AND word_no >= f AND word_no < t))
+"""
+
+
+@query("ag01_affirmed_provenance", _AFFIRMED + """ SELECT phrase, doc_id, count(*) AS n, array_to_string(list(CAST("begin" AS BIGINT)::VARCHAR || '-' || CAST("end" AS BIGINT)::VARCHAR ORDER BY "begin"), ' ') AS places FROM aff GROUP BY phrase, doc_id""")
 def ag01_affirmed_provenance(spark, sf_dir):
     """ag01_phrase_provenance without negated occurrences."""
     places = F.array_join(F.transform("offsets", lambda o: F.concat_ws("-", o["b"].cast("string"), o["e"].cast("string"))), " ")
     return P.provenance(_affirmed(spark, sf_dir)).select("phrase", "doc_id", "n", places.alias("places"))
 
 
-@query("ag03_affirmed_counts")
+@query("ag03_affirmed_counts", _AFFIRMED + " SELECT phrase, count(DISTINCT a) AS n_documents, count(a) AS n_occurrences FROM (SELECT phrase, NULL AS a FROM cw UNION ALL SELECT phrase, doc_id FROM aff) GROUP BY phrase")
 def ag03_affirmed_counts(spark, sf_dir):
     """Counts without negated occurrences; phrases that are only negated stay, with 0."""
     kept = P.phrase_table(_affirmed(spark, sf_dir))
@@ -131,19 +158,20 @@ def ag03_affirmed_counts(spark, sf_dir):
     return every.select("phrase", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_occurrences", F.lit(0)).alias("n_occurrences"))
 
 
-@query("ag04_affirmed_phrases")
+@query("ag04_affirmed_phrases", _AFFIRMED + """ SELECT doc_id, string_agg(phrase, ' | ' ORDER BY "begin") AS phrases FROM aff GROUP BY doc_id""")
 def ag04_affirmed_phrases(spark, sf_dir):
     by = _affirmed(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "phrase"))).alias("p"))
     return by.select("doc_id", F.array_join("p.phrase", " | ").alias("phrases"))
 
 
-@query("ag05_affirmed_tfidf")
+@query("ag05_affirmed_tfidf", _AFFIRMED + _TFIDF.replace("FROM occ", "FROM aff") + " SELECT doc_id, phrase, round(tfidf, 6) AS tfidf FROM w")
 def ag05_affirmed_tfidf(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     return P.tf_idf(_affirmed(spark, sf_dir), n).select("doc_id", "phrase", F.round("tfidf", 6).alias("tfidf"))
 
 
-@query("prj09_affirmed_filter")
+@query("prj09_affirmed_filter", _AFFIRMED + """ SELECT phrase, count(DISTINCT doc_id) AS n_documents, count(*) AS n_occurrences FROM aff GROUP BY phrase
+HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.2 * (SELECT count(*) FROM documents) AND phrase NOT IN ('station', 'patient')""")
 def prj09_affirmed_filter(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     return P.frequency_filter(P.phrase_table(_affirmed(spark, sf_dir)), n, 5, 0.2, ["station", "patient"])
@@ -158,8 +186,6 @@ def st03_documents_without_phrase(spark, sf_dir):
 SELECT phrase, row_number() OVER (ORDER BY first.d, first.b) - 1 AS phrase_id FROM f""")
 def wn02_phrase_ids(spark, sf_dir):
     """Ids in order of first appearance: ranges of the order are numbered in parallel, each from its prefix sum."""
-    from phrasewerk.operators.numbering import numbered
-
     first = _found(spark, sf_dir).groupBy("phrase").agg(F.min(F.struct("doc_id", "begin")).alias("f"))
     return numbered(first.select("phrase", "f.doc_id", "f.begin"), ["doc_id", "begin"], "phrase_id").select("phrase", "phrase_id")
 
@@ -220,20 +246,6 @@ def prj14_conform_names(spark, sf_dir):
     return table(spark, sf_dir, "corpus_files").select("name", T.conform_name(F.col("name")).alias("conform")).distinct()
 
 
-_TRIGGERS = ", ".join(f"('{k}', '{t}', {len(t.split(' '))})" for k, ts in N.TRIGGERS.items() for t in ts)
-_NEGATION = "WITH" + _LINES + f""", trig(kind, trig, n) AS (VALUES {_TRIGGERS}),
-words AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS w FROM lines),
-grams AS (SELECT doc_id, line_no, n, i, array_to_string(w[i+1:i+n], ' ') AS g FROM (SELECT doc_id, line_no, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM words CROSS JOIN (SELECT DISTINCT n FROM trig) WHERE len(w) >= n)),
-m AS (SELECT doc_id, line_no, kind, i AS b, i + g.n AS e FROM grams g JOIN trig ON g = trig AND g.n = trig.n),
-clear AS (SELECT * FROM m WHERE kind <> 'pseudo' AND NOT EXISTS (SELECT 1 FROM m p WHERE p.kind = 'pseudo' AND p.doc_id = m.doc_id AND p.line_no = m.line_no AND m.b < p.e AND p.b < m.e)),
-ends AS (SELECT doc_id, line_no, b FROM clear WHERE kind = 'termination' UNION SELECT doc_id, line_no, 0 FROM words),
-parts AS (SELECT doc_id, line_no, b, lead(b, 1, 1000000000) OVER (PARTITION BY doc_id, line_no ORDER BY b) AS e FROM ends),
-each AS (SELECT doc_id, line_no, i - 1 AS word_no, w[i] AS word FROM (SELECT doc_id, line_no, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
-placed AS (SELECT each.*, parts.b AS part FROM each JOIN parts ON each.doc_id = parts.doc_id AND each.line_no = parts.line_no AND word_no >= parts.b AND word_no < parts.e),
-reach AS (SELECT clear.*, parts.b AS part FROM clear JOIN parts ON clear.doc_id = parts.doc_id AND clear.line_no = parts.line_no AND clear.b >= parts.b AND clear.b < parts.e WHERE kind IN ('preceding', 'following'))
-"""
-
-
 @query("neg06_negated_words", _NEGATION + """SELECT p.doc_id, p.line_no, word_no, word,
   coalesce(bool_or(r.part = p.part AND ((kind = 'preceding' AND r.b < word_no) OR (kind = 'following' AND r.e > word_no + 1))), FALSE) AND NOT coalesce(bool_or(r.b <= word_no AND word_no < r.e), FALSE) AS negated
 FROM placed p LEFT JOIN reach r ON p.doc_id = r.doc_id AND p.line_no = r.line_no GROUP BY 1, 2, 3, 4""")
@@ -280,3 +292,99 @@ def sc10_language_profiles(spark, sf_dir):
 @query("ag16_common_language", "SELECT language, n FROM (SELECT language, count(*) AS n FROM pipeline_config GROUP BY 1 ORDER BY n DESC, language LIMIT 1)")
 def ag16_common_language(spark, sf_dir):
     return table(spark, sf_dir, "pipeline_config").groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(1)
+
+
+@query("neg07_scoped_words", _NEGATION + """SELECT p.doc_id, p.line_no, word_no, word,
+  coalesce(bool_or(r.part = p.part AND ((kind = 'preceding' AND r.b < word_no AND word_no - r.e + 1 <= 3) OR (kind = 'following' AND r.e > word_no + 1 AND r.b - word_no <= 3))), FALSE) AND NOT coalesce(bool_or(r.b <= word_no AND word_no < r.e), FALSE) AS negated
+FROM placed p LEFT JOIN reach r ON p.doc_id = r.doc_id AND p.line_no = r.line_no GROUP BY 1, 2, 3, 4""")
+def neg07_scoped_words(spark, sf_dir):
+    """Triggers that reach three words."""
+    return N.negated_words(_lines(spark, sf_dir), "doc_id", "line_no", scope=3)
+
+
+_PREFIX = " OR ".join(f"starts_with(lower(chunk), '{t} ')" for t in N.TRIGGERS["preceding"])
+
+
+@query("neg06_negated_prefixes", "WITH" + _CHUNKS + f" SELECT doc_id, line_no, chunk_no, chunk FROM chunks WHERE {_PREFIX}")
+def neg06_negated_prefixes(spark, sf_dir):
+    """Chunks that begin with a trigger."""
+    chunks = P.chunks_of(_lines(spark, sf_dir))
+    return chunks.where(N.negated_prefix(F.col("chunk"))).select("doc_id", "line_no", "chunk_no", "chunk")
+
+
+_OWN_TRIGGERS = ", ".join(f"('{k}', '{t}', {len(t.split(' '))})" for k, ts in N.TermSet("de").add({"preceding": ["von"]}).remove({"termination": ["sonst"]}).terms.items() for t in ts)
+
+
+@query("neg01_term_sets", _NEGATION.replace(_TRIGGERS, _OWN_TRIGGERS) + "SELECT doc_id, line_no, kind, b AS first, e AS last FROM m")
+def neg01_term_sets(spark, sf_dir):
+    """Matches of the German set with a trigger more and one less."""
+    terms = N.TermSet("de").add({"preceding": ["von"]}).remove({"termination": ["sonst"]}).terms
+    return N.matches(N.line_words(_lines(spark, sf_dir), "doc_id", "line_no"), "doc_id", "line_no", terms=terms)
+
+
+@query("prj06_view_topics", "SELECT DISTINCT lower(label) AS label FROM documents WHERE lower(label) IN ('befund', 'labor')")
+def prj06_view_topics(spark, sf_dir):
+    return L.View(table(spark, sf_dir, "documents"), ["Befund", "labor"]).topics()
+
+
+@query("prj06_view_lines", "WITH" + _LINES + " SELECT doc_id, line_no FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(label) IN ('befund', 'labor'))")
+def prj06_view_lines(spark, sf_dir):
+    return L.View(table(spark, sf_dir, "documents"), ["Befund", "labor"]).of(_lines(spark, sf_dir)).select("doc_id", "line_no")
+
+
+@query("prj07_lookups", "SELECT name, doc_id FROM documents WHERE name IN (SELECT min(name) FROM documents UNION ALL SELECT max(name) FROM documents)")
+def prj07_lookups(spark, sf_dir):
+    """Ids of the documents with the first and the last name."""
+    docs = table(spark, sf_dir, "documents")
+    return L.lookup(docs, "name", list(docs.agg(F.min("name"), F.max("name")).first()), "doc_id")
+
+
+@query("prj07_names_of_label", "SELECT DISTINCT name FROM documents WHERE lower(label) = 'labor' AND name IS NOT NULL")
+def prj07_names_of_label(spark, sf_dir):
+    return L.of_label(table(spark, sf_dir, "documents"), "Labor", "name")
+
+
+@query("prj12_allowed_phrases", "WITH" + _CHUNKS + " SELECT DISTINCT phrase FROM occ WHERE phrase IN (SELECT lower(phrase) FROM vector_entries)")
+def prj12_allowed_phrases(spark, sf_dir):
+    """Phrases of the corpus that the store has too."""
+    known = table(spark, sf_dir, "vector_entries").where("phrase is not null").select(F.lower("phrase").alias("phrase"))
+    return P.allowed(_found(spark, sf_dir).select("phrase").distinct(), known)
+
+
+@query("prj14_true_words", "SELECT doc_id, lower(trim(coalesce(label, 'Ja '))) IN ('true', 'yes', 'y', 'ja', 'j', '1') AS yes FROM documents")
+def prj14_true_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.true_word(F.coalesce("label", F.lit("Ja "))).alias("yes"))
+
+
+@query("sc21_single_signs", "SELECT file_id, split_no, text FROM text_splits WHERE regexp_full_match(trim(text), '[^\\p{L}\\p{N}_]')")
+def sc21_single_signs(spark, sf_dir):
+    """Lines of one sign."""
+    return table(spark, sf_dir, "text_splits").where(T.single_sign(F.trim("text"))).select("file_id", "split_no", "text")
+
+
+@query("sc21_parts", "SELECT doc_id, len(list_filter(string_split(text, '. '), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL")
+def sc21_parts(spark, sf_dir):
+    """Parts of each text between marks."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(T.parts_between(F.col("text"), ". ")).cast("long").alias("n"))
+
+
+@query("sc13_token_of_place", "SELECT doc_id, CASE WHEN strpos(text, 'Befund') > 0 THEN len(string_split(substr(text, 1, strpos(text, 'Befund') - 1), ' ')) - 1 END AS token FROM documents")
+def sc13_token_of_place(spark, sf_dir):
+    """The blank-separated token in which a word begins."""
+    tokens = F.split("text", " ", -1)
+    starts = A.sums_before(F.transform(tokens, lambda t: F.length(t) + 1))
+    rows = table(spark, sf_dir, "documents").withColumn("_t", tokens).withColumn("_s", starts)
+    ends = F.zip_with("_s", F.col("_t"), lambda s, t: s + F.length(t))
+    return rows.select("doc_id", T.token_at(F.col("_s"), ends, T.place_of(F.lit("Befund"), F.col("text"))).cast("long").alias("token"))
+
+
+@query("wn03_consecutive_lines", "WITH" + _LINES + " SELECT doc_id, line_no AS left_no, next AS right_no FROM (SELECT doc_id, line_no, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM lines) WHERE next IS NOT NULL")
+def wn03_consecutive_lines(spark, sf_dir):
+    by = _lines(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("nos"))
+    return by.select("doc_id", F.explode(A.pairs(F.col("nos"))).alias("p")).select("doc_id", F.col("p.left").alias("left_no"), F.col("p.right").alias("right_no"))
+
+
+@query("tk04_first_words", "WITH" + _LINES + " SELECT doc_id, line_no, array_to_string(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+')[1:3], ' ') AS head FROM lines")
+def tk04_first_words(spark, sf_dir):
+    rows = N.line_words(_lines(spark, sf_dir), "doc_id", "line_no")
+    return rows.select("doc_id", "line_no", F.array_join(A.first_of(F.col("words"), 3), " ").alias("head"))
