@@ -3,8 +3,10 @@
 Information-theoretic sanitisation: the corpus tells how strongly a term reveals a protected person. In a first pass
 the words that stand in places reserved for names (after titles, beside addresses and numbers that were found by their
 form) are counted against all their occurrences; the pointwise mutual information of word and place is the word's
-disclosure. A second pass measures the same of contexts: how often their place is taken by disclosing words. Words and
-contexts beyond the thresholds, together with the forms of addresses, numbers and letters, mark what is replaced.
+disclosure. A second pass measures the same of contexts: how often their place is taken by disclosing words. Numbers
+are counted likewise: of the words before them how often the number has a form that only telephones have, which tells
+telephones from devices and orders, and of the first digits of local numbers how often a call is spoken of. Words,
+contexts and cues beyond the thresholds, together with the forms of addresses, numbers and letters, mark what is replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +26,18 @@ from phrasewerk.llm.common import written
 BITS, OF_POSSIBLE, SHARE = 3.0, 0.5, 0.12
 #: A context reserves its place for names if it occurs so often and this share of it is taken by disclosing words.
 OFTEN, RESERVED = 12, 0.8
+#: A word before numbers speaks against telephones if it occurs so often and its numbers have a telephone's form less than this part as often as others;
+#: first digits of local numbers are a telephone's if this share of them is called.
+LESS, CALLED = 0.5, 0.5
 #: Word lists up to this number are broadcast (about 100 MB at most); longer ones are joined to each text.
 BROADCAST_WORDS = 1_000_000
+#: Parts in which the texts meet a word where the words are not broadcast.
+SALTS = 16
 
 # Words of letters and forms.
 TITLES = {"frau", "herr", "herrn", "hr", "fr", "mr", "mrs", "ms", "miss", "dr", "prof", "med", "oa", "oä", "schwester", "pfleger", "nurse", "sister", "hausarzt", "hausärztin", "kontaktperson"}
 PARTICLES = {"von", "van", "de", "der", "den", "zu", "zum", "zur", "vom", "del", "della", "di", "da", "dos", "el", "al", "bin", "ibn", "la", "le", "ten", "ter", "af", "av"}
+# (before numbers: each counts as seen so often without a telephone, which the corpus may overrule)
 DEVICES = {"charge", "lot", "sn", "auftrag", "gerät", "device", "batch", "order", "serial", "ref", "artikel", "bestellung", "bestellnummer", "seriennummer", "chargennummer", "probe", "sample"}
 ID_CUES = r"versichert\w*|insurance\s+(?:no|number)|versicherung\w*|ausweis\w*|passport|reisepass|pass-?nr|patienten-?id|patient\s+id|patient(?:en)?-?(?:nr|nummer|number)|social\s+security|sozialversicherung\w*|rentenversicherung\w*|krankenkasse\w*|kvnr|rvnr|svnr|nhs|mrn|pension|identity\s+card|id\s+card|id-?nr|national\s+insurance"
 EPONYMS = {"morbus", "index", "syndrom", "syndrome", "score", "zeichen", "sign", "prinzip", "test", "reflex", "klassifikation", "classification", "disease", "krankheit", "method", "methode", "phänomen"}
@@ -77,7 +85,11 @@ def _word_before(text: str, at: int) -> str:
 
 
 def forms(text: str) -> list[Span]:
-    """EMAIL, ID, PHONE and ADDRESS found by their form, not overlapping, in order of position."""
+    """EMAIL, ID, PHONE and ADDRESS found by their form, not overlapping, in order of position.
+
+    What the corpus decides has its evidence in its kind: "PHONE:word:1" for a number behind a word, 1 if only telephones
+    have its form; "LOCAL:digits:1" for a local one by its first digits, 1 if a call is spoken of.
+    """
     taken: list[Span] = []
 
     def free(b: int, e: int) -> bool:
@@ -99,14 +111,28 @@ def forms(text: str) -> list[Span]:
     for m in PHONE.finditer(text):
         b, e = m.span()
         digits = sum(c.isdigit() for c in m[0])
-        if not 7 <= digits <= 15 or _DATE.fullmatch(m[0]) or not free(b, e) or _word_before(text, b) in DEVICES:
-            continue
-        if m[0][0] not in "+0(" and not (m[0].startswith("555-") or _CALL.search(text[max(0, b - 25) : b])):
+        if not 7 <= digits <= 15 or _DATE.fullmatch(m[0]) or not free(b, e):
             continue
-        taken.append((b, e, "PHONE"))
+        if m[0][0] in "+0(":
+            taken.append((b, e, f"PHONE:{_word_before(text, b)}:{int(m[0][0] in '+(' or m[0][:2] == '00')}"))
+        else:
+            taken.append((b, e, f"LOCAL:{m[0][:3]}:{int(bool(_CALL.search(text[max(0, b - 25) : b])))}"))
     return sorted(taken)
 
 
+def decided(spans: list[Span], cues: set[str]) -> list[Span]:
+    """*spans* with what the corpus decides: *cues* holds "PHONE:word" for words that speak against a telephone, "LOCAL:digits" for digits that are one's."""
+    out = []
+    for b, e, kind in spans:
+        if ":" in kind:
+            cue, _, yes = kind.rpartition(":")
+            if (cue in cues) if kind[0] == "P" else not (yes == "1" or cue in cues):
+                continue
+            kind = "PHONE"
+        out.append((b, e, kind))
+    return out
+
+
 def words(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
     """Words outside *spans*, with their places."""
     out, k = [], 0
@@ -247,11 +273,11 @@ class Names:
         return left in self.contexts and text[toks[i - 1][1] : toks[i][0]] in (" ", ": ", ". ", ".: ")
 
 
-def found_in(text: str | None, names: Names) -> list[Span]:
+def found_in(text: str | None, names: Names, cues: set[str] = frozenset()) -> list[Span]:
     """All cases of a text in order; none for null and empty texts. Places count code points."""
     if not text:
         return []
-    spans = forms(text)
+    spans = decided(forms(text), cues)
     return sorted(spans + names.spans(text, spans))
 
 
@@ -270,19 +296,34 @@ _COUNTS = "term string, n long, hits long"
 
 
 def _counted(texts: DataFrame, count) -> DataFrame:
-    """Sums of (term, n, hits) over all texts; *count* adds to two counters for a text and its known words. Each batch is summed before the shuffle."""
+    """Sums of (term, n, hits) over all texts; *count* adds to two counters for a text and what it needs of the lexicons. Each batch is summed before the shuffle."""
+    known = [c for c in texts.columns if c.startswith("_known")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n, hits = Counter(), Counter()
-            for t, spans, known in zip(pdf["_text"], pdf["_forms"], pdf["_known"]):
-                count(t, unpacked(spans), known, n, hits)
+            for t, spans, *own in zip(pdf["_text"], pdf["_forms"], *[pdf[c] for c in known]):
+                count(t, unpacked(spans), dict(zip(known, own)), n, hits)
             yield pd.DataFrame({"term": list(n), "n": list(n.values()), "hits": [hits[p] for p in n]})
 
     sums = texts.mapInPandas(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     return written(sums, "counts")  # read twice, made once
 
 
+def number_cues(texts: DataFrame) -> DataFrame:
+    """(term): words before numbers that speak against a telephone, and first digits of local numbers that are one's, by counts over all texts."""
+    marked = texts.select(F.explode(F.filter(F.split("_forms", " "), lambda x: F.contains(x, F.lit(":")))).alias("x")).select(F.split(F.split("x", ",")[2], ":").alias("k"))
+    counts = marked.groupBy(F.col("k")[0].alias("kind"), F.col("k")[1].alias("cue")).agg(F.count("*").alias("n"), F.sum(F.col("k")[2].cast("int")).alias("hits"))
+    counts = written(counts.where("cue <> ''"), "cues")
+    seen = counts.where("kind = 'PHONE'").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
+    base = (seen.hits or 0) / seen.n if seen.n else 0.0
+    own = texts.sparkSession.createDataFrame([(d,) for d in sorted(DEVICES)], "cue string")
+    against = counts.where("kind = 'PHONE'").join(own.withColumn("prior", F.lit(OFTEN)), "cue", "full_outer").select("cue", (F.coalesce("n", F.lit(0)) + F.coalesce("prior", F.lit(0))).alias("n"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    against = against.where((F.col("n") >= OFTEN) & (F.col("hits") <= LESS * base * F.col("n"))).select(F.concat(F.lit("PHONE:"), "cue").alias("term"))
+    local = counts.where((F.col("kind") == "LOCAL") & (F.col("n") >= OFTEN) & (F.col("hits") >= CALLED * F.col("n"))).select(F.concat(F.lit("LOCAL:"), "cue").alias("term"))
+    return written(against.unionByName(local), "cues")
+
+
 def disclosure(counts: DataFrame) -> DataFrame:
     """*counts* (term, n, hits) with share, the part of a word's occurrences in reserved places, bits, the pointwise mutual information of both, and the most bits possible."""
     total = counts.agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
@@ -297,34 +338,48 @@ def _disclosing(counts: DataFrame) -> DataFrame:
     return written(disclosure(counts).where((F.col("bits") >= F.least(F.lit(BITS), OF_POSSIBLE * F.col("possible"))) & (F.col("share") >= SHARE) & (F.length("term") > 1) & ~F.col("term").isin(own)).select("term"), "terms")
 
 
+def _words_of(text: str, spans: list[Span], known: dict) -> set[str]:
+    return {p for m in TOKEN.finditer(text) for p in parts(m[0])}
+
+
+def _cues_of(text: str, spans: list[Span], known: dict) -> set[str]:
+    return {k.rpartition(":")[0] for _, _, k in spans if ":" in k}
+
+
 class Lexicon:
-    """Disclosing words at hand in every task: broadcast if they are few, else each text brings those that it holds."""
+    """Terms at hand in every task under *name*: broadcast if they are few, else each text brings those of its own (*of_text*) that are among them."""
 
-    def __init__(self, terms: DataFrame, broadcast_words: int | None = None):
+    def __init__(self, terms: DataFrame, name: str, of_text, broadcast_words: int | None = None):
         limit = BROADCAST_WORDS if broadcast_words is None else broadcast_words
-        self.terms = terms
+        self.terms, self.name, self.of_text = terms, f"_known_{name}", of_text
         self.small = terms.count() <= limit
         self.sent = terms.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()} if self.small else set())
 
     def __getstate__(self) -> dict:
-        return {"sent": self.sent}  # tasks need no more
+        return {"sent": self.sent, "name": self.name}  # tasks need no more
 
     def beside(self, texts: DataFrame) -> DataFrame:
-        """*texts* (_key, _text, ...) with _known, the disclosing words of each; null where all are broadcast."""
+        """*texts* (_key, _text, _forms, ...) with the terms of each; null where all are broadcast."""
         if self.small:
-            return texts.withColumn("_known", F.lit(None).cast("array<string>"))
+            return texts.withColumn(self.name, F.lit(None).cast("array<string>"))
+        of_text, known = self.of_text, [c for c in texts.columns if c.startswith("_known")]
 
         def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                got = [(k, w) for k, t in zip(pdf["_key"], pdf["_text"]) for w in {p for m in TOKEN.finditer(t) for p in parts(m[0])}]
+                got = []
+                for k, t, f, *own in zip(pdf["_key"], pdf["_text"], pdf["_forms"], *[pdf[c] for c in known]):
+                    got += [(k, w) for w in of_text(t, unpacked(f), dict(zip(known, own)))]
                 yield pd.DataFrame(got, columns=["_key", "term"])
 
         kind = texts.schema["_key"].dataType.simpleString()
-        held = texts.mapInPandas(terms_of, f"_key {kind}, term string").join(self.terms, "term").groupBy("_key").agg(F.collect_set("term").alias("_known"))
-        return texts.join(held, "_key", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
+        own = texts.select("_key", "_text", "_forms", *known).mapInPandas(terms_of, f"_key {kind}, term string").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+        spread = self.terms.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))  # a name that a third of the texts have meets them in parts
+        held = own.join(spread, ["term", "_salt"]).groupBy("_key").agg(F.collect_set("term").alias(self.name))
+        return texts.join(held, "_key", "left").withColumn(self.name, F.coalesce(self.name, F.array().cast("array<string>")))
 
-    def of(self, known) -> set[str]:
-        return self.sent.value if known is None else set(known)
+    def of(self, known: dict) -> set[str]:
+        own = known.get(self.name)
+        return self.sent.value if own is None else set(own)
 
 
 def packed(spans: list[Span]) -> str:
@@ -345,29 +400,44 @@ def _first_pass(text: str, spans: list[Span], known, n: Counter, hits: Counter)
                 hits[p] += i in reserved
 
 
-def learned(texts: DataFrame) -> tuple[Lexicon, set[str]]:
-    """The disclosing words and the reserved contexts of a corpus (_key, _text, _forms), from counts over all texts."""
-    bare = texts.withColumn("_known", F.lit(None).cast("array<string>"))
-    first = Lexicon(_disclosing(_counted(bare, _first_pass)))
+def learned(texts: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon, DataFrame]:
+    """The disclosing words, the reserved contexts and the cues of numbers of a corpus (_key, _text, _forms), from counts over all texts; and the texts with what they need of them."""
+    cues = Lexicon(number_cues(texts), "cues", _cues_of)
+    texts = cues.beside(texts)
+
+    def words_in(text: str, spans: list[Span], known: dict) -> list[tuple[int, int, str]]:
+        return words(text, decided(spans, cues.of(known)))
 
-    def contexts_of(text: str, spans: list[Span], known, n: Counter, hits: Counter) -> None:
-        names, toks = Names(first.of(known), set()), words(text, spans)
+    def first_pass(text: str, spans: list[Span], known: dict, n: Counter, hits: Counter) -> None:
+        _first_pass(text, decided(spans, cues.of(known)), known, n, hits)
+
+    first = Lexicon(_disclosing(_counted(texts, first_pass)), "first", _words_of)
+    with_first = first.beside(texts)
+
+    def contexts_of(text: str, spans: list[Span], known: dict, n: Counter, hits: Counter) -> None:
+        names, toks = Names(first.of(known), set()), words_in(text, spans, known)
         for i, tok in enumerate(toks):
             if tok[2][0].isupper() and len(tok[2]) > 2 and not _is_title(tok[2]) and not _medical(text, toks, i):
                 for key in filter(None, context_keys(text, toks, i, i)):
                     n[key] += 1
                     hits[key] += names.known(tok[2])
 
-    reserved = _counted(first.beside(texts), contexts_of).where((F.col("n") >= OFTEN) & (F.col("hits") >= RESERVED * F.col("n")))
-    contexts = {r.term for r in reserved.select("term").collect()}  # two words around OFTEN names at least
+    reserved = _counted(with_first, contexts_of).where((F.col("n") >= OFTEN) & (F.col("hits") >= RESERVED * F.col("n")))
+
+    def keys_of(text: str, spans: list[Span], known: dict) -> set[str]:
+        toks = words_in(text, spans, known)
+        return {k for i in range(len(toks)) for k in context_keys(text, toks, i, i)}
+
+    contexts = Lexicon(written(reserved.select("term"), "contexts"), "contexts", keys_of)
 
-    def second_pass(text: str, spans: list[Span], known, n: Counter, hits: Counter) -> None:
-        names, toks = Names(first.of(known), contexts), words(text, spans)
+    def second_pass(text: str, spans: list[Span], known: dict, n: Counter, hits: Counter) -> None:
+        own = contexts.of(known)
+        names, toks = Names(first.of(known), own), words_in(text, spans, known)
         for i, tok in enumerate(toks):
             if not tok[2][0].isupper() or _medical(text, toks, i):
                 continue
             inside = (
-                any(k in contexts for k in context_keys(text, toks, i, i))
+                any(k in own for k in context_keys(text, toks, i, i))
                 or (i > 0 and text[toks[i - 1][1] : tok[0]] == " " and names.known(toks[i - 1][2]))
                 or (i + 1 < len(toks) and text[tok[1] : toks[i + 1][0]] == ", " and names.known(toks[i + 1][2]))
             )
@@ -375,12 +445,13 @@ def learned(texts: DataFrame) -> tuple[Lexicon, set[str]]:
                 n[p] += 1
                 hits[p] += bool(inside or p in names.disclosing)
 
-    return Lexicon(_disclosing(_counted(first.beside(texts), second_pass))), contexts
+    second = Lexicon(_disclosing(_counted(contexts.beside(with_first), second_pass)), "words", _words_of)
+    return second, contexts, cues, second.beside(contexts.beside(texts))
 
 
 def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each key, its smallest text; null keys left out."""
-    return documents.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(text).alias("_text"))
+    """One row for each different text of a key; null keys left out."""
+    return documents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")).distinct()
 
 
 def _marked(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -393,31 +464,34 @@ def _marked(documents: DataFrame, key: str, text: str) -> DataFrame:
             yield pdf.assign(_forms=[packed(forms(t)) for t in pdf["_text"]])
 
     texts = written(keyed.mapInPandas(with_forms, f"_key {kind}, _text string, _forms string"), "texts")  # what has a form is found once
-    lexicon, contexts = learned(texts)
+    lexicon, contexts, cues, ready = learned(texts)
+    known = [c for c in ready.columns if c.startswith("_known")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans = []
-            for t, packed_forms, known in zip(pdf["_text"], pdf["_forms"], pdf["_known"]):
-                taken = unpacked(packed_forms)
-                cases = sorted(taken + Names(lexicon.of(known), contexts).spans(t, taken))
+            for t, packed_forms, *own in zip(pdf["_text"], pdf["_forms"], *[pdf[c] for c in known]):
+                mine = dict(zip(known, own))
+                taken = decided(unpacked(packed_forms), cues.of(mine))
+                cases = sorted(taken + Names(lexicon.of(mine), contexts.of(mine)).spans(t, taken))
                 spans.append([{"b": b, "e": e, "kind": k} for b, e, k in cases])
             yield pd.DataFrame({"_key": pdf["_key"], "_text": pdf["_text"], "_spans": spans})
 
-    return lexicon.beside(texts).mapInPandas(run, f"_key {kind}, _text string, _spans array<struct<b:long,e:long,kind:string>>")
+    return ready.mapInPandas(run, f"_key {kind}, _text string, _spans array<struct<b:long,e:long,kind:string>>")
 
 
 def found(documents: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """(key, kind, begin_pos, end_pos): every mention of personal information, in code points from 0, ends exclusive.
 
-    Null and empty texts have none; rows repeated under one key count once; rows without a key are left out.
+    Null and empty texts have none; equal rows under one key count once, different texts of a key are each looked
+    through; rows without a key are left out.
     """
     spans = _marked(documents, key, text).select("_key", F.explode("_spans").alias("s"))
     return spans.select(F.col("_key").alias(key), F.col("s.kind").alias("kind"), F.col("s.b").alias("begin_pos"), F.col("s.e").alias("end_pos"))
 
 
 def sanitised(documents: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
-    """(key, text): each text with [KIND] for every mention, the rest unchanged; null and empty texts stay as they are."""
+    """(key, text): each different text of a key with [KIND] for every mention, the rest unchanged; null and empty texts stay as they are."""
     marked = _marked(documents, key, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
