@@ -35,14 +35,20 @@ def chunks_of(lines: DataFrame, key: str = "doc_id", line: str = "line", pattern
     return rows.select(*lines.columns, "chunk_no", F.col("_c._m").alias("chunk"), begin.alias("begin"), (begin + F.length("_c._m")).alias("end"))
 
 
-def clean_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks without the stop words they begin with; those with nothing left fall out. Adds tokens, head (the last token) and moves begin."""
+def clean_chunks(chunks: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    """Chunks without their stop words; those whose head (the last token) is one fall out. Adds tokens and head.
+
+    A token that is a stop word or not made of letters is left out wherever it stands; begin moves behind the whole run
+    of them that the chunk begins with.
+    """
     tokens = F.split("chunk", " ")
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    skipped = F.when(F.array_contains(stops, F.lower(F.get(tokens, F.lit(0)))), 1).otherwise(0)
-    rows = chunks.withColumn("_s", skipped).withColumn("tokens", F.slice(tokens, F.col("_s") + 1, F.size(tokens)))
-    rows = rows.withColumn("begin", F.col("begin") + F.when(F.col("_s") > 0, F.length(F.get(tokens, F.lit(0))) + 1).otherwise(0)).drop("_s")
-    return rows.where(F.size("tokens") > 0).withColumn("head", F.element_at("tokens", -1))
+    stops = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
+    drop = lambda t: F.array_contains(stops, F.lower(t)) | ~t.rlike(r"^\p{L}+$")
+    rows = chunks.withColumn("_t", tokens).withColumn("tokens", F.filter(tokens, lambda t: ~drop(t)))
+    rows = rows.where(~drop(F.element_at("_t", -1)))
+    ahead = F.slice("_t", F.lit(1), F.array_position(F.transform("_t", drop), False).cast("int") - 1)
+    moved = F.aggregate(ahead, F.lit(0), lambda s, t: s + F.length(t) + 1)
+    return rows.withColumn("begin", F.col("begin") + moved).withColumn("head", F.element_at("tokens", -1)).drop("_t")
 
 
 def surface(tokens: Column, head_only: bool = False, prepend_head: bool = False, case_sensitive: bool = False) -> Column:

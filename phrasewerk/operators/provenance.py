@@ -21,11 +21,15 @@ def exploded(entries: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("d.id").alias("document"), F.explode_outer("d.offsets").alias("offset"))
 
 
-def merged(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """(key, documents): documents of both, the offsets of one document united without repeats and in order; documents by id."""
+def merged_rows(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, document, offsets): documents of both, one row for each, the offsets united without repeats and in order."""
     rows = exploded(existing, key).unionByName(exploded(new, key)).distinct()
-    by = rows.groupBy(key, "document").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    out = by.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("document").alias("id"), "offsets"))).alias("documents"))
+    return rows.groupBy(key, "document").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+
+
+def merged(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, documents): as merged_rows, the documents of a key nested in order of their ids, as the store keeps them."""
+    out = merged_rows(existing, new, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("document").alias("id"), "offsets"))).alias("documents"))
     keys = existing.select(key).unionByName(new.select(key)).distinct()
     return keys.join(out, key, "left").select(key, _docs().cast(DOCUMENTS).alias("documents"))
 

@@ -369,16 +369,21 @@ def sc03_label_similarity(spark, sf_dir):
 _ADDED = "coalesce(lower(source) = 'document_addition', FALSE)"
 
 
-@query("ag19_merged_provenance", """WITH o AS (SELECT process_name, phrase, d.id AS id, unnest(d.offsets) AS o FROM (SELECT process_name, phrase, unnest(documents) AS d FROM vector_entries) WHERE d.id IS NOT NULL AND phrase IS NOT NULL),
-u AS (SELECT DISTINCT process_name, phrase, id, o[1] AS b, o[2] AS e FROM o), p AS (SELECT process_name, phrase, id, string_agg(b || '-' || e, ',' ORDER BY b, e) AS s FROM u GROUP BY 1, 2, 3),
-k AS (SELECT process_name, phrase, string_agg(id || ':' || s, ' ' ORDER BY id) AS documents FROM p GROUP BY 1, 2)
-SELECT process_name, phrase, coalesce(documents, '') AS documents FROM (SELECT DISTINCT process_name, phrase FROM vector_entries WHERE phrase IS NOT NULL) LEFT JOIN k USING (process_name, phrase)""")
+@query("ag19_merged_provenance", """WITH o AS (SELECT process_name, phrase, d.id AS document, unnest(d.offsets) AS o FROM (SELECT process_name, phrase, unnest(documents) AS d FROM vector_entries) WHERE d.id IS NOT NULL AND phrase IS NOT NULL),
+u AS (SELECT DISTINCT process_name, phrase, document, o[1] AS b, o[2] AS e FROM o)
+SELECT process_name, phrase, document, string_agg(b || '-' || e, ',' ORDER BY b, e) AS offsets FROM u GROUP BY 1, 2, 3""")
 def ag19_merged_provenance(spark, sf_dir):
-    """Phrases of the store merged with those of added documents, within each process."""
+    """Phrases of the store merged with those of added documents, within each process: a row for each document of a phrase that has places."""
     rows = table(spark, sf_dir, "vector_entries").where("phrase is not null").withColumn("key", F.struct("process_name", "phrase"))
-    got = V.merged(rows.where(f"not {_ADDED}").select("key", "documents"), rows.where(_ADDED).select("key", "documents"), "key")
-    text = F.transform("documents", lambda d: F.concat(d["id"], F.lit(":"), F.array_join(F.transform(d["offsets"], lambda o: F.concat_ws("-", o[0].cast("string"), o[1].cast("string"))), ",")))
-    return got.select("key.process_name", "key.phrase", F.array_join(text, " ").alias("documents"))
+    got = V.merged_rows(rows.where(f"not {_ADDED}").select("key", "documents"), rows.where(_ADDED).select("key", "documents"), "key").where("size(offsets) > 0")
+    text = F.array_join(F.transform("offsets", lambda o: F.concat_ws("-", o[0].cast("string"), o[1].cast("string"))), ",")
+    return got.select("key.process_name", "key.phrase", "document", text.alias("offsets"))
+
+
+@query("jn13_positions", """SELECT DISTINCT d.id AS document, entry_id AS phrase_id, o[1] AS b FROM (SELECT entry_id, d, unnest(d.offsets) AS o FROM (SELECT entry_id, unnest(documents) AS d FROM vector_entries)) WHERE d.id IS NOT NULL""")
+def jn13_positions(spark, sf_dir):
+    """The inverted index itself: documents with their phrases and the places where these begin."""
+    return V.exploded(table(spark, sf_dir, "vector_entries"), "entry_id").where("offset is not null").select("document", F.col("entry_id").alias("phrase_id"), F.col("offset")[0].alias("b")).distinct()
 
 
 @query("jn13_inverted_index", """SELECT d.id AS document, count(DISTINCT entry_id) AS n_phrases, min(entry_id) AS first_key, max(entry_id) AS last_key FROM (SELECT entry_id, unnest(documents) AS d FROM vector_entries) WHERE d.id IS NOT NULL GROUP BY 1""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from phrasewerk.operators import negation as N
 from phrasewerk.operators import phrases as P
 from phrasewerk.operators.numbering import numbered
 from phrasewerk.plans.registry import query
+from phrasewerk.sources.store import ArtifactStore, scratch_dir
 from phrasewerk.tables import table
 
 _LINES = """
@@ -32,9 +35,10 @@ matched AS (
   SELECT doc_id, line_no, i - 1 AS chunk_no, m[i] AS chunk, "offset" + list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS b0
   FROM matched
 ), cut AS (
-  SELECT doc_id, line_no, chunk_no, string_split(chunk, ' ') AS t, b0, b0 + length(chunk) AS "end", CASE WHEN lower(string_split(chunk, ' ')[1]) IN ({_STOPS}) THEN 1 ELSE 0 END AS s FROM chunks
+  SELECT doc_id, line_no, chunk_no, string_split(chunk, ' ') AS t, b0, b0 + length(chunk) AS "end", list_transform(string_split(chunk, ' '), lambda x: lower(x) IN ({_STOPS})) AS d FROM chunks
 ), cleaned AS (
-  SELECT doc_id, line_no, chunk_no, t[s+1:] AS tokens, b0 + CASE WHEN s > 0 THEN length(t[1]) + 1 ELSE 0 END AS "begin", "end" FROM cut WHERE len(t) > s
+  SELECT doc_id, line_no, chunk_no, list_filter(t, lambda x: NOT lower(x) IN ({_STOPS})) AS tokens,
+    b0 + coalesce(list_sum(list_transform(t[1:list_position(d, FALSE) - 1], lambda x: length(x) + 1)), 0) AS "begin", "end" FROM cut WHERE NOT d[len(d)]
 ), occ AS (SELECT doc_id, lower(array_to_string(tokens, ' ')) AS phrase, "begin", "end" FROM cleaned)
 """
 _CHUNKS = _LINES + _CHUNK_PART
@@ -388,3 +392,28 @@ def wn03_consecutive_lines(spark, sf_dir):
 def tk04_first_words(spark, sf_dir):
     rows = N.line_words(_lines(spark, sf_dir), "doc_id", "line_no")
     return rows.select("doc_id", "line_no", F.array_join(A.first_of(F.col("words"), 3), " ").alias("head"))
+
+
+@query("jn02_phrase_vectors", "WITH" + _CHUNKS + """, f AS (SELECT phrase, min(struct_pack(d := doc_id, b := CAST("begin" AS BIGINT))) AS first FROM occ GROUP BY 1), i AS (SELECT phrase, row_number() OVER (ORDER BY first.d, first.b) - 1 AS phrase_id FROM f)
+SELECT phrase_id, phrase, len(embedding) AS dim FROM i JOIN embeddings ON phrase_id = vec_id""")
+def jn02_phrase_vectors(spark, sf_dir):
+    """Phrases beside vectors by an explicit id."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("phrase_id"), "embedding")
+    return P.with_vectors(wn02_phrase_ids(spark, sf_dir), vectors).select("phrase_id", "phrase", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("snk02_processed_lines", "WITH" + _LINES + ' SELECT doc_id, line_no, CAST("offset" AS BIGINT) AS "offset", len(regexp_extract_all(lower(line), \'[\\p{L}\\p{N}]+\')) AS n_words FROM lines')
+def snk02_processed_lines(spark, sf_dir):
+    """The lines with their words, stored as a step's table and read back."""
+    lines = _lines(spark, sf_dir)
+    store = ArtifactStore(spark, scratch_dir(spark))
+    saved = store.save(N.line_words(lines, "doc_id", "line_no", "offset"), f"processed-{uuid.uuid4().hex}", "data")
+    return saved.select("doc_id", "line_no", "offset", F.size("words").cast("long").alias("n_words"))
+
+
+@query("wn07_current_steps", "SELECT user_id, min(event_type) AS step, count(DISTINCT event_type) AS n_steps FROM events GROUP BY 1")
+def wn07_current_steps(spark, sf_dir):
+    """The first step of each process in order of rank, ranks being those of the steps' names."""
+    log = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    by = log.groupBy("user_id").agg(F.min_by("event_type", "event_type").alias("step"), F.count("*").alias("n_steps"))
+    return by.select("user_id", "step", "n_steps")

@@ -28,3 +28,13 @@ def latest_status(log: DataFrame, keys: list[str], status: str, time: str, tie:
 def for_each_batch(stream: DataFrame, add: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs *add* on every micro-batch that is there now, then ends; restarts go on from *checkpoint*."""
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def document_stream(spark: SparkSession, path: str, schema: str = "doc_id string, text string") -> DataFrame:
+    """JSON-lines files of documents as a stream."""
+    return spark.readStream.schema(schema).json(path)
+
+
+def add_documents(engine, process: str, stream: DataFrame, checkpoint: str):
+    """Takes the documents of a stream into a process as they come; a batch that was interrupted is taken again, which changes nothing that it had done: phrases that are there are retained, documents that a node has are not added twice."""
+    return for_each_batch(stream, lambda batch, _: engine.add_documents(process, batch), checkpoint)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from phrasewerk import streaming as S
 from phrasewerk.engine import PhraseEngine, Settings
 from phrasewerk.operators import concepts as C
 from phrasewerk.operators import provenance as V
@@ -146,6 +147,10 @@ def test_engine(spark, tmp_path):
     assert {s for _, _, _, s in reused.status_rows()} == {"skipped"} and reused.current() is None
     loader = Loader(ArtifactStore(spark, str(tmp_path / "engine")), "p")
     assert loader.load("graph") is loader.load("graph") and set(loader.open) == {"data", "embedding", "clustering", "graph"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"doc_id": "77", "text": "Leberzyste Segment wieder."}\n')
+    S.add_documents(engine, "p", S.document_stream(spark, str(tmp_path / "in")), str(tmp_path / "checkpoint")).awaitTermination()
+    assert any("77" in [d.id for d in r.documents] for r in engine.graph_tables("p")[0].collect())
     assert engine.delete("p") and engine.processes() == []
     with pytest.raises(ValueError):
         Settings.of({"graph": {"unknown": 1}})
