@@ -105,17 +105,20 @@ def gr10_degree_ranks(spark, sf_dir):
     return G.degree_ranks(_edges(spark, sf_dir))
 
 
-@query("gr09_significance", "WITH" + _GRAPH + """, s AS (SELECT graph_id, node, sum(weight) * 100 AS s FROM mir GROUP BY 1, 2), q AS (SELECT graph_id, sum(s) / 2 AS q FROM s GROUP BY 1),
+_SIGNIFICANCE = "WITH" + _GRAPH + """, s AS (SELECT graph_id, node, sum(weight) * 100 AS s FROM mir GROUP BY 1, 2), q AS (SELECT graph_id, sum(s) / 2 AS q FROM s GROUP BY 1),
 x AS (SELECT e.graph_id, src, dst, round_even(e.weight * 100, 0) AS k, round_even(q, 0) AS n, greatest(0, least(1, u.s * v.s / (2 * q * q))) AS p FROM edges e
   JOIN s u ON e.graph_id = u.graph_id AND src = u.node JOIN s v ON e.graph_id = v.graph_id AND dst = v.node JOIN q ON e.graph_id = q.graph_id),
 t AS (SELECT *, CASE WHEN k <= 0 OR p >= 1 THEN 1.0 WHEN p <= 0 THEN 0.0 ELSE least(1.0, list_sum(list_transform(range(CAST(k AS BIGINT), CAST(least(n, k + 3000) AS BIGINT) + 1),
   lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))) END AS t FROM x)
-SELECT graph_id, src, dst, round(CASE WHEN t <= 0 THEN 709.782712893384 ELSE least(709.782712893384, abs(ln(t))) END, 3) AS significance FROM t""")
+SELECT graph_id, src, dst, round(CASE WHEN t <= 0 THEN 709.782712893384 ELSE least(709.782712893384, abs(ln(t))) END, 3) AS significance FROM t"""
+
+
+@query("gr09_significance", _SIGNIFICANCE)
 def gr09_significance(spark, sf_dir):
     return G.significances(_stored(_edges(spark, sf_dir), "edges")).select("graph_id", "src", "dst", F.round("significance", 3).alias("significance"))
 
 
-@query("sc06_directed_significance")
+@query("sc06_directed_significance", _SIGNIFICANCE.replace("(2 * q * q)", "(q * q)"))
 def sc06_directed_significance(spark, sf_dir):
     """The chance of an edge in one direction."""
     found = G.significances(_stored(_edges(spark, sf_dir), "edges"), directed=True)

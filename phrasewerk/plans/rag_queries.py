@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from phrasewerk import streaming as S
 from phrasewerk.functions import text as T
+from phrasewerk.functions import vectors as VF
 from phrasewerk.operators import expansion as E
 from phrasewerk.operators import rag as RAG
 from phrasewerk.operators import retrieval as R
@@ -312,12 +313,15 @@ def vs06_provenance_removed(spark, sf_dir):
     return store.entries().select("entry_id", F.greatest(F.size(F.coalesce("documents", F.array().cast(VS.V.DOCUMENTS))), F.lit(0)).cast("long").alias("n_documents"))
 
 
-@query("vs08_added_document")
+@query("vs08_added_document", f"""WITH {_STORED}, d AS (SELECT min(id) AS one FROM corpus_files), x AS (SELECT s.entry_id, s.phrase, s.documents, e.v, e.g FROM st s JOIN (SELECT entry_id AS nr, min(CAST(phrase_vector AS DOUBLE[])) AS v, any_value(graph_cluster) AS g FROM vector_entries WHERE len(phrase_vector) = 64 GROUP BY 1) e USING (nr)),
+a AS (SELECT x.* FROM x, d WHERE len(list_filter(coalesce(documents, []), lambda c: c.id = one)) > 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+r AS (SELECT a.entry_id AS nr, a.phrase, min(b.entry_id) AS entry_id FROM a JOIN x b ON len(list_filter(b.v, lambda c: c <> 0)) > 0 AND list_cosine_similarity(a.v, b.v) >= 0.999 GROUP BY 1, 2)
+SELECT CASE WHEN x.g[1] IS NULL THEN 'without_graph_incorporated' ELSE 'with_graph_incorporated' END AS kind, r.phrase, r.entry_id FROM r JOIN x ON r.entry_id = x.entry_id""")
 def vs08_added_document(spark, sf_dir):
     """The phrases of the corpus's first file added again as a new document: all are retained, and have a graph or not."""
     store, _ = _vector_store(spark, sf_dir)
     one = table(spark, sf_dir, "corpus_files").agg(F.min("id")).first()[0]
-    mine = store.entries().where(F.exists("documents", lambda d: d["id"] == one)).select(F.col("entry_id").alias("nr"), F.lit("new").alias("document"), "phrase", "vector", F.lit(None).cast("array<array<int>>").alias("offsets"))
+    mine = store.entries().where(F.exists("documents", lambda d: d["id"] == one) & VF.usable(F.col("vector"))).select(F.col("entry_id").alias("nr"), F.lit("new").alias("document"), "phrase", "vector", F.lit(None).cast("array<array<int>>").alias("offsets"))
     out = VS.VectorDocumentStore(store).add_documents(mine)
     rows = None
     for kind, found in out.items():
