@@ -282,11 +282,45 @@ def degree_ranks(edges: DataFrame) -> DataFrame:
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float | None = None) -> DataFrame:
     """(graph_id, node_id, rank): weighted PageRank of each graph, ranks summing to 1; the rank of nodes without edges goes to all.
 
-    A fixed number of rounds or, with *tolerance*, as many as it takes until no graph's ranks change by that much in
+    A fixed number of rounds or, with *tolerance*, as many as it takes until a graph's ranks change by less than that in
     sum. A round shrinks the change by *damping* at least, so this ends, and the ranks are then within
-    tolerance * damping / (1 - damping) of the limit. Every fifth round is tested and written to the shared folder,
-    which keeps the lineage short. Edges of weight 0 carry nothing.
+    tolerance * damping / (1 - damping) of the limit. Edges of weight 0 carry nothing. Graphs of up to PART_EDGES edges
+    and nodes are ranked in a task each, larger ones in rounds of joins, by the same steps.
     """
+    edges = edges.select("graph_id", "src", "dst", "weight")
+    sizes = nodes.select("graph_id").unionByName(edges.select("graph_id")).groupBy("graph_id").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > PART_EDGES).select("graph_id"), "large")
+    if large.isEmpty():
+        return _ranked_whole(nodes, edges, damping, rounds, tolerance)
+    small = _ranked_whole(nodes.join(large, "graph_id", "left_anti"), edges.join(large, "graph_id", "left_anti"), damping, rounds, tolerance)
+    return small.unionByName(_ranked_by_joins(nodes.join(large, "graph_id", "left_semi"), edges.join(large, "graph_id", "left_semi"), damping, rounds, tolerance))
+
+
+def _ranked_whole(nodes: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float | None) -> DataFrame:
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+    rows = nodes.select("graph_id", F.col("node_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("weight")).unionByName(edges.where("weight <> 0").select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("weight")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_node = pdf["b"].isna().to_numpy()
+        ids = np.unique(pdf["a"].to_numpy()[is_node])
+        own = pdf[~is_node]
+        i, j = np.searchsorted(ids, own["a"].to_numpy()), np.searchsorted(ids, own["b"].to_numpy(np.int64))
+        i, j, w, n = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(own["weight"].to_numpy(float), 2), len(ids)
+        out = np.bincount(i, weights=w, minlength=n)
+        share, loose = w / out[i], out == 0
+        rank = np.full(n, 1 / n)
+        for r in itertools.count() if tolerance is not None else range(rounds):
+            after = (1 - damping) / n + damping * (np.bincount(j, weights=rank[i] * share, minlength=n) + rank[loose].sum() / n)
+            change, rank = np.abs(after - rank).sum(), after
+            if tolerance is not None and change < tolerance:
+                break
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node_id": ids, "rank": rank})
+
+    return rows.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, node_id long, rank double")
+
+
+def _ranked_by_joins(nodes: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float | None) -> DataFrame:
+    """As _ranked_whole; every fifth round is tested and written to the shared folder, which keeps the lineage short."""
     flow = mirrored(edges.where("weight <> 0"), "weight")
     out = flow.groupBy("graph_id", "node").agg(F.sum("weight").alias("_out"))
     flow = written(flow.join(out, ["graph_id", "node"]).select("graph_id", "node", "other", (F.col("weight") / F.col("_out")).alias("_share")), "flow")

@@ -62,7 +62,9 @@ def test_simplified_stays_connected(spark):
     assert len(edges) - int(0.6 * len(edges)) <= len(kept) < len(edges)
 
 
-def test_page_rank_sums_to_one_and_matches_the_matrix(spark):
+@pytest.mark.parametrize("part", [200_000, 3])
+def test_page_rank_sums_to_one_and_matches_the_matrix(spark, monkeypatch, part):
+    monkeypatch.setattr(G, "PART_EDGES", part)  # in one task, and in rounds of joins
     nodes, edges = graph(2, 12, 14)
     n, e = frames(spark, nodes, edges)
     got = {r.node_id: r["rank"] for r in G.page_rank(n, e, rounds=10).collect()}
@@ -184,7 +186,9 @@ def test_graph_queries_take_pairs_of_low_cosine(spark, tmp_path):
     assert [(r.removed, r.kept) for r in Q.gr02_merged_phrases(spark, str(tmp_path)).collect()] == [(1, 2)]
 
 
-def test_page_rank_goes_on_until_it_converges(spark):
+@pytest.mark.parametrize("part", [200_000, 3])
+def test_page_rank_goes_on_until_it_converges(spark, monkeypatch, part):
+    monkeypatch.setattr(G, "PART_EDGES", part)
     n = 9
     nodes, edges = list(range(n)), [("g", i, i + 1, 1.0 if i % 2 else 0.05) for i in range(n - 2)] + [("g", 0, n - 1, 0.0)]
     a = np.zeros((n, n))
