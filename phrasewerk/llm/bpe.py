@@ -94,17 +94,19 @@ class Encoder:
         whole = self.ids_of.get(text)
         if whole is not None and self._reachable(whole):
             return [whole]
-        last: list[tuple[int, int] | None] = [None] * len(text)
+        n, compatible = len(text), self._compatible
+        lengths, tokens = [0] * n, [-1] * n  # of the one token with which each prefix's encoding ends
         for end, (length, token) in self.automaton.iter(text):
-            if last[end] is None:
+            if tokens[end] < 0:
                 before = end - length
-                if before < 0 or (last[before] is not None and self._compatible(last[before][1], token)):
-                    last[end] = (length, token)
-        ids, at = [], len(text) - 1
+                if before < 0 or (tokens[before] >= 0 and compatible(tokens[before], token)):
+                    lengths[end], tokens[end] = length, token
+        ids, at = [], n - 1
         while at >= 0:
-            length, token = last[at]
-            ids.append(token)
-            at -= length
+            if tokens[at] < 0:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            ids.append(tokens[at])
+            at -= lengths[at]
         ids.reverse()
         return ids
 
