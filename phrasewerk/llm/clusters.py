@@ -48,10 +48,10 @@ def settings(config: DataFrame) -> DataFrame:
     return rows.select("process_name", F.coalesce(F.col("d"), F.lit(DISTANCE)).cast("double").alias("distance"), F.coalesce(F.col("m"), F.lit(MIN_SIZE)).cast("long").alias("min_size"))
 
 
-def _beside(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """*rows* joined with a table that is broadcast only if it has few rows."""
-    few = small.limit(FEW_ROWS + 1).count() <= FEW_ROWS
-    return rows.join(F.broadcast(small) if few else small, on, how)
+def _hinted(small: DataFrame, n: int | None = None) -> DataFrame:
+    """A table that is broadcast in joins only if it has few rows; *n* is their number where it is known."""
+    n = small.limit(FEW_ROWS + 1).count() if n is None else n
+    return F.broadcast(small) if n <= FEW_ROWS else small
 
 
 def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", vector: str = "phrase_vector") -> tuple[DataFrame, DataFrame]:
@@ -65,10 +65,11 @@ def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", v
     good = good.select(F.col("entry_id").cast("long").alias("entry_id"), "process_name", F.col(phrase).alias("phrase"), F.col(vector).cast("array<float>").alias("v"))
     sizes = good.groupBy("process_name").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
     each = written(sizes.join(settings(config), "process_name", "left").select("process_name", "parts", F.coalesce("distance", F.lit(DISTANCE)).alias("distance")), "processes")
-    rows = _beside(good, each, ["process_name"]).withColumn("part", F.pmod(F.xxhash64("entry_id"), F.col("parts")).cast("int"))
+    buckets, n = each.agg(F.sum("parts"), F.count("*")).first()
+    rows = good.join(_hinted(each, n), "process_name").withColumn("part", F.pmod(F.xxhash64("entry_id"), F.col("parts")).cast("int"))
     # the second delivery of an entry has its process and so its part; should one come with another process, the least stays
     moved = good.select("entry_id", "process_name").distinct().groupBy("entry_id").agg(F.count("*").alias("n"), F.min("process_name").alias("process_name")).where("n > 1").select("entry_id", F.col("process_name").alias("_own"))
-    if not (moved := written(moved, "moved")).isEmpty():
+    if not moved.isEmpty():
         rows = rows.join(moved, "entry_id", "left").where("_own is null or process_name = _own")
 
     def once(t: pa.Table) -> pa.Table:
@@ -82,7 +83,7 @@ def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", v
         return t
 
     cols = ["process_name", "part", "distance", "entry_id", "phrase", "v"]
-    buckets = max(1, each.agg(F.sum("parts")).first()[0] or 1)
+    buckets = max(1, buckets or 1)
     made = rows.select(*cols).repartition(buckets, "process_name", "part").groupBy("process_name", "part").applyInArrow(once, rows.select(*cols).schema)
     name = f"vectors_{uuid.uuid4().hex}"
     made.write.bucketBy(buckets, "process_name", "part").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
@@ -156,7 +157,7 @@ def _round(by_weight: bool):
 
 def _edges(state: DataFrame, sizes: DataFrame) -> DataFrame:
     """(process_name, a, b, cosine): similar pivots of a process, found in pairs of parts; no task holds more than two."""
-    mine = _beside(state, sizes, ["process_name"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    mine = state.join(sizes, "process_name").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     pairs = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("process_name", "distance", "id", "n", "v", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
 
@@ -217,11 +218,12 @@ def collapsed(state: DataFrame, by_weight: bool = False) -> DataFrame:
     before = None
     while True:
         sizes = state.groupBy("process_name").agg(F.count("*").alias("k"))
-        sizes = written(sizes.select("process_name", F.ceil(F.col("k") / F.lit(PART)).cast("int").alias("parts"), "k"), "sizes")
-        most, total = sizes.agg(F.max("parts"), F.sum("k")).first()
+        sizes = sizes.select("process_name", F.ceil(F.col("k") / F.lit(PART)).cast("int").alias("parts"), "k")
+        most, total, n = sizes.agg(F.max("parts"), F.sum("k"), F.count("*")).first()
+        sizes = _hinted(sizes.drop("k"), n)
         if most is not None and most > 1 and before is not None and total > SHRINKS * before:
-            return _by_edges(state, sizes.drop("k"), by_weight)
-        cells = _beside(state, sizes.drop("k"), ["process_name"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(total or 0)), F.col("parts")).cast("int")).drop("parts")
+            return _by_edges(state, sizes, by_weight)
+        cells = state.join(sizes, "process_name").withColumn("part", F.pmod(F.xxhash64("id", F.lit(total or 0)), F.col("parts")).cast("int")).drop("parts")
         state = written(cells.groupBy("process_name", "part").applyInArrow(_round(by_weight), _STATE), "pivots")
         if most is None or most <= 1:
             return state
@@ -237,9 +239,12 @@ def _assigned(rows: DataFrame, parts: DataFrame, found: DataFrame, what: str) ->
     *what*: "members" gives _ASSIGNED, "rest" the rows (_STATE) that reach none, "sums" the sums of each direction's
     members (_STATE). The directions of a process go to each of its parts, in blocks where they are very many.
     """
-    numbered = found.withColumn("block", F.floor(F.row_number().over(Window.partitionBy("process_name", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) * 64 / F.lit(DIRECTIONS)).cast("int"))
+    numbered = found.withColumn("block", F.lit(0))
+    if (many := found.count() > DIRECTIONS):
+        number = F.row_number().over(Window.partitionBy("process_name", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))
+        numbered = found.withColumn("block", F.floor(number * 64 / F.lit(DIRECTIONS)).cast("int"))
     sent = parts.join(numbered.select("process_name", "id", "v", "block"), "process_name", "left" if what == "rest" else "inner")
-    several = what != "rest" and not numbered.where("block > 0").isEmpty()
+    several = many and what != "rest" and not numbered.where("block > 0").isEmpty()
 
     def best_of(t: pa.Table, d: pa.Table) -> tuple:
         t, d = t.combine_chunks(), d.combine_chunks()
@@ -311,7 +316,7 @@ def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
     are not used.
     """
     rows, parts = usable_rows(entries, config)
-    least = written(settings(config).select("process_name", "min_size"), "settings")
+    least = _hinted(written(settings(config).select("process_name", "min_size"), "settings"))
     first = rows.select("process_name", "part", "distance", F.col("entry_id").alias("id"), "v").groupBy("process_name", "part")
     state = written(first.applyInArrow(_round(False), _STATE), "pivots")  # every row is in the first round
     found, large = None, None
@@ -319,7 +324,7 @@ def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
         state = collapsed(state)
         enough = F.coalesce("min_size", F.lit(MIN_SIZE))
         # at first, pivots of two rows may still grow; those of one are among the rest, unless one row makes a group
-        more = _beside(state, least, ["process_name"]).where(F.col("n") >= (F.least(enough, F.lit(2)) if found is None else enough)).select(*state.columns)
+        more = state.join(least, "process_name", "left").where(F.col("n") >= (F.least(enough, F.lit(2)) if found is None else enough)).select(*state.columns)
         if found is not None:
             if more.isEmpty():
                 break
@@ -328,7 +333,7 @@ def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
         for _ in range(REFINED):
             found = collapsed(_recomputed(rows, parts, found), by_weight=True)
         found = _recomputed(rows, parts, found)
-        kept = _beside(found, least, ["process_name"]).where(F.col("n") >= enough).select(*found.columns)
+        kept = found.join(least, "process_name", "left").where(F.col("n") >= enough).select(*found.columns)
         kept = written(kept, "kept")
         if large is not None and kept.count() <= large.count():  # no new group
             break
@@ -336,7 +341,7 @@ def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
         state = written(_assigned(rows, parts, large, "rest"), "rest")
     members = written(_assigned(rows, parts, large, "members"), "groups")
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-    return _beside(members, sizes, ["grp"], "inner").select("entry_id", "process_name", "grp", "size", "cosine", "phrase")
+    return members.join(_hinted(sizes), "grp").select("entry_id", "process_name", "grp", "size", "cosine", "phrase")
 
 
 def described(members: DataFrame, typical: int = 3) -> DataFrame:
@@ -356,7 +361,7 @@ def probe_pairs(members: DataFrame, probes: DataFrame) -> DataFrame:
     asked = probes.where("entry_id is not null").select("entry_id").distinct()
     hit = written(members.join(asked, "entry_id").select("entry_id", "grp"), "probed")
     blocks = hit.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PROBES)).cast("int").alias("n"))
-    hit = _beside(hit, blocks, ["grp"], "inner").withColumn("mine", F.pmod(F.xxhash64("entry_id"), F.col("n")).cast("int"))
+    hit = hit.join(_hinted(blocks), "grp").withColumn("mine", F.pmod(F.xxhash64("entry_id"), F.col("n")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     a = hit.select(F.col("entry_id").alias("id_a"), "grp", F.col("mine").alias("i"), others.alias("j"))
     b = hit.select(F.col("entry_id").alias("id_b"), "grp", others.alias("i"), F.col("mine").alias("j"))
