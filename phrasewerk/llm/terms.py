@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasewerk.llm.common import has_word
+from phrasewerk.llm.common import has_word, written
 
 #: Processes beyond this number meet their configuration in a shuffled join.
 BROADCAST_PROCESSES = 100_000
@@ -100,6 +100,7 @@ def term_counts(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     key = ["process_name", "term", "record", "entry_id", "begin"]
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.select(*key), "pairs")  # the sample for the ranges and the sort read it, neither makes it again
     runs = rows.repartitionByRange(n, "process_name", "term", "record").sortWithinPartitions(*key).select(*key)
     runs = runs.mapInArrow(_runs, "process_name string, term string, n_occurrences long, n_documents long")
     return runs.groupBy("process_name", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_documents").alias("n_documents"))
