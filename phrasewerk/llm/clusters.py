@@ -54,11 +54,12 @@ def _hinted(small: DataFrame, n: int | None = None) -> DataFrame:
     return F.broadcast(small) if n <= FEW_ROWS else small
 
 
-def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", vector: str = "phrase_vector") -> tuple[DataFrame, DataFrame]:
-    """(process_name, part, distance, entry_id, phrase, v): one row for each entry with a usable vector, bucketed by process and part; and all (process_name, part).
+def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", vector: str = "phrase_vector") -> tuple[DataFrame, DataFrame, str | None]:
+    """(process_name, part, distance, entry_id, phrase, v): one row for each entry with a usable vector, bucketed by process and part; all (process_name, part); and the table's name.
 
     Of rows repeated under one entry_id the least (process, phrase, vector) stays. The table lies in the shared folder
-    in buckets, so that passes over it need no shuffle.
+    in buckets, so that passes over it need no shuffle. Where the session's catalog takes no tables it is a plain one,
+    without a name, and passes shuffle it.
     """
     spark = entries.sparkSession
     good = entries.where(F.col("entry_id").isNotNull() & F.col("process_name").isNotNull() & usable_vector(F.col(vector), DIM))
@@ -86,9 +87,13 @@ def usable_rows(entries: DataFrame, config: DataFrame, phrase: str = "phrase", v
     buckets = max(1, buckets or 1)
     made = rows.select(*cols).repartition(buckets, "process_name", "part").groupBy("process_name", "part").applyInArrow(once, rows.select(*cols).schema)
     name = f"vectors_{uuid.uuid4().hex}"
+    every = written(each.select("process_name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "parts")
+    try:
+        spark.catalog.tableExists(name)
+    except Exception:  # noqa: BLE001 - a catalog that can't be set up
+        return written(made, "vectors"), every, None
     made.write.bucketBy(buckets, "process_name", "part").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
-    every = each.select("process_name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return spark.table(name), written(every, "parts")
+    return spark.table(name), every, name
 
 
 def _order(ids: np.ndarray, n: np.ndarray, by_weight: bool) -> np.ndarray:
@@ -315,7 +320,7 @@ def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
     without a configuration take the defaults. grp is the entry_id of the pivot that began the group. Existing labels
     are not used.
     """
-    rows, parts = usable_rows(entries, config)
+    rows, parts, name = usable_rows(entries, config)
     least = _hinted(written(settings(config).select("process_name", "min_size"), "settings"))
     first = rows.select("process_name", "part", "distance", F.col("entry_id").alias("id"), "v").groupBy("process_name", "part")
     state = written(first.applyInArrow(_round(False), _STATE), "pivots")  # every row is in the first round
@@ -340,6 +345,8 @@ def groups(entries: DataFrame, config: DataFrame) -> DataFrame:
         large = kept
         state = written(_assigned(rows, parts, large, "rest"), "rest")
     members = written(_assigned(rows, parts, large, "members"), "groups")
+    if name:
+        entries.sparkSession.sql(f"DROP TABLE {name}")  # its files go with the scratch folder
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
     return members.join(_hinted(sizes), "grp").select("entry_id", "process_name", "grp", "size", "cosine", "phrase")
 
