@@ -153,6 +153,8 @@ def _features(rows: DataFrame, vector: str, *keep: str) -> DataFrame:
 def k_means(rows: DataFrame, key: str, vector: str, k: int = 50, seed: int = 1) -> DataFrame:
     """(key, cluster_id) by k-means on the usable vectors."""
     good = _features(rows, vector, key)
+    if good.isEmpty():
+        return good.select(key, F.lit(0).alias("cluster_id"))
     return KMeans(k=k, seed=seed, maxIter=15).fit(good).transform(good).select(key, F.col("prediction").alias("cluster_id"))
 
 
@@ -307,7 +309,7 @@ def calinski_harabasz(x: np.ndarray, at: np.ndarray) -> float:
 
 def top_cosine(rows: DataFrame, one: list[float], key: str, vector: str, top: int | None = None, distance: float = 0.7) -> DataFrame:
     """(key, cosine) to the vector *one*: the *top* best whatever their cosine, or all of at least *distance*; best first, ties by key."""
-    scored = rows.where(VF.usable(F.col(vector))).select(key, VF.cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in one])).alias("cosine"))
+    scored = rows.where(VF.usable(F.col(vector))).select(key, VF.cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in one]).cast("array<double>")).alias("cosine"))
     if top is None:
         return scored.where(F.col("cosine") >= distance).orderBy(F.desc("cosine"), key)
     return scored.where("cosine is not null").orderBy(F.desc("cosine"), key).limit(top)

@@ -79,10 +79,10 @@ def of_label(documents: DataFrame, label_value: str, wanted: str, label: str = "
 
 
 class View:
-    """What a label view shows of a corpus: its documents, labels, names and counts."""
+    """What a label view shows of a corpus: its documents, labels, names and counts. If *strict*, labels that no document has are an error."""
 
-    def __init__(self, documents: DataFrame, labels: list[str] | None = None, label: str = "label"):
-        if labels is not None:
+    def __init__(self, documents: DataFrame, labels: list[str] | None = None, label: str = "label", strict: bool = True):
+        if labels is not None and strict:
             missing = [r.label for r in missing_labels(documents, labels, label).collect()]  # at most the labels asked for
             if missing:
                 raise KeyError(", ".join(sorted(missing)))

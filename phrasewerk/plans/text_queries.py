@@ -328,12 +328,12 @@ def neg01_term_sets(spark, sf_dir):
 
 @query("prj06_view_topics", "SELECT DISTINCT lower(label) AS label FROM documents WHERE lower(label) IN ('befund', 'labor')")
 def prj06_view_topics(spark, sf_dir):
-    return L.View(table(spark, sf_dir, "documents"), ["Befund", "labor"]).topics()
+    return L.View(table(spark, sf_dir, "documents"), ["Befund", "labor"], strict=False).topics()
 
 
 @query("prj06_view_lines", "WITH" + _LINES + " SELECT doc_id, line_no FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(label) IN ('befund', 'labor'))")
 def prj06_view_lines(spark, sf_dir):
-    return L.View(table(spark, sf_dir, "documents"), ["Befund", "labor"]).of(_lines(spark, sf_dir)).select("doc_id", "line_no")
+    return L.View(table(spark, sf_dir, "documents"), ["Befund", "labor"], strict=False).of(_lines(spark, sf_dir)).select("doc_id", "line_no")
 
 
 @query("prj07_lookups", "SELECT name, doc_id FROM documents WHERE name IN (SELECT min(name) FROM documents UNION ALL SELECT max(name) FROM documents)")

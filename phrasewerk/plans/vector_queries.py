@@ -91,8 +91,8 @@ def ag09_fused_scores(spark, sf_dir):
 @query("tk01_top_cosine", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0), o AS (SELECT v AS o FROM v WHERE vec_id = (SELECT min(vec_id) FROM v)) SELECT vec_id, round(list_cosine_similarity(v, o), 6) AS cosine FROM v, o ORDER BY list_cosine_similarity(v, o) DESC, vec_id LIMIT 20")
 def tk01_top_cosine(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    one = rows.where(VF.usable(F.col("embedding"))).orderBy("vec_id").first().embedding
-    return C.top_cosine(rows, one, "vec_id", "embedding", top=20).withColumn("cosine", F.round("cosine", 6))
+    first = rows.where(VF.usable(F.col("embedding"))).orderBy("vec_id").first()
+    return C.top_cosine(rows, first.embedding if first else [], "vec_id", "embedding", top=20).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("ml04_k_means")

@@ -26,3 +26,19 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def odd_tables(spark, tmp_path_factory):
+    """Folders with all tables empty, and with three rows of nulls each."""
+    from pathlib import Path
+
+    source = sorted(Path("/root/testdata/sf0.001").glob("*.parquet"))
+    if not source:
+        pytest.skip("no test data")
+    empty, nulls = (tmp_path_factory.mktemp(x) for x in ("empty", "nulls"))
+    for f in source:
+        schema = spark.read.parquet(str(f)).schema
+        spark.createDataFrame([], schema).write.parquet(str(empty / f.name))
+        spark.createDataFrame([(None,) * len(schema)] * 3, schema).write.parquet(str(nulls / f.name))
+    return str(empty), str(nulls)
