@@ -85,17 +85,17 @@ class ListGraph:
             links.append(np.union1d(top, np.flatnonzero((two == h).any(1))))
         self.links = links
         beside = min(k, BESIDE + 1)
-        self.beside = []
-        for a in range(0, k, 2048):
-            s = c[a : a + 2048] @ c.T
-            self.beside += list(np.argpartition(-s, beside - 1, axis=1)[:, :beside] if beside < k else np.tile(np.arange(k), (len(s), 1)))
+        self.beside = np.empty((k, beside), np.int32)  # a table of its own: slices would keep every centroid's order of all others
+        for a in range(0, k, 256):
+            s = c[a : a + 256] @ c.T
+            self.beside[a : a + 256] = np.argpartition(-s, beside - 1, axis=1)[:, :beside] if beside < k else np.arange(k)
 
     def near(self, x: np.ndarray, ratio: float, least: int = 1, most: int = MOST_LOOKED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, distance / nearest distance) of the *least* nearest lists and those within *ratio*, at most *most* for a row."""
         best, at = np.full(len(x), np.inf, np.float32), np.zeros(len(x), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def visit(rows: np.ndarray, node: np.ndarray, links: list[np.ndarray]) -> None:
+        def visit(rows: np.ndarray, node: np.ndarray, links: list[np.ndarray] | np.ndarray) -> None:
             """Looks at the centroids linked to each row's node."""
             order = np.argsort(node, kind="stable")
             of, starts = np.unique(node[order], return_index=True)
@@ -226,8 +226,10 @@ def fit_lists(rows: DataFrame, n: int, key: str, vector: str) -> ListGraph:
     want = n_lists * SAMPLE_PER_LIST
     parts = 1_000_000
     share = max(1, min(parts, round(parts * want / max(1, n))))
-    sample = rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(parts)) < share).select(vector).limit(2 * want).toArrow().column(0).combine_chunks()
-    return ListGraph(matrix(sample) if len(sample) else np.zeros((0, DIM), np.float32), n_lists)
+    sample = rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(parts)) < share).select(vector).limit(2 * want).toArrow().column(0)
+    x = np.concatenate([np.zeros((0, DIM), np.float32), *(matrix(c) for c in sample.chunks if len(c))])
+    del sample
+    return ListGraph(x, n_lists)
 
 
 def most_similar(rows: DataFrame, k: int = 5, least: float | None = None, asks: Column | None = None, key: str = "entry_id", vector: str = "phrase_vector") -> DataFrame:

@@ -70,3 +70,17 @@ def test_many_copies_and_cut_lists(spark, monkeypatch, least):
     assert same >= 0.97 * sum(bool(v) for v in truth.values())
     for i in range(110, 250):
         assert [got[i][r] for r in (1, 2, 3)] == [100, 101, 102]
+
+
+def test_graph_of_lists_holds_its_neighbours_only():
+    import tracemalloc
+
+    x = np.random.RandomState(5).randn(3000, 64).astype(np.float32)
+    tracemalloc.start()
+    g = vectors.ListGraph(x, 3000, rounds=1)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 16e6  # every centroid's order of all others is 72 MB
+    s = g.centroids @ g.centroids.T
+    for i in range(0, 3000, 500):
+        assert set(g.beside[i]) == set(np.argsort(-s[i])[: vectors.BESIDE + 1])
