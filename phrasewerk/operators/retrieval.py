@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from phrasewerk.functions import text as T
@@ -121,16 +124,38 @@ GRAM, DIMS = 3, 256
 def encoded(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
     """(key, dim, weight): texts as sparse vectors of length one, for want of a model: their words' grams, hashed to dimensions and counted.
 
-    Words are in lower case with a blank before and behind them. A text without words has no rows.
+    Words are in lower case with a blank before and behind them. A text without words has no rows. The texts of a key
+    meet in one task, which holds the counts of a thousand keys; only they and their length leave it, so nothing is joined.
     """
     spaced = F.concat(F.lit(" "), F.array_join(T.words(F.col(text)), " "), F.lit(" "))
-    own = rows.select(key, spaced.alias("_s")).where(F.length("_s") > GRAM)
-    own = own.withColumn("_c", F.transform(F.filter(F.split("_s", ""), lambda c: c != ""), lambda c: F.ascii(c)))
-    at = lambda i, k: F.get("_c", i + k)
-    hashed = F.transform(F.sequence(F.lit(0), F.size("_c") - GRAM), lambda i: (at(i, 0) * 961 + at(i, 1) * 31 + at(i, 2)) % dims)
-    counts = own.select(key, F.explode(hashed).alias("dim")).groupBy(key, "dim").agg(F.count("*").alias("n"))
-    length = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_length"))
-    return counts.join(length, key).select(key, "dim", (F.col("n") / F.col("_length")).alias("weight"))
+    own = rows.select(key, spaced.alias("_s")).where(F.length("_s") > GRAM).repartition(key).sortWithinPartitions(key)
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        n = np.stack([c for _, c in found])
+        i, j = np.nonzero(n)
+        weights = n[i, j] / np.sqrt((n * n).sum(1))[i]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], kind).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(weights)], [key, "dim", "weight"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = None, []  # the last key, whose texts may go on
+        for b in batches:
+            for k, s in zip(b[key].to_pylist(), b["_s"].to_pylist()):
+                c = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64)
+                n = np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % dims, minlength=dims)
+                if held is not None and held[0] == k:
+                    held = (k, held[1] + n)
+                    continue
+                out += [held] if held is not None else []
+                held = (k, n)
+                if len(out) == 1000:
+                    yield made(out)
+                    out = []
+        out += [held] if held is not None else []
+        if out:
+            yield made(out)
+
+    kind = to_arrow_type(own.schema[key].dataType)
+    return own.mapInArrow(encode, f"`{key}` {own.schema[key].dataType.simpleString()}, dim int, weight double")
 
 
 class Encoder(Protocol):
