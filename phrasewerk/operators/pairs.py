@@ -126,6 +126,31 @@ def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]
     return pdf["id"].to_numpy(), np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j
 
 
+def _weighable(rows: DataFrame, key: str, cluster: str, vector: str, label: str, *more: Column) -> DataFrame:
+    usable = rows.where(F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False)))
+    return _labelled(usable, key, cluster, label, F.transform(vector, lambda x: x.cast("float")).alias("v"), *more)
+
+
+def _weighed(pdf: pd.DataFrame, wc: float, cut_off: float, added: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, p, q, cosine, weight) for each width of the vectors of two blocks that meet: the edges between the places p and q of the rows, each once."""
+    pdf = _once(pdf)
+    width = pdf["v"].map(len)
+    for w in width.unique():
+        part = pdf[width == w]
+        x = np.stack(part["v"].to_numpy()).astype(np.float64)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        ids, a, b, same = _sides(part)
+        held = _Labels(part["s"].tolist())
+        s = x[a] @ x[b].T
+        p, q = np.nonzero(((1 - wc) * (1 + added) + wc * s >= cut_off - 1e-9) & ((ids[a][:, None] < ids[b][None, :]) if same else True))
+        cosine, p, q = s[p, q], a[p], b[q]
+        can = (1 - wc) * held.similarity(p, q, added, np.minimum(held.size[p], held.size[q])) + wc * cosine >= cut_off
+        cosine, p, q = cosine[can], p[can], q[can]
+        weight = (1 - wc) * held.similarity(p, q, added) + wc * cosine
+        good = weight >= cut_off
+        yield part, p[good], q[good], cosine[good], weight[good]
+
+
 def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding", label: str = "label", added: float = 0.05) -> DataFrame:
     """(cluster, src, dst, cosine, weight): every pair src < dst of a cluster with weight = (1 - wc) * label similarity + wc * cosine of at least *cut_off*.
 
@@ -133,28 +158,13 @@ def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: floa
     subsequence is found only for pairs that can still reach the cut-off; none that reaches it is left out. *rows* holds
     a key of a cluster once; null labels and vectors without direction take no part.
     """
-    usable = rows.where(F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False)))
-    good = _labelled(usable, key, cluster, label, F.transform(vector, lambda x: x.cast("float")).alias("v"))
-    wc = weight_on_cosine
+    good, wc = _weighable(rows, key, cluster, vector, label), weight_on_cosine
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "src": [], "dst": [], "cosine": [], "weight": []})]
-        pdf = _once(pdf)
-        width = pdf["v"].map(len)
-        for w in width.unique():
-            part = pdf[width == w]
-            x = np.stack(part["v"].to_numpy()).astype(np.float64)
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            ids, a, b, same = _sides(part)
-            held = _Labels(part["s"].tolist())
-            s = x[a] @ x[b].T
-            p, q = np.nonzero(((1 - wc) * (1 + added) + wc * s >= cut_off - 1e-9) & ((ids[a][:, None] < ids[b][None, :]) if same else True))
-            cosine, p, q = s[p, q], a[p], b[q]
-            can = (1 - wc) * held.similarity(p, q, added, np.minimum(held.size[p], held.size[q])) + wc * cosine >= cut_off
-            cosine, p, q = cosine[can], p[can], q[can]
-            weight = (1 - wc) * held.similarity(p, q, added) + wc * cosine
-            left, right, good = ids[p], ids[q], weight >= cut_off
-            out.append(pd.DataFrame({"cluster": c, "src": np.minimum(left, right), "dst": np.maximum(left, right), "cosine": cosine, "weight": weight})[good])
+        for part, p, q, cosine, weight in _weighed(pdf, wc, cut_off, added):
+            left, right = part["id"].to_numpy()[p], part["id"].to_numpy()[q]
+            out.append(pd.DataFrame({"cluster": c, "src": np.minimum(left, right), "dst": np.maximum(left, right), "cosine": cosine, "weight": weight}))
         return pd.concat(out[1:] or out)
 
     kind = good.schema["c"].dataType.simpleString()
@@ -162,6 +172,52 @@ def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: floa
     return found.withColumnRenamed("cluster", cluster)
 
 
+#: Pairs of nodes of a document that are looked up at once.
+LOOKED_UP = 2_000_000
+
+
+def document_scores(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding", label: str = "label", documents: str = "documents", added: float = 0.05) -> DataFrame:
+    """(document, cluster, score): for each edge of weighted_pairs its weight for every document (*documents*.id) of either end, counted once.
+
+    The edges of two blocks are added up in the task in which these meet, so none leaves it: a document has what the
+    edges at its nodes weigh, less the edges that have both ends in it.
+    """
+    ids = F.array_distinct(F.filter(F.coalesce(F.col(documents)["id"], F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    good, wc = _weighable(rows, key, cluster, vector, label, ids.alias("docs")), weight_on_cosine
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "document": [], "score": []})]
+        for part, p, q, _, weight in _weighed(pdf, wc, cut_off, added):
+            n, docs = len(part), part["docs"].to_numpy()
+            node = np.repeat(np.arange(n), [len(d) for d in docs])
+            if not len(p) or not len(node):
+                continue
+            of, names = pd.factorize(np.concatenate(docs))
+            order = np.argsort(of, kind="stable")
+            of, node = of[order], node[order]
+            strength = np.bincount(p, weight, n) + np.bincount(q, weight, n)
+            touched = np.bincount(of, (np.bincount(p, minlength=n) + np.bincount(q, minlength=n))[node], len(names)) > 0
+            score = np.bincount(of, strength[node], len(names))
+            m = np.zeros((n, n))
+            m[p, q] = weight
+            held = np.bincount(of, minlength=len(names))
+            first, others = np.cumsum(held) - held, held[of]
+            ends, lo = np.cumsum(others), 0
+            while lo < len(of):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - others[lo] + LOOKED_UP, side="right")))
+                k = others[lo:hi]
+                x = np.repeat(np.arange(lo, hi), k)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[of[lo:hi]], k)
+                score -= np.bincount(of[x], m[node[x], node[y]], len(names))
+                lo = hi
+            out.append(pd.DataFrame({"cluster": c, "document": names[touched], "score": score[touched]}))
+        return pd.concat(out[1:] or out).astype({"cluster": object, "document": object})  # strings of several frames as one array
+
+    kind = good.schema["c"].dataType.simpleString()
+    found = _blocked(good, "c", "id").groupBy("c", "_i", "_j").applyInPandas(meet, f"cluster {kind}, document string, score double")
+    return found.groupBy("document", F.col("cluster").alias(cluster)).agg(F.sum("score").alias("score"))
+
+
 def close_labels(rows: DataFrame, least: float = 0.95, key: str = "id", cluster: str = "cluster_id", label: str = "label", added: float = 0.05) -> DataFrame:
     """(cluster, src, dst, similarity): every pair src < dst of a cluster with label similarity of at least *least*, whatever else differs.
 
