@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from phrasewerk.functions.arrays import sums_before
 
@@ -135,8 +136,8 @@ def with_vectors(phrases: DataFrame, vectors: DataFrame, key: str = "phrase_id")
 
 def row_normalised(scores: DataFrame, by: str, value: str = "score") -> DataFrame:
     """*scores* with normalised: value over the length of its row; 0 in a row of zeros."""
-    length = scores.groupBy(by).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_length"))
-    return scores.join(length, by).withColumn("normalised", F.coalesce(F.col(value) / F.nullif(F.col("_length"), F.lit(0.0)), F.lit(0.0))).drop("_length")
+    length = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(by)))
+    return scores.where(F.col(by).isNotNull()).withColumn("normalised", F.coalesce(F.col(value) / F.nullif(length, F.lit(0.0)), F.lit(0.0)))
 
 
 def joined_texts(rows: DataFrame, by: str, text: str, order: list[str], every: DataFrame | None = None) -> DataFrame:
