@@ -136,6 +136,7 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     c, d = np.ones_like(a), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
+    out, at = h.copy(), np.arange(len(a))  # rows that no longer change leave
     for m in range(1, 10_000):
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + term * d
@@ -143,9 +144,14 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + term / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if (np.abs(d * c - 1) < 1e-14).all():
-            break
-    return h
+        going = ~(np.abs(d * c - 1) < 1e-14)
+        if going.mean() < 0.8:
+            out[at] = h
+            a, b, x, c, d, h, at = (v[going] for v in (a, b, x, c, d, h, at))
+            if not len(at):
+                break
+    out[at] = h
+    return out
 
 
 def log_tails(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasewerk.functions import text as T
+from phrasewerk.operators.graph import MOST, log_tails
 from phrasewerk.sources.store import written
 
 #: Rows of a block; two blocks meet in one task.
@@ -64,6 +65,8 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "id", cluster: str =
     return found.withColumnRenamed("cluster", cluster)
 
 
+#: Edges whose significance is found at once.
+TAILS = 20_000
 #: Label pairs whose common subsequences are found at once.
 AT_ONCE = 65_536
 _LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
@@ -172,6 +175,49 @@ def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: floa
     return found.withColumnRenamed("cluster", cluster)
 
 
+def pair_significances(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding", label: str = "label", directed: bool = False, added: float = 0.05) -> DataFrame:
+    """(cluster, src, dst, significance): graph.significances of the edges of weighted_pairs, *cut_off* above 0, without a table of edges.
+
+    Blocks meet twice: first only sums of weights at each node leave them, then the edges with their significance.
+    """
+    if cut_off <= 0:
+        raise ValueError("edges need a weight above 0")
+    good, wc = written(_weighable(rows, key, cluster, vector, label), "members"), weight_on_cosine
+    kind = good.schema["c"].dataType.simpleString()
+    # a key repeated within a cluster counts once, as in _once
+    once = good.groupBy("c", "id").agg(F.min(F.struct("v", "s")).alias("_r")).select("c", "id", "_r.v", "_r.s") if not good.groupBy("c", "id").count().where("count > 1").isEmpty() else good
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"c": [], "id": [], "x": []})]
+        for part, p, q, _, weight in _weighed(pdf, wc, cut_off, added):
+            x = np.bincount(p, weight, len(part)) + np.bincount(q, weight, len(part))
+            some = np.flatnonzero(x)
+            out.append(pd.DataFrame({"c": part["c"].to_numpy()[some], "id": part["id"].to_numpy()[some], "x": x[some]}))
+        return pd.concat(out[1:] or out).astype({"c": object})
+
+    strength = _blocked(once, "c", "id").groupBy("c", "_i", "_j").applyInPandas(sums, f"c {kind}, id long, x double")
+    strength = written(strength.groupBy("c", "id").agg((F.sum("x") * 100).alias("x")), "strengths")
+    total = strength.groupBy("c").agg((F.sum("x") / 2).alias("q"))
+    known = once.join(strength, ["c", "id"]).join(total, "c")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "src": [], "dst": [], "significance": []})]
+        for part, p, q, _, weight in _weighed(pdf, wc, cut_off, added):
+            ids, x, total = part["id"].to_numpy(), part["x"].to_numpy(), pdf["q"].iloc[0]
+            chance = np.clip(x[p] * x[q] / ((1 if directed else 2) * total * total), 0, 1)
+            found = np.empty(len(p))
+            k, n = np.rint(weight * 100), np.rint(total)
+            for a in range(0, len(p), TAILS):
+                at = slice(a, a + TAILS)
+                found[at] = np.minimum(MOST, np.abs(log_tails(np.minimum(k[at], n), np.full(len(k[at]), n), chance[at])))
+            left, right = ids[p], ids[q]
+            out.append(pd.DataFrame({"cluster": c, "src": np.minimum(left, right), "dst": np.maximum(left, right), "significance": found}))
+        return pd.concat(out[1:] or out).astype({"cluster": object})
+
+    found = _blocked(known, "c", "id").groupBy("c", "_i", "_j").applyInPandas(meet, f"cluster {kind}, src long, dst long, significance double")
+    return found.withColumnRenamed("cluster", cluster)
+
+
 #: Pairs of nodes of a document that are looked up at once.
 LOOKED_UP = 2_000_000
 
