@@ -18,3 +18,13 @@ def test_significances_without_edges(spark, monkeypatch, block, directed):
     want = {(r.graph_id, r.src, r.dst): round(r.significance, 6) for r in G.significances(edges, directed=directed).collect()}
     got = [(r.g, r.src, r.dst, round(r.significance, 6)) for r in R.pair_significances(df, 0.5, 0.6, "id", "g", directed=directed).collect()]
     assert len(want) > 20 and len(got) == len(want) and {x[:3]: x[3] for x in got} == want
+
+
+def test_directed_query_keeps_no_edges(spark, monkeypatch):
+    from phrasewerk.plans import catalog
+
+    def none(*args, **more):
+        raise AssertionError("edges are made")
+
+    monkeypatch.setattr(R, "weighted_pairs", none)
+    assert catalog.QUERIES["sc06_directed_significance"](spark, "/root/testdata/sf0.001").count() > 0
