@@ -22,3 +22,12 @@ def test_encoded_without_joins(spark, capsys):
     assert got == {1: truth(["zyste links", "leber"]), None: truth(["ohne nummer"]), 4: truth(["𐐨ß ödem"])}
     df.explain()
     assert "Join" not in capsys.readouterr().out  # each gram as a row, twice, is what did not fit
+
+
+def test_hybrid_encodes_without_rows_of_grams(spark, capsys):
+    from phrasewerk.plans import catalog
+
+    df = catalog.QUERIES["rg07_hybrid"](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0
+    df.explain()
+    assert "MapInArrow" in capsys.readouterr().out
