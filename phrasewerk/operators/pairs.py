@@ -69,6 +69,8 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "id", cluster: str =
 TAILS = 20_000
 #: Label pairs whose common subsequences are found at once.
 AT_ONCE = 65_536
+#: The share of two blocks' pairs from which common subsequences are found for all of them.
+MANY = 0.3
 _LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,6 +113,35 @@ class _Labels:
             out[i] = T._common(self.labels[p[i]], self.labels[q[i]])
         return out
 
+    def among(self, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Common lengths of the pairs (a[p[i]], b[q[i]]), found for all of a with all of b; for pairs of one block, a and b the same, for one half."""
+        same = a is b
+        by = np.argsort(self.size[b], kind="stable")  # those met at once are about as long
+        masks = np.ascontiguousarray(self.masks[a[by] if same else a].T)
+        codes, size = np.ascontiguousarray(self.codes[b[by]].T).astype(np.intp), self.size[b[by]]
+        own = np.minimum(self.size[a[by] if same else a], 64)
+        whole = np.where(own == 64, ~np.uint64(0), (np.uint64(1) << (own.astype(np.uint64) % np.uint64(64))) - np.uint64(1))
+        out, lo = np.zeros((len(b), len(a)), dtype=np.int16), 0
+        while lo < len(b):
+            hi = min(len(b), lo + max(1, AT_ONCE // len(a)))
+            n = hi if same else len(a)
+            row, held = np.full((hi - lo, n), ~np.uint64(0)), np.ascontiguousarray(masks[:, :n])
+            hit, more = np.empty_like(row), np.empty_like(row)
+            for t in range(int(size[hi - 1])):
+                np.take(held, codes[t, lo:hi], axis=0, out=hit, mode="clip")
+                hit &= row
+                np.add(row, hit, out=more)
+                row -= hit
+                row |= more
+            out[lo:hi, :n] = own[:n] - np.bitwise_count(row & whole[:n])
+            lo = hi
+        at = np.empty(len(b), dtype=np.int64)
+        at[by] = np.arange(len(b))
+        found = (out[np.maximum(at[p], at[q]), np.minimum(at[p], at[q])] if same else out[at[q], p]).astype(np.int64)
+        long = np.flatnonzero((self.size[a[p]] > 64) | (self.size[b[q]] > 64))
+        found[long] = self.common(a[p[long]], b[q[long]])
+        return found
+
     def similarity(self, p: np.ndarray, q: np.ndarray, added: float, common: np.ndarray | None = None) -> np.ndarray:
         """T.label_similarity of the pairs; with *common* in place of the common lengths."""
         both = (self.size[p] > 0) & (self.size[q] > 0)
@@ -146,10 +177,13 @@ def _weighed(pdf: pd.DataFrame, wc: float, cut_off: float, added: float) -> Iter
         held = _Labels(part["s"].tolist())
         s = x[a] @ x[b].T
         p, q = np.nonzero(((1 - wc) * (1 + added) + wc * s >= cut_off - 1e-9) & ((ids[a][:, None] < ids[b][None, :]) if same else True))
-        cosine, p, q = s[p, q], a[p], b[q]
-        can = (1 - wc) * held.similarity(p, q, added, np.minimum(held.size[p], held.size[q])) + wc * cosine >= cut_off
+        cosine = s[p, q]
+        can = (1 - wc) * held.similarity(a[p], b[q], added, np.minimum(held.size[a[p]], held.size[b[q]])) + wc * cosine >= cut_off
         cosine, p, q = cosine[can], p[can], q[can]
-        weight = (1 - wc) * held.similarity(p, q, added) + wc * cosine
+        many = len(p) > MANY * len(a) * len(b) * (0.5 if same else 1)
+        common = held.among(a, a if same else b, p, q) if many else None
+        p, q = a[p], b[q]
+        weight = (1 - wc) * held.similarity(p, q, added, common) + wc * cosine
         good = weight >= cut_off
         yield part, p[good], q[good], cosine[good], weight[good]
 
@@ -218,45 +252,60 @@ def pair_significances(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off:
     return found.withColumnRenamed("cluster", cluster)
 
 
+def document_ids(documents: str) -> Column:
+    """The ids of a list of documents, each once."""
+    return F.array_distinct(F.filter(F.coalesce(F.col(documents)["id"], F.array().cast("array<string>")), lambda x: x.isNotNull()))
+
+
 #: Pairs of nodes of a document that are looked up at once.
 LOOKED_UP = 2_000_000
 
 
+def document_sums(docs: np.ndarray, strength: np.ndarray, degree: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of nodes with lists of documents: what the pairs at a document's nodes weigh, those with both ends in it once; documents without a pair fall out.
+
+    *strength* and *degree* are sums and numbers of the pairs at each node; *m* has the weight of each pair in one of its two places.
+    """
+    node = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    if not len(node):
+        return np.array([], object), np.array([])
+    of, names = pd.factorize(np.concatenate(docs))
+    order = np.argsort(of, kind="stable")
+    of, node = of[order], node[order]
+    touched = np.bincount(of, degree[node], len(names)) > 0
+    score = np.bincount(of, strength[node], len(names))
+    held = np.bincount(of, minlength=len(names))
+    first, others = np.cumsum(held) - held, held[of]
+    ends, lo = np.cumsum(others), 0
+    while lo < len(of):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - others[lo] + LOOKED_UP, side="right")))
+        k = others[lo:hi]
+        x = np.repeat(np.arange(lo, hi), k)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[of[lo:hi]], k)
+        score -= np.bincount(of[x], m[node[x], node[y]], len(names))
+        lo = hi
+    return names[touched], score[touched]
+
+
 def document_scores(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding", label: str = "label", documents: str = "documents", added: float = 0.05) -> DataFrame:
     """(document, cluster, score): for each edge of weighted_pairs its weight for every document (*documents*.id) of either end, counted once.
 
     The edges of two blocks are added up in the task in which these meet, so none leaves it: a document has what the
     edges at its nodes weigh, less the edges that have both ends in it.
     """
-    ids = F.array_distinct(F.filter(F.coalesce(F.col(documents)["id"], F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    ids = document_ids(documents)
     good, wc = _weighable(rows, key, cluster, vector, label, ids.alias("docs")), weight_on_cosine
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "document": [], "score": []})]
         for part, p, q, _, weight in _weighed(pdf, wc, cut_off, added):
             n, docs = len(part), part["docs"].to_numpy()
-            node = np.repeat(np.arange(n), [len(d) for d in docs])
-            if not len(p) or not len(node):
+            if not len(p):
                 continue
-            of, names = pd.factorize(np.concatenate(docs))
-            order = np.argsort(of, kind="stable")
-            of, node = of[order], node[order]
-            strength = np.bincount(p, weight, n) + np.bincount(q, weight, n)
-            touched = np.bincount(of, (np.bincount(p, minlength=n) + np.bincount(q, minlength=n))[node], len(names)) > 0
-            score = np.bincount(of, strength[node], len(names))
             m = np.zeros((n, n))
             m[p, q] = weight
-            held = np.bincount(of, minlength=len(names))
-            first, others = np.cumsum(held) - held, held[of]
-            ends, lo = np.cumsum(others), 0
-            while lo < len(of):
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - others[lo] + LOOKED_UP, side="right")))
-                k = others[lo:hi]
-                x = np.repeat(np.arange(lo, hi), k)
-                y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[of[lo:hi]], k)
-                score -= np.bincount(of[x], m[node[x], node[y]], len(names))
-                lo = hi
-            out.append(pd.DataFrame({"cluster": c, "document": names[touched], "score": score[touched]}))
+            names, score = document_sums(docs, np.bincount(p, weight, n) + np.bincount(q, weight, n), np.bincount(p, minlength=n) + np.bincount(q, minlength=n), m)
+            out.append(pd.DataFrame({"cluster": c, "document": names, "score": score}))
         return pd.concat(out[1:] or out).astype({"cluster": object, "document": object})  # strings of several frames as one array
 
     kind = good.schema["c"].dataType.simpleString()
