@@ -55,7 +55,8 @@ def worked(members: DataFrame, run: Callable[..., pd.DataFrame], schema: str, wc
     schema = f"graph_id {kind}, {schema}"
     if links is None:
         return rows.groupBy("graph_id").applyInPandas(lambda pdf: whole(pdf), schema)
-    return rows.groupBy("graph_id").cogroup(links.groupBy("graph_id")).applyInPandas(lambda pdf, more: whole(pdf, more), schema)
+    links = links.withColumnRenamed("graph_id", "_of")  # may come from the members
+    return rows.groupBy("graph_id").cogroup(links.groupBy("_of")).applyInPandas(lambda pdf, more: whole(pdf, more), schema)
 
 
 def path_scores(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, damping: float = 0.5) -> DataFrame:
@@ -79,3 +80,41 @@ def path_scores(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, dampi
         return pd.DataFrame({"document": names, "score": score})
 
     return worked(members, run, "document string, score double", wc, cut_off).select("document", "graph_id", "score")
+
+
+def page_rank(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(graph_id, node_id, rank) as graph.page_rank of the members and their edges."""
+
+    def run(own: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+        none = np.zeros(0, int)
+        return pd.DataFrame({"node_id": own["id"], "rank": _ranks(m, none, none, np.zeros(0), 0, damping, tolerance)})
+
+    return worked(members, run, "node_id long, rank double", wc, cut_off)
+
+
+def page_rank_scores(members: DataFrame, links: DataFrame, wc: float = 0.5, cut_off: float = 0.5, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(document, graph_id, score) as graph.page_rank_scores of the members, their edges and *links* (graph_id, node_id, document, weight); those to nodes that are not there fall out."""
+
+    def run(own: pd.DataFrame, m: np.ndarray, links: pd.DataFrame) -> pd.DataFrame:
+        links = links[links["node_id"].isin(own["id"])]
+        docs, d = np.unique(links["document"].to_numpy(), return_inverse=True)
+        p = np.searchsorted(own["id"].to_numpy(), links["node_id"].to_numpy())
+        rank = _ranks(m, p, d, links["weight"].to_numpy(float), len(docs), damping, tolerance)
+        return pd.DataFrame({"document": docs, "score": rank[len(m) :]})
+
+    return worked(members, run, f"document {links.schema['document'].dataType.simpleString()}, score double", wc, cut_off, links=links).select("document", "graph_id", "score")
+
+
+def _ranks(m: np.ndarray, p: np.ndarray, d: np.ndarray, w: np.ndarray, documents: int, damping: float, tolerance: float) -> np.ndarray:
+    """The ranks of the nodes of *m* and of so many documents, linked by weights *w* from nodes *p* to documents *d*."""
+    n, k = len(m), documents
+    out = np.concatenate([m.sum(1) + np.bincount(p, w, n), np.bincount(d, w, k)])
+    loose, per = out == 0, 1 / np.where(out == 0, 1, out)
+    rank = np.full(n + k, 1 / max(1, n + k))
+    while True:
+        sent = rank * per
+        got = np.concatenate([m @ sent[:n] + np.bincount(p, w * sent[n + d], n), np.bincount(d, w * sent[p], k)])
+        after = (1 - damping) / (n + k) + damping * (got + rank[loose].sum() / (n + k))
+        change, rank = np.abs(after - rank).sum(), after
+        if change < tolerance:
+            return rank

@@ -37,7 +37,23 @@ def test_path_scores(members, monkeypatch, at_once):
     assert len(want) > 4 and rounded(W.path_scores(members, 0.5, 0.75), "document", "graph_id") == want
 
 
-@pytest.mark.parametrize("name", ["gr14_path_scores"])
+def test_page_rank(members):
+    nodes = members.where("exists(embedding, x -> x <> 0)").select("graph_id", "node_id")
+    want = rounded(G.page_rank(nodes, edges_of(members, 0.75), tolerance=1e-12), "graph_id", "node_id", value="rank")
+    assert len(want) > 20 and rounded(W.page_rank(members, 0.5, 0.75, tolerance=1e-12), "graph_id", "node_id", value="rank") == want
+
+
+def test_page_rank_of_documents(spark, members):
+    rng = random.Random(5)
+    rows = [(g, n, d, rng.choice([0.0, rng.random()])) for g, n in {(r.graph_id, r.node_id) for r in members.collect()} for d in range(4) if rng.random() < 0.3]
+    links = spark.createDataFrame(rows, "graph_id string, node_id long, document long, weight double")
+    nodes = members.where("exists(embedding, x -> x <> 0)").select("graph_id", "node_id")
+    held = links.join(nodes, ["graph_id", "node_id"], "left_semi")
+    want = rounded(G.page_rank_scores(nodes, edges_of(members, 0.75), held, tolerance=1e-12), "document", "graph_id")
+    assert len(want) > 5 and rounded(W.page_rank_scores(members, links, 0.5, 0.75, tolerance=1e-12), "document", "graph_id") == want
+
+
+@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank"])
 def test_queries_store_no_edges(spark, monkeypatch, name):
     def none(*args, **more):
         raise AssertionError("edges are made")
