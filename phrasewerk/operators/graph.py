@@ -16,6 +16,8 @@ from phrasewerk.sources.store import written
 
 #: Edges of a graph that are worked on in one task.
 PART_EDGES = 200_000
+#: Pairs of nodes of a graph whose paths are compared at once.
+NEAR_AT_ONCE = 200_000
 #: The largest significance: -ln of the smallest positive double is cut here.
 MOST = 709.782712893384
 
@@ -435,19 +437,7 @@ def community_scores(nodes: DataFrame, edges: DataFrame, holders: DataFrame, cut
         i, j, w = np.searchsorted(ids, own["a"]), np.searchsorted(ids, own["b"]), own["weight"].to_numpy(float)
         m = np.zeros((len(ids), len(ids)))
         m[i, j] = m[j, i] = w
-        part = communities(m)
-        length = np.where(m > 0, np.maximum(1 - m, 0), np.inf)
-        np.fill_diagonal(length, 0)
-        hops, weight = np.where(m > 0, 1.0, np.inf), m.copy()
-        np.fill_diagonal(hops, 0)
-        for k in range(len(ids)):  # shortest paths through ever more nodes, with their edges and weights
-            through = length[:, k][:, None] + length[k][None, :]
-            nearer = through < length - 1e-12
-            length = np.where(nearer, through, length)
-            hops = np.where(nearer, hops[:, k][:, None] + hops[k][None, :], hops)
-            weight = np.where(nearer, weight[:, k][:, None] + weight[k][None, :], weight)
-        a, b = np.nonzero((length <= cutoff) & (length > 0))
-        worth = np.where(part[a] == part[b], weight[a, b] / np.exp(hops[a, b]), 0.0)
+        a, b, worth = neighbourhoods(m, cutoff)
         return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "a": ids[a], "b": ids[b], "s": worth})
 
     pairs = sent.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, a long, b long, s double")
@@ -456,6 +446,38 @@ def community_scores(nodes: DataFrame, edges: DataFrame, holders: DataFrame, cut
     return near.join(total, ["graph_id", "a"]).groupBy("document", "graph_id").agg(F.sum("s").alias("score"))
 
 
+def neighbourhoods(m: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, what b is worth to a) of the nodes at most *cutoff* apart in a symmetric weight matrix: the weights along the shortest path over e to the number of its edges, 0 in another community."""
+    part = communities(m)
+    length = np.where(m > 0, np.maximum(1 - m, 0), np.inf)
+    length[length > cutoff] = np.nextafter(cutoff, np.inf)  # on a path within the cutoff every part is; others are just beyond it
+    np.fill_diagonal(length, 0)
+    hops, weight = (length <= cutoff).astype(np.int16), m.copy()
+    np.fill_diagonal(hops, 0)
+    for k in range(len(m)):  # shortest paths through ever more nodes, with their edges and weights
+        near = np.flatnonzero(length[k] <= cutoff)
+        near = near[np.argsort(length[k, near], kind="stable")]
+        own = length[k, near]
+        # of nodes in order of their way to k each meets those before it that are near enough together
+        met = np.minimum(np.searchsorted(own, cutoff + 1e-9 - own, side="right"), np.arange(len(own)))
+        ends, lo = np.cumsum(met), 0
+        while lo < len(near):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - met[lo] + NEAR_AT_ONCE, side="right")))
+            some = met[lo:hi]
+            x = np.repeat(np.arange(lo, hi), some)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
+            through, x, y, lo = own[x] + own[y], near[x], near[y], hi
+            before = length[x, y]
+            good = (through <= cutoff) & ((before > cutoff) | (through < before - 1e-12))
+            if good.any():
+                x, y = x[good], y[good]
+                length[x, y] = length[y, x] = through[good]
+                hops[x, y] = hops[y, x] = hops[x, k] + hops[k, y]
+                weight[x, y] = weight[y, x] = weight[x, k] + weight[k, y]
+    a, b = np.nonzero((length <= cutoff) & (length > 0))
+    return a, b, np.where(part[a] == part[b], weight[a, b] / np.exp(hops[a, b].astype(float)), 0.0)
+
+
 def communities(m: np.ndarray, rounds: int = 20) -> np.ndarray:
     """A community number for each node of a symmetric weight matrix: nodes move to the neighbour community that raises modularity most, then communities are nodes themselves, until nothing moves."""
     label = np.arange(len(m))
@@ -465,17 +487,23 @@ def communities(m: np.ndarray, rounds: int = 20) -> np.ndarray:
         part = np.arange(len(level))
         if total <= 0:
             return label
-        changed = False
+        changed, held = False, None
+        others = level.copy()
+        np.fill_diagonal(others, 0)
         for _ in range(rounds):
             moved = False
             for v in range(len(level)):
-                sums = np.bincount(part, weights=degree, minlength=len(level))
-                links = np.bincount(part, weights=np.where(np.arange(len(level)) == v, 0, level[v]), minlength=len(level))
+                if held is None:  # a node has moved
+                    held = np.bincount(part, weights=degree, minlength=len(level))
+                sums = held.copy()
                 sums[part[v]] -= degree[v]
-                gain = links - sums * degree[v] / total
+                sums *= degree[v]
+                sums /= total
+                gain = np.bincount(part, weights=others[v], minlength=len(level))
+                gain -= sums
                 best = int(gain.argmax())
                 if gain[best] > gain[part[v]] + 1e-12:
-                    part[v], moved, changed = best, True, True
+                    part[v], moved, changed, held = best, True, True, None
             if not moved:
                 break
         _, part = np.unique(part, return_inverse=True)

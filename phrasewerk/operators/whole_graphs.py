@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasewerk.functions import text as T
+from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
 
 #: Nodes of a graph that is worked on in one task: its weights are 128 MB.
@@ -50,7 +51,7 @@ def worked(members: DataFrame, run: Callable[..., pd.DataFrame], schema: str, wc
         own = R._once(pdf).sort_values("id", ignore_index=True)
         found = run(own, weights(own, wc, cut_off, added), *([] if more is None else [more]))
         found.insert(0, "graph_id", pdf["graph_id"].iloc[0] if len(pdf) else None)
-        return found
+        return found.astype({c: object for c, kind in found.dtypes.items() if not pd.api.types.is_numeric_dtype(kind)})  # strings as one array
 
     schema = f"graph_id {kind}, {schema}"
     if links is None:
@@ -105,6 +106,30 @@ def page_rank_scores(members: DataFrame, links: DataFrame, wc: float = 0.5, cut_
     return worked(members, run, f"document {links.schema['document'].dataType.simpleString()}, score double", wc, cut_off, links=links).select("document", "graph_id", "score")
 
 
+def community_scores(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, cutoff: float = 0.5) -> DataFrame:
+    """(document, graph_id, score) as graph.community_scores of the members and their edges; a document has what the nodes near one of its own are worth, each once."""
+
+    def run(own: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+        a, b, worth = G.neighbourhoods(m, cutoff)
+        total, docs = np.bincount(a, worth, len(m)), own["docs"].to_numpy()
+        node = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        if not len(node):
+            return pd.DataFrame({"document": np.array([], object), "score": np.zeros(0)})
+        of, names = pd.factorize(np.concatenate(docs))
+        near = np.zeros((len(m), len(m)), bool)
+        near[b, a] = True
+        order = np.argsort(of, kind="stable")
+        of, node = of[order], node[order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        ends, score, some = np.r_[starts[1:], len(of)], np.zeros(len(names)), np.zeros(len(names), bool)
+        for lo, hi in zip(starts, ends):
+            hit = near[node[lo]] if hi - lo == 1 else near[node[lo:hi]].any(0)
+            score[of[lo]], some[of[lo]] = total[hit].sum(), hit.any()
+        return pd.DataFrame({"document": names[some], "score": score[some]})
+
+    return worked(members, run, "document string, score double", wc, cut_off).select("document", "graph_id", "score")
+
+
 def _ranks(m: np.ndarray, p: np.ndarray, d: np.ndarray, w: np.ndarray, documents: int, damping: float, tolerance: float) -> np.ndarray:
     """The ranks of the nodes of *m* and of so many documents, linked by weights *w* from nodes *p* to documents *d*."""
     n, k = len(m), documents

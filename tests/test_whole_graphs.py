@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,26 @@ def test_path_scores(members, monkeypatch, at_once):
     assert len(want) > 4 and rounded(W.path_scores(members, 0.5, 0.75), "document", "graph_id") == want
 
 
+def test_community_scores(members):
+    nodes = members.where("exists(embedding, x -> x <> 0)").select("graph_id", "node_id")
+    usable = members.where("exists(embedding, x -> x <> 0)")
+    want = rounded(G.community_scores(nodes, edges_of(members, 0.55), holders_of(usable)), "document", "graph_id")
+    assert len(want) > 4 and rounded(W.community_scores(members, 0.5, 0.55), "document", "graph_id") == want
+
+
+@pytest.mark.parametrize("n", [3, 30, 60])
+def test_neighbourhoods(n):
+    rng = np.random.RandomState(n)
+    m = np.where(rng.rand(n, n) < 0.4, rng.choice([0.6, 0.7, 0.75, 0.9, 1.0, 1.02], (n, n)), 0)
+    m = np.triu(m, 1) + np.triu(m, 1).T
+    length = np.where(m > 0, np.maximum(1 - m, 0), np.inf)
+    np.fill_diagonal(length, 0)
+    for k in range(n):
+        length = np.minimum(length, length[:, k][:, None] + length[k][None, :])
+    a, b, worth = G.neighbourhoods(m, 0.5)
+    assert set(zip(a, b)) == set(zip(*np.nonzero((length <= 0.5) & (length > 0)))) and (worth >= 0).all()
+
+
 def test_page_rank(members):
     nodes = members.where("exists(embedding, x -> x <> 0)").select("graph_id", "node_id")
     want = rounded(G.page_rank(nodes, edges_of(members, 0.75), tolerance=1e-12), "graph_id", "node_id", value="rank")
@@ -53,7 +74,7 @@ def test_page_rank_of_documents(spark, members):
     assert len(want) > 5 and rounded(W.page_rank_scores(members, links, 0.5, 0.75, tolerance=1e-12), "document", "graph_id") == want
 
 
-@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank", "gr16_page_rank_scores"])
+@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank", "gr16_page_rank_scores", "gr15_community_scores"])
 def test_queries_store_no_edges(spark, monkeypatch, name):
     def none(*args, **more):
         raise AssertionError("edges are made")
