@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,6 +159,53 @@ def concept_scores(document_words: DataFrame, concept_weights: DataFrame, key: s
     return once.join(concept_weights, "word").groupBy(key, concept).agg(F.sum("tfidf").alias("score"))
 
 
+#: Rows of a group's documents that are scored in one task, about.
+DOCUMENT_ROWS = 40_000
+
+
+def concept_scores_within(documents: DataFrame, concept_weights: DataFrame, sizes: dict, group: str, key: str, concept: str) -> DataFrame:
+    """(group, key, concept, score) as concept_scores, for documents and concepts of the same group: a document's words are added up where its group's concepts are, no pair of a word and a concept is shuffled.
+
+    *documents* has group, key and lists of words, *concept_weights* group, concept, word and tfidf above 0, *sizes*
+    about how many rows each group has: the documents of large groups go to several tasks, each with all its concepts.
+    """
+    parts = {g: -(-n // DOCUMENT_ROWS) for g, n in sizes.items() if n > DOCUMENT_ROWS}
+    number = F.lit(1)
+    for g, n in parts.items():
+        number = F.when(F.col(group) == g, n).otherwise(number)
+    sent = documents.select(F.col(group).alias("g"), F.pmod(F.xxhash64(key), number).alias("part"), F.col(key).alias("k"), "words")
+    held = concept_weights.select(F.col(group).alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), (number - 1).cast("long"))).alias("_part"), F.col(concept).alias("c"), "word", "tfidf")
+
+    def run(docs: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        none = {"g": np.array([], object), "k": np.array([], object), "c": np.array([], object), "score": np.zeros(0)}
+        if not len(docs) or not len(weights):
+            return pd.DataFrame(none)
+        words, vocabulary = pd.factorize(weights["word"].to_numpy(object))
+        at, concepts = pd.factorize(weights["c"].to_numpy(object))
+        of, names = pd.factorize(docs["k"].to_numpy(object))
+        place = {w: i for i, w in enumerate(vocabulary)}
+        doc = np.repeat(of, [len(w) for w in docs["words"]])
+        word = np.fromiter((place.get(w, -1) for ws in docs["words"] for w in ws), int, len(doc))
+        both = np.unique(doc[word >= 0] * len(vocabulary) + word[word >= 0])  # a word of a document counts once
+        doc, word = both // len(vocabulary), both % len(vocabulary)
+        order = np.argsort(words, kind="stable")
+        at, value = at[order], weights["tfidf"].to_numpy(float)[order]
+        starts = np.searchsorted(words[order], np.arange(len(vocabulary) + 1))
+        out, lo, step = [none], 0, max(1, 2_000_000 // len(concepts))
+        while lo < len(names):  # some documents at a time
+            i, j = np.searchsorted(doc, [lo, lo + step])
+            count = starts[word[i:j] + 1] - starts[word[i:j]]
+            x = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[word[i:j]], count)
+            score = np.bincount(np.repeat(doc[i:j] - lo, count) * len(concepts) + at[x], value[x], step * len(concepts))
+            hit = np.flatnonzero(score)
+            out.append({"g": np.full(len(hit), docs["g"].iloc[0], object), "k": names[hit // len(concepts) + lo], "c": concepts[hit % len(concepts)], "score": score[hit]})
+            lo += step
+        return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in none})
+
+    got = sent.groupBy("g", "part").cogroup(held.groupBy("_g", "_part")).applyInPandas(run, "g string, k string, c string, score double")
+    return got.toDF(group, key, concept, "score")
+
+
 def pruned(edges: DataFrame, by: str, percent: float | None = None, remove: int | None = None, group: str = "graph_id") -> DataFrame:
     """Edges with their attribute among the top *percent* of their graph, or without its *remove* lowest; ties by (src, dst)."""
     from phrasewerk.operators.numbering import numbered
