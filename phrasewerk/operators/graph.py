@@ -18,6 +18,8 @@ from phrasewerk.sources.store import written
 PART_EDGES = 200_000
 #: Pairs of nodes of a graph whose paths are compared at once.
 NEAR_AT_ONCE = 200_000
+#: Numbers of a matrix that are worked on at once where it is passed over many times.
+CACHED = 32_768
 #: The largest significance: -ln of the smallest positive double is cut here.
 MOST = 709.782712893384
 
@@ -559,24 +561,41 @@ def exemplars(similar: np.ndarray, damping: float, rounds: int) -> np.ndarray |
     s = similar.astype(float).copy()
     np.fill_diagonal(s, np.median(similar[~np.eye(n, dtype=bool)]))
     s += np.arange(n * n).reshape(n, n) % 7919 * 1e-12  # equal similarities are told apart, the same way every time
-    r, a, rows = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
-    before, steady = None, 0
+    r, a = np.zeros((n, n)), np.zeros((n, n))
+    step = max(1, CACHED // n)  # a pass over a few rows at a time: what they need stays in the processor's cache
+    both, gain = np.empty((step, n)), np.empty((step + 1, n))
+    total, before, steady = None, None, 0
     for _ in range(rounds):
-        both = a + s
-        first = both.argmax(1)
-        top = both[rows, first]
-        both[rows, first] = -np.inf
-        new = s - top[:, None]
-        new[rows, first] = s[rows, first] - both.max(1)
-        r = damping * r + (1 - damping) * new
-        gain = np.maximum(r, 0)
-        gain[rows, rows] = r[rows, rows]
-        new = gain.sum(0)[None, :] - gain
-        own = new[rows, rows].copy()
-        new = np.minimum(new, 0)
-        new[rows, rows] = own
-        a = damping * a + (1 - damping) * new
-        chosen = (r + a)[rows, rows] > 0
+        sums = np.zeros(n)
+        for lo in range(0, n, step):
+            i = np.arange(lo, min(n, lo + step))
+            k, rs, as_, ss, new, g = i - lo, r[lo : lo + step], a[lo : lo + step], s[lo : lo + step], both[: len(i)], gain[1 : len(i) + 1]
+            if total is not None:  # the second half of the round before
+                np.maximum(rs, 0, out=g)
+                g[k, i] = rs[k, i]
+                np.subtract(total, g, out=new)
+                own = new[k, i]
+                np.minimum(new, 0, out=new)
+                new[k, i] = own
+                new *= 1 - damping
+                as_ *= damping
+                as_ += new
+            np.add(as_, ss, out=new)
+            first = new.argmax(1)
+            top = new[k, first]
+            new[k, first] = -np.inf
+            second = new.max(1)
+            np.subtract(ss, top[:, None], out=new)
+            new[k, first] = ss[k, first] - second
+            new *= 1 - damping
+            rs *= damping
+            rs += new
+            np.maximum(rs, 0, out=g)
+            g[k, i] = rs[k, i]
+            gain[0] = sums
+            sums = gain[: len(i) + 1].sum(0)
+        total, own = sums, r.diagonal()
+        chosen = own + (damping * a.diagonal() + (1 - damping) * (total - own)) > 0
         steady = steady + 1 if before is not None and (chosen == before).all() else 0
         before = chosen
         if steady >= 15 and chosen.any():
@@ -593,6 +612,15 @@ def exemplars(similar: np.ndarray, damping: float, rounds: int) -> np.ndarray |
 TRIES = ((0.55, 300), (0.65, 600), (0.75, 900), (0.85, 1200), (0.95, 1500))
 
 
+def owners(similar: np.ndarray, tries: int) -> np.ndarray | None:
+    """The exemplar of each row, with more damping for each of up to five *tries*; None if none settles."""
+    for damping, rounds in TRIES[: max(1, min(tries, len(TRIES)))]:
+        owner = exemplars(similar, damping, rounds) if len(similar) else None
+        if owner is not None:
+            return owner
+    return None
+
+
 def sub_clusters(nodes: DataFrame, edges: DataFrame, reference: DataFrame, gamma: float = 0.01, tries: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes with root and edges with sub_cluster: affinity propagation over label similarity times the weight in the *reference* graph (*gamma* where it has no edge).
 
@@ -600,6 +628,8 @@ def sub_clusters(nodes: DataFrame, edges: DataFrame, reference: DataFrame, gamma
     graph's mean. Up to five *tries* with more damping; a graph without exemplars stays as it is. A graph is worked on
     in one task, so graphs must be as small as one concept's.
     """
+    from phrasewerk.operators.pairs import ratios  # which imports this module
+
     means = edge_means(edges)
     kind = nodes.schema["graph_id"].dataType.simpleString()
     sent = nodes.select("graph_id", F.lit(1).alias("kind"), F.col("node_id").alias("a"), F.col("node_id").alias("b"), F.lit(0.0).alias("weight"), "label")
@@ -612,11 +642,9 @@ def sub_clusters(nodes: DataFrame, edges: DataFrame, reference: DataFrame, gamma
         s = np.full((len(ids), len(ids)), gamma)
         i, j = np.searchsorted(ids, near["a"]), np.searchsorted(ids, near["b"])
         s[i, j] = s[j, i] = near["weight"]
-        ratio = np.array([[T.sequence_ratio_of(x, y) for y in labels] for x in labels]) if len(ids) else np.zeros((0, 0))
-        for damping, rounds in TRIES[: max(1, min(tries, len(TRIES)))]:
-            owner = exemplars(s * ratio, damping, rounds) if len(ids) else None
-            if owner is not None:
-                return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node_id": ids, "exemplar": ids[owner]})
+        owner = owners(s * ratios(labels), tries)
+        if owner is not None:
+            return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node_id": ids, "exemplar": ids[owner]})
         return pd.DataFrame({"graph_id": [], "node_id": [], "exemplar": []})
 
     found = written(sent.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, node_id long, exemplar long"), "exemplars")

@@ -75,17 +75,23 @@ _LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 class _Labels:
-    """Labels as sorted words, coded for common subsequences of many pairs at once (bit-parallel, 64 letters in a word)."""
+    """Labels as sorted words, or as they are if *raw*, coded for common subsequences of many pairs at once (bit-parallel, 64 letters in a word)."""
 
-    def __init__(self, labels: list[str]):
+    def __init__(self, labels: list[str], raw: bool = False):
         self.labels, n = labels, len(labels)
         self.size = np.array([len(x) for x in labels], dtype=np.int64)
         width = int(self.size.max(initial=1))
-        lut = np.zeros(256, dtype=np.uint8)
-        lut[[ord(c) for c in _LETTERS]] = np.arange(1, len(_LETTERS) + 1)
-        raw = "".join(x.ljust(width, "\0") for x in labels).encode("ascii")
-        self.codes = lut[np.frombuffer(raw, dtype=np.uint8).reshape(n, width)]
-        self.masks = np.zeros((n, len(_LETTERS) + 1), dtype=np.uint64)
+        if raw:
+            found, codes = np.unique(np.frombuffer("".join(labels).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)
+            letters = len(found)
+            self.codes = np.zeros((n, width), dtype=np.int32)
+            self.codes[np.arange(width) < self.size[:, None]] = codes + 1
+        else:
+            letters = len(_LETTERS)
+            lut = np.zeros(256, dtype=np.uint8)
+            lut[[ord(c) for c in _LETTERS]] = np.arange(1, letters + 1)
+            self.codes = lut[np.frombuffer("".join(x.ljust(width, "\0") for x in labels).encode("ascii"), dtype=np.uint8).reshape(n, width)]
+        self.masks = np.zeros((n, letters + 1), dtype=np.uint64)
         for t in range(min(width, 64)):
             self.masks[np.arange(n), self.codes[:, t]] |= np.uint64(1 << t)
         self.masks[:, 0] = 0  # behind the end
@@ -149,6 +155,21 @@ class _Labels:
         return np.where(both, np.rint(200.0 * common / np.maximum(self.size[p] + self.size[q], 1)), 0.0) / 100 + added
 
 
+def ratios(labels: list[str]) -> np.ndarray:
+    """T.sequence_ratio_of of all pairs, a symmetric matrix."""
+    held, n = _Labels(labels, raw=True), len(labels)
+    out = np.ones((n, n))
+    for lo in range(0, n, BLOCK):
+        a = np.arange(lo, min(n, lo + BLOCK))
+        for to in range(lo, n, BLOCK):
+            b = a if to == lo else np.arange(to, min(n, to + BLOCK))
+            p, q = np.triu_indices(len(a), 1) if to == lo else (x.ravel() for x in np.indices((len(a), len(b))))
+            whole = held.size[a[p]] + held.size[b[q]]
+            both = np.where(whole > 0, 2.0 * held.among(a, b, p, q) / np.maximum(whole, 1), 1.0)
+            out[a[p], b[q]] = out[b[q], a[p]] = both
+    return out
+
+
 def _labelled(rows: DataFrame, key: str, cluster: str, label: str, *more: Column) -> DataFrame:
     good = rows.where(F.col(key).isNotNull() & F.col(cluster).isNotNull() & F.col(label).isNotNull())
     return good.select(F.col(cluster).alias("c"), F.col(key).cast("long").alias("id"), T.sorted_words(F.col(label)).alias("s"), *more)

@@ -130,6 +130,17 @@ def community_scores(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5,
     return worked(members, run, "document string, score double", wc, cut_off).select("document", "graph_id", "score")
 
 
+def sub_cluster_sizes(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, gamma: float = 0.01, tries: int = 1) -> DataFrame:
+    """(graph_id, node_id, n_members) of the exemplars that graph.sub_clusters finds in the members' edges: the number of other nodes whose exemplar they are."""
+
+    def run(own: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+        owner = G.owners(np.where(m > 0, m, gamma) * R.ratios(own["label"].fillna("").tolist()), tries)
+        held = np.zeros(len(m), int) if owner is None else np.bincount(owner, minlength=len(m))
+        return pd.DataFrame({"node_id": own["id"], "n_members": held - 1})[held > 0]
+
+    return worked(members, run, "node_id long, n_members long", wc, cut_off)
+
+
 def _ranks(m: np.ndarray, p: np.ndarray, d: np.ndarray, w: np.ndarray, documents: int, damping: float, tolerance: float) -> np.ndarray:
     """The ranks of the nodes of *m* and of so many documents, linked by weights *w* from nodes *p* to documents *d*."""
     n, k = len(m), documents

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phrasewerk.functions import text as T
 from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
 from phrasewerk.operators import whole_graphs as W
@@ -74,7 +75,7 @@ def test_page_rank_of_documents(spark, members):
     assert len(want) > 5 and rounded(W.page_rank_scores(members, links, 0.5, 0.75, tolerance=1e-12), "document", "graph_id") == want
 
 
-@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank", "gr16_page_rank_scores", "gr15_community_scores"])
+@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank", "gr16_page_rank_scores", "gr15_community_scores", "gr12_sub_clusters"])
 def test_queries_store_no_edges(spark, monkeypatch, name):
     def none(*args, **more):
         raise AssertionError("edges are made")
@@ -86,3 +87,24 @@ def test_queries_store_no_edges(spark, monkeypatch, name):
     monkeypatch.setattr(W, "WHOLE", 4_000)
     monkeypatch.setattr(R, "weighted_pairs", none)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == len(whole)
+
+
+def test_ratios_of_labels_as_they_are(monkeypatch):
+    rng = random.Random(1)
+    labels = ["".join(rng.choice("aäöB c😀\0-") for _ in range(rng.randrange(90))) for _ in range(30)] + ["", ""]
+    want = np.array([[T.sequence_ratio_of(x, y) for y in labels] for x in labels])
+    assert (R.ratios(labels) == want).all()
+    monkeypatch.setattr(R, "BLOCK", 13)
+    assert (R.ratios(labels) == want).all() and R.ratios([]).shape == (0, 0)
+
+
+@pytest.mark.parametrize("cached", [32_768, 100])
+def test_sub_cluster_sizes(members, monkeypatch, cached):
+    monkeypatch.setattr(G, "CACHED", cached)  # some rows at a time
+    nodes = members.where("exists(embedding, x -> x <> 0)").select("graph_id", "node_id", "label")
+    edges = edges_of(members, 0.55)
+    roots, links = G.sub_clusters(nodes, edges, edges, tries=5)
+    to = {(r.graph_id, n) for r in links.where("sub_cluster").collect() for n in [(r.src, r.dst)]}
+    want = {(r.graph_id, r.node_id): sum(g == r.graph_id and r.node_id in n for g, n in to) for r in roots.where("root").collect()}
+    got = {(r.graph_id, r.node_id): r.n_members for r in W.sub_cluster_sizes(members, 0.5, 0.55, tries=5).collect()}
+    assert len(want) > 2 and got == want
