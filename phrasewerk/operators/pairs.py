@@ -230,6 +230,17 @@ def weighted_pairs(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: floa
     return found.withColumnRenamed("cluster", cluster)
 
 
+def significances(x: np.ndarray, total: float, p: np.ndarray, q: np.ndarray, weight: np.ndarray, directed: bool = False) -> np.ndarray:
+    """graph.significances of edges of a *weight* above 0 between the places p and q, from the nodes' strengths *x* and their graph's weight, both in percent."""
+    chance = np.clip(x[p] * x[q] / ((1 if directed else 2) * total * total), 0, 1)
+    found = np.empty(len(p))
+    k, n = np.rint(weight * 100), np.rint(total)
+    for a in range(0, len(p), TAILS):
+        at = slice(a, a + TAILS)
+        found[at] = np.minimum(MOST, np.abs(log_tails(np.minimum(k[at], n), np.full(len(k[at]), n), chance[at])))
+    return found
+
+
 def pair_significances(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off: float = 0.5, key: str = "id", cluster: str = "cluster_id", vector: str = "embedding", label: str = "label", directed: bool = False, added: float = 0.05) -> DataFrame:
     """(cluster, src, dst, significance): graph.significances of the edges of weighted_pairs, *cut_off* above 0, without a table of edges.
 
@@ -258,13 +269,8 @@ def pair_significances(rows: DataFrame, weight_on_cosine: float = 0.5, cut_off:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         c, out = pdf["c"].iloc[0], [pd.DataFrame({"cluster": [], "src": [], "dst": [], "significance": []})]
         for part, p, q, _, weight in _weighed(pdf, wc, cut_off, added):
-            ids, x, total = part["id"].to_numpy(), part["x"].to_numpy(), pdf["q"].iloc[0]
-            chance = np.clip(x[p] * x[q] / ((1 if directed else 2) * total * total), 0, 1)
-            found = np.empty(len(p))
-            k, n = np.rint(weight * 100), np.rint(total)
-            for a in range(0, len(p), TAILS):
-                at = slice(a, a + TAILS)
-                found[at] = np.minimum(MOST, np.abs(log_tails(np.minimum(k[at], n), np.full(len(k[at]), n), chance[at])))
+            ids, x = part["id"].to_numpy(), part["x"].to_numpy()
+            found = significances(x, pdf["q"].iloc[0], p, q, weight, directed)
             left, right = ids[p], ids[q]
             out.append(pd.DataFrame({"cluster": c, "src": np.minimum(left, right), "dst": np.maximum(left, right), "significance": found}))
         return pd.concat(out[1:] or out).astype({"cluster": object})

@@ -19,6 +19,8 @@ from phrasewerk.operators import pairs as R
 
 #: Nodes of a graph that is worked on in one task: its weights are 128 MB.
 WHOLE = 4_000
+#: Nodes of a graph whose edges all leave its task.
+SPREAD = 2_000
 #: Rows of a block of pairs in a task.
 AT_ONCE = 1_000
 
@@ -141,6 +143,23 @@ def sub_cluster_sizes(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5,
     return worked(members, run, "node_id long, n_members long", wc, cut_off)
 
 
+def _significant(m: np.ndarray, directed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, significance) of the edges p < q of a matrix of weights, in order."""
+    p, q = np.nonzero(np.triu(m, 1))
+    x = m.sum(1) * 100
+    return p, q, R.significances(x, x.sum() / 2, p, q, m[p, q], directed)
+
+
+def significances(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, directed: bool = False) -> DataFrame:
+    """(graph_id, src, dst, significance) as pairs.pair_significances of the members, whose pairs are weighed once; for graphs of up to SPREAD nodes."""
+
+    def run(own: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+        ids, (p, q, found) = own["id"].to_numpy(), _significant(m, directed)
+        return pd.DataFrame({"src": ids[p], "dst": ids[q], "significance": found})
+
+    return worked(members, run, "src long, dst long, significance double", wc, cut_off)
+
+
 def _ranks(m: np.ndarray, p: np.ndarray, d: np.ndarray, w: np.ndarray, documents: int, damping: float, tolerance: float) -> np.ndarray:
     """The ranks of the nodes of *m* and of so many documents, linked by weights *w* from nodes *p* to documents *d*."""
     n, k = len(m), documents

@@ -28,3 +28,18 @@ def test_directed_query_keeps_no_edges(spark, monkeypatch):
 
     monkeypatch.setattr(R, "weighted_pairs", none)
     assert catalog.QUERIES["sc06_directed_significance"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_queries_weigh_pairs_of_small_graphs_once(spark, monkeypatch):
+    from phrasewerk.operators import whole_graphs as W
+    from phrasewerk.plans import catalog
+
+    def twice(*args, **more):
+        raise AssertionError("pairs are weighed twice")
+
+    run = lambda: sorted(catalog.QUERIES["sc06_directed_significance"](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(W, "SPREAD", 10)  # some graphs go by blocks
+    mixed = run()
+    monkeypatch.setattr(W, "SPREAD", 2_000)
+    monkeypatch.setattr(R, "pair_significances", twice)
+    assert len(mixed) > 3 and run() == mixed
