@@ -16,6 +16,7 @@ from phrasewerk.operators import concepts as C
 from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
 from phrasewerk.operators import provenance as V
+from phrasewerk.operators import whole_graphs as W
 from phrasewerk.operators.numbering import numbered
 from phrasewerk.sources.store import written
 
@@ -62,22 +63,34 @@ def selected(members: DataFrame, settings: GraphSettings) -> DataFrame:
 def merged(members: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(members that stay, with the documents of those merged into them; (graph_id, removed, kept))."""
     members = written(members, "members")
+    stay, gone = _staying(members, threshold)
+    return _handed(members, stay, gone), gone
+
+
+def _staying(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members that stay as they are; (graph_id, removed, kept))."""
     sized = members.select("graph_id", "node_id", F.coalesce(F.size(V._docs()), F.lit(0)).alias("n_documents"))
     similar = written(R.close_labels(members.select("graph_id", "node_id", "label"), threshold, "node_id", "graph_id"), "similar")
     gone = R.merged_phrases(similar, sized)
-    stay = members.join(gone.select("graph_id", F.col("removed").alias("node_id")), ["graph_id", "node_id"], "left_anti")
+    return members.join(gone.select("graph_id", F.col("removed").alias("node_id")), ["graph_id", "node_id"], "left_anti"), gone
+
+
+def _handed(members: DataFrame, stay: DataFrame, gone: DataFrame) -> DataFrame:
+    """*stay* with the documents of the members that are gone."""
     handed = members.select("graph_id", F.col("node_id").alias("removed"), "documents").join(gone, ["graph_id", "removed"])
     key = lambda rows, node: rows.select(F.struct("graph_id", F.col(node).alias("node_id")).alias("key"), "documents")
     taking = stay.join(gone.select("graph_id", F.col("kept").alias("node_id")).distinct(), ["graph_id", "node_id"], "left_semi")
     more = V.merged(key(taking, "node_id"), key(handed, "kept"), "key").select("key.graph_id", "key.node_id", F.col("documents").alias("_more"))
-    out = stay.join(more, ["graph_id", "node_id"], "left").withColumn("documents", F.coalesce("_more", "documents")).drop("_more")
-    return out, gone
+    return stay.join(more, ["graph_id", "node_id"], "left").withColumn("documents", F.coalesce("_more", "documents")).drop("_more")
 
 
 def built(members: DataFrame, settings: GraphSettings) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): near-duplicate labels merged, every pair of what stays weighed, edges from the cut-off on. Nodes without edges stay."""
     nodes, _ = merged(members, settings.graph_merge_threshold)
-    nodes = written(nodes, "nodes")
+    return _weighed(written(nodes, "nodes"), settings)
+
+
+def _weighed(nodes: DataFrame, settings: GraphSettings) -> tuple[DataFrame, DataFrame]:
     edges = R.weighted_pairs(nodes, settings.graph_cosine_weight, settings.graph_weight_cut_off, "node_id", "graph_id", "embedding")
     return nodes.drop("embedding"), written(edges, "edges")
 
@@ -97,10 +110,30 @@ def post_processed(nodes: DataFrame, edges: DataFrame, settings: GraphSettings)
     return nodes.join(edges.select("graph_id").distinct(), "graph_id", "left_semi"), edges
 
 
+def _trees(members: DataFrame, settings: GraphSettings) -> tuple[DataFrame, DataFrame]:
+    """As built and post_processed for graphs that are unrolled without sub-clusters: those of up to WHOLE nodes are made in a task each, from which only trees come."""
+    members = written(members, "members")
+    stay, gone = _staying(members, settings.graph_merge_threshold)
+    nodes = _handed(members, stay, gone)
+    large = [r.graph_id for r in stay.groupBy("graph_id").count().where(F.col("count") > W.WHOLE).collect()]  # fewer than a row in WHOLE
+    fits = ~F.col("graph_id").isin(large) if large else F.lit(True)
+    edges = written(W.trees(stay.where(fits), settings.graph_cosine_weight, settings.graph_weight_cut_off, settings.graph_simplify, settings.graph_simplify_alg), "edges")
+    linked = G.mirrored(edges).select("graph_id", F.col("node").alias("node_id")).distinct()
+    own = nodes.where(fits).drop("embedding").join(linked, ["graph_id", "node_id"], "left_semi")
+    if not large:
+        return own, edges
+    more, further = post_processed(*_weighed(written(nodes.where(~fits), "nodes"), settings), settings)
+    return own.unionByName(more), edges.unionByName(further)
+
+
 def concept_graphs(members: DataFrame, settings: GraphSettings | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all graphs, from clusters (graph_id, node_id, label, embedding, documents), with graph_no from 0 on in order of graph_id."""
     settings = settings or GraphSettings()
-    nodes, edges = post_processed(*built(selected(members, settings), settings), settings)
+    members = selected(members, settings)
+    if settings.graph_unroll and settings.graph_sub_clustering is None and settings.graph_weight_cut_off > 0:
+        nodes, edges = _trees(members, settings)
+    else:
+        nodes, edges = post_processed(*built(members, settings), settings)
     nos = numbered(edges.select("graph_id").distinct(), ["graph_id"], "graph_no")
     return nodes.join(nos, "graph_id"), edges.join(nos, "graph_id")
 

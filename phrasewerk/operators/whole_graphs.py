@@ -160,6 +160,84 @@ def significances(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, dir
     return worked(members, run, "src long, dst long, significance double", wc, cut_off)
 
 
+def trees(members: DataFrame, wc: float = 0.5, cut_off: float = 0.5, gamma: float = 0.5, by: str = "weight") -> DataFrame:
+    """(graph_id, src, dst, weight, cosine), and significance if *by* is that: the members' edges as graph.simplified (for *gamma* in (0, 1)) and then graph.unrolled leave them.
+
+    What simplified leaves is connected, so a tree of it needs no edges of the whole graph.
+    """
+    significant = by == "significance"
+
+    def run(own: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
+        n, ids = len(m), own["id"].to_numpy()
+        p, q, value = _significant(m) if significant else (*(at := np.nonzero(np.triu(m, 1))), m[at])
+        if 0 < gamma < 1:
+            kept = _simplified(m, p, q, value, gamma)
+            p, q, value = p[kept], q[kept], value[kept]
+        w = np.zeros_like(m)
+        w[p, q] = w[q, p] = m[p, q]
+        code = _heaviest(w)
+        a, b = code // max(n, 1), code % max(n, 1)
+        x = [v / np.sqrt(v @ v) for v in (np.asarray(v, float) for v in own["v"])]
+        out = pd.DataFrame({"src": ids[a], "dst": ids[b], "weight": m[a, b], "cosine": np.array([x[i] @ x[j] for i, j in zip(a, b)], float)})
+        return out.assign(significance=value[np.searchsorted(p * n + q, code)]) if significant else out
+
+    return worked(members, run, "src long, dst long, weight double, cosine double" + ", significance double" * significant, wc, cut_off)
+
+
+def _parts(link: np.ndarray) -> np.ndarray:
+    """The smallest node that each one reaches."""
+    part = np.full(len(link), -1)
+    for v in range(len(link)):
+        if part[v] < 0:
+            new = np.zeros(len(link), bool)
+            new[v] = True
+            while new.any():
+                part[new] = v
+                new = link[new].any(0) & (part < 0)
+    return part
+
+
+def _simplified(m: np.ndarray, p: np.ndarray, q: np.ndarray, value: np.ndarray, gamma: float) -> np.ndarray:
+    """Which of the edges p < q (in order) stay, as graph.simplified by *value*."""
+    n, part = len(m), _parts(m > 0)
+    own = np.flatnonzero(part[p] == np.bincount(part, minlength=1).argmax())
+    cut, kept = int(np.floor(len(own) * gamma)), np.zeros(len(p), bool)
+    kept[own] = True
+    if not 0 < cut < len(own):
+        return kept
+    gone = own[np.argsort(value[own], kind="stable")[:cut]]
+    kept[gone] = False
+    link = np.zeros((n, n), bool)
+    link[p[kept], q[kept]] = link[q[kept], p[kept]] = True
+    part = _parts(link)
+    out = gone[part[p[gone]] != part[q[gone]]]
+    a, b = np.minimum(part[p[out]], part[q[out]]), np.maximum(part[p[out]], part[q[out]])
+    order = np.lexsort((q[out], p[out], b, a, -value[out]))
+    _, first = np.unique((a * n + b)[order], return_index=True)  # of two parts the first edge
+    order = order[np.sort(first)]
+    kept[out[order[G._forest(a[order], b[order])[2]]]] = True
+    return kept
+
+
+def _heaviest(w: np.ndarray) -> np.ndarray:
+    """The edges of a maximum spanning forest, as src * n + dst; equal weights go by (src, dst)."""
+    n, out, start = len(w), [], 0
+    best, code, free, to = np.zeros(n), np.full(n, n * n), np.ones(n, bool), np.arange(n)
+    for _ in range(n):
+        top = best.max()
+        if top > 0:
+            at = np.flatnonzero(best == top)
+            v = at[code[at].argmin()]
+            out.append(code[v])
+        else:  # a tree is done
+            v = start = start + int(free[start:].argmax())
+        free[v], best[v] = False, 0
+        row, own = w[v], np.minimum(to, v) * n + np.maximum(to, v)
+        better = free & (row > 0) & ((row > best) | ((row == best) & (own < code)))
+        best[better], code[better] = row[better], own[better]
+    return np.array(out, int)
+
+
 def _ranks(m: np.ndarray, p: np.ndarray, d: np.ndarray, w: np.ndarray, documents: int, damping: float, tolerance: float) -> np.ndarray:
     """The ranks of the nodes of *m* and of so many documents, linked by weights *w* from nodes *p* to documents *d*."""
     n, k = len(m), documents

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phrasewerk.functions import text as T
 from phrasewerk.operators import graph as G
 from phrasewerk.operators import pairs as R
+from phrasewerk.operators import phrase_graphs as H
 from phrasewerk.operators import whole_graphs as W
 from phrasewerk.plans import catalog
 
@@ -75,7 +76,7 @@ def test_page_rank_of_documents(spark, members):
     assert len(want) > 5 and rounded(W.page_rank_scores(members, links, 0.5, 0.75, tolerance=1e-12), "document", "graph_id") == want
 
 
-@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank", "gr16_page_rank_scores", "gr15_community_scores", "gr12_sub_clusters"])
+@pytest.mark.parametrize("name", ["gr14_path_scores", "gr10_page_rank", "gr16_page_rank_scores", "gr15_community_scores", "gr12_sub_clusters", "gr05_concept_graphs", "gr17_document_concept_matrix"])
 def test_queries_store_no_edges(spark, monkeypatch, name):
     def none(*args, **more):
         raise AssertionError("edges are made")
@@ -108,3 +109,36 @@ def test_sub_cluster_sizes(members, monkeypatch, cached):
     want = {(r.graph_id, r.node_id): sum(g == r.graph_id and r.node_id in n for g, n in to) for r in roots.where("root").collect()}
     got = {(r.graph_id, r.node_id): r.n_members for r in W.sub_cluster_sizes(members, 0.5, 0.55, tries=5).collect()}
     assert len(want) > 2 and got == want
+
+
+@pytest.mark.parametrize("by", ["weight", "significance"])
+@pytest.mark.parametrize("gamma", [0.5, 0.9, 1])
+def test_trees(members, by, gamma):
+    settings = H.GraphSettings(graph_weight_cut_off=0.6, graph_simplify=gamma, graph_simplify_alg=by)
+    usable = members.where("exists(embedding, x -> x <> 0)")
+    edges = R.weighted_pairs(usable, 0.5, 0.6, "node_id", "graph_id")
+    cols = ["weight", "cosine"] + ["significance"] * (by == "significance")
+    told = lambda df: {(r.graph_id, r.src, r.dst): tuple(round(r[c], 9) for c in cols) for r in df.collect()}
+    want = told(H.post_processed(usable.select("graph_id", "node_id", "label"), edges, settings)[1])
+    assert len(want) > 15 and told(W.trees(members, 0.5, 0.6, gamma, by)) == want
+
+
+@pytest.mark.parametrize("n", [1, 12, 40])
+def test_heaviest_forest_with_ties(n):
+    rng = np.random.RandomState(n)
+    w = np.triu(np.where(rng.rand(n, n) < 3 / n, rng.choice([0.6, 0.7, 0.9], (n, n)), 0), 1)
+    p, q = np.nonzero(w)
+    order = np.lexsort((q, p, -w[p, q]))
+    want = {(p[e], q[e]) for e in order[G._forest(p[order], q[order])[2]]}
+    assert {divmod(c, n) for c in W._heaviest(w + w.T)} == want
+
+
+def test_concept_graphs_of_either_size(members, monkeypatch):
+    settings = H.GraphSettings(graph_weight_cut_off=0.6, cluster_distance=0.0)
+    members = members.withColumn("documents", F.expr("transform(documents, x -> struct(x.id as id, cast(array() as array<array<int>>) as offsets))")).where("size(embedding) = 3")
+    told = lambda: [{tuple(r[c] for c in cols) for r in df.collect()} for df, cols in zip(H.concept_graphs(members, settings), (["graph_id", "node_id"], ["graph_no", "src", "dst"]))]
+    whole = told()
+    monkeypatch.setattr(W, "WHOLE", 15)
+    assert len(whole[0]) > 10 and told() == whole
+    monkeypatch.setattr(W, "WHOLE", 0)
+    assert told() == whole
