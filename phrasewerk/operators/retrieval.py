@@ -98,7 +98,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str, question: str, k1: f
     sized = chunks.select(key, T.words(F.col("text")).alias("ws")).withColumn("len", F.size("ws"))
     total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     terms = sized.select(key, "len", F.explode("ws").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
-    tf = terms.groupBy("word", key, "len").agg(F.count("*").alias("tf"))
+    tf = written(terms.groupBy("word", key, "len").agg(F.count("*").alias("tf")), "terms")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(1 + (total.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(total.mean or 1.0)))
@@ -110,9 +110,10 @@ def fused(lexical: DataFrame, dense: DataFrame, key: str, question: str, alpha:
 
     A chunk that only one of the two found counts 0 in the other. Negative dense scores count 0.
     """
-    scaled = lambda df, value, name: df.join(df.groupBy(question).agg(F.max(value).alias("_top")), question).select(question, key, F.greatest(F.lit(0.0), F.col(value) / F.nullif(F.greatest(F.col("_top"), F.lit(0.0)), F.lit(0.0))).alias(name))
-    both = scaled(lexical, "lexical", "_l").join(scaled(dense, "dense", "_d"), [question, key], "full_outer")
-    both = both.withColumn("score", alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_l", F.lit(0.0)))
+    both = lexical.select(question, key, "lexical").join(dense.select(question, key, "dense"), [question, key], "full_outer")
+    tops = written(both.groupBy(question).agg(F.max("lexical").alias("_l"), F.max("dense").alias("_d")), "tops")  # a row for each question, so that one plan has each side once
+    scaled = lambda value, top: F.greatest(F.lit(0.0), F.col(value) / F.nullif(F.greatest(F.col(top), F.lit(0.0)), F.lit(0.0)))
+    both = both.join(tops, question).withColumn("score", alpha * scaled("dense", "_d") + (1 - alpha) * scaled("lexical", "_l"))
     order = Window.partitionBy(question).orderBy(F.desc("score"), key)
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(question, key, "score", "rank")
 
