@@ -92,3 +92,22 @@ def test_nothing_to_group(spark):
     df = spark.createDataFrame(rows, ENTRIES)
     assert clusters.groups(df.limit(0), config(spark)).count() == 0
     assert clusters.groups(df.where("entry_id in (1, 400, 9001)"), config(spark)).count() == 0
+
+
+def test_pairs_by_chance_do_not_meet_all_rows(spark, monkeypatch):
+    """Pairs that belong to no group are directions only for the rows that are in none: their number grows as the square of the rows."""
+    met, recomputed = [], clusters._recomputed
+
+    def counted(rows, parts, found):
+        met.append((rows, found.count()))
+        return recomputed(rows, parts, found)
+
+    monkeypatch.setattr(clusters, "_recomputed", counted)
+    rng = np.random.RandomState(3)
+    rows = []
+    for n in (60, 60, *[2] * 40):
+        c = unit(rng.randn(1, 64))[0]
+        rows += [(len(rows) + k, "a", "x", [float(x) for x in c + rng.randn(64) * 0.04], "x", "y") for k in range(n)]
+    got = {r.entry_id: r["size"] for r in clusters.groups(spark.createDataFrame(rows, ENTRIES), config(spark)).collect()}
+    assert got == dict.fromkeys(range(120), 60)
+    assert max(n for of, n in met if of is met[0][0]) == 2
