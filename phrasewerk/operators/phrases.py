@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,10 +162,98 @@ def concept_scores(document_words: DataFrame, concept_weights: DataFrame, key: s
 
 #: Rows of a group's documents that are scored in one task, about.
 DOCUMENT_ROWS = 40_000
+#: Between words and weights, which go to Python as one text: Spark measures a batch anew with each row, and a list in it from its beginning.
+BETWEEN = "\x1f"
+#: Values of a matrix of weights (32 MB), rows that leave a task at once, values that are added up at once.
+WEIGHT_CELLS, SCORES, AT_ONCE = 4_000_000, 100_000, 100_000
+
+
+class _WordWeights:
+    """The weights of a group's concepts by word: a matrix with a column for each concept, as many columns at a time as fit."""
+
+    def __init__(self, rows: pa.Table):
+        self.concepts, words = rows["k"].combine_chunks(), pc.list_flatten(pc.split_pattern(rows["words"], BETWEEN))
+        self.words = pc.unique(words)
+        values = pc.split_pattern(rows["tfidf"], BETWEEN)
+        self.word, self.at, self.value = self.ids(words), pc.list_parent_indices(values).to_numpy(), pc.list_flatten(values).cast("double").to_numpy()
+        self.width = max(1, min(len(self.concepts), SCORES, WEIGHT_CELLS // max(1, len(self.words))))
+        self.first, self.matrix = -1, None
+
+    def ids(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words, -1 for those that no concept has."""
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+
+    def columns(self, first: int) -> np.ndarray:
+        if first != self.first:
+            i, j = np.searchsorted(self.at, [first, first + self.width])
+            cells = self.word[i:j] * self.width + self.at[i:j] - first
+            self.first, self.matrix = first, np.bincount(cells, self.value[i:j], len(self.words) * self.width).reshape(-1, self.width)
+        return self.matrix
+
+    def scores(self, doc: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, concept, score) above 0 of pairs (doc, word), each there once and in order of doc, some at a time."""
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        ends = np.append(starts[1:], len(doc))
+        for first in range(0, len(self.concepts), self.width):
+            m = self.columns(first)
+            for lo in range(0, len(starts), step := max(1, SCORES // self.width)):
+                hi, score = min(lo + step, len(starts)), []
+                while lo < hi:
+                    to = max(lo + 1, min(hi, np.searchsorted(ends, starts[lo] + AT_ONCE // self.width, "right")))
+                    score.append(np.add.reduceat(m[word[starts[lo] : ends[to - 1]]], starts[lo:to] - starts[lo], axis=0))
+                    lo = to
+                score = np.concatenate(score)
+                d, c = np.nonzero(score)
+                yield doc[starts[hi - len(score) + d]], first + c, score[d, c]
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, part, k, words, tfidf), of each group's part first the concepts, then the documents in order, to rows (g, k, c, score). Held are the weights of one group, one batch and the words of one document."""
+    own, held, weights, rest = None, [], None, None
+
+    def found(names: pa.Array, doc: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for d, c, score in weights.scores(doc, word):
+            cols = [pa.repeat(own[0], len(d)), names.take(pa.array(d)), weights.concepts.take(pa.array(c)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, ["g", "k", "c", "score"])
+
+    def last() -> Iterator[pa.RecordBatch]:
+        if rest is not None:
+            yield from found(rest[0], np.zeros(len(rest[1]), int), rest[1])
+
+    for batch in batches:
+        kinds = pa.RecordBatch.from_arrays([batch["g"], batch["part"], pc.is_null(batch["tfidf"])], ["g", "part", "document"])
+        cuts = np.unique([0, *(e for c in kinds.columns for e in pc.run_end_encode(c).run_ends.to_pylist())]).tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            piece = batch.slice(i, j - i)
+            if own != (mine := (piece["g"][0], piece["part"][0])):
+                yield from last()
+                own, held, weights, rest = mine, [], None, None
+            if not kinds["document"][i].as_py():
+                held.append(piece)
+                continue
+            if not held:  # the group has no concepts
+                continue
+            weights = weights or _WordWeights(pa.Table.from_batches(held).combine_chunks())
+            runs = pc.run_end_encode(piece["k"])
+            names = runs.values
+            words = pc.split_pattern(piece["words"], BETWEEN)
+            doc = np.repeat(np.arange(len(names)), np.diff(runs.run_ends.to_numpy(), prepend=0))[pc.list_parent_indices(words).to_numpy()]
+            word = weights.ids(pc.list_flatten(words))
+            if rest is not None and rest[0][0] == names[0]:  # its rows go on here
+                doc, word = np.concatenate([np.zeros(len(rest[1]), int), doc]), np.concatenate([rest[1], word])
+            else:
+                yield from last()
+            size = max(1, len(weights.words))
+            both = np.unique(doc[word >= 0] * size + word[word >= 0])  # a word of a document counts once
+            doc, word = both // size, both % size
+            open_ = np.searchsorted(doc, len(names) - 1)
+            rest = names[-1:], word[open_:]
+            yield from found(names, doc[:open_], word[:open_])
+    yield from last()
 
 
 def concept_scores_within(documents: DataFrame, concept_weights: DataFrame, sizes: dict, group: str, key: str, concept: str) -> DataFrame:
-    """(group, key, concept, score) as concept_scores, for documents and concepts of the same group: a document's words are added up where its group's concepts are, no pair of a word and a concept is shuffled.
+    """(group, key, concept, score) as concept_scores, for documents and concepts of the same group: a document's words are added up where its group's concepts are, no pair of a word and a concept is shuffled or held.
 
     *documents* has group, key and lists of words, *concept_weights* group, concept, word and tfidf above 0, *sizes*
     about how many rows each group has: the documents of large groups go to several tasks, each with all its concepts.
@@ -173,37 +262,15 @@ def concept_scores_within(documents: DataFrame, concept_weights: DataFrame, size
     number = F.lit(1)
     for g, n in parts.items():
         number = F.when(F.col(group) == g, n).otherwise(number)
-    sent = documents.select(F.col(group).alias("g"), F.pmod(F.xxhash64(key), number).alias("part"), F.col(key).alias("k"), "words")
-    held = concept_weights.select(F.col(group).alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), (number - 1).cast("long"))).alias("_part"), F.col(concept).alias("c"), "word", "tfidf")
-
-    def run(docs: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
-        none = {"g": np.array([], object), "k": np.array([], object), "c": np.array([], object), "score": np.zeros(0)}
-        if not len(docs) or not len(weights):
-            return pd.DataFrame(none)
-        words, vocabulary = pd.factorize(weights["word"].to_numpy(object))
-        at, concepts = pd.factorize(weights["c"].to_numpy(object))
-        of, names = pd.factorize(docs["k"].to_numpy(object))
-        place = {w: i for i, w in enumerate(vocabulary)}
-        doc = np.repeat(of, [len(w) for w in docs["words"]])
-        word = np.fromiter((place.get(w, -1) for ws in docs["words"] for w in ws), int, len(doc))
-        both = np.unique(doc[word >= 0] * len(vocabulary) + word[word >= 0])  # a word of a document counts once
-        doc, word = both // len(vocabulary), both % len(vocabulary)
-        order = np.argsort(words, kind="stable")
-        at, value = at[order], weights["tfidf"].to_numpy(float)[order]
-        starts = np.searchsorted(words[order], np.arange(len(vocabulary) + 1))
-        out, lo, step = [none], 0, max(1, 2_000_000 // len(concepts))
-        while lo < len(names):  # some documents at a time
-            i, j = np.searchsorted(doc, [lo, lo + step])
-            count = starts[word[i:j] + 1] - starts[word[i:j]]
-            x = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[word[i:j]], count)
-            score = np.bincount(np.repeat(doc[i:j] - lo, count) * len(concepts) + at[x], value[x], step * len(concepts))
-            hit = np.flatnonzero(score)
-            out.append({"g": np.full(len(hit), docs["g"].iloc[0], object), "k": names[hit // len(concepts) + lo], "c": concepts[hit % len(concepts)], "score": score[hit]})
-            lo += step
-        return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in none})
-
-    got = sent.groupBy("g", "part").cogroup(held.groupBy("_g", "_part")).applyInPandas(run, "g string, k string, c string, score double")
-    return got.toDF(group, key, concept, "score")
+    number = number.cast("long")
+    tasks = max(1, min(len(sizes) - len(parts) + sum(parts.values()), max(200, 2 * sum(sizes.values()) // DOCUMENT_ROWS)))
+    of, part = F.col(group).cast("string").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("part")
+    packed = concept_weights.where("word is not null and tfidf is not null").groupBy(group, concept).agg(F.collect_list(F.struct("word", F.col("tfidf").cast("string").alias("tfidf"))).alias("w"))  # as many as a concept has words
+    packed = packed.select(group, concept, F.array_join("w.word", BETWEEN).alias("words"), F.array_join("w.tfidf", BETWEEN).alias("tfidf"))
+    held = packed.select(of, part, F.col(concept).cast("string").alias("k"), "words", "tfidf")
+    sent = documents.select(of, F.pmod(F.xxhash64(key), number).alias("part"), F.col(key).cast("string").alias("k"), F.when(F.size("words") > 0, F.array_join("words", BETWEEN)).alias("words"), F.lit(None).cast("string").alias("tfidf"))
+    rows = held.unionByName(sent).repartition(tasks, "g", "part").sortWithinPartitions("g", "part", F.col("tfidf").isNull(), "k")
+    return rows.mapInArrow(_scored, "g string, k string, c string, score double").toDF(group, key, concept, "score")
 
 
 def pruned(edges: DataFrame, by: str, percent: float | None = None, remove: int | None = None, group: str = "graph_id") -> DataFrame:
